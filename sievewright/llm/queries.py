@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from . import mixing, secrets
+from . import mixing, packing, secrets
 
 QUERIES = {
+    "op7_packing": packing.query,
     "op8_mixing": mixing.query,
     "op10_secrets": secrets.query,
 }
