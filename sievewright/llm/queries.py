@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from . import mixing, packing, secrets
+from . import fingerprint, mixing, packing, secrets
 
 QUERIES = {
     "op7_packing": packing.query,
     "op8_mixing": mixing.query,
+    "op9_fingerprint": fingerprint.query,
     "op10_secrets": secrets.query,
 }
 
