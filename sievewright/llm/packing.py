@@ -11,6 +11,7 @@ from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -18,8 +19,8 @@ from .common import written
 
 #: Tokens in a sequence, largest piece that shares one, the id that ends a document, pieces that are packed together,
 #: words kept by a worker.
-CAPACITY, SHARE, END, GROUP, KEPT_WORDS = 4096, 1024, 2, 4096, 400_000
-TEXT_BYTES = 4 << 20
+CAPACITY, SHARE, END, GROUP, KEPT_WORDS = 4096, 1024, 2, 2048, 400_000
+TEXT_BYTES = 8 << 20
 
 
 def vocabulary(name: str = "word_bpe_49k.json") -> str:
@@ -39,42 +40,59 @@ class Words:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
-        self.encode = Tokenizer.from_file(path).encode_batch
-        self.clear()
-
-    def clear(self) -> None:
+        self.tokenizer = Tokenizer.from_file(path)
+        vocabulary = self.tokenizer.get_vocab()
+        self.last = np.zeros(max(vocabulary.values()) + 1, bool)
+        self.last[[i for w, i in vocabulary.items() if w.endswith("</w>")]] = True
         self.known: dict[str, int] = {}
         self.flat, self.used = np.zeros(1 << 16, np.uint32), 0
         self.start, self.length = np.zeros(1 << 14, np.int64), np.zeros(1 << 14, np.int64)
 
+    def _add(self, words: list[str], flat: np.ndarray, lengths: np.ndarray) -> None:
+        n = len(self.known)
+        while self.used + len(flat) > len(self.flat):
+            self.flat = np.concatenate([self.flat, np.zeros_like(self.flat)])
+        while n + len(words) > len(self.start):
+            self.start, self.length = (np.concatenate([x, np.zeros_like(x)]) for x in (self.start, self.length))
+        self.flat[self.used : self.used + len(flat)] = flat
+        self.start[n : n + len(words)] = self.used + np.cumsum(lengths) - lengths
+        self.length[n : n + len(words)] = lengths
+        self.known.update(zip(words, range(n, n + len(words))))
+        self.used += len(flat)
+
     def _learn(self, new: list[str]) -> None:
-        for at in range(0, len(new), 10_000):
-            part = new[at : at + 10_000]
-            ids = [e.ids for e in self.encode(part, add_special_tokens=False)]
+        """Letters alone are one word to the tokenizer, whose last id says so: such parts are encoded many at a time."""
+        letters = [w for w in new if _LETTERS.fullmatch(w)]
+        single = [w for w in new if not _LETTERS.fullmatch(w)]
+        for at in range(0, len(letters), 2000):
+            part = letters[at : at + 2000]
+            ids = np.array(self.tokenizer.encode(" ".join(part), add_special_tokens=False).ids, np.uint32)
+            ends = np.flatnonzero(self.last[ids])
+            if len(ends) == len(part):
+                self._add(part, ids, np.diff(ends, prepend=-1))
+            else:
+                single += part
+        for at in range(0, len(single), 10_000):
+            part = single[at : at + 10_000]
+            ids = [e.ids for e in self.tokenizer.encode_batch(part, add_special_tokens=False)]
             lengths = np.fromiter(map(len, ids), np.int64, len(ids))
-            n, total = len(self.known), int(lengths.sum())
-            while self.used + total > len(self.flat):
-                self.flat = np.concatenate([self.flat, np.zeros_like(self.flat)])
-            while n + len(part) > len(self.start):
-                self.start, self.length = (np.concatenate([x, np.zeros_like(x)]) for x in (self.start, self.length))
-            self.flat[self.used : self.used + total] = np.fromiter((i for x in ids for i in x), np.uint32, total)
-            self.start[n : n + len(part)] = self.used + np.cumsum(lengths) - lengths
-            self.length[n : n + len(part)] = lengths
-            self.known.update(zip(part, range(n, n + len(part))))
-            self.used += total
+            self._add(part, np.fromiter((i for x in ids for i in x), np.uint32, int(lengths.sum())), lengths)
 
     def ids(self, texts: list[str]) -> list[np.ndarray]:
-        parts = [_parted(t).split(" ") for t in texts]
-        words = [w for p in parts for w in p]
+        parts = pc.split_pattern(pa.array([_parted(t) for t in texts], pa.large_string()), " ")
+        ends = parts.offsets.to_numpy()[1:]
+        words = parts.flatten().dictionary_encode()
+        every = words.dictionary.to_pylist()
         known = self.known
-        codes = np.fromiter(map(known.get, words, repeat(-1)), np.int64, len(words))
+        codes = np.fromiter(map(known.get, every, repeat(-1)), np.int64, len(every))
         kept, used, new = len(known), self.used, ()
         unknown = np.flatnonzero(codes < 0)
         if len(unknown):
-            new = sorted({words[i] for i in unknown.tolist()})
+            new = [every[i] for i in unknown.tolist()]
             self._learn(new)
-            codes[unknown] = [known[words[i]] for i in unknown.tolist()]
-        lengths, ends = self.length[codes], np.cumsum([len(p) for p in parts])
+            codes[unknown] = [known[w] for w in new]
+        codes = codes[words.indices.to_numpy()]
+        lengths = self.length[codes]
         upto = np.concatenate([[0], np.cumsum(lengths)])
         flat = self.flat[np.repeat(self.start[codes] - upto[:-1], lengths) + np.arange(upto[-1])]
         cut = upto[np.concatenate([[0], ends])]
@@ -87,15 +105,18 @@ class Words:
 
 
 #: Characters whose lower case is the same alone as in a text, in Python as for the tokenizer.
-_OTHER = re.compile("[^\x00-\u012f\u0131-\u024f]|<\\|")
+_OTHER = re.compile("[^\x00-\u012f\u0131-\u024f]")
 #: Where a letter or digit meets a mark that isn't part of a contraction, the tokenizer always parts them.
+_LETTERS = re.compile("[a-z\u00df-\u00f6\u00f8-\u00ff]+")
 _MARK = re.compile("(?<=[0-9a-z\u00df-\u00f6\u00f8-\u00ff])[.,!?;:|%$#*&]")
 
 
 def _parted(text: str) -> str:
     """A text with more spaces and other white space as spaces, but the same ids."""
     text = text.replace("\n", " ").replace("\t", " ").replace("\r", " ")
-    return text if _OTHER.search(text) else _MARK.sub(r" \g<0>", text.lower())
+    if "<|" in text or not text.isascii() and _OTHER.search(text):
+        return text
+    return _MARK.sub(r" \g<0>", text.lower())
 
 
 _words: dict[str, Words] = {}
