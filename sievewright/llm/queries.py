@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from . import fingerprint, mixing, packing, secrets
+from . import fingerprint, mixing, packing, quality, secrets
 
 QUERIES = {
+    "op1_quality": quality.query,
     "op7_packing": packing.query,
     "op8_mixing": mixing.query,
     "op9_fingerprint": fingerprint.query,
