@@ -16,41 +16,60 @@ from .common import held_out, written
 #: Labelled rows that a fit takes at most (about: rows are drawn by a hash of their id).
 MAX_TRAINING_ROWS = 50_000
 #: Share of the pooled covariance in a class's own, and of the mean variance on the diagonal.
-POOLED, RIDGE = 0.1, 0.02
-STATISTICS = ("chars", "word_length", "distinct", "repeats", "upper", "marks", "pipes", "bangs", "digits", "stops", "lines", "longest")
+POOLED, RIDGE = 0.3, 0.02
+#: Counts of a text: its words, code points and bytes, then what is taken as a share of the words (the last two: of the
+#: bytes).
+STATISTICS = ("words", "chars", "bytes", "distinct", "repeats", "marks", "pipes", "bangs", "stops", "lines", "upper", "digits")
 _DELETE = {name: bytes(x) for name, x in {"upper": b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", "marks": b"%$#*&@^~<>{}[]=+\\", "digits": b"0123456789"}.items()}
+#: Words, or as many times BYTES bytes, of the usual shares that are added to every text: a few words show little.
+PRIOR, BYTES = 20, 6
 #: Added to a share before its logarithm.
 FLOOR = 0.02
 
 
-def statistics(text: str) -> list[float]:
-    """Transformed statistics of one whole text, in the order of STATISTICS: logarithms of lengths and of shares."""
+def statistics(text: str) -> list[int]:
+    """Counts of one whole text, in the order of STATISTICS."""
     raw = text.encode("utf-8", "replace")
     words = text.split()
-    n, size = max(1, len(words)), max(1, len(raw))
-    lacks = {k: len(raw) - len(raw.translate(None, x)) for k, x in _DELETE.items()}
-    shares = (
-        (1 + len(set(words))) / (1 + len(words)), sum(map(eq, words, words[1:])) / n, lacks["upper"] / size, lacks["marks"] / n, raw.count(b"|") / n,
-        raw.count(b"!") / n, lacks["digits"] / size, raw.count(b".") / n, raw.count(b"\n") / n,
-    )
-    return [math.log1p(len(text)), math.log1p(len(text) / n), *(math.log(FLOOR + x) for x in shares), math.log1p(max(map(len, words), default=0))]
+    has = {k: len(raw) - len(raw.translate(None, x)) for k, x in _DELETE.items()}
+    return [
+        len(words), len(text), len(raw), len(set(words)), sum(map(eq, words, words[1:])), has["marks"], raw.count(b"|"), raw.count(b"!"),
+        raw.count(b"."), raw.count(b"\n"), has["upper"], has["digits"],
+    ]
+
+
+def shares(counts: np.ndarray) -> np.ndarray:
+    """The counts as shares, with the sums over all rows as the usual ones."""
+    n = np.column_stack([np.repeat(counts[:, :1], 7, 1), np.repeat(counts[:, 2:3], 2, 1)])
+    return counts[:, 3:].sum(0) / np.maximum(1, n.sum(0))
+
+
+def transformed(counts: np.ndarray, usual: np.ndarray) -> np.ndarray:
+    """Logarithms of the length, the mean length of a word and the shares, drawn to the usual ones in short texts."""
+    n = np.column_stack([np.repeat(counts[:, :1], 7, 1), np.repeat(counts[:, 2:3], 2, 1)])
+    prior = np.array([PRIOR] * 7 + [PRIOR * BYTES] * 2)
+    drawn = (counts[:, 3:] + prior * usual) / (n + prior)
+    length = (counts[:, 1] + PRIOR * BYTES) / (counts[:, 0] + PRIOR)
+    return np.column_stack([np.log(counts[:, 1] + PRIOR * BYTES), np.log(length), np.log(FLOOR + drawn)])
 
 
 def document_statistics(docs: DataFrame) -> DataFrame:
-    """doc_id and statistics (array<double>) of every text; null counts as empty. Rows stay apart."""
+    """doc_id and statistics (array<long>) of every text; null counts as empty. Rows stay apart."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             out = [statistics(t or "") for t in batch.column("text").to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(out, pa.list_(pa.float64()))], names=["doc_id", "statistics"])
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(out, pa.list_(pa.int64()))], names=["doc_id", "statistics"])
 
-    return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, statistics array<double>")
+    return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, statistics array<long>")
 
 
 class Discriminant:
     """Two Gaussians with shrunken covariances; what scoring needs of them is factored once, when fitted."""
 
-    def __init__(self, x: np.ndarray, y: np.ndarray, pooled: float = POOLED, ridge: float = RIDGE):
+    def __init__(self, counts: np.ndarray, y: np.ndarray, pooled: float = POOLED, ridge: float = RIDGE):
+        self.usual = shares(counts)
+        x = transformed(counts, self.usual)
         self.share = float(np.mean(y)) if len(y) else 0.5
         self.classes = None
         if len(np.unique(y)) < 2 or min(np.bincount(y)) < 2:
@@ -82,11 +101,11 @@ class Discriminant:
         logs = [prior - 0.5 * (volume + np.square((z - mean) @ inverse.T).sum(1)) for mean, inverse, volume, prior in self.classes]
         return logs[1] - logs[0]
 
-    def score(self, x: np.ndarray) -> np.ndarray:
-        """Probability of class 1; its share among the labels where one class had too few rows to fit."""
+    def score(self, counts: np.ndarray) -> np.ndarray:
+        """Probability of class 1, from rows of counts; its share among the labels where one class had too few rows to fit."""
         if self.classes is None:
-            return np.full(len(x), self.share)
-        d = self.difference(x)
+            return np.full(len(counts), self.share)
+        d = self.difference(transformed(counts, self.usual))
         a, b = self.curve
         return 1 / (1 + np.exp(-np.clip(a * np.sign(d) * np.sqrt(np.abs(d)) + b, -30, 30)))
 
