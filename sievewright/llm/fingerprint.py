@@ -206,15 +206,15 @@ def _followed(docs: DataFrame, cells: int = 1 << 14) -> DataFrame:
     """Documents with a range of ids each (column range), sorted in them, each range followed by copies (column extra)
     of the first document of the next, the last by that of the first: so each document's successor is the next row.
 
-    Ids are counted in equal cells of their span, which are joined to ranges of about equal rows, as many as there are
-    shuffle partitions; the driver sees one row for each of at most `cells` cells. The text is shuffled once.
+    Ids are counted in equal cells of their span, which are joined to ranges of about equal rows, four for
+    each shuffle partition; the driver sees one row for each of at most `cells` cells. The text is shuffled once.
     """
     spark = docs.sparkSession
     low, high = docs.agg(F.min("doc_id"), F.max("doc_id")).first()
     width = max(1.0, (float(high or 0) - float(low or 0)) / cells)
     cell = F.coalesce(F.least(F.floor((F.col("doc_id").cast("double") - F.lit(float(low or 0))) / width), F.lit(cells - 1)).cast("int"), F.lit(cells))
     counts = docs.groupBy(cell.alias("cell")).agg(F.count("*").alias("n"), F.min("doc_id").alias("first")).orderBy("cell").collect()
-    aim = max(1, sum(r.n for r in counts) // int(spark.conf.get("spark.sql.shuffle.partitions")))
+    aim = max(1, sum(r.n for r in counts) // (4 * int(spark.conf.get("spark.sql.shuffle.partitions"))))
     of_cell, firsts, filled = [0] * (cells + 1), [], aim
     for r in counts:
         if filled >= aim:

@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
-from . import fingerprint, mixing, packing, quality, secrets
+from . import fingerprint, langid, lattice, mixing, packing, quality, secrets
 
 QUERIES = {
     "op1_quality": quality.query,
+    "op3_langid": langid.query,
+    "op5_lattice": lattice.query,
     "op7_packing": packing.query,
     "op8_mixing": mixing.query,
     "op9_fingerprint": fingerprint.query,
