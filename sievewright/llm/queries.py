@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from . import fingerprint, langid, lattice, mixing, packing, quality, secrets
+from . import fingerprint, langid, lattice, minhash, mixing, packing, quality, secrets
 
 QUERIES = {
     "op1_quality": quality.query,
+    "op2_minhash": minhash.query,
     "op3_langid": langid.query,
     "op5_lattice": lattice.query,
     "op7_packing": packing.query,
