@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from . import fingerprint, langid, lattice, minhash, mixing, packing, quality, secrets
+from . import fingerprint, langid, lattice, minhash, mixing, packing, quality, secrets, warc
 
 QUERIES = {
     "op1_quality": quality.query,
     "op2_minhash": minhash.query,
     "op3_langid": langid.query,
+    "op4_warc": warc.query,
     "op5_lattice": lattice.query,
     "op7_packing": packing.query,
     "op8_mixing": mixing.query,
@@ -16,6 +17,7 @@ QUERIES = {
 }
 
 ORACLES = {
+    "op4_warc": warc.SQL,
     "op8_mixing": mixing.SQL,
     "op10_secrets": secrets.SQL,
 }
