@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import fingerprint, langid, lattice, minhash, mixing, packing, quality, secrets, warc
+from . import fingerprint, langid, lattice, linedup, minhash, mixing, packing, quality, secrets, warc
 
 QUERIES = {
     "op1_quality": quality.query,
@@ -10,6 +10,7 @@ QUERIES = {
     "op3_langid": langid.query,
     "op4_warc": warc.query,
     "op5_lattice": lattice.query,
+    "op6_linedup": linedup.query,
     "op7_packing": packing.query,
     "op8_mixing": mixing.query,
     "op9_fingerprint": fingerprint.query,
