@@ -129,8 +129,8 @@ def learn(docs: DataFrame, most: int = MAX_TRAINING_ROWS) -> Mixture:
     return Mixture(languages, table)
 
 
-def identify(docs: DataFrame, model: Mixture) -> DataFrame:
-    """docs without the text, with lang_pred, score and languages (each of the set with its share, largest first).
+def identify(docs: DataFrame, model: Mixture, keep_text: bool = False) -> DataFrame:
+    """docs without the text (unless keep_text), with lang_pred, score and languages (each of the set with its share, largest first).
 
     Null texts and texts without a letter: `und`, 0, none; so is every text where nothing could be learned. Ties go to
     the first language by name. Repeated rows stay apart; no rows give no rows. The only column read is text; others
@@ -139,7 +139,7 @@ def identify(docs: DataFrame, model: Mixture) -> DataFrame:
     spark = docs.sparkSession
     shared = spark.sparkContext.broadcast(model)
     added = ["lang_pred", "score", "languages"]
-    keep = [c for c in docs.columns if c not in ("text", *added)]
+    keep = [c for c in docs.columns if c not in added and (keep_text or c != "text")]
     kinds = pa.list_(pa.struct([("lang", pa.string()), ("share", pa.float64())]))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -151,7 +151,7 @@ def identify(docs: DataFrame, model: Mixture) -> DataFrame:
             ], names=[*keep, *added])
 
     fields = ", ".join(f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in keep)
-    return docs.select(*keep, "text").mapInArrow(run, f"{fields}{', ' if fields else ''}lang_pred string, score double, languages array<struct<lang: string, share: double>>")
+    return docs.select(*dict.fromkeys([*keep, "text"])).mapInArrow(run, f"{fields}{', ' if fields else ''}lang_pred string, score double, languages array<struct<lang: string, share: double>>")
 
 
 def query(spark: SparkSession, sf_dir: str, folds: int = 3, fold: int = 1) -> DataFrame:

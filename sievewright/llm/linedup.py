@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import written
+from .common import unrepeated, written
 
 #: Words from which a repeated run of lines goes.
 MIN_WORDS = 50
@@ -123,7 +123,7 @@ def dedup(docs: DataFrame, least: int = MIN_WORDS) -> DataFrame:
     keyed = _keyed(docs)
     lines = keyed.select(F.col("__doc").alias("doc"), F.col("__version").alias("version"), "text").where("text IS NOT NULL")
     # rows that repeat a document would be copies of themselves
-    runs = repeated_runs(lines if _distinct(docs) else lines.dropDuplicates(["doc", "version"]), least)
+    runs = repeated_runs(lines if unrepeated(docs) else lines.dropDuplicates(["doc", "version"]), least)
     spans = runs.groupBy(F.col("doc").alias("__doc"), F.col("version").alias("__version")).agg(F.collect_set(F.struct("start", "size")).alias("__spans"))
     keep = [c for c in docs.columns if c not in ("n_lines", "n_deleted")]
     joined = keyed.select(*keep, "__doc", "__version").join(spans, ["__doc", "__version"], "left").select(*keep, "__spans")
@@ -154,11 +154,5 @@ def dedup(docs: DataFrame, least: int = MIN_WORDS) -> DataFrame:
     return joined.mapInArrow(run, f"{fields}, n_lines long, n_deleted long")
 
 
-def _distinct(docs: DataFrame) -> bool:
-    """Whether no doc_id is repeated: a count of ids, far cheaper than dropping repeated texts."""
-    rows, ids = docs.select("doc_id").groupBy("doc_id").agg(F.count("*").alias("n")).agg(F.sum("n"), F.count("*")).first()
-    return rows == ids
-
-
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     return dedup(spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text"))

@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import word_count, written
+from .common import unrepeated, word_count, written
 
 #: A source's weight over training time, from 0 to 1: knots (time, relative weight), linear between them. Sources in
 #: code-point order take these in turn: falling, level, rising.
@@ -118,26 +118,38 @@ def mixed(docs: DataFrame, weights: Sequence[int] = (1, 2, 3), max_epochs: int =
     """The mix itself, range-sorted by position: a row of docs for each copy taken, the last copy cut to the words taken.
 
     Columns are those of docs, whatever they are; n_chars, where there is one, follows a cut text. A document of size 0
-    is taken once where its source's words are taken at all (it costs no words). Cut copies keep their words joined by
-    their own white space. Rows are matched by doc_id and source; repeated doc_ids are taken row by row.
+    is taken once (it costs no words). A cut copy keeps the white space between its words. Repeated doc_ids are taken
+    row by row.
+
+    Positions run from 0 to the sum of words taken, so the ranges of the sort follow from that alone: rows go straight
+    to the partition of their range, without a sample of the data. Texts move twice: to meet the plan, and to be sorted.
     """
-    cols = docs.columns
-    # rows of one doc_id are numbered, so that repeated rows meet one plan row each
-    nth = F.row_number().over(Window.partitionBy("doc_id", "source").orderBy("__size", F.xxhash64("text")))
-    full = docs.withColumn("__size", word_count(F.col("text"))).withColumn("__nth", nth)
+    spark, cols, once = docs.sparkSession, docs.columns, unrepeated(docs)
     todo = plan(docs, weights, max_epochs, schedules)
-    todo = todo.withColumn("__nth", F.row_number().over(Window.partitionBy("doc_id", "source").orderBy("size", "before")))
-    todo = todo.select(F.col("doc_id").alias("__id"), F.col("source").alias("__source"), F.col("__nth").alias("__n"), "size", "source_size", "quota", "quotas", "pattern", "before", "taken")
-    rows = full.join(todo, F.col("doc_id").eqNullSafe(F.col("__id")) & F.col("source").eqNullSafe(F.col("__source")) & (F.col("__nth") == F.col("__n")))
     copies = F.when(F.col("size") == 0, 1).otherwise(F.ceil(F.col("taken") / F.col("size"))).cast("int")
-    rows = rows.withColumn("__copy", F.explode(F.when(copies > 0, F.sequence(F.lit(0), copies - 1)).otherwise(F.array().cast("array<int>"))))
-    words = F.least(F.col("size"), F.col("taken") - F.col("__copy") * F.col("size"))
+    # rows of one doc_id are numbered, so that each meets one row of the plan
+    todo = todo.withColumn("__n", F.lit(1) if once else F.row_number().over(Window.partitionBy("doc_id", "source").orderBy("size", "before")))
+    todo = todo.withColumn("__copy", F.explode(F.when(copies > 0, F.sequence(F.lit(0), copies - 1)).otherwise(F.array().cast("array<int>"))))
+    todo = todo.select(
+        F.col("doc_id").alias("__id"), F.col("source").alias("__source"), "__n", "__copy", F.col("size").alias("__size"), F.least(F.col("size"), F.col("taken") - F.col("__copy") * F.col("size")).alias("__words"),
+        position(F.col("before") + F.col("__copy") * F.col("source_size"), schedules).alias("__at"),
+    )
+    todo = written(todo, "copies")
+    ranges = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    most = (todo.agg(F.max("__at")).first()[0] or 0) + 1
+    same = F.col("doc_id").eqNullSafe(F.col("__id"))
+    if not once:
+        nth = F.row_number().over(Window.partitionBy("doc_id", "source").orderBy(word_count(F.col("text")), F.xxhash64("text")))
+        docs = docs.withColumn("__nth", nth)
+        same = same & F.col("source").eqNullSafe(F.col("__source")) & (F.col("__nth") == F.col("__n"))
+    rows = docs.join(todo, same)
+    less = F.col("__words") < F.col("__size")
     pieces = F.regexp_extract_all(F.col("text"), F.lit(r"[\x20\x09-\x0D]*[^\x20\x09-\x0D]+"), F.lit(0))
-    text = F.when(words < F.col("size"), F.array_join(F.slice(pieces, 1, F.greatest(words, F.lit(1)).cast("int")), "")).otherwise(F.col("text"))
-    rows = rows.withColumn("__at", position(F.col("before") + F.col("__copy") * F.col("source_size"), schedules)).withColumn("text", text)
+    rows = rows.withColumn("text", F.when(less, F.array_join(F.slice(pieces, 1, F.greatest(F.col("__words"), F.lit(1)).cast("int")), "")).otherwise(F.col("text")))
     if "n_chars" in cols:
-        rows = rows.withColumn("n_chars", F.when(words < F.col("size"), F.length("text").cast("long")).otherwise(F.col("n_chars")))
-    return rows.orderBy("__at", "doc_id", "__copy").select(*cols)
+        rows = rows.withColumn("n_chars", F.when(less, F.length("text").cast("long")).otherwise(F.col("n_chars")))
+    rows = rows.repartitionById(ranges, F.floor(F.col("__at") * ranges / most).cast("int"))
+    return rows.sortWithinPartitions("__at", "doc_id", "__copy").select(*cols)
 
 
 def query(spark, sf_dir: str) -> DataFrame:
