@@ -41,6 +41,14 @@ def drop_path(spark: SparkSession, path: str) -> None:
     at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
 
 
+def small_batches(spark: SparkSession) -> None:
+    """Arrow batches of a few MB, unless the session says otherwise: rows are whole documents here, and buffers of the
+    usual 10,000 of them stay with the executors' native heap."""
+    for key, value in (("spark.sql.execution.arrow.maxRecordsPerBatch", "2000"), ("spark.sql.execution.arrow.maxBytesPerBatch", "4m")):
+        if spark.conf.get(key, None) is None:
+            spark.conf.set(key, value)
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 

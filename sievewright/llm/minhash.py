@@ -7,10 +7,10 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import components, written
+from .common import components, small_batches, written
 
 #: Words of a shingle and least similarity in percent of a link, where nothing else is asked for.
 WORDS, PERCENT = 5, 80
@@ -18,6 +18,8 @@ WORDS, PERCENT = 5, 80
 BANDS, ROWS = 25, 5
 BINS = BANDS * ROWS
 TEXT_BYTES = 4 << 20
+#: Bits of the filter by which a scan picks out the texts to compare.
+FILTER_BITS = 1 << 26
 
 
 def _mix(h: np.ndarray) -> np.ndarray:
@@ -126,42 +128,122 @@ def signatures(docs: DataFrame, words: int) -> DataFrame:
     return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, n_shingles long, digest binary, bands array<long>")
 
 
-def _whole_sets(docs: DataFrame, words: int) -> DataFrame:
-    """doc_id and its whole set of shingles."""
+def _whole_sets(docs: DataFrame, ids: DataFrame, words: int) -> DataFrame:
+    """doc_id and its whole set of shingles, for the documents among ids(doc_id).
+
+    Up to FILTER_BITS / 8 ids, a bit for a hash of each goes to all workers (8 MB at most): a scan of the texts takes
+    what may be among them, and only sets are joined. Beyond that, texts are joined with ids first.
+    """
+    n = ids.count()
+    slots = 1 << max(16, min(FILTER_BITS, 10 * n + 1).bit_length() - 1)
+    slot = F.pmod(F.xxhash64("doc_id"), F.lit(slots))
+    bits = None
+    if 8 * n <= FILTER_BITS:
+        at = ids.select(slot.alias("s")).groupBy(F.expr("s div 63").alias("word")).agg(F.expr("bit_or(shiftleft(1L, int(s % 63)))").alias("bits")).toPandas()
+        bits = np.zeros(slots // 63 + 1, np.int64)
+        bits[at["word"].to_numpy()] = at["bits"].to_numpy()
+        bits = docs.sparkSession.sparkContext.broadcast(bits)
+    else:
+        docs = docs.join(ids, "doc_id", "left_semi")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
+            if bits is not None:
+                at = batch.column("slot").to_numpy()
+                batch = batch.filter(pa.array((bits.value[at // 63] >> (at % 63)) & 1 == 1))
             for a, b in _blocks(batch.column("text")):
                 sets, ends = shingle_sets(batch.column("text").take(pa.array(np.arange(a, b))), words)
                 yield pa.RecordBatch.from_arrays([batch.column("doc_id").slice(a, b - a), pa.ListArray.from_arrays(pa.array(np.append(0, ends), pa.int32()), pa.array(sets.view(np.int64)))], names=["doc_id", "shingles"])
 
-    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, shingles array<long>")
+    sets = docs.where("doc_id IS NOT NULL").select("doc_id", "text", slot.alias("slot")).mapInArrow(run, "doc_id long, shingles array<long>")
+    return sets if bits is None else sets.join(ids, "doc_id", "left_semi")
 
 
-def _verified(pairs: DataFrame, docs: DataFrame, sizes: DataFrame, words: int, percent: int) -> DataFrame:
-    """Those of pairs(a, b) that link, on the whole sets of both; pairs whose sizes rule it out aren't looked at."""
+def _measured(pairs: DataFrame, sizes: DataFrame, sets: DataFrame) -> DataFrame:
+    """pairs(a, b) with the sizes of both sets, and in how many shingles they differ."""
     n_a, n_b = (sizes.select(F.col("rep").alias(c), F.col("n_shingles").alias(f"n_{c}")) for c in "ab")
-    pairs = pairs.join(n_a, "a").join(n_b, "b").where(100 * F.least("n_a", "n_b") >= percent * F.greatest("n_a", "n_b")).select("a", "b", "n_a", "n_b")
-    pairs = written(pairs, "pairs")
-    ends = pairs.select(F.col("a").alias("doc_id")).union(pairs.select(F.col("b").alias("doc_id"))).distinct()
-    sets = written(_whole_sets(docs.join(ends, "doc_id", "left_semi"), words).dropDuplicates(["doc_id"]), "sets")
     both = pairs.join(sets.select(F.col("doc_id").alias("b"), F.col("shingles").alias("of_b")), "b").join(sets.select(F.col("doc_id").alias("a"), F.col("shingles").alias("of_a")), "a")
-    common = F.size(F.array_intersect("of_a", "of_b")).cast("long")
-    return both.where(100 * common >= percent * (F.col("n_a") + F.col("n_b") - common)).select("a", "b")
+    apart = F.size("of_a") + F.size("of_b") - 2 * F.size(F.array_intersect("of_a", "of_b"))
+    return both.select("a", "b", apart.cast("long").alias("apart")).join(n_a, "a").join(n_b, "b")
+
+
+def _within(measured: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """Pairs (a, b) of members of one star that may link though not both do with its centre.
+
+    Sets u and v differ in D(u, v) shingles, and link if beta * D(u, v) <= alpha * (|u| + |v|) with alpha = 100 - percent
+    and beta = 100 + percent. Against any fixed set, say p, let U be what u and p differ in; then D(u, v) = |U| + |V| -
+    2 * |U & V|. A star's p is its centre with what most members have otherwise put right, so that the centre's own
+    oddities aren't in every U. This bounds D(u, v) from what is known of each member alone:
+
+    - Without any common difference a link is certain if g(u) + g(v) <= 0, with g(u) = beta * |U| - alpha * |u|. If u
+      has any such v, then the member of least g is one, and it links with all such v: its star stands for them all.
+    - Else |U & V| >= (|U| + |V| - most(u, v)) / 2 must hold, where most is the D that still links. Differences that are
+      in no other member's don't help, and members that have too few others to offer drop out: those are nearly all, in
+      a family of copies edited at random. The rest meet by prefix filtering, rarest differences first, with what can
+      still be common from there on.
+
+    Both steps are exact. A star where all members link with the centre, or one member alone doesn't and none is near
+    enough to it, takes no part.
+    """
+    alpha, beta = 100 - percent, 100 + percent
+    linked = alpha * (F.col("n_a") + F.col("n_b")) >= beta * F.col("apart")
+    most = F.floor(alpha * (F.col("n_b") + F.floor(F.col("n_b") * 100 / percent)) / beta)
+    rows = measured.select("a", "b", "n_b", "apart", linked.alias("linked"), most.alias("most"))
+    stars = rows.groupBy("a").agg(
+        F.count("*").alias("n"), F.count_if(~F.col("linked")).alias("loose"), F.max("apart").alias("far"), F.max(F.when(F.col("linked"), F.col("apart"))).alias("far_linked"),
+        F.min("apart").alias("near"), F.min(F.when(~F.col("linked"), F.col("apart"))).alias("near_loose"),
+    ).where("loose > 0 AND n > 1")
+    rows = rows.join(stars, "a")
+    # the least that any partner differs in from the centre, and whether one is near enough at all
+    partner = F.greatest(F.when(F.col("linked"), F.col("near_loose")).otherwise(F.col("near")), F.col("apart") - F.col("most"))
+    reach = F.when(F.col("linked") | (F.col("loose") > 1), F.col("far")).otherwise(F.coalesce("far_linked", F.lit(-1)))
+    members = rows.withColumn("partner", partner).where((reach >= F.col("partner")) & (F.col("partner") <= F.col("apart") + F.col("most")))
+    members = members.join(members.where("NOT linked").select("a").distinct(), "a", "left_semi").select("a", "b", "n_b", "linked", "most")
+    of = lambda c: sets.select(F.col("doc_id").alias(c), F.col("shingles").alias(f"of_{c}"))
+    unlike = F.concat(F.array_except("of_a", "of_b"), F.array_except("of_b", "of_a"))
+    members = written(members.join(of("b"), "b").join(of("a"), "a").select("a", "b", "n_b", "linked", "most", unlike.alias("unlike")), "members")
+    often = members.select("a", F.explode("unlike").alias("e")).groupBy("a", "e").agg(F.count("*").alias("times"))
+    usual = often.join(members.groupBy("a").agg(F.count("*").alias("n")), "a").where("2 * times > n").groupBy("a").agg(F.collect_list("e").alias("usual"))
+    none = F.array().cast("array<bigint>")
+    odd = F.concat(F.array_except("unlike", F.coalesce("usual", none)), F.array_except(F.coalesce("usual", none), "unlike"))
+    members = members.join(usual, "a", "left").select("a", "b", "n_b", "linked", "most", odd.alias("odd")).withColumn("apart", F.size("odd").cast("long"))
+    members = written(members.withColumn("g", beta * F.col("apart") - alpha * F.col("n_b")), "odd")
+    best = members.groupBy("a").agg(F.min(F.struct("g", "b")).alias("best"), F.min("apart").alias("near"))
+    core = (F.col("g") + F.col("best.g") <= 0) | (F.col("b") == F.col("best.b"))
+    members = members.join(best, "a").withColumn("core", core)
+    certain = members.where("core AND b <> best.b").select(F.least("b", "best.b").alias("a"), F.greatest("b", "best.b").alias("b"))
+    loose = members.where("NOT core").groupBy("a").agg(F.min("apart").alias("near_loose"))
+    members = members.join(loose, "a")
+    partner = F.greatest(F.when(F.col("core"), F.col("near_loose")).otherwise(F.col("near")), F.col("apart") - F.col("most"))
+    need = F.greatest(F.lit(1), F.ceil((F.col("apart") + partner - F.col("most")) / 2))
+    held = members.where(F.size("odd") >= need).select("a", "b", "n_b", "linked", "core", "apart", need.alias("need"), F.explode("odd").alias("e"))
+    for k in range(3):  # each time some drop out, and leave what they shared to fewer
+        held = written(held, f"held{k}")
+        shared = held.groupBy("a", "e").agg(F.count("*").alias("times")).where("times > 1")
+        held = held.drop("times").join(shared, ["a", "e"])
+        able = held.groupBy("a", "b").agg(F.count("*").alias("has"), F.first("need").alias("least")).where("has >= least").select("a", "b", "has")
+        held = held.drop("has").join(able, ["a", "b"])
+    nth = F.row_number().over(Window.partitionBy("a", "b").orderBy("times", "e"))
+    prefix = written(held.withColumn("nth", nth).where("nth <= has - need + 1").select("a", "b", "e", "linked", "core", "apart", "n_b", (F.col("has") - F.col("nth")).alias("left")), "prefixes")
+    other = prefix.select("a", "e", *[F.col(c).alias(f"{c}_") for c in ("b", "linked", "core", "apart", "n_b", "left")])
+    enough = 2 * (1 + F.least("left", "left_")) >= F.col("apart") + F.col("apart_") - F.floor(alpha * (F.col("n_b") + F.col("n_b_")) / beta)
+    met = prefix.join(other, ["a", "e"]).where((F.col("b") < F.col("b_")) & ~(F.col("linked") & F.col("linked_")) & ~(F.col("core") & F.col("core_")) & enough)
+    return certain.union(met.select(F.col("b").alias("a"), F.col("b_").alias("b"))).distinct()
 
 
 def near_duplicates(docs: DataFrame, words: int = WORDS, percent: int = PERCENT) -> DataFrame:
     """Documents (doc_id, text) with the component that links of at least `percent` similarity put them in.
 
     Texts with equal sets are one class, which its smallest doc_id stands for; only these go on. In every bucket the
-    smallest is the centre of a star: its pairs with the rest are the candidates, so a bucket of n gives n - 1. They
-    are verified on whole sets. Buckets whose members then still lie in several components get a second star, from
-    another centre, and what those leave apart is compared pair by pair between components: so no pair of a bucket is
-    passed over, but where its two ends are connected already, and large groups of copies never give all pairs.
+    smallest is the centre of a star: its pairs with the rest are the candidates, so a bucket of n gives n - 1. Whole
+    sets say in how much each differs from its centre, and whether they link. Members of a star that aren't both linked
+    with its centre may still link with each other; those that can are found by what they differ in (see _within), so
+    no pair that shares a bucket is passed over, and no bucket gives all its pairs.
 
     Null texts and texts without words: an empty set, linked with nothing. Rows that repeat a doc_id with other texts
     share one node; no rows give no rows. Other columns are ignored. Returns doc_id, n_shingles, component_id, kept.
     """
+    small_batches(docs.sparkSession)
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     signed = written(signatures(docs, words), "signatures")
     classes = signed.where("n_shingles > 0").groupBy("digest").agg(F.min("doc_id").alias("rep"))
@@ -170,25 +252,15 @@ def near_duplicates(docs: DataFrame, words: int = WORDS, percent: int = PERCENT)
     reps = written(reps, "classes")
     sizes = reps.select("rep", "n_shingles")
     placed = reps.select("rep", F.explode("bands").alias("key"))
-
     centres = placed.groupBy("key").agg(F.min("rep").alias("a"), F.count("*").alias("n")).where("n > 1").select("key", "a")
     pairs = written(placed.join(centres, "key").where("a < rep").select("a", F.col("rep").alias("b")).distinct(), "stars")
-    links = written(_verified(pairs, docs, sizes, words, percent), "links")
-    # only buckets with several members matter from here on
-    placed = written(placed.join(centres.select("key"), "key", "left_semi"), "buckets")
-    for last in (False, True):
-        parts = components(links)
-        mixed = placed.join(parts, F.col("rep") == F.col("node"), "left").select("key", "rep", F.coalesce("component", "rep").alias("part"))
-        open_ = mixed.groupBy("key").agg(F.min("part").alias("low"), F.max("part").alias("high"), F.min_by("rep", F.xxhash64("rep", "key")).alias("centre"), F.min_by("part", F.xxhash64("rep", "key")).alias("own")).where("low < high")
-        mixed = mixed.join(open_, "key")
-        if last:
-            other = mixed.select("key", F.col("rep").alias("other"), F.col("part").alias("apart"))
-            more = mixed.select("key", "rep", "part").join(other, "key").where("rep < other AND part <> apart").select(F.col("rep").alias("a"), F.col("other").alias("b"))
-        else:
-            more = mixed.where("part <> own").select(F.least("rep", "centre").alias("a"), F.greatest("rep", "centre").alias("b"))
-        more = written(more.distinct().join(pairs, ["a", "b"], "left_anti"), "stars")
-        links = written(links.union(_verified(more, docs, sizes, words, percent)), "links")
-        pairs = pairs.union(more)
+    ends = pairs.select(F.col("a").alias("doc_id")).union(pairs.select(F.col("b").alias("doc_id"))).distinct()
+    ends = written(ends, "ends")
+    sets = written(_whole_sets(docs, ends, words).dropDuplicates(["doc_id"]), "sets")
+    measured = written(_measured(pairs, sizes, sets), "measured")
+    more = written(_within(measured, sets, percent), "within")
+    links = (100 - percent) * (F.col("n_a") + F.col("n_b")) >= (100 + percent) * F.col("apart")
+    links = measured.where(links).select("a", "b").union(_measured(more, sizes, sets).where(links).select("a", "b"))
     parts = components(links)
     found = classes.join(parts, F.col("rep") == F.col("node"), "left").select("digest", F.coalesce("component", "rep").alias("component_id"))
     out = signed.join(found, "digest", "left").select("doc_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id"))
