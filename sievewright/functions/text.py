@@ -73,7 +73,7 @@ def estimated_tokens(text: Column) -> Column:
 def compact(text: Column, limit: int = 180) -> Column:
     """White space collapsed, cut to `limit` characters with an ellipsis."""
     flat = F.regexp_replace(clean(text), SPACE, " ")
-    return F.when(F.length(flat) > limit, F.concat(F.left(flat, F.lit(limit - 1)), F.lit("…"))).otherwise(flat)
+    return F.when(F.length(flat) > limit, F.concat(F.left(flat, F.lit(limit)), F.lit("…"))).otherwise(flat)
 
 
 def distinct_texts(values: Column, cap: int = 50) -> Column:
