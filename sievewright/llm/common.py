@@ -49,6 +49,18 @@ def small_batches(spark: SparkSession) -> None:
             spark.conf.set(key, value)
 
 
+def tidy() -> None:
+    """Give what a Python worker no longer holds back to the system: workers outlive their tasks, beside each other."""
+    import ctypes
+
+    import pyarrow as pa
+
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim is not None:
+        trim(0)
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 

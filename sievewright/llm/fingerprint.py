@@ -11,6 +11,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .common import small_batches, tidy
+
 #: Bytes of a window, windows of a neighbourhood, neighbourhoods that must agree on a window to make it a feature.
 WINDOW, AROUND, VOTES = 32, 32, 8
 #: A text of fewer than SMALL bytes has too few windows to rank: all its windows of TINY bytes are features.
@@ -210,6 +212,7 @@ def _followed(docs: DataFrame, cells: int = 1 << 14) -> DataFrame:
     each shuffle partition; the driver sees one row for each of at most `cells` cells. The text is shuffled once.
     """
     spark = docs.sparkSession
+    small_batches(spark)
     low, high = docs.agg(F.min("doc_id"), F.max("doc_id")).first()
     width = max(1.0, (float(high or 0) - float(low or 0)) / cells)
     cell = F.coalesce(F.least(F.floor((F.col("doc_id").cast("double") - F.lit(float(low or 0))) / width), F.lit(cells - 1)).cast("int"), F.lit(cells))
@@ -280,6 +283,7 @@ def compare_edits(docs: DataFrame) -> DataFrame:
                 held, size = [row], len(row[1] or "")
         if len(held) > 1:
             yield done(held)
+        tidy()
 
     schema = pa.schema([("doc_id", {"bigint": pa.int64(), "int": pa.int32(), "string": pa.string()}[kind])])
     names = [c.split()[0] for c in _OUT.format(kind).split(", ")]

@@ -11,7 +11,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import held_out
+from .common import held_out, small_batches, tidy
 
 #: Labelled rows of a language that a fit takes at most (about: rows are drawn by a hash of their id).
 MAX_TRAINING_ROWS = 5_000
@@ -98,6 +98,7 @@ def learn(docs: DataFrame, most: int = MAX_TRAINING_ROWS) -> Mixture:
     Partitions count into the fixed buckets and only those sums are shuffled; the driver gets as many numbers as
     languages times buckets, whatever the corpus.
     """
+    small_batches(docs.sparkSession)
     known = docs.where(F.col("text").isNotNull() & F.col("lang").isNotNull())
     sizes = {r["lang"]: r["n"] for r in known.groupBy("lang").agg(F.count("*").alias("n")).collect()}
     languages = sorted(sizes)
@@ -137,6 +138,7 @@ def identify(docs: DataFrame, model: Mixture, keep_text: bool = False) -> DataFr
     are kept, but those that clash with the three.
     """
     spark = docs.sparkSession
+    small_batches(spark)
     shared = spark.sparkContext.broadcast(model)
     added = ["lang_pred", "score", "languages"]
     keep = [c for c in docs.columns if c not in added and (keep_text or c != "text")]
@@ -149,6 +151,7 @@ def identify(docs: DataFrame, model: Mixture, keep_text: bool = False) -> DataFr
                 *(batch.column(c) for c in keep), pa.array([x[0] for x in out], pa.string()), pa.array([x[1] for x in out], pa.float64()),
                 pa.array([[{"lang": k, "share": s} for k, s in x[2]] for x in out], kinds),
             ], names=[*keep, *added])
+        tidy()
 
     fields = ", ".join(f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in keep)
     return docs.select(*dict.fromkeys([*keep, "text"])).mapInArrow(run, f"{fields}{', ' if fields else ''}lang_pred string, score double, languages array<struct<lang: string, share: double>>")

@@ -11,7 +11,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import components, written
+from .common import components, small_batches, tidy, written
 
 #: Cosine of a link, tables, cells beside its own that a vector stands in, stretch of the unit sphere before decoding.
 #: A pair at the threshold shares a cell of one table with probability 0.98, so all three miss it once in 200,000.
@@ -158,6 +158,7 @@ def near_duplicates(vectors: DataFrame, threshold: float = THRESHOLD, tables: in
     no rows. Other columns are ignored. Returns vec_id, n_links, component_id, kept.
     """
     spark = vectors.sparkSession
+    small_batches(spark)
     kind = vectors.schema["label"].dataType.simpleString()
     vectors = vectors.select(F.col("vec_id").cast("long").alias("vec_id"), "embedding", "label")
     digests = written(vectors.mapInArrow(_digests, "vec_id long, digest binary"), "digests")
@@ -229,6 +230,7 @@ def near_duplicates(vectors: DataFrame, threshold: float = THRESHOLD, tables: in
                 held.append(table)
         if held:
             yield from done(pa.concat_tables(held))
+        tidy()
 
     linked = written(met.select("cell", "low", "high", "block", "vec_id", "weight", "unit", "cells").mapInArrow(link, "vec_id long, links long, tree long"), "links")
     counts = linked.groupBy("vec_id").agg(F.sum("links").alias("links")).withColumnRenamed("vec_id", "rep")

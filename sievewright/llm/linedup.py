@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import unrepeated, written
+from .common import small_batches, tidy, unrepeated, written
 
 #: Words from which a repeated run of lines goes.
 MIN_WORDS = 50
@@ -47,6 +47,7 @@ def _lines(docs: DataFrame, least: int) -> DataFrame:
                 place = np.concatenate([np.arange(n, dtype=np.int64) for n in counts])
                 columns = [np.repeat(x[a : a + 500], counts) for x in (ids, versions)] + [place, h[:, 0].copy(), h[:, 1].copy(), np.concatenate(ahead), np.concatenate(back)]
                 yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in columns], names=["doc", "version", "place", "h1", "h2", "ahead", "back"])
+        tidy()
 
     return docs.mapInArrow(run, "doc long, version long, place long, h1 long, h2 long, ahead long, back long")
 
@@ -120,6 +121,7 @@ def dedup(docs: DataFrame, least: int = MIN_WORDS) -> DataFrame:
     No rows: no rows. Other columns are kept, but ones named n_lines or n_deleted. Text is shuffled once, to meet its
     document's windows, unless those are few enough for Spark to broadcast.
     """
+    small_batches(docs.sparkSession)
     keyed = _keyed(docs)
     lines = keyed.select(F.col("__doc").alias("doc"), F.col("__version").alias("version"), "text").where("text IS NOT NULL")
     # rows that repeat a document would be copies of themselves
@@ -149,6 +151,7 @@ def dedup(docs: DataFrame, least: int = MIN_WORDS) -> DataFrame:
                 was, i = batch.column("n_chars").to_pylist(), keep.index("n_chars")
                 columns[i] = pa.array([len(t) if g else n for t, g, n in zip(texts, gone, was)], columns[i].type)
             yield pa.RecordBatch.from_arrays([*columns, pa.array(total, pa.int64()), pa.array(gone, pa.int64())], names=[*keep, "n_lines", "n_deleted"])
+        tidy()
 
     fields = ", ".join(f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in keep)
     return joined.mapInArrow(run, f"{fields}, n_lines long, n_deleted long")

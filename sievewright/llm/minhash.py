@@ -10,7 +10,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import components, small_batches, written
+from .common import components, small_batches, tidy, written
 
 #: Words of a shingle and least similarity in percent of a link, where nothing else is asked for.
 WORDS, PERCENT = 5, 80
@@ -124,6 +124,7 @@ def signatures(docs: DataFrame, words: int) -> DataFrame:
                 digest = [xxhash.xxh3_128_digest(sets[e - n : e].tobytes()) if n else None for e, n in zip(ends.tolist(), sizes.tolist())]
                 keys = pa.ListArray.from_arrays(pa.array(np.arange(0, (len(ends) + 1) * BANDS, BANDS), pa.int32()), pa.array(band_keys(sets, ends).ravel()))
                 yield pa.RecordBatch.from_arrays([batch.column("doc_id").slice(a, b - a), pa.array(sizes.astype(np.int64)), pa.array(digest, pa.binary()), keys], names=["doc_id", "n_shingles", "digest", "bands"])
+        tidy()
 
     return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, n_shingles long, digest binary, bands array<long>")
 
@@ -154,6 +155,7 @@ def _whole_sets(docs: DataFrame, ids: DataFrame, words: int) -> DataFrame:
             for a, b in _blocks(batch.column("text")):
                 sets, ends = shingle_sets(batch.column("text").take(pa.array(np.arange(a, b))), words)
                 yield pa.RecordBatch.from_arrays([batch.column("doc_id").slice(a, b - a), pa.ListArray.from_arrays(pa.array(np.append(0, ends), pa.int32()), pa.array(sets.view(np.int64)))], names=["doc_id", "shingles"])
+        tidy()
 
     sets = docs.where("doc_id IS NOT NULL").select("doc_id", "text", slot.alias("slot")).mapInArrow(run, "doc_id long, shingles array<long>")
     return sets if bits is None else sets.join(ids, "doc_id", "left_semi")

@@ -11,7 +11,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import held_out, written
+from .common import held_out, small_batches, tidy, written
 
 #: Labelled rows that a fit takes at most (about: rows are drawn by a hash of their id).
 MAX_TRAINING_ROWS = 50_000
@@ -60,6 +60,7 @@ def document_statistics(docs: DataFrame) -> DataFrame:
         for batch in batches:
             out = [statistics(t or "") for t in batch.column("text").to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(out, pa.list_(pa.int64()))], names=["doc_id", "statistics"])
+        tidy()
 
     return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, statistics array<long>")
 
@@ -121,6 +122,7 @@ def classify(docs: DataFrame, labels: DataFrame, label: str = "quality", thresho
     largest does. Repeated documents are rows each. No rows: no rows. Other columns of either table are ignored.
     Returns doc_id, held_out, score, predicted.
     """
+    small_batches(docs.sparkSession)
     stats = written(document_statistics(docs), "statistics")
     known = labels.where(F.col(label).isin(0, 1)).groupBy("doc_id").agg(F.max(label).alias("label"))
     known = known.where(~held_out(F.col("doc_id"), folds, fold))
