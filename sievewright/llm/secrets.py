@@ -93,16 +93,18 @@ class Ledger:
         todo = hashed.groupBy("__blob").agg(F.min("__row").alias("__row"))
         seen = self.scanned()
         if seen is None:
-            todo = todo.withColumn("__todo", names)
+            # not a constant: else the optimizer scans every row before the join instead of each blob after it
+            todo = todo.withColumn("__todo", F.when(F.col("__row").isNotNull(), names))
         else:
             seen = seen.groupBy("blob").agg(F.array_distinct(F.flatten(F.collect_set("rules"))).alias("__seen"))
             todo = todo.join(seen, todo["__blob"] == seen["blob"], "left").drop("blob")
             todo = todo.withColumn("__todo", F.array_except(names, F.coalesce("__seen", F.array().cast("array<string>")))).where(F.size("__todo") > 0).drop("__seen")
         texts = versions.select(F.coalesce(F.col(text), F.lit("")).alias("__text"), blob.alias("__blob"), row.alias("__row")).join(todo, ["__blob", "__row"])
         found = F.array(*[F.struct(F.lit(r.kind).alias("kind"), F.lit(r.name).alias("rule"), F.when(F.array_contains("__todo", r.name), _pieces(F.col("__text"), r)).alias("pieces")) for r in rules])
-        found = texts.select("__blob", F.filter(found, lambda x: x["pieces"].isNotNull()).alias("kinds")).where(F.size("kinds") > 0)
+        # the outer form, else the optimizer would scan once more for a filter
+        found = texts.select(F.col("__blob").alias("blob"), F.explode_outer(F.filter(found, lambda x: x["pieces"].isNotNull())).alias("k")).where("k.rule IS NOT NULL")
         # several rows of one version may stand for the blob; any of them will do
-        found = found.dropDuplicates(["__blob"]).select(F.col("__blob").alias("blob"), F.explode("kinds").alias("k")).select("blob", "k.kind", "k.rule", F.posexplode("k.pieces").alias("i", "p"))
+        found = found.select("blob", "k.kind", "k.rule", "k.pieces").dropDuplicates(["blob", "rule"]).select("blob", "kind", "rule", F.posexplode("pieces").alias("i", "p"))
         upto = Window.partitionBy("blob", "rule").orderBy("i").rowsBetween(Window.unboundedPreceding, 0)
         end = F.sum((F.col("p.gap") + F.col("p.n")).cast("long")).over(upto)
         found = found.withColumn("end", end).where("p.counts").select("blob", "kind", "rule", (F.col("end") - F.col("p.n")).alias("start"), "end")
