@@ -2,19 +2,38 @@
 
 from __future__ import annotations
 
+import re
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.text import clean, coverage, estimated_tokens, fingerprint, identity_text, locator_id, query_terms, trust
+from ..functions.text import QUERY_STOP_WORDS, coverage, estimated_tokens, fingerprint, identity_text, locator_id, query_terms, trust
 from ..operators import budget, candidates, findings, graph, packets, recall
 
-# Names under which a handoff may carry a field.
+# Names under which a handoff may carry a field, the fields whose items are a set, and what claims of
+# certain kinds are tested by: (requirement, mode, terms of the claim, pattern to look for).
 HANDOFF_ALIASES = {
-    "findings": ("findings", "evidence", "facts"), "decisions": ("decisions", "conclusions"), "open_questions": ("open_questions", "questions", "unknowns"), "next_actions": ("next_actions", "actions", "todo"),
-    "constraints": ("constraints", "limits"), "artifacts": ("artifacts", "files"),
+    "summary": ("summary", "result", "conclusion"), "decisions": ("decisions", "decision"), "evidence": ("evidence", "findings", "facts"), "targets": ("targets", "symbols", "files", "relevant_files"),
+    "constraints": ("constraints", "requirements", "guardrails"), "open_questions": ("open_questions", "questions", "unknowns", "unresolved"), "changed_files": ("changed_files", "changes", "modified_files"),
+    "tests": ("tests", "test_results", "verification"), "risks": ("risks", "warnings", "concerns"),
 }
+CLAIM_RULES = (
+    ("responsive-variants", "counter-context", ("desktop", "mobile", "responsive", "breakpoint", "bottom sheet", "dialog", "sheet", "桌面", "手機", "行動", "響應", "斷點", "底部", "彈窗"),
+     r"(?:^|[^A-Za-z0-9_])(?:sm|md|lg|xl|2xl):|@media|matchMedia|useMediaQuery|innerWidth"),
+    ("responsive-base", "context", ("desktop", "mobile", "responsive", "breakpoint", "bottom sheet", "dialog", "sheet", "桌面", "手機", "行動", "響應", "斷點", "底部", "彈窗"),
+     r"bottom-0|inset-0|m-auto|hidden|flex|grid|max-w-|max-h-"),
+    ("motion-contract", "context", ("motion", "animation", "animate", "spring", "transition", "reduced motion", "reduced-motion", "動效", "動畫", "彈簧"),
+     r"prefers-reduced-motion|useReducedMotion|get(?:Modal|Sheet|Overlay)Motion|getOverlayTransition|SPRING_[A-Z_]+|transition\s*[:=]"),
+    ("translation-consumer", "support-if-match", ("i18n", "localiz", "translation", "translated", "language", "locale", "翻譯", "多語", "語系", "本地化"), r"\bt\s*\(|i18n\.|useTranslation\s*\("),
+    ("hardcoded-visible-copy", "challenge-if-match", ("i18n", "localiz", "translation", "translated", "language", "locale", "翻譯", "多語", "語系", "本地化"),
+     r"(?:['\"`][^'\"`\n]*[一-鿿]{2,}[^'\"`\n]*['\"`]|>[^<\n]*[一-鿿]{2,}[^<\n]*<)"),
+    ("accessibility-contract", "context", ("accessibility", "a11y", "keyboard", "focus", "escape", "aria", "tab", "無障礙", "鍵盤", "焦點"), r"role=|aria-|tabIndex|onKeyDown|Escape|ArrowLeft|ArrowRight|Home|End|\.focus\s*\("),
+    ("persistence-contract", "context", ("persist", "persistence", "saved", "save", "reload", "storage", "dark mode", "theme", "保存", "持久", "重載", "深色"),
+     r"\bpersist\s*\(|localStorage|sessionStorage|partialize|rehydrat|storage|setItem\s*\(|getItem\s*\("),
+)
+USAGE_TERMS = (" uses ", " using ", " calls ", " invokes ", " applies ", " imports ", "使用", "呼叫", "套用", "引用")
+DEPENDENCY_TERMS = ("caller", "callee", "depends", "dependency", "imports", "imported", "calls", "呼叫者", "依賴", "匯入")
 
 
 @dataclass
@@ -92,7 +111,7 @@ def recall_context(places: DataFrame, files: DataFrame, query: str, active: Data
         seeds = active.join(places.select("id", "path"), "id").select(F.col("path").alias("node")).distinct()
         near = graph.neighbourhood(edges, seeds, 1).select(F.col("node").alias("path"), F.lit(True).alias("neighbour"))
         known = known.join(near, "path", "left").fillna(False, ["neighbour"])
-    hits = recall.grep(recall.lines_of(files), pattern or "(?i)" + "|".join(map(_escape, query.split()[:8])))
+    hits = recall.grep(recall.lines_of(files), pattern or "(?i)" + "|".join(map(re.escape, query.split()[:8])))
     rows = recall.pruned(recall.with_hits(recall.scored(known, query), hits)).orderBy(F.desc("score"), "path", "symbol").limit(4 * top)
     text = files.select("path", F.split("content", "\n").alias("__lines"))
     body = F.when(F.col("kind") == "symbol", F.array_join(F.slice("__lines", F.greatest(F.lit(1), F.col("start_line")), F.greatest(F.lit(1), F.col("end_line") - F.col("start_line") + 1)), "\n"))
@@ -102,31 +121,29 @@ def recall_context(places: DataFrame, files: DataFrame, query: str, active: Data
     return rows.join(taken, "place").drop("pack")
 
 
-def _escape(word: str) -> str:
-    import re
-
-    return re.escape(word)
-
-
 def claim_requirements(claim: str) -> list[tuple[str, str, str]]:
-    """What to look for to test a claim: (id, mode, pattern). Claims of absence are challenged by matches, claims that
-    something is done, called or used by the lack of them; other words give context."""
-    import re
-
-    names = list(dict.fromkeys(re.findall(r"[A-Za-z_][A-Za-z0-9_]*[A-Z_][A-Za-z0-9_]*|`[^`]+`", claim)))[:3]
-    names = [n.strip("`") for n in names]
-    low, out = claim.lower(), []
-    denies = bool(re.search(r"\b(?:no|not|never|without|none|missing|lacks?)\b", low))
-    for n in names:
-        call = re.escape(n) + r"\s*\("
-        used = re.search(r"\b(?:calls?|uses?|invokes?|applies)\b", low)
-        out.append(("challenge-if-match" if denies else "challenge-if-no-match" if used else "support-if-match", call if used else r"\b" + re.escape(n) + r"\b"))
-    if re.search(r"\b(?:all|every|each|only|always)\b", low):
-        out += [("counter-context", r"(?i)\b(?:except|unless|otherwise|fallback|legacy|override)\b")]
+    """What to look for to test a claim: (id, mode, pattern), ten at most. Rules by kind of claim come first; what is
+    said to be used must be called; without any rule, the claim's own words give context."""
+    if not claim.strip():
+        raise ValueError("a claim needs text")
+    low, out = f" {claim.lower()} ", []
+    names = list(dict.fromkeys(n.strip("`") for n in re.findall(r"`[^`]+`|\b[A-Za-z]+(?:_[A-Za-z0-9]+)+\b|\b[a-z]+[A-Z][A-Za-z0-9]*\b|\b[A-Z][a-z0-9]+[A-Z][A-Za-z0-9]*\b", claim)))[:3]
+    has = lambda terms: any(t in low for t in terms)
+    for name, mode, terms, pattern in CLAIM_RULES[:3]:
+        if has(terms):
+            out.append((name, mode, pattern))
+    if has(USAGE_TERMS):
+        out += [(f"runtime-usage-{i}", "challenge-if-no-match", rf"\b{re.escape(n)}\s*\(") for i, n in enumerate(names[-2:], 1)]
+    for name, mode, terms, pattern in CLAIM_RULES[3:]:
+        if has(terms):
+            out.append((name, mode, pattern))
+    if has(DEPENDENCY_TERMS) and names:
+        out.append(("dependency-reference", "context", rf"\b{re.escape(names[0])}\b"))
     if not out:
-        words = [w for w in re.findall(r"[A-Za-z0-9_]{4,}", claim)][:4]
-        out = [("context", r"(?i)\b" + re.escape(w) + r"\b") for w in words] or [("context", re.escape(claim.strip()[:80]) or "$^")]
-    return [(f"req-{i:02d}", mode, pattern) for i, (mode, pattern) in enumerate(dict.fromkeys(out), 1)][:10]
+        words = [w for w in re.findall(r"[A-Za-z0-9_.-]{3,}|[一-鿿]{1,8}", claim.lower()) if w not in QUERY_STOP_WORDS][:8]
+        out = [("claim-context", "context", "(?i)" + "|".join(map(re.escape, words)))] if words else []
+    seen: set[str] = set()
+    return [x for x in out if not (x[2] in seen or seen.add(x[2]))][:10]
 
 
 def claim_recall(claim: str, texts: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -144,15 +161,20 @@ def trim_observations(observations: DataFrame, limit: int) -> DataFrame:
 
 
 def handoff(rows: DataFrame, most_items: int = 12, most_chars: int = 1600) -> DataFrame:
-    """Handoff payloads, arrays of texts under any of their names, as one column for each field: distinct, bounded."""
+    """Handoff payloads, fields under any of their names, as one column each: bounded, and items of sets once.
+
+    `summary` is text, the others are arrays of texts; columns of other names are kept.
+    """
     have = set(rows.columns)
     none = F.array().cast("array<string>")
+    short = lambda x: F.when(F.length(x) > most_chars, F.concat(F.left(x, F.lit(most_chars)), F.lit("…"))).otherwise(x)
     out = {}
     for field, names in HANDOFF_ALIASES.items():
         given = [F.col(n) for n in names if n in have]
-        values = F.coalesce(*given, none) if given else none
-        short = F.transform(values, lambda x: F.when(F.length(x) > most_chars, F.concat(F.left(x, F.lit(most_chars)), F.lit("…"))).otherwise(x))
-        out[field] = F.slice(F.array_distinct(F.filter(F.transform(short, clean), lambda x: x != "")), 1, most_items)
+        if field == "summary":
+            out[field] = short(F.coalesce(*given)) if given else F.lit(None).cast("string")
+        else:
+            out[field] = F.transform(F.slice(F.array_distinct(F.coalesce(*given, none) if given else none), 1, most_items), short)
     return rows.select(*[c for c in rows.columns if not any(c in n for n in HANDOFF_ALIASES.values())], *[v.alias(k) for k, v in out.items()])
 
 

@@ -62,19 +62,22 @@ def test_repository_to_context(spark, tmp_path):
 
 
 def test_claims(spark, tmp_path):
-    texts = spark.createDataFrame([("a.tsx", "import { motionSafe } from './m'\n"), ("b.ts", "motionSafe('x')\n// fallback")], "path string, text string")
-    seen, status = pipelines.claim_recall("Every panel uses motionSafe", texts.where("path = 'a.tsx'"))
-    assert {r.status for r in seen.collect()} == {"challenge-signal", "checked-no-match"} and status.first().status == "challenged"
-    seen, status = pipelines.claim_recall("Every panel uses motionSafe", texts)
-    assert status.first().counter == 1 and status.first().challenge == 0
-    assert pipelines.claim_requirements("plain words here")[0][1] == "context" and pipelines.claim_requirements("")
+    texts = spark.createDataFrame([("a.tsx", "import { getSheet } from './m'\n<p>中文字</p>\n"), ("b.ts", "getSheet('x')\n@media screen")], "path string, text string")
+    claim = "The mobile panel uses getSheet"
+    seen, status = pipelines.claim_recall(claim, texts.where("path = 'a.tsx'"))
+    assert {r.requirement_id: r.status for r in seen.collect()} == {"responsive-variants": "checked-no-match", "responsive-base": "checked-no-match", "runtime-usage-1": "challenge-signal"}
+    assert status.first().status == "challenged"
+    seen, status = pipelines.claim_recall(claim, texts)
+    assert (status.first().counter, status.first().challenge) == (1, 0)
+    assert pipelines.claim_recall("All copy is fully localized", texts)[1].first().status == "challenged"
+    assert pipelines.claim_requirements("plain words here") == [("claim-context", "context", "(?i)plain|words|here")]
     assert pipelines.trim_observations(seen, 1).count() >= 1
 
 
 def test_handoff_ledger_and_cases(spark):
-    rows = spark.createDataFrame([("r", ["a ", "a", "b" * 5], None, ["q"])], "role string, facts array<string>, todo array<string>, unknowns array<string>")
+    rows = spark.createDataFrame([("r", "done all", ["a", "a", "b" * 5], None, ["q"])], "role string, result string, facts array<string>, warnings array<string>, unknowns array<string>")
     out = pipelines.handoff(rows, most_chars=3).first()
-    assert (out.role, out.findings, out.next_actions, out.open_questions) == ("r", ["a", "bbb…"], [], ["q"])
+    assert (out.role, out.summary, out.evidence, out.risks, out.open_questions) == ("r", "don…", ["a", "bbb…"], [], ["q"])
     ledger = spark.createDataFrame([("a", "1", "x"), ("b", "1", "line\n" * 60)], "key string, fingerprint string, content string")
     now = spark.createDataFrame([("a", "1", "x"), ("b", "2", "line\n" * 59 + "new\n"), ("c", "1", "z")], "key string, fingerprint string, content string")
     assert {r.key: r.delivery for r in pipelines.symbol_with_ledger(now, ledger).collect()} == {"a": "omit", "b": "delta", "c": "full"}
