@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .budget import largest_remainder
+
 # Terms, points and levels of the rules.
 COMPLEXITY = (
     ("multi-file", 1, ("multiple files", "across the repo", "across repository", "many files", "多個檔案", "整個專案")),
@@ -159,6 +161,48 @@ def fan_out(coverage: Column, unresolved: Column, used: Column, most: int = 4, a
     return F.when((covered >= 0.85) | (unresolved <= 0) | (left <= 0), 0).otherwise(F.least(F.lit(at_once), left, F.greatest(F.lit(1), unresolved)))
 
 
+# Weights of roles when a budget is shared, and the nodes of each level's plan.
+ROLE_WEIGHTS = {"sorter": 0.35, "planner": 1.2, "researcher": 0.75, "worker": 1.7, "implementer": 1.7, "tester": 0.85, "verifier": 0.8, "grader": 0.9, "reviewer": 0.9, "security-reviewer": 1.0, "integrator": 0.8}
+PLANS = {
+    "focused": (("work", "worker", ()), ("grade", "grader", ("work",))),
+    "complex": (("plan", "planner", ()), ("research", "researcher", ("plan",)), ("implement", "implementer", ("plan", "research")), ("test", "tester", ("implement",)), ("grade", "grader", ("test",))),
+    "autonomous": (
+        ("plan", "planner", ()), ("research-a", "researcher", ("plan",)), ("research-b", "researcher", ("plan",)), ("implement", "implementer", ("plan", "research-a", "research-b")),
+        ("test", "tester", ("implement",)), ("grade", "grader", ("test",)), ("finalize", "integrator", ("grade",)),
+    ),
+}
+PLANS["trivial"] = PLANS["focused"]
+
+
+def schedule(spark: SparkSession, level: str, security: bool = False) -> tuple[DataFrame, DataFrame]:
+    """Nodes(node, role) and needs(node, on) of a level's plan; a security review joins it where one is called for."""
+    nodes, needs = [(n, r) for n, r, _ in PLANS[level]], [(n, o) for n, _, on in PLANS[level] for o in on]
+    if security and level in ("complex", "autonomous"):
+        nodes.append(("security", "security-reviewer"))
+        needs += [("security", "implement"), ("grade", "security")]
+    return spark.createDataFrame(nodes, "node string, role string"), spark.createDataFrame(needs, "node string, on string")
+
+
+def lane_budgets(nodes: DataFrame, context: int = 12_000, output: int = 4_000) -> DataFrame:
+    """Shares of the budgets for each node of a plan, by its role's weight; the shares add up to the budgets."""
+    weights = F.create_map(*[x for k, v in ROLE_WEIGHTS.items() for x in (F.lit(k), F.lit(v))])
+    rows = nodes.withColumns({"plan": F.lit(0), "weight": F.coalesce(F.try_element_at(weights, F.col("role")), F.lit(1.0))})
+    rows = largest_remainder(rows, ["plan"], "node", "weight", F.lit(context)).withColumnRenamed("allocated", "context_tokens")
+    return largest_remainder(rows, ["plan"], "node", "weight", F.lit(output)).withColumnRenamed("allocated", "output_tokens").drop("plan", "weight")
+
+
+def thin_lane_budgets(lanes: DataFrame, mode: str) -> DataFrame:
+    """Context budgets when graders only verify and integrators only join: what they leave goes to the others."""
+    total = lanes.agg(F.sum("context_tokens")).first()[0] or 0
+    graders = lanes.where("role = 'grader'").count()
+    share = 0 if mode == "direct" or not graders else round(total * (0.12 if mode == "light" else 0.10))
+    weights = F.create_map(*[x for k, v in ROLE_WEIGHTS.items() for x in (F.lit(k), F.lit(v))])
+    part = F.when(F.col("role") == "grader", "grader").when(F.col("role") == "integrator", "integrator").otherwise("evidence")
+    rows = lanes.drop("context_tokens").withColumn("part", part).withColumn("weight", F.when(F.col("part") == "grader", 1.0).otherwise(F.coalesce(F.try_element_at(weights, F.col("role")), F.lit(1.0))))
+    pot = F.when(F.col("part") == "grader", share).when(F.col("part") == "integrator", 0).otherwise(total - share)
+    return largest_remainder(rows, ["part"], "node", "weight", pot).withColumnRenamed("allocated", "context_tokens").drop("part", "weight")
+
+
 def projections(scenarios: DataFrame) -> DataFrame:
     """Scenarios in each reduction mode: whether it is eligible, and what it would cost. Halves are rounded to even."""
     half = lambda c: F.bround(c, 0).cast("long")

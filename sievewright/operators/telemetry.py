@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.text import estimated_tokens
+
 
 def summary(events: DataFrame, by: str = "run_id") -> DataFrame:
     """events(run_id, node_id, status, input_tokens, output_tokens, cost_usd, latency_ms) of workers, by run."""
@@ -59,3 +61,23 @@ def evaluate_answer(answer: Column, required: list[str], forbidden: list[str]) -
     pick = lambda terms, has: F.array_compact(F.array(*[F.when(F.contains(text, F.lit(t.lower())) == has, t) for t in terms])) if terms else F.array().cast("array<string>")
     missing, found = pick(required, False), pick(forbidden, True)
     return F.struct(missing.alias("missing"), found.alias("forbidden"), ((F.size(missing) == 0) & (F.size(found) == 0)).alias("passed"))
+
+
+def reported_usage(reported_in: Column, reported_out: Column, request: Column, payload: Column) -> Column:
+    """Struct of a call's tokens: as reported where that is a number from 0 on, else estimated from the text."""
+    told = lambda c: c.isNotNull() & (c >= 0)
+    source = lambda c: F.when(told(c), "provider-reported").otherwise("estimated")
+    a, b = F.when(told(reported_in), reported_in).otherwise(estimated_tokens(request)), F.when(told(reported_out), reported_out).otherwise(estimated_tokens(payload))
+    return F.struct(a.alias("input_tokens"), b.alias("output_tokens"), (a + b).alias("total_tokens"), source(reported_in).alias("input_tokens_source"), source(reported_out).alias("output_tokens_source"))
+
+
+def planes(data: Column, whole: Column) -> Column:
+    """Struct of a request's tokens that carry data, and those that carry control; never below 0."""
+    d, w = estimated_tokens(data), estimated_tokens(whole)
+    return F.struct(F.least(d, w).alias("data_plane"), F.greatest(F.lit(0), w - d).alias("control_plane"), w.alias("total"))
+
+
+def ratios(valid: Column, duplicates: Column, output: Column, contradictions: Column) -> Column:
+    """Struct of the shares of duplicates and contradictions of a reduction, at most 1."""
+    share = lambda a, b: F.least(F.lit(1.0), a / F.greatest(F.lit(1), b))
+    return F.struct(share(duplicates, valid).alias("duplicate_ratio"), share(contradictions, output).alias("conflict_ratio"))
