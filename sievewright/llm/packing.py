@@ -15,11 +15,11 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import written
+from .common import small_batches, tidy, written
 
 #: Tokens in a sequence, largest piece that shares one, the id that ends a document, pieces that are packed together,
 #: words kept by a worker.
-CAPACITY, SHARE, END, GROUP, KEPT_WORDS = 4096, 1024, 2, 2048, 400_000
+CAPACITY, SHARE, END, GROUP, KEPT_WORDS = 4096, 1024, 2, 2048, 200_000
 TEXT_BYTES = 8 << 20
 
 
@@ -85,22 +85,27 @@ class Words:
         every = words.dictionary.to_pylist()
         known = self.known
         codes = np.fromiter(map(known.get, every, repeat(-1)), np.int64, len(every))
-        kept, used, new = len(known), self.used, ()
-        unknown = np.flatnonzero(codes < 0)
+        rare, unknown = (), np.flatnonzero(codes < 0)
         if len(unknown):
-            new = [every[i] for i in unknown.tolist()]
-            self._learn(new)
-            codes[unknown] = [known[w] for w in new]
+            # as many stay as there is room for, frequent ones first; the others go again after this batch
+            often = np.bincount(words.indices.to_numpy(), minlength=len(every))[unknown]
+            new = [every[i] for i in unknown[np.argsort(-often, kind="stable")].tolist()]
+            room = max(0, KEPT_WORDS - len(known))
+            rare = new[room:]
+            self._learn(new[:room])
+        kept, used = len(known), self.used
+        if len(unknown):
+            self._learn(rare)
+            codes[unknown] = [known[every[i]] for i in unknown.tolist()]
         codes = codes[words.indices.to_numpy()]
         lengths = self.length[codes]
         upto = np.concatenate([[0], np.cumsum(lengths)])
         flat = self.flat[np.repeat(self.start[codes] - upto[:-1], lengths) + np.arange(upto[-1])]
         cut = upto[np.concatenate([[0], ends])]
-        if len(known) > KEPT_WORDS:  # full: what this batch has added goes again
-            for w in new:
-                del known[w]
-            assert len(known) == kept
-            self.used = used
+        for w in rare:
+            del known[w]
+        assert len(known) == kept
+        self.used = used
         return [flat[a:b] for a, b in zip(cut, cut[1:])]
 
 
@@ -133,14 +138,27 @@ def _batches(texts: list[str]) -> Iterator[tuple[int, int]]:
         yield begin, len(texts)
 
 
+def _joined(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Table]:
+    """Batches, joined until they have about TEXT_BYTES: the more words at once, the fewer look-ups."""
+    held, size = [], 0
+    for batch in batches:
+        held.append(batch)
+        size += batch.nbytes
+        if size >= TEXT_BYTES:
+            yield pa.Table.from_batches(held).combine_chunks()
+            held, size = [], 0
+    if held:
+        yield pa.Table.from_batches(held).combine_chunks()
+
+
 def cut_pieces(docs: DataFrame, path: str, capacity: int = CAPACITY, share: int = SHARE, end: int = END) -> DataFrame:
     """Documents (doc_id, text) as pieces: of `capacity` ids while that many are left, then of `share` ids, then the
     rest: doc_id, start, length, ids_crc32, doc_tokens. The ids themselves never leave the worker."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words = _words.get(path) or _words.setdefault(path, Words(path))
-        for batch in batches:
-            doc_ids, texts = batch.column("doc_id"), [t or "" for t in batch.column("text").to_pylist()]
+        for batch in _joined(batches):
+            doc_ids, texts = batch.column("doc_id").combine_chunks(), [t or "" for t in batch.column("text").to_pylist()]
             for a, b in _batches(texts):
                 row, start, length, crc, total = [], [], [], [], []
                 for i, ids in enumerate(words.ids(texts[a:b]), a):
@@ -150,6 +168,7 @@ def cut_pieces(docs: DataFrame, path: str, capacity: int = CAPACITY, share: int
                         piece = ids[at : at + (capacity if at < whole else share)]
                         row.append(i), start.append(at), length.append(len(piece)), crc.append(zlib.crc32(piece)), total.append(len(ids))
                 yield pa.RecordBatch.from_arrays([doc_ids.take(pa.array(row, pa.int64())), *(pa.array(x, pa.int64()) for x in (start, length, crc, total))], names=["doc_id", "start", "length", "ids_crc32", "doc_tokens"])
+        tidy()
 
     kind = docs.schema["doc_id"].dataType.simpleString()
     return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {kind}, start long, length long, ids_crc32 long, doc_tokens long")
@@ -236,6 +255,7 @@ def pack(docs: DataFrame, path: str | None = None, capacity: int = CAPACITY, sha
     Null and empty texts: a piece with `end` alone. Repeated rows: packed each. No rows: no rows. Other columns of
     docs are ignored. Piece rows are written once in the shared folder: a rerun of any task sees the same pieces.
     """
+    small_batches(docs.sparkSession)
     pieces = written(cut_pieces(docs, path or vocabulary(), capacity, share, end).withColumn("uid", F.monotonically_increasing_id()), "pieces")
     full = pieces.where(F.col("length") == capacity).select("doc_id", "start", "length", "ids_crc32", "doc_tokens", (2 * F.col("uid") + 1).alias("sequence_id"), F.lit(0).cast("long").alias("offset"))
     rest = pieces.where(F.col("length") < capacity)
