@@ -8,6 +8,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 
 _own_folder: list[str] = []
+_paths: list[str] = []
 
 
 def shared_folder(spark: SparkSession) -> str:
@@ -22,7 +23,9 @@ def shared_folder(spark: SparkSession) -> str:
 
 
 def new_path(spark: SparkSession, name: str) -> str:
-    return f"{shared_folder(spark)}/sievewright/{name}-{uuid.uuid4().hex}"
+    path = f"{shared_folder(spark)}/sievewright/{name}-{uuid.uuid4().hex}"
+    _paths.append(path)
+    return path
 
 
 def written(df: DataFrame, name: str) -> DataFrame:
@@ -32,6 +35,12 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def clear(spark: SparkSession) -> None:
+    """Delete the tables that this process has written, once nothing reads them any more."""
+    while _paths:
+        drop_path(spark, _paths.pop())
+
+
 def drop_path(spark: SparkSession, path: str) -> None:
     at = spark._jvm.org.apache.hadoop.fs.Path(path)
     at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
