@@ -2,43 +2,16 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: A word: a run of anything but space, tab, LF, VT, FF and CR.
-WORD = r"[^\x20\x09-\x0D]+"
-
-_own_folder: list[str] = []
-
-
-def shared_folder(spark: SparkSession) -> str:
-    """The folder that all executors see: spark.checkpoint.dir of the session; one of our own where that is unset."""
-    base = spark.conf.get("spark.checkpoint.dir", None)
-    if base:
-        return base.rstrip("/")
-    if not _own_folder:
-        _own_folder.append("file://" + tempfile.mkdtemp(prefix="sievewright-"))
-        spark.sparkContext.setCheckpointDir(_own_folder[0])
-    return _own_folder[0]
-
-
-def new_path(spark: SparkSession, name: str) -> str:
-    return f"{shared_folder(spark)}/sievewright/{name}-{uuid.uuid4().hex}"
+from ..operators.graph import components
+from ..tables import new_path, shared_folder, written
 
+__all__ = ["WORD", "components", "held_out", "new_path", "shared_folder", "small_batches", "tidy", "unrepeated", "word_count", "written"]
 
-def written(df: DataFrame, name: str) -> DataFrame:
-    """df, written once as a table in the shared folder and read back: it cuts lineage and outlives lost executors."""
-    path = new_path(df.sparkSession, name)
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
-
-
-def drop_path(spark: SparkSession, path: str) -> None:
-    at = spark._jvm.org.apache.hadoop.fs.Path(path)
-    at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
+#: A word: a run of anything but space, tab, LF, VT, FF and CR.
+WORD = r"[^\x20\x09-\x0D]+"
 
 
 def small_batches(spark: SparkSession) -> None:
@@ -61,10 +34,6 @@ def tidy() -> None:
         trim(0)
 
 
-def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
-
-
 def word_count(text: Column) -> Column:
     """Words in a text; 0 for null."""
     return F.coalesce(F.regexp_count(text, F.lit(WORD)), F.lit(0)).cast("long")
@@ -79,32 +48,3 @@ def unrepeated(docs: DataFrame) -> bool:
     """Whether no doc_id is repeated: a count of ids, far cheaper than dropping repeated texts."""
     rows, ids = docs.select("doc_id").groupBy("doc_id").agg(F.count("*").alias("n")).agg(F.sum("n"), F.count("*")).first()
     return rows == ids
-
-
-def components(links: DataFrame, name: str = "components") -> DataFrame:
-    """Connected components of links(a, b): rows (node, component), the component being its smallest node.
-
-    Alternates the large-star and small-star steps, each a shuffle over the edges, until an iteration changes
-    nothing; the edges of each iteration are written in the shared folder. A star's centre may have any number of
-    leaves: no step gathers a node's neighbours, each only needs their minimum. Nodes without links have no row;
-    null ends and self-links are ignored.
-    """
-    spark = links.sparkSession
-    edges = links.select(F.col("a").cast("long"), F.col("b").cast("long")).where("a <> b")
-    edges = written(edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), name)
-    while True:
-        both = edges.union(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        least = both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m"))
-        # each larger neighbour is linked to the smallest of the neighbourhood
-        large = both.where("b > a").join(least, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).where("a <> b").distinct()
-        large = written(large, name)
-        least = large.groupBy("a").agg(F.min("b").alias("m"))
-        small = large.join(least, "a").select("a", "b", "m")
-        # the smaller neighbours and the node itself are linked to the smallest
-        small = small.select(F.col("b").alias("a"), F.col("m").alias("b")).where("a <> b").union(least.select("a", F.col("m").alias("b"))).distinct()
-        edges = written(small, name)
-        rows, ends = edges.agg(F.count("*"), F.count_distinct("a")).first()
-        if rows == ends and not edges.join(edges.select(F.col("b").alias("a")).distinct(), "a", "left_semi").head(1):
-            break
-    stars = edges.groupBy("a").agg(F.min("b").alias("component"))
-    return stars.select(F.col("a").alias("node"), "component").union(stars.select(F.col("component").alias("node"), "component").distinct())

@@ -24,8 +24,9 @@ _TO_SPACE = bytes(c if chr(c).isalpha() or c >= 128 else 32 for c in range(256))
 
 
 def ngrams(text: str) -> tuple[np.ndarray, np.ndarray]:
-    """Buckets of a lower-case text's n-grams of bytes, with their counts; whatever is no letter counts as a space."""
-    raw = np.frombuffer(b" " + text.lower().encode("utf-8", "replace").translate(_TO_SPACE) + b" ", np.uint8)
+    """Buckets of a lower-case text's n-grams of bytes, with their counts; whatever is no letter counts as a
+    space, of which two stand before and after it, so that a letter alone has n-grams too."""
+    raw = np.frombuffer(b"  " + text.lower().encode("utf-8", "replace").translate(_TO_SPACE) + b"  ", np.uint8)
     if len(raw) < NGRAM:
         return np.zeros(0, np.int64), np.zeros(0)
     h = np.zeros(len(raw) - NGRAM + 1, np.uint32)

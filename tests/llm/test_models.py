@@ -63,6 +63,7 @@ def test_language_held_out_and_mixed(spark):
     lang, score, shares = model.infer(both)
     assert lang == "fr" and {k for k, _ in shares} == {"fr", "de"} and abs(score - 2 / 3) < 0.12
     assert [k for k, _ in model.infer(pure)[2]] == ["en"]
+    assert all(model.infer(t)[0] != "und" for t in ("a", "é", "1 b 2")) and model.infer("12 !?")[0] == "und"
 
 
 def test_language_odd_rows(spark):
