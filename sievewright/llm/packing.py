@@ -20,7 +20,7 @@ from .common import small_batches, tidy, written
 #: Tokens in a sequence, largest piece that shares one, the id that ends a document, pieces that are packed together,
 #: words kept by a worker.
 CAPACITY, SHARE, END, GROUP, KEPT_WORDS = 4096, 1024, 2, 2048, 200_000
-TEXT_BYTES = 8 << 20
+TEXT_BYTES = 4 << 20
 
 
 def vocabulary(name: str = "word_bpe_49k.json") -> str:
@@ -78,8 +78,9 @@ class Words:
             lengths = np.fromiter(map(len, ids), np.int64, len(ids))
             self._add(part, np.fromiter((i for x in ids for i in x), np.uint32, int(lengths.sum())), lengths)
 
-    def ids(self, texts: list[str]) -> list[np.ndarray]:
-        parts = pc.split_pattern(pa.array([_parted(t) for t in texts], pa.large_string()), " ")
+    def ids(self, texts: pa.Array | list[str]) -> list[np.ndarray]:
+        texts = pa.array(texts, pa.large_string()) if isinstance(texts, list) else texts.cast(pa.large_string())
+        parts = pc.split_pattern(_parted(texts), " ")
         ends = parts.offsets.to_numpy()[1:]
         words = parts.flatten().dictionary_encode()
         every = words.dictionary.to_pylist()
@@ -109,33 +110,47 @@ class Words:
         return [flat[a:b] for a, b in zip(cut, cut[1:])]
 
 
-#: Characters whose lower case is the same alone as in a text, in Python as for the tokenizer.
-_OTHER = re.compile("[^\x00-\u012f\u0131-\u024f]")
-#: Where a letter or digit meets a mark that isn't part of a contraction, the tokenizer always parts them.
 _LETTERS = re.compile("[a-z\u00df-\u00f6\u00f8-\u00ff]+")
-_MARK = re.compile("(?<=[0-9a-z\u00df-\u00f6\u00f8-\u00ff])[.,!?;:|%$#*&]")
+#: Bytes as they stand in a text with other white space as spaces and ASCII in lower case.
+_PLAIN = np.array([32 if c in (9, 10, 13) else c + 32 if 65 <= c <= 90 else c for c in range(256)], np.uint8)
+_WORDY = np.array([48 <= c <= 57 or 97 <= c <= 122 for c in range(256)])
+_MARK = np.array([chr(c) in ".,!?;:%$#*&" for c in range(256)])
 
 
-def _parted(text: str) -> str:
-    """A text with more spaces and other white space as spaces, but the same ids."""
-    text = text.replace("\n", " ").replace("\t", " ").replace("\r", " ")
-    if "<|" in text or not text.isascii() and _OTHER.search(text):
-        return text
-    return _MARK.sub(r" \g<0>", text.lower())
+def _parted(texts: pa.LargeStringArray) -> pa.LargeStringArray:
+    """Texts in other bytes with the same ids, but fewer different parts between spaces.
+
+    White space is spaces, capitals of ASCII and Latin-1 are small (the tokenizer makes all others small as well), and
+    where a letter or digit meets a mark that isn't part of a contraction, the tokenizer parts them anyway. Special
+    tokens count by their case: with anything like one, texts stay as they are.
+    """
+    n, at = len(texts), texts.offset
+    offsets = np.frombuffer(texts.buffers()[1], np.int64)[at : at + n + 1]
+    data = np.frombuffer(texts.buffers()[2] or b"", np.uint8)[offsets[0] : offsets[-1]]
+    offsets = offsets - offsets[0]
+    if b"<|" in data.tobytes():
+        data = np.where(_PLAIN[data] == 32, np.uint8(32), data)
+    else:
+        data = _PLAIN[data]
+        late = data[1:]
+        late[(data[:-1] == 0xC3) & (late >= 0x80) & (late <= 0x9E) & (late != 0x97)] += 0x20
+        cut = np.flatnonzero(_WORDY[data[:-1]] & _MARK[late]) + 1
+        data, offsets = np.insert(data, cut, 32), offsets + np.searchsorted(cut, offsets, side="left")
+    return pa.LargeStringArray.from_buffers(n, pa.py_buffer(np.ascontiguousarray(offsets)), pa.py_buffer(data))
 
 
 _words: dict[str, Words] = {}
 
 
-def _batches(texts: list[str]) -> Iterator[tuple[int, int]]:
+def _batches(sizes: list[int]) -> Iterator[tuple[int, int]]:
     begin = total = 0
-    for i, t in enumerate(texts):
-        total += len(t)
+    for i, n in enumerate(sizes):
+        total += n
         if total >= TEXT_BYTES:
             yield begin, i + 1
             begin, total = i + 1, 0
-    if begin < len(texts):
-        yield begin, len(texts)
+    if begin < len(sizes):
+        yield begin, len(sizes)
 
 
 def _joined(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Table]:
@@ -158,10 +173,10 @@ def cut_pieces(docs: DataFrame, path: str, capacity: int = CAPACITY, share: int
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words = _words.get(path) or _words.setdefault(path, Words(path))
         for batch in _joined(batches):
-            doc_ids, texts = batch.column("doc_id").combine_chunks(), [t or "" for t in batch.column("text").to_pylist()]
-            for a, b in _batches(texts):
+            doc_ids, texts = batch.column("doc_id").combine_chunks(), batch.column("text").combine_chunks().fill_null("").cast(pa.large_string())
+            for a, b in _batches(pc.binary_length(texts).to_pylist()):
                 row, start, length, crc, total = [], [], [], [], []
-                for i, ids in enumerate(words.ids(texts[a:b]), a):
+                for i, ids in enumerate(words.ids(texts.slice(a, b - a)), a):
                     ids = np.append(ids, np.uint32(end)).astype("<u4")
                     whole = len(ids) // capacity * capacity
                     for at in (*range(0, whole, capacity), *range(whole, len(ids), share)):
