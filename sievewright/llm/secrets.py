@@ -85,7 +85,7 @@ class Ledger:
         matches is sorted, never gathered.
         """
         blob = F.unhex(F.sha2(F.coalesce(F.col(text), F.lit("")), 256))
-        rest = [c for c in versions.columns if c != text]
+        rest = [c for c in versions.columns if c not in (text, "blob")]
         row = F.xxhash64(*[F.col(c) for c in rest]) if rest else F.lit(0).cast("long")
         hashed = versions.select(*rest, blob.alias("__blob"), row.alias("__row"))
         hashed = written(hashed, "blobs")

@@ -28,7 +28,8 @@ def brute(text):
 
 
 def test_equals_brute_force_and_sql(spark):
-    got = secrets.findings(documents(spark, ROWS).select("doc_id", "text", "source", "rank"), secrets.Ledger(spark, new_path(spark, "ledger"))).collect()
+    docs = documents(spark, ROWS).selectExpr("*", "1 AS blob", "2 AS n_hex", "'x' AS spans")
+    got = secrets.findings(docs, secrets.Ledger(spark, new_path(spark, "ledger"))).collect()
     key = lambda x: str(x)
     assert sorted(((r.doc_id, r.n_assign, r.n_access, r.n_hex, r.base_sha256) for r in got), key=key) == sorted(((i, *brute(t or "")) for i, t, *_ in ROWS), key=key)
     assert "pem:0:31" in next(r.spans for r in got if r.doc_id == 8) and "jwt:32:52" in next(r.spans for r in got if r.doc_id == 8)
