@@ -11,10 +11,13 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType
 
 from ..functions.text import claim_terms
+from ..tables import written
 from .graph import components
 
-#: Postings beyond which a term is too common to block by.
+#: Postings beyond which a term is too common to block by, where a cut-off is asked for.
 COMMON = 200
+#: Least scores for which pairs are looked for in turn, until there are enough.
+STEPS = (0.9, 0.8, 0.65, 0.5, 0.3, 0.1)
 #: Registered detectors: name to (callable of findings, threshold, most pairs -> left, right, score; description).
 PROVIDERS: dict[str, tuple[Callable[[DataFrame, float, int], DataFrame], str]] = {}
 
@@ -37,17 +40,17 @@ def jaccard(a: Column, b: Column) -> Column:
     return F.when(union > 0, F.size(F.array_intersect(a, b)) / union).otherwise(0.0)
 
 
-def blocked_pairs(findings: DataFrame, most: int) -> DataFrame:
+def blocked_pairs(findings: DataFrame, most: int, common: int = COMMON) -> DataFrame:
     """Pairs (left, right) of findings(idx, claim_text, identity) that share an identity or a term that isn't common.
 
-    A block gives bounded work: terms with more than COMMON postings are left out, and of an identity only as many
+    A block gives bounded work: terms with more than `common` postings are left out, and of an identity only as many
     members pair up as the `most` pairs to be returned can need, in order of their places.
     """
     cap = 8 * most
     of_identity = findings.where("identity IS NOT NULL").select(F.concat(F.lit("i:"), "identity").alias("block"), "idx")
     of_identity = of_identity.withColumn("n", F.row_number().over(Window.partitionBy("block").orderBy("idx"))).where(F.col("n") <= cap + 1)
     terms = findings.select(F.explode(claim_terms(F.col("claim_text"))).alias("term"), "idx")
-    rare = terms.groupBy("term").agg(F.count("*").alias("postings")).where(f"postings BETWEEN 2 AND {COMMON}")
+    rare = terms.groupBy("term").agg(F.count("*").alias("postings")).where(f"postings BETWEEN 2 AND {common}")
     of_term = terms.join(rare, "term").select(F.concat(F.lit("t:"), "term").alias("block"), "idx", F.lit(1).alias("n"))
     rows = of_identity.unionByName(of_term)
     right = rows.select("block", F.col("idx").alias("right"), F.col("n").alias("m"))
@@ -56,15 +59,140 @@ def blocked_pairs(findings: DataFrame, most: int) -> DataFrame:
     return rows.join(right, "block").where(wanted).select(F.col("idx").alias("left"), "right").distinct()
 
 
-def lexical_pairs(findings: DataFrame, threshold: float = 0.72, most: int = 500, sequence: bool = True) -> DataFrame:
-    """The `most` best candidate pairs by the larger of Jaccard and sequence similarity; equal identities always count."""
-    sides = {s: findings.select(F.col("idx").alias(s), F.col("claim_text").alias(f"{s}_text"), F.col("identity").alias(f"{s}_identity")) for s in ("left", "right")}
-    pairs = blocked_pairs(findings, most).join(sides["left"], "left").join(sides["right"], "right")
+def _near(tokens: DataFrame, forms: DataFrame, least: float, sequence: bool, shared: bool) -> DataFrame:
+    """Pairs (x, y) of forms with other terms whose score is `least` or more one way (score) or the other (back).
+
+    Found by prefix filtering on rarest tokens.
+
+    Sets of Jaccard similarity t have t of the larger in common. Matched characters are common ones, so texts of ratio t
+    have t / (2 - t) of the longer in common, each character counted as often as it stands there.
+    """
+    near = max(0.0, least - 1e-6)  # scores are rounded
+    share = F.when(F.col("kind") == "term", near).otherwise(near / (2 - near))
+    held = tokens.where(F.col("nth") <= F.col("size") - F.ceil(share * F.col("size") - 1e-9) + 1).select("kind", "within", "token", "x", "size", share.alias("share"))
+    other = held.select("kind", "within", "token", F.col("x").alias("y"), F.col("size").alias("size_"))
+    fit = F.least("size", "size_") >= F.col("share") * F.greatest("size", "size_") - 1e-9
+    met = held.join(other, ["kind", "within", "token"]).where((F.col("x") < F.col("y")) & fit).select("x", "y").distinct()
+    for c in "xy":
+        met = met.join(forms.select(F.col("x").alias(c), F.col("form").alias(f"form_{c}"), F.col("terms").alias(f"terms_{c}")), c)
+    met = met.where("terms_x <> terms_y OR size(terms_x) = 0")
+    if shared:
+        met = met.where(F.arrays_overlap("terms_x", "terms_y"))
+    score = back = jaccard(F.col("terms_x"), F.col("terms_y"))
+    if sequence:  # matching blocks depend on which text comes first
+        score, back = F.greatest(score, _ratio("form_x", "form_y")), F.greatest(score, _ratio("form_y", "form_x"))
+    met = met.select("x", "y", F.round(score, 6).alias("score"), F.round(back, 6).alias("back"))
+    return met.where(F.greatest("score", "back") >= least)
+
+
+def _first(members: DataFrame, met: DataFrame, counts: DataFrame, most: int) -> tuple[DataFrame, bool]:
+    """The `most` first pairs (left, right, score) by score and place of members(block, idx), and whether there are as many.
+
+    In met(a, b, score, start) members of a stand on the left of later ones of b; start is null where b, a has the same
+    score, else the first member of a. counts(score, n) says how many pairs have a score at least, or fewer. At one
+    score, each member before a left one gives an earlier pair, so `most` on the left are enough; and so are the `most`
+    on the right that come first in b, or first after start.
+    """
+    total, last = 0, -1.0
+    for r in counts.where("n > 0").orderBy(F.desc("score")).limit(most).collect():
+        total += r.n
+        if total >= most:
+            last = r.score
+            break
+    met = met.where(F.col("score") >= last)
+    place = F.row_number().over(Window.partitionBy("block").orderBy("idx"))
+    used = met.select(F.col("a").alias("block")).union(met.select("b")).distinct()
+    few = written(members.join(used, "block", "left_semi").withColumn("place", place).where(F.col("place") <= most + 1).select("block", "idx"), "members")
+    after = F.row_number().over(Window.partitionBy("a", "b").orderBy("right"))
+    even = met.where("start IS NULL").join(few.select(F.col("block").alias("b"), F.col("idx").alias("right")), "b").select("a", "score", "right")
+    uneven = met.where("start IS NOT NULL").join(members.select(F.col("block").alias("b"), F.col("idx").alias("right")), "b").where("right > start")
+    uneven = uneven.withColumn("place", after).where(F.col("place") <= most).select("a", "score", "right")
+    right = written(even.union(uneven), "right")
+    left = few.select(F.col("block").alias("a"), F.col("idx").alias("left"))
+    better, at = right.where(F.col("score") > last), right.where(F.col("score") == last)
+    starts = at.groupBy("a").agg(F.max("right").alias("end")).join(left, "a").where("left < end").select("left").distinct().orderBy("left").limit(most)
+    pairs = left.join(better, "a").union(left.join(starts, "left", "left_semi").select("a", "left").join(at, "a")).where("left < right")
+    return pairs.select("left", "right", "score").orderBy(F.desc("score"), "left", "right").limit(most), total >= most
+
+
+def best_pairs(rows: DataFrame, least: float, most: int, sequence: bool = True, shared: bool = True) -> DataFrame:
+    """The `most` best pairs of rows(idx, within, claim_text) with one `within` and a score of `least` or more, exactly.
+
+    With `shared`, of those that share a term. Rows of equal terms have score 1 and form one block, however many they
+    are; other texts are compared once each, whatever their number of rows, and from high scores down only as far as
+    needed. No term is left out for being common.
+    """
+    rows = rows.select("idx", "within", F.col("claim_text").alias("text"), F.array_sort(claim_terms(F.col("claim_text"))).alias("terms"))
+    rows = rows.withColumn("set", F.array_join("terms", " ")).withColumn("form", F.col("text") if sequence else F.col("set"))
+    forms = written(rows.groupBy("within", "form").agg(F.min("idx").alias("x"), F.count("*").alias("n"), F.first("terms").alias("terms"), F.first("set").alias("set")), "forms")
+    sets = forms.where("set <> ''").groupBy("within", "set").agg(F.min("x").alias("s"), F.sum("n").alias("n"))
+    placed = rows.select("idx", "within", "form").join(forms.select("within", "form", "set", "x"), ["within", "form"]).join(sets.select("within", "set", "s"), ["within", "set"], "left")
+    placed = written(placed.select("idx", "within", "x", "s"), "placed")
+    text = placed.select(F.concat(F.lit("x"), "x").alias("block"), "idx")
+    members = text.union(placed.where("s IS NOT NULL").select(F.concat(F.lit("s"), "s"), "idx"))
+    n_pairs, none = F.expr("n * (n - 1) div 2").alias("n"), F.lit(None).cast("long").alias("start")
+    own = lambda kind, c, score: [F.concat(F.lit(kind), c).alias("a"), F.concat(F.lit(kind), c).alias("b"), F.lit(score).alias("score"), none, n_pairs]
+    equal = sets.select(*own("s", "s", 1.0))
+    if sequence and not shared:
+        equal = equal.union(forms.where("set = '' AND form <> ''").select(*own("x", "x", 1.0)))
+    equal = equal.where("n > 0")
+    met, counts = equal.drop("n"), equal.select("score", "n")
+    out, enough = _first(members, met, counts, most)
+    if enough:
+        return out
+    words = forms.select(F.lit("term").alias("kind"), "within", "x", F.size("terms").alias("size"), F.explode("terms").alias("token"))
+    if sequence:
+        letters = forms.select("within", "x", F.length("form").alias("size"), F.explode(F.regexp_extract_all("form", F.lit("(?s)."), F.lit(0))).alias("letter"))
+        letters = letters.groupBy("within", "x", "size", "letter").count().withColumn("time", F.explode(F.sequence(F.lit(1), F.col("count").cast("int"))))
+        words = words.union(letters.select(F.lit("letter"), "within", "x", "size", F.concat("letter", F.col("time").cast("string"))))
+    often = words.groupBy("kind", "within", "token").agg(F.count("*").alias("times"))
+    nth = F.row_number().over(Window.partitionBy("kind", "x").orderBy("times", "token"))
+    tokens = written(words.join(often, ["kind", "within", "token"]).withColumn("nth", nth).drop("times"), "tokens")
+    sizes = forms.select("x", "n")
+    for t in [*[t for t in STEPS if t > least], least]:
+        near = _near(tokens, forms, t, sequence, shared).join(sizes, "x").join(sizes.select(F.col("x").alias("y"), F.col("n").alias("m")), "y")
+        near = written(near, "near")
+        x, y, odd = F.concat(F.lit("x"), "x"), F.concat(F.lit("x"), "y"), F.col("score") != F.col("back")
+        there = near.select(x.alias("a"), y.alias("b"), "score", F.when(odd, F.col("x")).alias("start"))
+        back = near.select(y.alias("a"), x.alias("b"), F.col("back").alias("score"), F.when(odd, F.col("y")).alias("start"))
+        both = there.union(back).where(F.col("score") >= t)
+        known = near.select(F.least("score", "back").alias("score"), (F.col("n") * F.col("m")).alias("n")).where(F.col("score") >= t)
+        out, enough = _first(members, met.union(both), counts.union(known), most)
+        if enough:
+            return out
+    if shared or least > 0:
+        return out
+    # what has neither a term nor a character in common comes last, by place
+    out = written(out, "found")
+    whole = placed.select(F.concat(F.lit("w"), "within").alias("block"), "idx")
+    every = whole.groupBy(F.col("block").alias("a")).agg(F.count("*").alias("n")).select("a", F.col("a").alias("b"), F.lit(0.0).alias("score"), none, n_pairs).where("n > 0")
+    rest, _ = _first(whole, every.drop("n"), every.select("score", "n"), most + out.count())
+    return out.union(rest.join(out, ["left", "right"], "left_anti").select("left", "right", "score")).orderBy(F.desc("score"), "left", "right").limit(most)
+
+
+def _scored(pairs: DataFrame, findings: DataFrame, sequence: bool) -> DataFrame:
+    """pairs(left, right) with their score, and whether both have one identity."""
+    for s in ("left", "right"):
+        pairs = pairs.join(findings.select(F.col("idx").alias(s), F.col("claim_text").alias(f"{s}_text"), F.col("identity").alias(f"{s}_identity")), s)
     score = jaccard(claim_terms(F.col("left_text")), claim_terms(F.col("right_text")))
     if sequence:
         score = F.greatest(score, _ratio("left_text", "right_text"))
     same = F.coalesce(F.col("left_identity") == F.col("right_identity"), F.lit(False))
-    pairs = pairs.withColumn("score", F.round(score, 6)).where((F.col("score") >= threshold) | same)
+    return pairs.select("left", "right", F.round(score, 6).alias("score"), same.alias("same"))
+
+
+def lexical_pairs(findings: DataFrame, threshold: float = 0.72, most: int = 500, sequence: bool = True, common: int | None = None) -> DataFrame:
+    """The `most` best candidate pairs by the larger of Jaccard and sequence similarity; equal identities always count.
+
+    Candidates share a term or an identity. Where `common` is given, terms with more postings don't count, as in the
+    reference: then pairs that share nothing rarer are left out.
+    """
+    if common is not None:
+        pairs = _scored(blocked_pairs(findings, most, common), findings, sequence).where((F.col("score") >= threshold) | F.col("same"))
+    else:
+        every = best_pairs(findings.withColumn("within", F.lit("")), threshold, most, sequence)
+        same = _scored(blocked_pairs(findings, most, 0), findings, sequence).select("left", "right", "score")
+        pairs = every.union(same).distinct()
     return pairs.select("left", "right", "score").orderBy(F.desc("score"), "left", "right").limit(most)
 
 

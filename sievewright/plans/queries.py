@@ -113,7 +113,7 @@ def part_findings(spark, sf_dir):
 
 
 def candidate_pairs_jaccard(spark, sf_dir):
-    return candidates.lexical_pairs(part_findings(spark, sf_dir), threshold=0.5, most=2000, sequence=False)
+    return candidates.lexical_pairs(part_findings(spark, sf_dir), threshold=0.5, most=2000, sequence=False, common=candidates.COMMON)
 
 
 def candidate_pairs_full(spark, sf_dir):

@@ -124,6 +124,20 @@ def test_pairs_are_bounded(spark):
     assert candidates.blocked_pairs(f, 100).count() < 10_000
 
 
+def lexical(spark, rows, **kw):
+    df = spark.createDataFrame(rows, "idx long, claim_text string, identity string")
+    return [tuple(r) for r in candidates.lexical_pairs(df, **kw).collect()]
+
+
+def test_common_terms_hide_no_pair(spark):
+    rows = [(i, f"{'steel' if i % 2 else 'brass'} {'bolt' if i % 4 < 2 else 'nut'}", None) for i in range(1000)]
+    equal = [(a, b, 1.0) for a in range(250) for b in range(a + 4, 1000, 4)]
+    assert lexical(spark, rows, most=300) == equal[:300]
+    third = [(0, 1, round(1 / 3, 6)), (0, 2, round(1 / 3, 6)), (1, 3, round(1 / 3, 6)), (2, 3, round(1 / 3, 6))]
+    assert lexical(spark, rows[:4], threshold=0.3, sequence=False) == third
+    assert lexical(spark, rows, most=300, common=candidates.COMMON) == []
+
+
 def test_registered_detector(spark):
     f = make(spark, [{}, {}]).withColumn("idx", F.col("ordinal"))
     candidates.register_provider("all", lambda df, threshold, most: spark.createDataFrame([(0, 1, 1.0)], "left long, right long, score double"))
