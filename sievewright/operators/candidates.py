@@ -191,7 +191,7 @@ def lexical_pairs(findings: DataFrame, threshold: float = 0.72, most: int = 500,
         pairs = _scored(blocked_pairs(findings, most, common), findings, sequence).where((F.col("score") >= threshold) | F.col("same"))
     else:
         every = best_pairs(findings.withColumn("within", F.lit("")), threshold, most, sequence)
-        same = _scored(blocked_pairs(findings, most, 0), findings, sequence).select("left", "right", "score")
+        same = best_pairs(findings.where("identity IS NOT NULL").withColumn("within", F.col("identity")), 0.0, most, sequence, shared=False)
         pairs = every.union(same).distinct()
     return pairs.select("left", "right", "score").orderBy(F.desc("score"), "left", "right").limit(most)
 

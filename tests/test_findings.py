@@ -1,3 +1,8 @@
+import difflib
+import random
+import re
+from itertools import combinations
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -138,6 +143,28 @@ def test_common_terms_hide_no_pair(spark):
     assert lexical(spark, rows, most=300, common=candidates.COMMON) == []
 
 
+def test_an_identity_pairs_up_by_score_not_by_place(spark):
+    rows = [(i, "", "k") for i in range(1500)]
+    rows[700], rows[710], rows[3] = (700, "brass", "k"), (710, "brass", "k"), (3, "steel nut", "k")
+    out = lexical(spark, rows, most=5, sequence=False)
+    assert out == [(700, 710, 1.0), (0, 1, 0.0), (0, 2, 0.0), (0, 3, 0.0), (0, 4, 0.0)]
+
+
+def test_every_pair_against_brute_force(spark):
+    draw = random.Random(2)
+    words = ["the", "x", "é", "gamma/1", "不可", "steel", "brass", "a", "red"]
+    rows = [(i, " ".join(draw.choices(words, k=draw.choice([0, 1, 2, 3, 5]))), draw.choice([None, "k", "k", "j"])) for i in range(60)]
+    plain = [{t for t in re.findall(r"[a-z0-9_.:/-]{2,}|[一-鿿]{1,6}", r[1]) if t != "the"} for r in rows]
+    want = []
+    for (a, x, p), (b, y, q) in combinations(rows, 2):
+        s, t = plain[a], plain[b]
+        score = max(len(s & t) / len(s | t) if s | t else 0.0, difflib.SequenceMatcher(None, x, y, autojunk=False).ratio() if x and y else 0.0)
+        if p and p == q or s & t and score >= 0.72:
+            want.append((a, b, round(score, 6)))
+    want.sort(key=lambda r: (-r[2], r[0], r[1]))
+    assert lexical(spark, rows, most=10_000) == want and lexical(spark, rows, most=90) == want[:90]
+
+
 def test_registered_detector(spark):
     f = make(spark, [{}, {}]).withColumn("idx", F.col("ordinal"))
     candidates.register_provider("all", lambda df, threshold, most: spark.createDataFrame([(0, 1, 1.0)], "left long, right long, score double"))
