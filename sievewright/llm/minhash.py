@@ -17,6 +17,8 @@ WORDS, PERCENT = 5, 80
 #: Bands and bins of each. Two sets of similarity 0.85 share no band once in two million pairs, of 0.8 once in 20,000.
 BANDS, ROWS = 25, 5
 BINS = BANDS * ROWS
+#: Share of pairs at the threshold that may share no band, at most: what 25 bands of 5 rows miss at 0.8.
+MISSED = 5e-5
 TEXT_BYTES = 4 << 20
 #: Bits of the filter by which a scan picks out the texts to compare.
 FILTER_BITS = 1 << 26
@@ -28,6 +30,14 @@ def _mix(h: np.ndarray) -> np.ndarray:
     return h ^ (h >> np.uint64(33))
 
 
+def rows_for(percent: int) -> int:
+    """The most bins of a band, up to ROWS, with which all but MISSED of the pairs at `percent` share a band."""
+    for rows in range(ROWS, 0, -1):
+        if (1 - (percent / 100) ** rows) ** (BINS // rows) <= MISSED:
+            return rows
+    raise ValueError(f"{BINS} bins find no pairs of {percent} percent reliably")
+
+
 def shingle_sets(texts: pa.Array, words: int) -> tuple[np.ndarray, np.ndarray]:
     """Sets of shingles as 64-bit hashes: all in a row, ascending for each text, and where each text's end.
 
@@ -70,8 +80,8 @@ def shingle_sets(texts: pa.Array, words: int) -> tuple[np.ndarray, np.ndarray]:
 _ASKED = np.array([np.random.default_rng(7_919 + b).permutation(BINS) for b in range(BINS)])
 
 
-def band_keys(sets: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    """The bucket of each set in each band.
+def band_keys(sets: np.ndarray, ends: np.ndarray, rows: int = ROWS) -> np.ndarray:
+    """The bucket of each set in each band of `rows` bins.
 
     One permutation deals a set's hashes into bins, each of which keeps its least. An empty bin takes the value of the
     first full one in its own random order of bins: so any two sets agree in it with their similarity as probability.
@@ -96,10 +106,11 @@ def band_keys(sets: np.ndarray, ends: np.ndarray) -> np.ndarray:
         good = full[empty_row, ask]
         least[empty_row[good], empty_bin[good]] = least[empty_row[good], ask[good]]
         empty_row, empty_bin = empty_row[~good], empty_bin[~good]
-    keys = np.zeros((n, BANDS), np.uint64)
-    for r in range(ROWS):
-        keys = _mix(keys * np.uint64(0x9E3779B97F4A7C15) + least[:, r::ROWS][:, :BANDS])
-    return _mix(keys + np.arange(1, BANDS + 1, dtype=np.uint64)).view(np.int64)
+    bands = BINS // rows
+    keys = np.zeros((n, bands), np.uint64)
+    for r in range(rows):
+        keys = _mix(keys * np.uint64(0x9E3779B97F4A7C15) + least[:, r::rows][:, :bands])
+    return _mix(keys + np.arange(1, bands + 1, dtype=np.uint64)).view(np.int64)
 
 
 def _blocks(texts: pa.Array) -> Iterator[tuple[int, int]]:
@@ -112,17 +123,19 @@ def _blocks(texts: pa.Array) -> Iterator[tuple[int, int]]:
         begin = end
 
 
-def signatures(docs: DataFrame, words: int) -> DataFrame:
+def signatures(docs: DataFrame, words: int, rows: int = ROWS) -> DataFrame:
     """doc_id, n_shingles, a digest of the shingle set and its buckets; the last two null where the set is empty."""
     import xxhash
 
+    bands = BINS // rows
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for a, b in _blocks(batch.column("text")):
                 sets, ends = shingle_sets(batch.column("text").take(pa.array(np.arange(a, b))), words)
                 sizes = np.diff(ends, prepend=0)
                 digest = [xxhash.xxh3_128_digest(sets[e - n : e].tobytes()) if n else None for e, n in zip(ends.tolist(), sizes.tolist())]
-                keys = pa.ListArray.from_arrays(pa.array(np.arange(0, (len(ends) + 1) * BANDS, BANDS), pa.int32()), pa.array(band_keys(sets, ends).ravel()))
+                keys = pa.ListArray.from_arrays(pa.array(np.arange(0, (len(ends) + 1) * bands, bands), pa.int32()), pa.array(band_keys(sets, ends, rows).ravel()))
                 yield pa.RecordBatch.from_arrays([batch.column("doc_id").slice(a, b - a), pa.array(sizes.astype(np.int64)), pa.array(digest, pa.binary()), keys], names=["doc_id", "n_shingles", "digest", "bands"])
         tidy()
 
@@ -242,12 +255,14 @@ def near_duplicates(docs: DataFrame, words: int = WORDS, percent: int = PERCENT)
     with its centre may still link with each other; those that can are found by what they differ in (see _within), so
     no pair that shares a bucket is passed over, and no bucket gives all its pairs.
 
+    Bands follow from `percent`; one so low that they can't find its pairs raises an error.
+
     Null texts and texts without words: an empty set, linked with nothing. Rows that repeat a doc_id with other texts
     share one node; no rows give no rows. Other columns are ignored. Returns doc_id, n_shingles, component_id, kept.
     """
     small_batches(docs.sparkSession)
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    signed = written(signatures(docs, words), "signatures")
+    signed = written(signatures(docs, words, rows_for(percent)), "signatures")
     classes = signed.where("n_shingles > 0").groupBy("digest").agg(F.min("doc_id").alias("rep"))
     one = classes.select("digest", F.col("rep").alias("doc_id"))
     reps = signed.join(one, ["digest", "doc_id"]).select(F.col("doc_id").alias("rep"), "n_shingles", "bands").dropDuplicates(["rep"])

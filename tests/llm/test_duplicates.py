@@ -62,6 +62,20 @@ def family(seed):
     return rows
 
 
+@pytest.mark.parametrize("percent", [60, 40])
+def test_bands_follow_the_threshold(spark, percent):
+    assert [minhash.rows_for(p) for p in (85, 80)] == [minhash.ROWS] * 2
+    common, rows = percent, []
+    for i in range(150):  # pairs of sets with `percent` words in common out of 100
+        words = [f"w{i}_{k}" for k in range(100)]
+        own = (100 - common) // 2
+        rows += [(2 * i, " ".join(words[: common + own]), "en", "s"), (2 * i + 1, " ".join(words[:common] + words[common + own :]), "en", "s")]
+    got = minhash.near_duplicates(documents(spark, rows), 1, percent).where("doc_id <> component_id").count()
+    assert got == 150
+    with pytest.raises(ValueError, match="reliably"):
+        minhash.rows_for(5)
+
+
 @pytest.mark.parametrize(("rows", "n", "percent"), [(corpus(), 3, 85), (family(1), 3, 85), (family(2), 5, 80), (family(3), 3, 60)], ids=["corpus", "family", "five", "loose"])
 def test_near_duplicates_equal_brute_force(spark, rows, n, percent):
     rows = [r for r in rows if r[0] is not None]
