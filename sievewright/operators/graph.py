@@ -21,12 +21,14 @@ def components(links: DataFrame, name: str = "components") -> DataFrame:
     Alternates the large-star and small-star steps, each a shuffle over the edges, until an iteration changes
     nothing; the edges of each iteration are written in the shared folder. A star's centre may have any number of
     leaves: no step gathers a node's neighbours, each only needs their minimum. Nodes without links have no row;
-    null ends and self-links are ignored.
+    null ends and self-links are ignored. Nodes are whole numbers (cast to long) or of any type with an order.
     """
-    spark = links.sparkSession
-    edges = links.select(F.col("a").cast("long"), F.col("b").cast("long")).where("a <> b")
+    whole = links.schema["a"].dataType.simpleString() in ("tinyint", "smallint", "int")
+    edges = links.select(*[F.col(c).cast("long") if whole else F.col(c) for c in "ab"]).where("a <> b")
     edges = written(edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), name)
-    while True:
+    # done when each node has one edge down at most, and none has edges both ways
+    ends = lambda: edges.select(F.col("a").alias("node"), F.lit(1).alias("down"), F.lit(0).alias("up")).union(edges.select("b", F.lit(0), F.lit(1)))
+    while ends().groupBy("node").agg(F.sum("down").alias("down"), F.max("up").alias("up")).where("down + up > 1").head(1):
         both = edges.union(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
         least = both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m"))
         # each larger neighbour is linked to the smallest of the neighbourhood
@@ -37,9 +39,6 @@ def components(links: DataFrame, name: str = "components") -> DataFrame:
         # the smaller neighbours and the node itself are linked to the smallest
         small = small.select(F.col("b").alias("a"), F.col("m").alias("b")).where("a <> b").union(least.select("a", F.col("m").alias("b"))).distinct()
         edges = written(small, name)
-        rows, ends = edges.agg(F.count("*"), F.count_distinct("a")).first()
-        if rows == ends and not edges.join(edges.select(F.col("b").alias("a")).distinct(), "a", "left_semi").head(1):
-            break
     stars = edges.groupBy("a").agg(F.min("b").alias("component"))
     return stars.select(F.col("a").alias("node"), "component").union(stars.select(F.col("component").alias("node"), "component").distinct())
 
