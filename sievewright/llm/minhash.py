@@ -7,7 +7,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .common import components, small_batches, tidy, written
@@ -20,8 +20,8 @@ BINS = BANDS * ROWS
 #: Share of pairs at the threshold that may share no band, at most: what 25 bands of 5 rows miss at 0.8.
 MISSED = 5e-5
 TEXT_BYTES = 4 << 20
-#: Bits of the filter by which a scan picks out the texts to compare.
-FILTER_BITS = 1 << 26
+#: Members of a star that one copy of what its centre contributes serves.
+SHARE = 256
 
 
 def _mix(h: np.ndarray) -> np.ndarray:
@@ -124,7 +124,8 @@ def _blocks(texts: pa.Array) -> Iterator[tuple[int, int]]:
 
 
 def signatures(docs: DataFrame, words: int, rows: int = ROWS) -> DataFrame:
-    """doc_id, n_shingles, a digest of the shingle set and its buckets; the last two null where the set is empty."""
+    """docs(doc_id, key, text): doc_id, key, n_shingles, a digest of the shingle set and its buckets; the last two null
+    where the set is empty."""
     import xxhash
 
     bands = BINS // rows
@@ -136,152 +137,262 @@ def signatures(docs: DataFrame, words: int, rows: int = ROWS) -> DataFrame:
                 sizes = np.diff(ends, prepend=0)
                 digest = [xxhash.xxh3_128_digest(sets[e - n : e].tobytes()) if n else None for e, n in zip(ends.tolist(), sizes.tolist())]
                 keys = pa.ListArray.from_arrays(pa.array(np.arange(0, (len(ends) + 1) * bands, bands), pa.int32()), pa.array(band_keys(sets, ends, rows).ravel()))
-                yield pa.RecordBatch.from_arrays([batch.column("doc_id").slice(a, b - a), pa.array(sizes.astype(np.int64)), pa.array(digest, pa.binary()), keys], names=["doc_id", "n_shingles", "digest", "bands"])
+                own = [batch.column(c).slice(a, b - a) for c in ("doc_id", "key")]
+                yield pa.RecordBatch.from_arrays([*own, pa.array(sizes.astype(np.int64)), pa.array(digest, pa.binary()), keys], names=["doc_id", "key", "n_shingles", "digest", "bands"])
         tidy()
 
-    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, n_shingles long, digest binary, bands array<long>")
+    return docs.select("doc_id", "key", "text").mapInArrow(run, "doc_id long, key long, n_shingles long, digest binary, bands array<long>")
 
 
-def _whole_sets(docs: DataFrame, ids: DataFrame, words: int) -> DataFrame:
-    """doc_id and its whole set of shingles, for the documents among ids(doc_id).
-
-    Up to FILTER_BITS / 8 ids, a bit for a hash of each goes to all workers (8 MB at most): a scan of the texts takes
-    what may be among them, and only sets are joined. Beyond that, texts are joined with ids first.
-    """
-    n = ids.count()
-    slots = 1 << max(16, min(FILTER_BITS, 10 * n + 1).bit_length() - 1)
-    slot = F.pmod(F.xxhash64("doc_id"), F.lit(slots))
-    bits = None
-    if 8 * n <= FILTER_BITS:
-        at = ids.select(slot.alias("s")).groupBy(F.expr("s div 63").alias("word")).agg(F.expr("bit_or(shiftleft(1L, int(s % 63)))").alias("bits")).toPandas()
-        bits = np.zeros(slots // 63 + 1, np.int64)
-        bits[at["word"].to_numpy()] = at["bits"].to_numpy()
-        bits = docs.sparkSession.sparkContext.broadcast(bits)
-    else:
-        docs = docs.join(ids, "doc_id", "left_semi")
+def _whole_sets(docs: DataFrame, wanted: DataFrame, words: int) -> DataFrame:
+    """digest and whole set of shingles of the documents among wanted(doc_id, key); some more may come along."""
+    import xxhash
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            if bits is not None:
-                at = batch.column("slot").to_numpy()
-                batch = batch.filter(pa.array((bits.value[at // 63] >> (at % 63)) & 1 == 1))
             for a, b in _blocks(batch.column("text")):
                 sets, ends = shingle_sets(batch.column("text").take(pa.array(np.arange(a, b))), words)
-                yield pa.RecordBatch.from_arrays([batch.column("doc_id").slice(a, b - a), pa.ListArray.from_arrays(pa.array(np.append(0, ends), pa.int32()), pa.array(sets.view(np.int64)))], names=["doc_id", "shingles"])
+                begins = np.append(0, ends)
+                digest = [xxhash.xxh3_128_digest(sets[x:y].tobytes()) for x, y in zip(begins.tolist(), ends.tolist())]
+                yield pa.RecordBatch.from_arrays([pa.array(digest, pa.binary()), pa.ListArray.from_arrays(pa.array(begins, pa.int32()), pa.array(sets.view(np.int64)))], names=["digest", "shingles"])
         tidy()
 
-    sets = docs.where("doc_id IS NOT NULL").select("doc_id", "text", slot.alias("slot")).mapInArrow(run, "doc_id long, shingles array<long>")
-    return sets if bits is None else sets.join(ids, "doc_id", "left_semi")
+    texts = docs.alias("d").join(wanted.alias("w"), F.col("d.doc_id").eqNullSafe(F.col("w.doc_id")) & (F.col("d.key") == F.col("w.key")), "left_semi")
+    return texts.select("text").mapInArrow(run, "digest binary, shingles array<long>")
 
 
-def _measured(pairs: DataFrame, sizes: DataFrame, sets: DataFrame) -> DataFrame:
-    """pairs(a, b) with the sizes of both sets, and in how many shingles they differ."""
-    n_a, n_b = (sizes.select(F.col("rep").alias(c), F.col("n_shingles").alias(f"n_{c}")) for c in "ab")
-    both = pairs.join(sets.select(F.col("doc_id").alias("b"), F.col("shingles").alias("of_b")), "b").join(sets.select(F.col("doc_id").alias("a"), F.col("shingles").alias("of_a")), "a")
-    apart = F.size("of_a") + F.size("of_b") - 2 * F.size(F.array_intersect("of_a", "of_b"))
-    return both.select("a", "b", apart.cast("long").alias("apart")).join(n_a, "a").join(n_b, "b")
+def _copies(stars: DataFrame) -> DataFrame:
+    """What each star's centre contributes, once for each share of its members: stars(a, shares, ...) to rows (a, s)."""
+    return stars.withColumn("s", F.explode(F.sequence(F.lit(0), F.col("shares") - 1))).drop("shares")
 
 
-def _within(measured: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """Pairs (a, b) of members of one star that may link though not both do with its centre.
+def _linked(size: Column, other: Column, apart: Column, percent: int) -> Column:
+    """Whether sets of those sizes that differ in `apart` elements have the similarity of a link."""
+    return (100 - percent) * (size + other) >= (100 + percent) * apart
 
-    Sets u and v differ in D(u, v) shingles, and link if beta * D(u, v) <= alpha * (|u| + |v|) with alpha = 100 - percent
-    and beta = 100 + percent. Against any fixed set, say p, let U be what u and p differ in; then D(u, v) = |U| + |V| -
-    2 * |U & V|. A star's p is its centre with what most members have otherwise put right, so that the centre's own
-    oddities aren't in every U. This bounds D(u, v) from what is known of each member alone:
 
-    - Without any common difference a link is certain if g(u) + g(v) <= 0, with g(u) = beta * |U| - alpha * |u|. If u
-      has any such v, then the member of least g is one, and it links with all such v: its star stands for them all.
-    - Else |U & V| >= (|U| + |V| - most(u, v)) / 2 must hold, where most is the D that still links. Differences that are
-      in no other member's don't help, and members that have too few others to offer drop out: those are nearly all, in
-      a family of copies edited at random. The rest meet by prefix filtering, rarest differences first, with what can
-      still be common from there on.
+def _measured(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """pairs(a, b, s, shares) with the sizes of both sets, in how many shingles they differ, and whether they link."""
+    of_b = sets.select(F.col("digest").alias("b"), F.col("shingles").alias("of_b"))
+    centres = pairs.groupBy("a").agg(F.max("shares").alias("shares")).join(sets.select(F.col("digest").alias("a"), F.col("shingles").alias("of_a")), "a")
+    both = pairs.join(of_b, "b").join(_copies(centres), ["a", "s"])
+    apart = (F.size("of_a") + F.size("of_b") - 2 * F.size(F.array_intersect("of_a", "of_b"))).cast("long")
+    out = both.select("a", "b", "s", "shares", F.size("of_a").cast("long").alias("n_a"), F.size("of_b").cast("long").alias("n_b"), apart.alias("apart"))
+    return out.withColumn("linked", _linked(F.col("n_a"), F.col("n_b"), F.col("apart"), percent))
 
-    Both steps are exact. A star where all members link with the centre, or one member alone doesn't and none is near
-    enough to it, takes no part.
-    """
-    alpha, beta = 100 - percent, 100 + percent
-    linked = alpha * (F.col("n_a") + F.col("n_b")) >= beta * F.col("apart")
-    most = F.floor(alpha * (F.col("n_b") + F.floor(F.col("n_b") * 100 / percent)) / beta)
-    rows = measured.select("a", "b", "n_b", "apart", linked.alias("linked"), most.alias("most"))
-    stars = rows.groupBy("a").agg(
-        F.count("*").alias("n"), F.count_if(~F.col("linked")).alias("loose"), F.max("apart").alias("far"), F.max(F.when(F.col("linked"), F.col("apart"))).alias("far_linked"),
-        F.min("apart").alias("near"), F.min(F.when(~F.col("linked"), F.col("apart"))).alias("near_loose"),
-    ).where("loose > 0 AND n > 1")
-    rows = rows.join(stars, "a")
-    # the least that any partner differs in from the centre, and whether one is near enough at all
-    partner = F.greatest(F.when(F.col("linked"), F.col("near_loose")).otherwise(F.col("near")), F.col("apart") - F.col("most"))
-    reach = F.when(F.col("linked") | (F.col("loose") > 1), F.col("far")).otherwise(F.coalesce("far_linked", F.lit(-1)))
-    members = rows.withColumn("partner", partner).where((reach >= F.col("partner")) & (F.col("partner") <= F.col("apart") + F.col("most")))
-    members = members.join(members.where("NOT linked").select("a").distinct(), "a", "left_semi").select("a", "b", "n_b", "linked", "most")
-    of = lambda c: sets.select(F.col("doc_id").alias(c), F.col("shingles").alias(f"of_{c}"))
+
+def _labelled(rows: DataFrame, parts: DataFrame, node: str, label: str) -> DataFrame:
+    """rows with the component of a column's nodes: their own where parts(node, component) has none."""
+    named = parts.select(F.col("node").alias(node), F.col("component").alias("__component"))
+    return rows.join(named, node, "left").withColumn(label, F.coalesce("__component", node)).drop("__component")
+
+
+def _others(rows: DataFrame) -> DataFrame:
+    """Rows (a, s, shares, part, apart, ...) of stars that hold several components, with the least (near) and the most
+    (far) that a member of another component differs in from what the star is seen from."""
+    at = lambda f, sign: f(F.struct((sign * F.col("apart")).alias("x"), "part"))
+    first = rows.groupBy("a").agg(F.max("shares").alias("shares"), at(F.min, 1).alias("low"), at(F.min, -1).alias("high"), F.min("part").alias("one"), F.max("part").alias("two")).where("one <> two").drop("one", "two")
+    rows = rows.join(_copies(first), ["a", "s"])
+    # the same among the members of any component but the one of the first
+    apart_if = lambda end: F.when(F.col("part") != F.col(f"{end}.part"), F.col("apart"))
+    second = rows.groupBy("a").agg(F.max("shares").alias("shares"), F.min(apart_if("low")).alias("low2"), F.max(apart_if("high")).alias("high2"))
+    rows = rows.join(_copies(second), ["a", "s"])
+    near = F.when(F.col("part") != F.col("low.part"), F.col("low.x")).otherwise(F.col("low2"))
+    far = F.when(F.col("part") != F.col("high.part"), -F.col("high.x")).otherwise(F.col("high2"))
+    return rows.withColumns({"near": near, "far": far}).drop("low", "high", "low2", "high2")
+
+
+def _members(measured: DataFrame, parts: DataFrame, percent: int) -> DataFrame:
+    """Members (a, b, s, shares, n_b, most) of stars that may link with a member of another component, by what they and
+    others differ in from their centre; `most` is how many elements a set can differ in and still link."""
+    most = F.floor((100 - percent) * (F.col("n_b") + F.floor(F.col("n_b") * 100 / percent)) / (100 + percent))
+    rows = measured.select("a", "b", "s", "shares", "n_b", "apart", most.alias("most"))
+    rows = _others(written(_labelled(rows, parts, "b", "part"), "labelled"))
+    return written(rows.where("near <= apart + most AND far >= apart - most").select("a", "b", "s", "shares", "n_b", "most"), "members")
+
+
+def _odd(rows: DataFrame, sets: DataFrame) -> DataFrame:
+    """Members of stars with what their sets and the star's usual set differ in (odd, and its size: apart). The usual
+    set is the centre's with what most members have otherwise put right, so that the centre's own oddities aren't in
+    every difference."""
+    centres = rows.groupBy("a").agg(F.max("shares").alias("shares")).join(sets.select(F.col("digest").alias("a"), F.col("shingles").alias("of_a")), "a")
+    both = rows.join(sets.select(F.col("digest").alias("b"), F.col("shingles").alias("of_b")), "b").join(_copies(centres), ["a", "s"])
     unlike = F.concat(F.array_except("of_a", "of_b"), F.array_except("of_b", "of_a"))
-    members = written(members.join(of("b"), "b").join(of("a"), "a").select("a", "b", "n_b", "linked", "most", unlike.alias("unlike")), "members")
-    often = members.select("a", F.explode("unlike").alias("e")).groupBy("a", "e").agg(F.count("*").alias("times"))
-    usual = often.join(members.groupBy("a").agg(F.count("*").alias("n")), "a").where("2 * times > n").groupBy("a").agg(F.collect_list("e").alias("usual"))
+    rows = written(both.select("a", "b", "s", "shares", "n_b", "most", unlike.alias("unlike")), "unlike")
+    often = rows.select("a", F.explode("unlike").alias("e")).groupBy("a", "e").agg(F.count("*").alias("times"))
+    sizes = rows.groupBy("a").agg(F.count("*").alias("n"), F.max("shares").alias("shares"))
+    usual = often.join(sizes, "a").where("2 * times > n").groupBy("a").agg(F.collect_list("e").alias("usual"), F.max("shares").alias("shares"))
     none = F.array().cast("array<bigint>")
     odd = F.concat(F.array_except("unlike", F.coalesce("usual", none)), F.array_except(F.coalesce("usual", none), "unlike"))
-    members = members.join(usual, "a", "left").select("a", "b", "n_b", "linked", "most", odd.alias("odd")).withColumn("apart", F.size("odd").cast("long"))
-    members = written(members.withColumn("g", beta * F.col("apart") - alpha * F.col("n_b")), "odd")
-    best = members.groupBy("a").agg(F.min(F.struct("g", "b")).alias("best"), F.min("apart").alias("near"))
-    core = (F.col("g") + F.col("best.g") <= 0) | (F.col("b") == F.col("best.b"))
-    members = members.join(best, "a").withColumn("core", core)
-    certain = members.where("core AND b <> best.b").select(F.least("b", "best.b").alias("a"), F.greatest("b", "best.b").alias("b"))
-    loose = members.where("NOT core").groupBy("a").agg(F.min("apart").alias("near_loose"))
-    members = members.join(loose, "a")
-    partner = F.greatest(F.when(F.col("core"), F.col("near_loose")).otherwise(F.col("near")), F.col("apart") - F.col("most"))
-    need = F.greatest(F.lit(1), F.ceil((F.col("apart") + partner - F.col("most")) / 2))
-    held = members.where(F.size("odd") >= need).select("a", "b", "n_b", "linked", "core", "apart", need.alias("need"), F.explode("odd").alias("e"))
+    rows = rows.join(_copies(usual), ["a", "s"], "left").select("a", "b", "s", "shares", "n_b", "most", odd.alias("odd"))
+    return written(rows.withColumn("apart", F.size("odd").cast("long")), "odd")
+
+
+def _certain(odd: DataFrame, percent: int) -> DataFrame:
+    """Links (a, b) that follow without a look at common differences.
+
+    Sets u and v link if beta * D(u, v) <= alpha * (|u| + |v|), and D(u, v) is |U| + |V| at most, where U and V are what
+    they and the usual set differ in. So they do if g(u) + g(v) <= 0, with g(u) = beta * |U| - alpha * |u|. If u has any
+    such v, then the member of least g is one, and it links with all such: its star stands for them all.
+    """
+    rows = odd.select("a", "b", "s", "shares", ((100 + percent) * F.col("apart") - (100 - percent) * F.col("n_b")).alias("g"))
+    best = rows.groupBy("a").agg(F.min(F.struct("g", "b")).alias("best"), F.max("shares").alias("shares"))
+    return rows.join(_copies(best), ["a", "s"]).where("g + best.g <= 0 AND b <> best.b").select(F.col("best.b").alias("a"), "b")
+
+
+def _relabelled(rows: DataFrame, links: DataFrame) -> DataFrame:
+    """rows with `part` after links(x, y) between parts are counted in."""
+    return _labelled(rows, components(links.select(F.col("x").alias("a"), F.col("y").alias("b")), "merge"), "part", "part")
+
+
+def _within(odd: DataFrame, percent: int, rounds: int = 8) -> DataFrame | None:
+    """Links (a, b) between members of one star that `part` puts in different components: all that there are, or others
+    that join the same components; None without any. odd(a, b, n_b, most, odd, apart, part) as of _odd, with the component known so far.
+
+    If U is what u and the usual set differ in, D(u, v) = |U| + |V| - 2 * |U & V|. So a link needs |U & V| >= (|U| + |V|
+    - most(u, v)) / 2, where most is the D that still links. Differences that no member of another component has don't
+    help, and members that have too few others to offer drop out: nearly all, in a family of copies edited at random.
+    The rest meet by prefix filtering, rarest differences first, with what can still be common from there on.
+
+    Members that meet in a difference aren't paired each with each. In each of some rounds one member of those that
+    meet, another one every time, is the centre of a star: links found put members in one component, and a family that
+    is one component needs no more pairs. What is left are pairs across components, which differ for good or nearly so;
+    they are compared last, members of a difference's largest component among themselves never.
+    """
+    alpha, beta = 100 - percent, 100 + percent
+    found = None
+    rows = _others(odd)
+    need = F.greatest(F.lit(1), F.ceil((F.col("apart") + F.col("near") - F.col("most")) / 2)).cast("int")
+    held = rows.where((F.size("odd") >= need) & (F.col("near") <= F.col("apart") + F.col("most"))).select("a", "b", "part", "n_b", "apart", need.alias("need"), F.explode("odd").alias("e"))
     for k in range(3):  # each time some drop out, and leave what they shared to fewer
         held = written(held, f"held{k}")
-        shared = held.groupBy("a", "e").agg(F.count("*").alias("times")).where("times > 1")
+        if not held.head(1):
+            return None
+        shared = held.groupBy("a", "e").agg(F.count("*").alias("times"), F.min("part").alias("one"), F.max("part").alias("two")).where("one <> two").drop("one", "two")
         held = held.drop("times").join(shared, ["a", "e"])
         able = held.groupBy("a", "b").agg(F.count("*").alias("has"), F.first("need").alias("least")).where("has >= least").select("a", "b", "has")
         held = held.drop("has").join(able, ["a", "b"])
     nth = F.row_number().over(Window.partitionBy("a", "b").orderBy("times", "e"))
-    prefix = written(held.withColumn("nth", nth).where("nth <= has - need + 1").select("a", "b", "e", "linked", "core", "apart", "n_b", (F.col("has") - F.col("nth")).alias("left")), "prefixes")
-    other = prefix.select("a", "e", *[F.col(c).alias(f"{c}_") for c in ("b", "linked", "core", "apart", "n_b", "left")])
-    enough = 2 * (1 + F.least("left", "left_")) >= F.col("apart") + F.col("apart_") - F.floor(alpha * (F.col("n_b") + F.col("n_b_")) / beta)
-    met = prefix.join(other, ["a", "e"]).where((F.col("b") < F.col("b_")) & ~(F.col("linked") & F.col("linked_")) & ~(F.col("core") & F.col("core_")) & enough)
-    return certain.union(met.select(F.col("b").alias("a"), F.col("b_").alias("b"))).distinct()
+    prefix = held.withColumn("nth", nth).where("nth <= has - need + 1").select("a", "b", "e", "part", "apart", "n_b", (F.col("has") - F.col("nth")).alias("left"))
+    prefix = written(prefix, "prefixes")
+    sets = odd.select("a", "b", "odd")
+    mine = ("b", "part", "apart", "n_b", "left")
+
+    def met(left: DataFrame, right: DataFrame) -> DataFrame:
+        """Links among members that meet in a difference, of different parts, between left and right."""
+        other = right.select("a", "e", *[F.col(c).alias(f"{c}_") for c in mine])
+        enough = 2 * (1 + F.least("left", "left_")) >= F.col("apart") + F.col("apart_") - F.floor(alpha * (F.col("n_b") + F.col("n_b_")) / beta)
+        pairs = left.select("a", "e", *mine).join(other, ["a", "e"]).where((F.col("part") != F.col("part_")) & enough)
+        first, second = F.struct("b", "part", "apart", "n_b"), F.struct(F.col("b_").alias("b"), F.col("part_").alias("part"), F.col("apart_").alias("apart"), F.col("n_b_").alias("n_b"))
+        pairs = pairs.select("a", F.least(first, second).alias("u"), F.greatest(first, second).alias("v")).distinct()
+        pairs = written(pairs.select("a", F.col("u.b").alias("b"), F.col("v.b").alias("b_"), F.col("u.part").alias("x"), F.col("v.part").alias("y"), (F.col("u.apart") + F.col("v.apart")).alias("sum"), (F.col("u.n_b") + F.col("v.n_b")).alias("sizes")), "met")
+        both = pairs.join(sets, ["a", "b"]).join(sets.select("a", F.col("b").alias("b_"), F.col("odd").alias("odd_")), ["a", "b_"])
+        apart = F.col("sum") - 2 * F.size(F.array_intersect("odd", "odd_"))
+        return written(both.where(alpha * F.col("sizes") >= beta * apart).select(F.col("b").alias("a"), F.col("b_").alias("b"), "x", "y"), "within")
+
+    for k in range(rounds + 1):
+        sizes = prefix.groupBy("a", "e", "part").agg(F.count("*").alias("n"))
+        sizes = sizes.groupBy("a", "e").agg(F.sum("n").alias("n"), F.max(F.struct("n", "part")).alias("main")).where("n > main.n")
+        sizes = written(sizes, "meetings")
+        rest, rows_left = sizes.agg(F.sum(F.expr("n * (n - main.n)")), F.sum("n")).first()
+        if not rest:
+            break
+        prefix = written(prefix.join(sizes.select("a", "e", F.col("main.part").alias("main")), ["a", "e"]), "prefixes")
+        last = rest <= 4 * rows_left or k == rounds
+        if last:
+            links = met(prefix.where("part <> main"), prefix)
+        else:
+            centres = prefix.groupBy("a", "e").agg(F.min_by(F.struct(*mine), F.xxhash64("b", F.lit(k))).alias("c")).select("a", "e", "c.*")
+            links = met(centres, prefix)
+        found = links if found is None else found.union(links)
+        if last:
+            break
+        if links.head(1):
+            prefix = _relabelled(prefix.drop("main"), links)
+        else:
+            prefix = prefix.drop("main")
+    return None if found is None else found.select("a", "b")
+
+
+def _classes(docs: DataFrame, words: int, percent: int) -> tuple[DataFrame, DataFrame]:
+    """Rows (doc_id, key, n_shingles, digest) of docs(doc_id, key, text), and the component of each distinct set that
+    is in one with another: (node, component), digests both."""
+    signed = written(signatures(docs, words, rows_for(percent)), "signatures")
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "key"))
+    one = signed.where("n_shingles > 0").groupBy("digest").agg(first.alias("row"), F.first("bands").alias("bands"))
+    classes = written(one.select("digest", "row.doc_id", "row.key", "bands"), "classes")
+    placed = classes.select(F.col("digest").alias("b"), F.explode("bands").alias("bucket"))
+    centres = placed.groupBy("bucket").agg(F.min("b").alias("a"), F.count("*").alias("n")).where("n > 1")
+    pairs = placed.join(centres, "bucket").where("a < b").groupBy("a", "b").agg(F.max("n").alias("n"))
+    shares = F.expr(f"int(1 + n div {SHARE})")
+    pairs = written(pairs.select("a", "b", F.pmod(F.xxhash64("b"), shares).cast("int").alias("s"), shares.alias("shares")), "stars")
+    ends = written(pairs.select(F.col("a").alias("digest")).union(pairs.select("b")).distinct(), "ends")
+    wanted = written(classes.join(ends, "digest", "left_semi").select("doc_id", "key"), "wanted")
+    sets = written(_whole_sets(docs, wanted, words).join(ends, "digest", "left_semi").groupBy("digest").agg(F.first("shingles").alias("shingles")), "sets")
+    measured = written(_measured(pairs, sets, percent), "measured")
+    links = measured.where("linked").select("a", "b")
+    parts = written(components(links), "parts")
+    members = _members(measured, parts, percent)
+    if members.head(1):
+        odd = _odd(members, sets)
+        sure = written(_labelled(_labelled(_certain(odd, percent), parts, "a", "x"), parts, "b", "y").where("x <> y"), "certain")
+        if sure.head(1):
+            links = links.union(sure.select("a", "b"))
+            parts = written(components(links), "parts")
+        more = _within(_labelled(odd, parts, "b", "part"), percent)
+        if more is not None and more.head(1):
+            parts = written(components(links.union(more)), "parts")
+    return signed.drop("bands"), parts
+
+
+def _keyed(docs: DataFrame) -> DataFrame:
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("key"), "text")
 
 
 def near_duplicates(docs: DataFrame, words: int = WORDS, percent: int = PERCENT) -> DataFrame:
     """Documents (doc_id, text) with the component that links of at least `percent` similarity put them in.
 
-    Texts with equal sets are one class, which its smallest doc_id stands for; only these go on. In every bucket the
-    smallest is the centre of a star: its pairs with the rest are the candidates, so a bucket of n gives n - 1. Whole
+    Texts with equal sets are one class, and classes are what links join. In every bucket the class of the smallest
+    digest is the centre of a star: its pairs with the rest are the candidates, so a bucket of n gives n - 1. Whole
     sets say in how much each differs from its centre, and whether they link. Members of a star that aren't both linked
     with its centre may still link with each other; those that can are found by what they differ in (see _within), so
-    no pair that shares a bucket is passed over, and no bucket gives all its pairs.
+    no pair that shares a bucket is passed over. What a large star's centre contributes is copied for every SHARE of its
+    members, so that none of its joins meets in one task.
 
     Bands follow from `percent`; one so low that they can't find its pairs raises an error.
 
     Null texts and texts without words: an empty set, linked with nothing. Rows that repeat a doc_id with other texts
-    share one node; no rows give no rows. Other columns are ignored. Returns doc_id, n_shingles, component_id, kept.
+    are each searched and compared for themselves, and one doesn't carry the other's links on. component_id is the
+    smallest doc_id of the component's rows, null if none has one; a null doc_id is kept only there. No rows give no
+    rows. Other columns are ignored. Returns doc_id, n_shingles, component_id, kept.
     """
     small_batches(docs.sparkSession)
-    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    signed = written(signatures(docs, words, rows_for(percent)), "signatures")
-    classes = signed.where("n_shingles > 0").groupBy("digest").agg(F.min("doc_id").alias("rep"))
-    one = classes.select("digest", F.col("rep").alias("doc_id"))
-    reps = signed.join(one, ["digest", "doc_id"]).select(F.col("doc_id").alias("rep"), "n_shingles", "bands").dropDuplicates(["rep"])
-    reps = written(reps, "classes")
-    sizes = reps.select("rep", "n_shingles")
-    placed = reps.select("rep", F.explode("bands").alias("key"))
-    centres = placed.groupBy("key").agg(F.min("rep").alias("a"), F.count("*").alias("n")).where("n > 1").select("key", "a")
-    pairs = written(placed.join(centres, "key").where("a < rep").select("a", F.col("rep").alias("b")).distinct(), "stars")
-    ends = pairs.select(F.col("a").alias("doc_id")).union(pairs.select(F.col("b").alias("doc_id"))).distinct()
-    ends = written(ends, "ends")
-    sets = written(_whole_sets(docs, ends, words).dropDuplicates(["doc_id"]), "sets")
-    measured = written(_measured(pairs, sizes, sets), "measured")
-    more = written(_within(measured, sets, percent), "within")
-    links = (100 - percent) * (F.col("n_a") + F.col("n_b")) >= (100 + percent) * F.col("apart")
-    links = measured.where(links).select("a", "b").union(_measured(more, sizes, sets).where(links).select("a", "b"))
-    parts = components(links)
-    found = classes.join(parts, F.col("rep") == F.col("node"), "left").select("digest", F.coalesce("component", "rep").alias("component_id"))
-    out = signed.join(found, "digest", "left").select("doc_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id"))
-    return out.withColumn("kept", F.col("doc_id") == F.col("component_id"))
+    signed, parts = _classes(_keyed(docs), words, percent)
+    rows = _labelled(signed.where("digest IS NOT NULL").groupBy("digest").agg(F.min("doc_id").alias("doc_id")), parts, "digest", "part")
+    least = rows.groupBy("part").agg(F.min("doc_id").alias("component_id"))
+    found = rows.join(least, "part").select("digest", "component_id", F.lit(True).alias("__has"))
+    out = signed.join(found, "digest", "left").select("doc_id", "n_shingles", F.when(F.col("__has"), F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id"))
+    return out.withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))
+
+
+def dedup(docs: DataFrame, words: int = WORDS, percent: int = PERCENT) -> DataFrame:
+    """One row of docs for each component, with all columns: that of the smallest doc_id (nulls last), of the smallest
+    hash of its text where that repeats, and one of several equal rows. Rows without a shingle all stay, but for
+    rows that repeat their doc_id and text. No rows give no rows."""
+    small_batches(docs.sparkSession)
+    keyed = docs.withColumns({"__id": F.col("doc_id").cast("long"), "__key": F.xxhash64("text")})
+    signed, parts = _classes(_keyed(docs), words, percent)
+    rows = signed.groupBy("doc_id", "key", "digest").agg(F.count("*").alias("n"))
+    rows = written(_labelled(rows, parts, "digest", "part"), "rows")
+    place = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "key")
+    best = rows.where("part IS NOT NULL").groupBy("part").agg(F.min(place).alias("best"))
+    gone = rows.join(best, "part").where(place != F.col("best"))
+    same = F.col("__id").eqNullSafe(F.col("__d")) & (F.col("__key") == F.col("__k"))
+    listed = lambda x: x.select(F.col("doc_id").alias("__d"), F.col("key").alias("__k"))
+    left = keyed.join(listed(gone), same, "left_anti")
+    again = written(listed(rows.where("n > 1")), "again")
+    once = left.join(again, same, "left_anti")
+    return once.union(left.join(again, same, "left_semi").dropDuplicates(["__id", "__key"])).select(*docs.columns)
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

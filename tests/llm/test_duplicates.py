@@ -87,7 +87,34 @@ def test_near_duplicates_equal_brute_force(spark, rows, n, percent):
     assert all(r.kept == (r.component_id == i) for i, r in got.items())
 
 
-def test_within_a_star_is_exact(spark):
+def key(i):
+    return i.to_bytes(16, "big")
+
+
+def within(spark, sets, percent, monkeypatch):
+    """Links within one star around set 0, and the number of pairs compared besides those with the centre."""
+    table = spark.createDataFrame([(key(i), sorted(s)) for i, s in sets.items()], "digest binary, shingles array<long>")
+    shares = 1 + len(sets) // minhash.SHARE
+    pairs = spark.createDataFrame([(key(0), key(i), i % shares, shares) for i in sets if i], "a binary, b binary, s int, shares int")
+    measured = minhash._measured(pairs, table, percent)
+    links = measured.where("linked").select("a", "b")
+    odd = minhash._odd(minhash._members(measured, components(links), percent), table)
+    sure = minhash._certain(odd, percent)
+    compared, kept = [], minhash.written
+
+    def count(df, name):
+        out = kept(df, name)
+        compared.append(out.count() if name == "met" else 0)
+        return out
+
+    monkeypatch.setattr(minhash, "written", count)
+    more = minhash._within(minhash._labelled(odd, components(links.union(sure)), "b", "part"), percent)
+    links = links.union(sure) if more is None else links.union(sure).union(more)
+    found = {(int.from_bytes(r.a, "big"), int.from_bytes(r.b, "big")) for r in links.collect()}
+    return found, sum(compared)
+
+
+def test_within_a_star_is_exact(spark, monkeypatch):
     """Pairs that aren't both linked with the centre, from the differences alone."""
     rng, centre = random.Random(4), set(range(200))
     sets = {0: centre}
@@ -99,15 +126,43 @@ def test_within_a_star_is_exact(spark):
     sets[300] = centre | {-k for k in range(1, 33)}
     sets[301] = set(sorted(centre)[:168])
     link = lambda a, b: 100 * len(sets[a] & sets[b]) >= 85 * len(sets[a] | sets[b])
-    table = spark.createDataFrame([(i, sorted(s)) for i, s in sets.items()], "doc_id long, shingles array<long>")
-    sizes = spark.createDataFrame([(i, len(s)) for i, s in sets.items()], "rep long, n_shingles long")
-    pairs = spark.createDataFrame([(0, i) for i in sets if i], "a long, b long")
-    measured = minhash._measured(pairs, sizes, table)
-    more = {(r.a, r.b) for r in minhash._within(measured, table, 85).collect()}
-    own = [(0, i) for i in sets if i and link(0, i)]
-    every = [p for p in combinations(sorted(sets), 2) if link(*p)]
-    assert smallest(sets, own + [p for p in more if link(*p)]) == smallest(sets, every)
-    assert len(more) < len(sets) ** 2 / 8
+    found, compared = within(spark, sets, 85, monkeypatch)
+    assert all(link(*p) for p in found)
+    assert smallest(sets, found) == smallest(sets, [p for p in combinations(sorted(sets), 2) if link(*p)])
+    assert compared < len(sets) ** 2 / 8
+
+
+@pytest.mark.parametrize("m", [20, 80])
+def test_families_within_a_star_give_few_pairs(spark, monkeypatch, m):
+    """Four families of m, none linked with the centre or another family: pairs grow with m, not with its square."""
+    rng, centre = random.Random(m), set(range(200))
+    sets = {0: centre}
+    for f in range(4):
+        base = (centre - set(range(20 * f, 20 * f + 20))) | {10_000 * (f + 1) + k for k in range(16)}
+        for i in range(m):
+            sets[1 + f * m + i] = base | {1_000_000 * (f + 1) + 10 * i + k for k in range(rng.randint(0, 3))}
+    link = lambda a, b: 100 * len(sets[a] & sets[b]) >= 85 * len(sets[a] | sets[b])
+    assert not any(link(0, i) for i in sets if i)
+    found, compared = within(spark, sets, 85, monkeypatch)
+    assert smallest(sets, found) == {i: 0 if i == 0 else (i - 1) // m * m + 1 for i in sets}
+    assert compared <= 16 * m
+
+
+def test_repeated_ids_lose_no_link(spark):
+    """Each text of an id is searched, and one doesn't carry the other's links on."""
+    rng = random.Random(9)
+    one, two = prose(rng, 40), prose(rng, 40)
+    rows = [(5, one, "en", "s"), (5, two, "en", "s"), (7, one + " more", "en", "s"), (9, two + " more", "en", "s"), (None, one, "en", "s"), (None, "alone here", "en", "s")]
+    got = sorted((str(r.doc_id), str(r.component_id), r.kept) for r in minhash.near_duplicates(documents(spark, rows)).collect())
+    assert got == [("5", "5", True), ("5", "5", True), ("7", "5", False), ("9", "5", False), ("None", "5", False), ("None", "None", True)]
+    rows = [(1, one, "en", "s"), (5, one, "en", "s"), (5, two, "en", "s"), (6, two + " more", "fr", "s"), (8, "", "en", "s"), (8, "", "en", "s"), (9, None, "en", "s"), (5, two, "de", "t")]
+    out = minhash.dedup(documents(spark, rows))
+    assert out.columns == documents(spark, rows).columns
+    got = sorted((r.doc_id, r.text or "") for r in out.collect())
+    assert got == [(1, one), (5, two), (8, ""), (9, "")]
+    assert minhash.dedup(documents(spark, [])).count() == 0
+    versions = [(3, one, "en", "s"), (3, one + " more", "en", "s"), (3, one + " other", "en", "s")]
+    assert minhash.dedup(documents(spark, versions)).count() == 1
 
 
 def test_shingle_sets_and_densification():
