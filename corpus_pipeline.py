@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sievewright.llm import langid, linedup, minhash, mixing, packing
-from sievewright.llm.common import new_path, unrepeated
+from sievewright.llm.common import new_path
 
 #: Share of the main language from which a document is taken for one of it.
 LEAST_SHARE = 0.5
@@ -37,11 +37,12 @@ def drop_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Da
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of near-duplicates (five-word shingles, similarity 0.8) keep the document of the smallest id."""
-    found = minhash.near_duplicates(docs).where("NOT kept").select(F.col("doc_id").alias("__gone")).distinct()
-    one = docs.join(found, F.col("doc_id") == F.col("__gone"), "left_anti")
-    # repeated rows of one document share its id: equal ones are copies too
-    return one.dropDuplicates(["doc_id", "text"]) if not unrepeated(docs) else one
+    """Of each group of near-duplicates (five-word shingles, similarity 0.8) keep the document of the smallest id.
+
+    What is compared, kept or dropped are rows: another text under a repeated id stays unless it is a copy itself. Null
+    ids come last, equal rows count once, texts without words all stay; an empty table stays empty.
+    """
+    return minhash.dedup(docs)
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
