@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from .plans import oracles, queries
+from .plans import more, oracles, queries
 
 _PLAIN = (
     "fanin_groups fanin_stats finding_normalize malformed_reasons contradictions assertion_sides trust_scan trust_summary command_risks token_estimate_by_lang query_terms dedup_blocks "
@@ -11,6 +11,6 @@ _PLAIN = (
     "budget_trim largest_remainder round_robin_merge ledger_compare ledger_upsert stale_invalidation reconcile lifecycle_tiers lifecycle_evict telemetry_summary provider_health "
     "trace_replay recall_benchmark topological_waves complexity_risk route reduction_modes simulate workflow_dimensions problem_list set_ops_sync contract_errors stream_fanin"
 ).split()
-QUERIES = {name: getattr(queries, name) for name in _PLAIN}
-ORACLES = dict(oracles.ORACLES)
+QUERIES = {name: getattr(queries, name) for name in _PLAIN} | more.QUERIES
+ORACLES = oracles.ORACLES | more.ORACLES
 FLAGSHIP = queries.fanin_groups

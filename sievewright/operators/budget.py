@@ -18,15 +18,29 @@ def prefix(rows: DataFrame, by: list[str], order: list, cost: str, limit: Column
 def skip(rows: DataFrame, by: str, order: str, cost: str, limit: int, most: int | None = None) -> DataFrame:
     """Of each group, in order, every row that still fits, passing over those that don't, `most` rows at most.
 
-    What fits depends on what was taken before, so a group is folded in order: over its sorted (order, cost) pairs
-    alone, which is the state of one pack of candidates, not of the corpus.
+    What fits depends on what was taken before: groups are folded in streams of Arrow batches, sorted within partitions,
+    so a group of any length costs two counters, and what was taken of it. Null costs don't count. Returns the group,
+    taken (array<long>) and used.
     """
-    pairs = F.array_sort(F.collect_list(F.struct(F.col(order).cast("long").alias("o"), F.col(cost).cast("long").alias("c"))))
-    room = F.lit(limit).cast("long")
-    start = F.struct(F.lit(0).cast("long").alias("used"), F.array().cast("array<bigint>").alias("taken"))
-    fits = lambda s, x: (s["used"] + x["c"] <= room) & ((F.size(s["taken"]) < most) if most else F.lit(True))
-    step = lambda s, x: F.struct(F.when(fits(s, x), s["used"] + x["c"]).otherwise(s["used"]).alias("used"), F.when(fits(s, x), F.concat(s["taken"], F.array(x["o"]))).otherwise(s["taken"]).alias("taken"))
-    return rows.groupBy(by).agg(F.aggregate(pairs, start, step).alias("s")).select(by, F.col("s.taken").alias("taken"), F.col("s.used").alias("used"))
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        started, group, used, taken = False, None, 0, []
+        for frame in frames:
+            out = []
+            for g, o, c in zip(frame[by], frame["__order"], frame["__cost"]):
+                if not started or g != group and not (pd.isna(g) and pd.isna(group)):
+                    if started:
+                        out.append((group, taken, used))
+                    started, group, used, taken = True, g, 0, []
+                if used + c <= limit and (most is None or len(taken) < most):
+                    used += c
+                    taken.append(o)
+            yield pd.DataFrame(out, columns=[by, "taken", "used"])
+        if started:
+            yield pd.DataFrame([(group, taken, used)], columns=[by, "taken", "used"])
+
+    sorted_ = rows.select(by, F.col(order).cast("long").alias("__order"), F.coalesce(F.col(cost), F.lit(0)).cast("long").alias("__cost")).repartition(by).sortWithinPartitions(by, "__order")
+    return sorted_.mapInPandas(run, f"{by} {rows.schema[by].dataType.simpleString()}, taken array<long>, used long")
 
 
 def next_fit(rows: DataFrame, by: str, order: str, cost: str, limit: int) -> DataFrame:

@@ -14,10 +14,12 @@ from ..functions.text import claim_terms
 from ..tables import written
 from .graph import components
 
-#: Postings beyond which a term is too common to block by, where a cut-off is asked for.
-COMMON = 200
+#: Parts of a class over which its first is handed back.
+SALTS = 32
 #: Least scores for which pairs are looked for in turn, until there are enough.
 STEPS = (0.9, 0.8, 0.65, 0.5, 0.3, 0.1)
+#: Comparisons, for each pair to be returned, up to which all scores are looked at in one step.
+FEW = 1000
 #: Registered detectors: name to (callable of findings, threshold, most pairs -> left, right, score; description).
 PROVIDERS: dict[str, tuple[Callable[[DataFrame, float, int], DataFrame], str]] = {}
 
@@ -40,25 +42,6 @@ def jaccard(a: Column, b: Column) -> Column:
     return F.when(union > 0, F.size(F.array_intersect(a, b)) / union).otherwise(0.0)
 
 
-def blocked_pairs(findings: DataFrame, most: int, common: int = COMMON) -> DataFrame:
-    """Pairs (left, right) of findings(idx, claim_text, identity) that share an identity or a term that isn't common.
-
-    A block gives bounded work: terms with more than `common` postings are left out, and of an identity only as many
-    members pair up as the `most` pairs to be returned can need, in order of their places.
-    """
-    cap = 8 * most
-    of_identity = findings.where("identity IS NOT NULL").select(F.concat(F.lit("i:"), "identity").alias("block"), "idx")
-    of_identity = of_identity.withColumn("n", F.row_number().over(Window.partitionBy("block").orderBy("idx"))).where(F.col("n") <= cap + 1)
-    terms = findings.select(F.explode(claim_terms(F.col("claim_text"))).alias("term"), "idx")
-    rare = terms.groupBy("term").agg(F.count("*").alias("postings")).where(f"postings BETWEEN 2 AND {common}")
-    of_term = terms.join(rare, "term").select(F.concat(F.lit("t:"), "term").alias("block"), "idx", F.lit(1).alias("n"))
-    rows = of_identity.unionByName(of_term)
-    right = rows.select("block", F.col("idx").alias("right"), F.col("n").alias("m"))
-    # the pairs of the first member come first, so members far down meet the first few alone
-    wanted = (F.col("idx") < F.col("right")) & (F.col("n").cast("long") * F.col("m") <= cap + 1)
-    return rows.join(right, "block").where(wanted).select(F.col("idx").alias("left"), "right").distinct()
-
-
 def _near(tokens: DataFrame, forms: DataFrame, least: float, sequence: bool, shared: bool) -> DataFrame:
     """Pairs (x, y) of forms with other terms whose score is `least` or more one way (score) or the other (back).
 
@@ -149,7 +132,11 @@ def best_pairs(rows: DataFrame, least: float, most: int, sequence: bool = True,
     nth = F.row_number().over(Window.partitionBy("kind", "x").orderBy("times", "token"))
     tokens = written(words.join(often, ["kind", "within", "token"]).withColumn("nth", nth).drop("times"), "tokens")
     sizes = forms.select("x", "n")
-    for t in [*[t for t in STEPS if t > least], least]:
+    # where even the lowest score leaves few to compare, that is the only step
+    share = max(0.0, least - 1e-6)
+    kept = F.col("nth") <= F.col("size") - F.ceil(F.when(F.col("kind") == "term", share).otherwise(share / (2 - share)) * F.col("size") - 1e-9) + 1
+    meetings = tokens.where(kept).groupBy("kind", "within", "token").agg(F.count("*").alias("n")).agg(F.sum(F.col("n") * F.col("n"))).first()[0] or 0
+    for t in [*[t for t in STEPS if t > least and meetings > FEW * most], least]:
         near = _near(tokens, forms, t, sequence, shared).join(sizes, "x").join(sizes.select(F.col("x").alias("y"), F.col("n").alias("m")), "y")
         near = written(near, "near")
         x, y, odd = F.concat(F.lit("x"), "x"), F.concat(F.lit("x"), "y"), F.col("score") != F.col("back")
@@ -170,30 +157,14 @@ def best_pairs(rows: DataFrame, least: float, most: int, sequence: bool = True,
     return out.union(rest.join(out, ["left", "right"], "left_anti").select("left", "right", "score")).orderBy(F.desc("score"), "left", "right").limit(most)
 
 
-def _scored(pairs: DataFrame, findings: DataFrame, sequence: bool) -> DataFrame:
-    """pairs(left, right) with their score, and whether both have one identity."""
-    for s in ("left", "right"):
-        pairs = pairs.join(findings.select(F.col("idx").alias(s), F.col("claim_text").alias(f"{s}_text"), F.col("identity").alias(f"{s}_identity")), s)
-    score = jaccard(claim_terms(F.col("left_text")), claim_terms(F.col("right_text")))
-    if sequence:
-        score = F.greatest(score, _ratio("left_text", "right_text"))
-    same = F.coalesce(F.col("left_identity") == F.col("right_identity"), F.lit(False))
-    return pairs.select("left", "right", F.round(score, 6).alias("score"), same.alias("same"))
-
-
-def lexical_pairs(findings: DataFrame, threshold: float = 0.72, most: int = 500, sequence: bool = True, common: int | None = None) -> DataFrame:
+def lexical_pairs(findings: DataFrame, threshold: float = 0.72, most: int = 500, sequence: bool = True) -> DataFrame:
     """The `most` best candidate pairs by the larger of Jaccard and sequence similarity; equal identities always count.
 
-    Candidates share a term or an identity. Where `common` is given, terms with more postings don't count, as in the
-    reference: then pairs that share nothing rarer are left out.
+    Candidates share a term or an identity, however common; `most` limits what is returned alone.
     """
-    if common is not None:
-        pairs = _scored(blocked_pairs(findings, most, common), findings, sequence).where((F.col("score") >= threshold) | F.col("same"))
-    else:
-        every = best_pairs(findings.withColumn("within", F.lit("")), threshold, most, sequence)
-        same = best_pairs(findings.where("identity IS NOT NULL").withColumn("within", F.col("identity")), 0.0, most, sequence, shared=False)
-        pairs = every.union(same).distinct()
-    return pairs.select("left", "right", "score").orderBy(F.desc("score"), "left", "right").limit(most)
+    every = best_pairs(findings.withColumn("within", F.lit("")), threshold, most, sequence)
+    same = best_pairs(findings.where("identity IS NOT NULL").withColumn("within", F.col("identity")), 0.0, most, sequence, shared=False)
+    return every.union(same).distinct().select("left", "right", "score").orderBy(F.desc("score"), "left", "right").limit(most)
 
 
 def detect(findings: DataFrame, provider: str = "lexical", threshold: float = 0.72, most: int = 500) -> DataFrame:
@@ -231,21 +202,54 @@ def verify(pairs: DataFrame, findings: DataFrame) -> DataFrame:
     return pairs.withColumn("verdict", verdict()).withColumn("merge_authorized", F.col("verdict") == "safe-duplicate")
 
 
+def class_pairs(findings: DataFrame) -> DataFrame:
+    """Pairs (left, right) of findings(idx, claim_text, identity, side) that stand for all with an equal claim or identity.
+
+    Each finding is paired with the first of every class that it is in: of equal claim, of equal identity, each of those
+    with an equal side, and of equal claim, side and identity; and findings of equal claim and side with the first of them
+    that has no identity, which may merge with any. What verify authorises of these joins the same findings as what it
+    authorises of all pairs, and a class of n gives n - 1. Texts are keys as hashes of 128 bits, and what is found for a
+    class is handed back over SALTS parts of it.
+    """
+    one = lambda c: F.struct(F.xxhash64(c), F.xxhash64(F.lit(1), c))
+    claim, identity, side = (F.when(F.col(c).isNotNull(), one(c)) for c in ("claim_text", "identity", "side"))
+    none = F.lit(None).cast("struct<col1: bigint, col2: bigint>")
+    rows = findings.select("idx", claim.alias("c"), identity.alias("i"), side.alias("s"))
+    key = lambda kind, c, i, s, on: F.when(on, F.struct(F.lit(kind).alias("kind"), c.alias("c"), i.alias("i"), s.alias("s")))
+    c, i, s = F.col("c"), F.col("i"), F.col("s")
+    classes = F.array(
+        key("claim", c, none, none, c.isNotNull()), key("identity", none, i, none, i.isNotNull()), key("claim-side", c, none, s, c.isNotNull()), key("identity-side", none, i, s, i.isNotNull()),
+        key("all", c, i, s, c.isNotNull()), key("unidentified", c, none, s, c.isNotNull()),
+    )
+    placed = rows.select("idx", (c.isNotNull() & i.isNull()).alias("free"), F.explode(F.array_compact(classes)).alias("key"), F.pmod(F.xxhash64("idx"), F.lit(SALTS)).alias("salt"))
+    placed = written(placed, "classes")
+    centre = F.min(F.when((F.col("key.kind") != "unidentified") | F.col("free"), F.col("idx")))
+    parts = written(placed.groupBy("key", "salt").agg(centre.alias("centre"), F.count("*").alias("n")), "parts")
+    first = parts.groupBy("key").agg(F.min("centre").alias("centre"), F.sum("n").alias("n")).where("n > 1 AND centre IS NOT NULL").select("key", "centre")
+    pairs = placed.join(parts.select("key", "salt").join(first, "key"), ["key", "salt"]).where("idx <> centre")
+    return pairs.select(F.least("idx", "centre").alias("left"), F.greatest("idx", "centre").alias("right")).distinct()
+
+
 def guarded_components(pairs: DataFrame, findings: DataFrame) -> DataFrame:
     """Findings(idx, identity, side) with the component that authorised pairs(left, right) put them in.
 
     Where a component would hold several identities or sides, only pairs that agree in them count: what lacks an
     identity can't bridge two.
     """
-    edges = pairs.select(F.col("left").alias("a"), F.col("right").alias("b"))
-    raw = components(edges, "raw")
+    edges = written(pairs.select(F.col("left").alias("a"), F.col("right").alias("b")), "pairs")
+    raw = written(components(edges, "raw"), "raw")
     known = findings.select("idx", "identity", "side")
-    mixed = raw.join(known, F.col("node") == F.col("idx")).groupBy("component").agg(F.count_distinct("identity").alias("identities"), F.count_distinct("side").alias("sides"))
+    least = lambda c: [F.min(c).alias(f"{c}_low"), F.max(c).alias(f"{c}_high")]
+    mixed = raw.join(known, F.col("node") == F.col("idx")).groupBy("component").agg(*least("identity"), *least("side"))
+    mixed = mixed.select("component", (F.col("identity_low").eqNullSafe(F.col("identity_high"))).alias("one_identity"), (F.col("side_low").eqNullSafe(F.col("side_high"))).alias("one_side")).where("NOT one_identity OR NOT one_side")
+    # the others are whole already
+    inside = written(raw.join(mixed, "component").select("node", "one_identity", "one_side"), "mixed")
+    some = edges.join(inside.withColumnRenamed("node", "a"), "a")
     for s in ("a", "b"):
-        edges = edges.join(known.select(F.col("idx").alias(s), F.col("identity").alias(f"{s}_identity"), F.col("side").alias(f"{s}_side")), s)
-    edges = edges.join(raw.withColumnRenamed("node", "a"), "a").join(mixed, "component")
-    agree = ((F.col("identities") <= 1) | F.col("a_identity").eqNullSafe(F.col("b_identity"))) & ((F.col("sides") <= 1) | F.col("a_side").eqNullSafe(F.col("b_side")))
-    final = components(edges.where(agree).select("a", "b"), "guarded")
+        some = some.join(known.select(F.col("idx").alias(s), F.col("identity").alias(f"{s}_identity"), F.col("side").alias(f"{s}_side")), s)
+    agree = (F.col("one_identity") | F.col("a_identity").eqNullSafe(F.col("b_identity"))) & (F.col("one_side") | F.col("a_side").eqNullSafe(F.col("b_side")))
+    again = components(some.where(agree).select("a", "b"), "guarded")
+    final = raw.join(inside, "node", "left_anti").select("node", "component").union(again)
     return findings.join(final, F.col("idx") == F.col("node"), "left").withColumn("component", F.coalesce("component", "idx")).drop("node")
 
 

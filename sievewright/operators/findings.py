@@ -76,22 +76,40 @@ def decide(findings: DataFrame, min_confidence: float = 0.0, trust_policy: str =
     return findings.withColumn("decision", out.otherwise(F.struct(F.lit("keep").alias("decision"), F.lit(None).cast("string").alias("reason"))))
 
 
+def _code(*parts: str | Column) -> Column:
+    """128 bits that stand for a value, or a tuple of them, in keys and distinct counts; null if any part is."""
+    cols = [F.col(p) if isinstance(p, str) else p for p in parts]
+    known = cols[0].isNotNull()
+    for c in cols[1:]:
+        known = known & c.isNotNull()
+    return F.when(known, F.struct(F.xxhash64(*cols).alias("x"), F.xxhash64(F.lit(1), *cols).alias("y")))
+
+
 def groups(findings: DataFrame, policy: str = "exact-claim") -> DataFrame:
     """Findings with equal group key and assertion as one row: who and what supports it, and its best finding.
 
-    The best has the highest confidence, then the first worker and source. Distinct counts are of sets; every state of
-    the aggregation is bounded by a group's distinct support, and counts are combined before they are shuffled.
+    The best has the highest confidence, then the first worker and source. Keys and what is counted as distinct are
+    hashes of 128 bits, so rows that are expanded for the counts hold no text; the best finding alone carries it, and the
+    key is worked out from that. Counts are combined before they are shuffled.
     """
     ref = fingerprint(F.col("source"), F.sha2(F.col("evidence"), 256), F.col("provenance"))
     rank = F.struct(-F.col("confidence"), F.col("worker"), F.col("source"), F.col("ordinal"))
-    rows = findings.withColumns({"assertion_key": assertion_key(policy), "__ref": ref})
-    out = rows.groupBy("group_key", "assertion_key").agg(
-        F.count("*").alias("occurrence_count"), F.count_distinct("worker").alias("workers"), F.count_distinct("source").alias("independent_source_count"),
-        F.count_distinct("worker", "source").alias("worker_sources"), F.count_distinct("__ref").alias("independent_evidence_count"), F.count_distinct("claim_text").alias("claim_variants"),
-        F.min_by(F.struct("ordinal", "claim", "evidence", "source", "worker", "confidence", "identity", "side", "polarity_text", "value_text", "unit_text"), rank).alias("best"), F.min("ordinal").alias("first_seen"),
+    coded = {
+        "__key": F.struct(_code("group_key").alias("g"), _code(assertion_key(policy)).alias("a")), "__worker": _code("worker"), "__source": _code("source"), "__both": _code("worker", "source"),
+        "__ref": _code(ref), "__claim": _code("claim_text"), "__rank": rank,
+    }
+    best = ("ordinal", "claim", "evidence", "source", "worker", "confidence", "canonical_key", "identity", "side", "polarity_text", "value_text", "unit_text")
+    out = findings.withColumns(coded).groupBy("__key").agg(
+        F.count("*").alias("occurrence_count"), F.count_distinct("__worker").alias("workers"), F.count_distinct("__source").alias("independent_source_count"),
+        F.count_distinct("__both").alias("worker_sources"), F.count_distinct("__ref").alias("independent_evidence_count"), F.count_distinct("__claim").alias("claim_variants"),
+        F.min_by(F.struct(*best), "__rank").alias("best"), F.min("ordinal").alias("first_seen"),
     )
     agreement = F.greatest(F.lit(1), F.col("workers")).cast("long")
-    return out.withColumns({
+    claim = identity_text(F.col("best.claim"))
+    canonical = F.when(F.col("best.canonical_key") != "", F.concat(F.lit("canonical:"), F.col("best.canonical_key")))
+    exact = F.when(F.col("best.canonical_key") != "", F.concat(F.lit("claim:"), claim)) if policy == "exact-claim" else F.lit(None).cast("string")
+    return out.drop("__key").withColumns({
+        "group_key": F.coalesce(canonical, F.concat(F.lit("claim:"), claim)), "assertion_key": F.coalesce(F.concat(F.lit("side:"), F.col("best.side")), exact, F.lit("")),
         "agreement_count": agreement, "duplicates": F.col("occurrence_count") - 1, "intra_worker_repeats": F.col("occurrence_count") - F.col("workers"),
         "same_source_repeats": F.col("occurrence_count") - F.col("worker_sources"), "cross_worker_support": F.col("workers") - 1,
     })
@@ -105,13 +123,12 @@ def support(findings: DataFrame, policy: str = "exact-claim") -> DataFrame:
 def contradictions(findings: DataFrame) -> DataFrame:
     """Identities whose findings disagree in polarity or value: the reasons, the numbers of sides and of findings.
 
-    All findings stay where they are; nothing is averaged or dropped. Aggregates are distinct counts, so an identity
-    with any number of findings is combined before the shuffle.
+    All findings stay where they are; nothing is averaged or dropped. Findings of one identity and side are counted
+    first, so the distinct counts are over few rows, and over hashes of 128 bits.
     """
-    rows = findings.where("identity IS NOT NULL")
-    out = rows.groupBy("identity").agg(
-        F.count("*").alias("findings"), F.count_distinct(F.nullif(F.col("polarity_text"), F.lit(""))).alias("polarities"), F.count_distinct("value_text").alias("values"), F.count_distinct("side").alias("sides")
-    )
+    rows = findings.where("identity IS NOT NULL").withColumns({"__polarity": _code(F.nullif(F.col("polarity_text"), F.lit(""))), "__value": _code("value_text"), "__side": _code("side")})
+    rows = rows.groupBy("identity", "__polarity", "__value", "__side").agg(F.count("*").alias("n"))
+    out = rows.groupBy("identity").agg(F.sum("n").alias("findings"), F.count_distinct("__polarity").alias("polarities"), F.count_distinct("__value").alias("values"), F.count_distinct("__side").alias("sides"))
     reasons = F.array_compact(F.array(F.when(F.col("polarities") > 1, "polarity disagreement"), F.when(F.col("values") > 1, "value disagreement")))
     return out.withColumn("reasons", reasons).where("findings > 1 AND size(reasons) > 0")
 

@@ -85,20 +85,23 @@ def degrees(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     return nodes.select("node").distinct().join(sums, "node", "left").fillna(0, ["out_degree", "in_degree"])
 
 
-def distances(edges: DataFrame, entries: DataFrame, most: int = 64) -> DataFrame:
-    """Nodes that can be reached from entries(node) along edges, with the least number of steps, up to `most`.
+def distances(edges: DataFrame, entries: DataFrame, most: int | None = None) -> DataFrame:
+    """Nodes that can be reached from entries(node) along edges, with the least number of steps; of at most `most` steps
+    where given.
 
-    Each level joins the frontier alone with the edges and keeps what wasn't seen; levels are written, so lineage stays
-    short and a lost executor costs one level.
+    Each level joins the frontier alone with the edges and keeps what wasn't seen, until nothing new comes; levels are
+    written, so lineage stays short and a lost executor costs one level, and those of every 16 are joined into one table.
     """
-    edges = edges.select("src", "dst").distinct()
+    edges = written(edges.select("src", "dst").distinct(), "edges")
     frontier = written(entries.select("node").distinct().withColumn("distance", F.lit(0)), "level")
     seen, depth = frontier, 0
-    while depth < most and frontier.head(1):
+    while (most is None or depth < most) and frontier.head(1):
         depth += 1
         after = frontier.join(edges, F.col("node") == F.col("src")).select(F.col("dst").alias("node")).distinct().join(seen, "node", "left_anti")
         frontier = written(after.withColumn("distance", F.lit(depth)), "level")
         seen = seen.union(frontier)
+        if depth % 16 == 0:
+            seen = written(seen, "levels")
     return seen
 
 
@@ -108,20 +111,24 @@ def neighbourhood(edges: DataFrame, seeds: DataFrame, depth: int = 1) -> DataFra
     return distances(both, seeds, depth).select("node")
 
 
-def levels(nodes: DataFrame, needs: DataFrame, most: int = 64) -> DataFrame:
-    """nodes(node) with the wave in which each can run: after all that it needs(node, on). Cycles raise an error."""
-    known = nodes.select("node").distinct()
-    wave = written(known.join(needs.select("node").distinct(), "node", "left_anti").withColumn("wave", F.lit(0)), "wave")
-    done, n, total = wave, 0, known.count()
-    while wave.head(1) and n < most:
+def levels(nodes: DataFrame, needs: DataFrame) -> DataFrame:
+    """nodes(node) with the wave in which each can run: after all that it needs(node, on), however deep. Needs of others
+    than these nodes don't count, and needs on others are never met. Where a wave is empty while nodes are left, they
+    wait for each other, and an error is raised."""
+    left = written(nodes.select("node").distinct(), "nodes")
+    needs = written(needs.select("node", "on").distinct().join(left, "node", "left_semi"), "needs")
+    done, n = None, 0
+    while left.head(1):
+        wave = written(left.join(needs.select("node").distinct(), "node", "left_anti").withColumn("wave", F.lit(n)), "wave")
+        if not wave.head(1):
+            raise ValueError("the dependencies have a cycle")
+        done = wave if done is None else done.union(wave)
+        needs = written(needs.join(wave.select(F.col("node").alias("on")), "on", "left_anti").select("node", "on"), "needs")
+        left = written(left.join(wave, "node", "left_anti"), "nodes")
         n += 1
-        left = known.join(done, "node", "left_anti")
-        blocked = needs.join(done.select(F.col("node").alias("on")), "on", "left_anti").select("node").distinct()
-        wave = written(left.join(blocked, "node", "left_anti").withColumn("wave", F.lit(n)), "wave")
-        done = done.union(wave)
-    if done.count() != total:
-        raise ValueError("the dependencies have a cycle")
-    return done
+        if n % 16 == 0:
+            done = written(done, "waves")
+    return left.withColumn("wave", F.lit(0)) if done is None else done
 
 
 def lexical_score(terms: Column, path: Column, symbols: Column, imports: Column) -> Column:

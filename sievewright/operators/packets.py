@@ -2,9 +2,6 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -28,24 +25,28 @@ def finding_order() -> list[Column]:
     return [F.desc("confidence"), F.desc("agreement_count"), F.desc("independent_evidence_count"), F.desc("independent_source_count"), F.asc("claim")]
 
 
-def ordered(findings: DataFrame) -> DataFrame:
-    """Findings with their place in a packet (packet_rank, from 1), by ranges rather than in one task.
+def numbered(rows: DataFrame, order: list, name: str) -> DataFrame:
+    """rows with their place (column `name`, from 1) in an order, by ranges rather than in one task.
 
     A range sort gives each partition a run of places; the runs' lengths, one number a partition, are added up.
     """
-    parts = int(findings.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    runs = findings.repartitionByRange(parts, *finding_order()).withColumn("__part", F.spark_partition_id())
-    runs = written(runs, "ranges")
+    parts = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    runs = written(rows.repartitionByRange(parts, *order).withColumn("__part", F.spark_partition_id()), "ranges")
     before = Window.orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)
     starts = runs.groupBy("__part").agg(F.count("*").alias("n")).select("__part", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("__start"))
-    here = F.row_number().over(Window.partitionBy("__part").orderBy(*finding_order()))
-    return runs.join(starts, "__part").withColumn("packet_rank", F.col("__start") + here).drop("__part", "__start")
+    here = F.row_number().over(Window.partitionBy("__part").orderBy(*order))
+    return runs.join(starts, "__part").withColumn(name, F.col("__start") + here).drop("__part", "__start")
+
+
+def ordered(findings: DataFrame) -> DataFrame:
+    """Findings with their place in a packet (packet_rank, from 1)."""
+    return numbered(findings, finding_order(), "packet_rank")
 
 
 def source_refs(rows: DataFrame, order: str, source: str) -> DataFrame:
     """Each distinct source with its name S1, S2 and so on, in the order in which it is first cited."""
     first = rows.groupBy(source).agg(F.min(order).alias("first_cited"))
-    return first.withColumn("ref", F.concat(F.lit("S"), F.row_number().over(Window.orderBy("first_cited", source)).cast("string")))
+    return numbered(first, [F.asc("first_cited"), F.asc(source)], "__n").withColumn("ref", F.concat(F.lit("S"), F.col("__n").cast("string"))).drop("__n")
 
 
 def without_contradicted(findings: DataFrame, contradictions: DataFrame) -> DataFrame:
@@ -53,23 +54,27 @@ def without_contradicted(findings: DataFrame, contradictions: DataFrame) -> Data
     return findings.join(contradictions.select("identity"), "identity", "left_anti")
 
 
-def pack(findings: DataFrame, limit: int, base_bytes: int = 0) -> DataFrame:
+def pack(findings: DataFrame, limit: int, base_bytes: int = 0, chunk: int = 4096) -> DataFrame:
     """The findings of one packet that fit in `limit` tokens, passing over those that don't, in the packet's order.
 
-    findings(packet_rank, text). The packet is one bounded thing: its candidates stream in order through one counter.
+    findings(packet_rank, text). Whether one fits depends on those before it, but of these no more than the limit's bytes
+    can be taken. So sizes alone are read, `chunk` at a time in order, and of those that still fit in what is left: each
+    chunk's first is taken, and there are no more chunks than findings taken.
     """
-
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        used = base_bytes
-        for frame in frames:
-            keep = []
-            for text in frame["text"]:
-                size = len(text.encode()) + 1
-                keep.append(-(-(used + size) // 4) <= limit)
-                used += size if keep[-1] else 0
-            yield frame[keep]
-
-    return findings.select("packet_rank", "text").coalesce(1).sortWithinPartitions("packet_rank").mapInPandas(run, "packet_rank long, text string")
+    spark = findings.sparkSession
+    sizes = written(findings.select("packet_rank", (F.octet_length("text") + 1).alias("size")), "sizes")
+    room, last, taken = 4 * limit - base_bytes, None, []
+    while room > 0:
+        rows = sizes.where(F.col("size") <= room) if last is None else sizes.where((F.col("size") <= room) & (F.col("packet_rank") > last))
+        some = rows.orderBy("packet_rank").limit(chunk).collect()
+        for r in some:
+            if r.size <= room:
+                room -= r.size
+                taken.append(r.packet_rank)
+        if len(some) < chunk:
+            break
+        last = some[-1].packet_rank
+    return findings.select("packet_rank", "text").join(spark.createDataFrame([(x,) for x in taken], "packet_rank long"), "packet_rank", "left_semi")
 
 
 def dimensions(task: Column) -> Column:
@@ -111,3 +116,13 @@ def admission(indexed: Column, relevance: Column, lines: Column) -> Column:
 
 def tokens(text: Column) -> Column:
     return estimated_tokens(text)
+
+
+def project_problems(problems: DataFrame, most: int = 4) -> DataFrame:
+    """Problems or dimensions (id, text, ordinal, status, purpose, evidence_refs, candidate_paths: arrays) in short: the
+    first `most` references and paths, with how many there are; null where there are none. All rows stay."""
+    have = lambda c: F.size(F.coalesce(F.col(c), F.array().cast("array<string>"))) > 0
+    cut = lambda c: F.when(have(c), F.slice(F.col(c), 1, most))
+    size = lambda c: F.when(have(c), F.size(c).cast("long"))
+    plain = [c for c in ("id", "text", "ordinal", "status", "purpose") if c in problems.columns]
+    return problems.select(*plain, cut("evidence_refs").alias("evidence_refs"), size("evidence_refs").alias("evidence_ref_count"), cut("candidate_paths").alias("candidate_paths"), size("candidate_paths").alias("candidate_path_count"))

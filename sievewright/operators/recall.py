@@ -60,9 +60,14 @@ def lines_of(files: DataFrame, path: str = "path", text: str = "content") -> Dat
     return files.select(F.col(path).alias("path"), F.posexplode(F.split(F.coalesce(text, F.lit("")), "\n")).alias("n", "content")).select("path", (F.col("n") + 1).alias("line"), "content")
 
 
+def matches(lines: DataFrame, pattern: str) -> DataFrame:
+    """All lines with a match: what scores are worked out from."""
+    return lines.where(F.col("content").rlike(pattern))
+
+
 def grep(lines: DataFrame, pattern: str, per_file: int = 3, most: int = 80) -> DataFrame:
     """Lines with a match: the first `per_file` of a file, of at most `most` files, `most` lines in all (a report)."""
-    hits = lines.where(F.col("content").rlike(pattern))
+    hits = matches(lines, pattern)
     first = hits.withColumn("nth", F.row_number().over(Window.partitionBy("path").orderBy("line"))).where(F.col("nth") <= per_file)
     return first.orderBy("path", "line").limit(most).drop("nth")
 

@@ -62,3 +62,44 @@ def changed_paths(before: DataFrame, after: DataFrame) -> DataFrame:
     """Paths that were added or removed between two listings."""
     a, b = before.select("path").distinct(), after.select("path").distinct()
     return b.join(a, "path", "left_anti").withColumn("change", F.lit("added")).unionByName(a.join(b, "path", "left_anti").withColumn("change", F.lit("removed")))
+
+
+# What a state folder holds that can be made again, and what can't.
+REGENERABLE = ("index.json", "cache", "sessions", "runs", "budgets", "lifecycle", "provider-health.json", "knowledge.json", "telemetry", "runtime-runs", "context-stores")
+PRESERVED = ("config.json", "providers.json", "providers.d", "artifacts")
+
+
+def overlay_items(overlay: DataFrame, tier: str | None = None, current_only: bool = False) -> DataFrame:
+    """Items(path, symbol, id, tier, validity) of an overlay, of a tier and current ones where asked for, in the order of
+    path, symbol and id."""
+    rows = overlay if tier is None else overlay.where(F.col("tier") == tier)
+    rows = rows.where("validity = 'current'") if current_only else rows
+    return rows.orderBy(*[F.coalesce(c, F.lit("")) for c in ("path", "symbol", "id")])
+
+
+def overlay_counts(overlay: DataFrame, locators: DataFrame, invalidations: DataFrame) -> DataFrame:
+    """One row: active and rejected items, what could be recalled of the locators(id) besides, and invalidations."""
+    known = locators.select("id").distinct().withColumn("__known", F.lit(1))
+    rows = overlay.select("id", "tier").join(known, "id", "left")
+    counts = rows.agg(F.count_if(F.col("tier") == "active").alias("active"), F.count_if(F.col("tier") == "rejected").alias("rejected"), F.count_if((F.col("tier") == "rejected") & F.col("__known").isNotNull()).alias("there"))
+    total, gone = locators.agg(F.count("*").alias("total")), invalidations.agg(F.count("*").alias("invalidations"))
+    out = counts.crossJoin(total).crossJoin(gone)  # one row each
+    return out.select("active", "rejected", F.greatest(F.lit(0), F.col("total") - F.col("active") - F.col("there")).alias("recallable"), "invalidations")
+
+
+def inventory(files: DataFrame) -> DataFrame:
+    """files(path, bytes) of a state folder by their entry in it: number, bytes, and whether they can be made again."""
+    entry = F.substring_index("path", "/", 1)
+    kind = F.when(entry.isin(*REGENERABLE), "regenerable").when(entry.isin(*PRESERVED), "preserved").otherwise("unrecognized")
+    return files.groupBy(entry.alias("entry"), kind.alias("class")).agg(F.count("*").alias("files"), F.sum("bytes").alias("bytes"))
+
+
+def inventory_bytes(files: DataFrame) -> DataFrame:
+    """Bytes of a state folder that can be made again, that can't, and of what isn't known."""
+    return inventory(files).groupBy("class").agg(F.sum("bytes").alias("bytes"))
+
+
+def run_summary(results: DataFrame) -> DataFrame:
+    """results(run_id, node, status) by run: which nodes are done, and the status of each."""
+    done = F.array_sort(F.collect_list(F.when(F.col("status") == "success", F.col("node"))))
+    return results.groupBy("run_id").agg(done.alias("completed_nodes"), F.map_from_entries(F.array_sort(F.collect_list(F.struct("node", "status")))).alias("node_statuses"))

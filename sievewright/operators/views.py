@@ -98,3 +98,40 @@ def problem_status(problems: DataFrame, evidence: DataFrame) -> DataFrame:
     rows = problems.join(evidence, F.exists("terms", lambda t: F.contains(F.lower("text"), t)), "left")
     out = rows.groupBy("problem_id").agg(F.count("context_id").alias("evidence"), F.count_if("selected").alias("selected"))
     return out.withColumn("status", F.when(F.col("selected") > 0, "covered").when(F.col("evidence") > 0, "queued").otherwise("unresolved"))
+
+
+def _glob(pattern: str) -> str:
+    """A pattern of folders as a regular expression: * is part of a name, ** any number of names."""
+    parts = [r"(?:[^/]+/)*" if p == "**" else "[^/]*".join(map(_quote, p.split("*"))) + "/" for p in pattern.strip("'\" ").removeprefix("./").strip("/").split("/")]
+    return "^" + "".join(parts).removesuffix("/") + "$"
+
+
+def member_patterns(files: DataFrame, most: int = 1000) -> list[tuple[str, str]]:
+    """(kind, pattern) of the members that manifests at the root of files(path, content) list, in the order in which they
+    count. Three files are read; `most` patterns bound what comes to the driver, and more raise an error."""
+    text = F.col("content")
+    of = F.from_json(F.coalesce(F.get_json_object(text, "$.workspaces.packages"), F.get_json_object(text, "$.workspaces")), "array<string>")
+    cargo = F.regexp_extract(text, r"(?s)\[workspace\].*?members\s*=\s*\[(.*?)\]", 1)
+    listed = (
+        F.when(F.col("path") == "package.json", of).when(F.col("path") == "pnpm-workspace.yaml", F.transform(F.regexp_extract_all(text, F.lit(r"(?m)^\s*-\s*['\"]?([^'\"#\n]+)"), F.lit(1)), F.trim))
+        .when(F.col("path") == "Cargo.toml", F.regexp_extract_all(cargo, F.lit(r"['\"]([^'\"]+)['\"]"), F.lit(1)))
+    )
+    kind = F.when(F.col("path") == "package.json", F.struct(F.lit(0), F.lit("javascript-workspace"))).when(F.col("path") == "pnpm-workspace.yaml", F.struct(F.lit(1), F.lit("pnpm-workspace"))).otherwise(F.struct(F.lit(2), F.lit("cargo-workspace")))
+    rows = files.where(F.col("path").isin("package.json", "pnpm-workspace.yaml", "Cargo.toml")).select(kind.alias("k"), F.posexplode(listed).alias("place", "pattern")).orderBy("k", "place").limit(most + 1).collect()
+    if len(rows) > most:
+        raise ValueError(f"manifests list more than {most} patterns of members")
+    return [(r.k[1], r.pattern) for r in rows if r.pattern and not r.pattern.startswith("!")]
+
+
+def detect_workspaces(files: DataFrame) -> DataFrame:
+    """Folders of files(path, content) that manifests at the root list as members, by the first that does, and children
+    of the usual folders; with their kind."""
+    parts = F.split("path", "/")
+    folders = files.select(F.explode(F.transform(F.sequence(F.lit(0), F.greatest(F.lit(0), F.size(parts) - 2)), lambda n: F.array_join(F.slice(parts, F.lit(1), n + 1), "/"))).alias("folder"), F.size(parts).alias("n")).where("n > 1").select("folder").distinct()
+    kind = None
+    for name, pattern in member_patterns(files):
+        hit = F.col("folder").rlike(_glob(pattern))
+        kind = F.when(hit, name) if kind is None else kind.when(hit, name)
+    usual = F.col("folder").rlike(f"^(?:{'|'.join(WORKSPACE_FOLDERS)})/[^/]+$")
+    kind = F.when(usual, "monorepo-module") if kind is None else kind.when(usual, "monorepo-module")
+    return folders.withColumn("kind", kind).where("kind IS NOT NULL")

@@ -32,7 +32,10 @@ DOC_GROUPS = f"""SELECT group_key, count(*) AS occurrence_count, count(DISTINCT
 LINES = """SELECT 'tuple:' || l_orderkey || '|returnflag||' AS identity, 'string:' || lower(l_returnflag) AS v, lower(l_linestatus) AS p FROM lineitem"""
 TURNS = f"SELECT conv_id, turn, {tokens('text')}::BIGINT AS cost FROM conversations"
 PARTS = f"""SELECT p_partkey AS idx, {norm('p_name')} AS claim, CASE WHEN p_partkey % 3 <> 0 THEN 'canonical:' || p_brand || '/' || p_type END AS identity, '|number:' || p_size || '|' AS side FROM part"""
-PAIRS = f"""f AS ({PARTS}), pairs AS (SELECT a.idx AS l, b.idx AS r FROM f a JOIN f b ON a.claim = b.claim AND a.idx < b.idx UNION SELECT a.idx, b.idx FROM f a JOIN f b ON a.identity = b.identity AND a.idx < b.idx),
+_first = lambda *by: f"min(idx) OVER (PARTITION BY {', '.join(by)})"
+_classes = [f"SELECT idx, {_first('claim')} AS c FROM f", f"SELECT idx, {_first('identity')} FROM f WHERE identity IS NOT NULL", f"SELECT idx, {_first('claim', 'side')} FROM f", f"SELECT idx, {_first('identity', 'side')} FROM f WHERE identity IS NOT NULL",
+            f"SELECT idx, {_first('claim', 'side', 'identity')} FROM f", "SELECT idx, min(CASE WHEN identity IS NULL THEN idx END) OVER (PARTITION BY claim, side) FROM f"]
+PAIRS = f"""f AS ({PARTS}), pairs AS (SELECT DISTINCT least(idx, c) AS l, greatest(idx, c) AS r FROM ({' UNION ALL '.join(_classes)}) WHERE idx <> c),
 v AS (SELECT l, r, a.identity AS ai, b.identity AS bi, a.side AS sa, b.side AS sb, CASE WHEN a.identity <> b.identity THEN 'conflicting-identity' WHEN a.side <> b.side AND a.identity = b.identity THEN 'same-identity-different-assertion'
  WHEN a.side <> b.side THEN 'conflicting-structured-assertion' WHEN a.claim <> '' AND a.claim = b.claim THEN 'safe-duplicate' WHEN a.identity IS NULL OR b.identity IS NULL OR a.identity <> b.identity THEN 'insufficient-identity' ELSE 'safe-duplicate' END AS verdict
  FROM pairs JOIN f a ON a.idx = l JOIN f b ON b.idx = r)"""
@@ -123,9 +126,8 @@ SELECT (SELECT count(*) FROM f) AS extracted, 0::BIGINT AS malformed, (SELECT co
  'identity|' || regexp_replace(url, '[?#].*$', ''), regexp_replace(url, '[?#].*$', ''), NULL, 'identity' FROM pages)
 SELECT min(o) AS first_seen, count(*) AS occurrence_count, count(DISTINCT p) AS provider_count, count(DISTINCT loc) AS location_count, max(s) AS provider_score, kind FROM b GROUP BY k, kind""",
     "candidate_pairs_jaccard": f"""WITH f AS ({PARTS}), t AS (SELECT idx, unnest(list_distinct(list_filter(regexp_extract_all(claim, '[a-z0-9_.:/-]{{2,}}'), lambda x: x NOT IN ('the', 'and', 'for', 'with', 'from', 'this', 'that', 'into', 'is', 'are', 'was', 'were')))) AS term FROM f),
-n AS (SELECT idx, count(*) AS n FROM t GROUP BY idx), rare AS (SELECT term FROM t GROUP BY term HAVING count(*) BETWEEN 2 AND 200),
-i AS (SELECT idx, identity, row_number() OVER (PARTITION BY identity ORDER BY idx) AS k FROM f WHERE identity IS NOT NULL),
-c AS (SELECT a.idx AS l, b.idx AS r FROM t a JOIN t b ON a.term = b.term AND a.idx < b.idx JOIN rare ON rare.term = a.term UNION SELECT a.idx, b.idx FROM i a JOIN i b ON a.identity = b.identity AND a.idx < b.idx AND a.k * b.k <= 16001),
+n AS (SELECT idx, count(*) AS n FROM t GROUP BY idx),
+c AS (SELECT a.idx AS l, b.idx AS r FROM t a JOIN t b ON a.term = b.term AND a.idx < b.idx UNION SELECT a.idx, b.idx FROM f a JOIN f b ON a.identity = b.identity AND a.idx < b.idx),
 s AS (SELECT l, r, count(b.term) AS x FROM c JOIN t a ON a.idx = l LEFT JOIN t b ON b.idx = r AND b.term = a.term GROUP BY l, r),
 j AS (SELECT l, r, round(x::DOUBLE / (p.n + q.n - x), 6) AS score, fa.identity = fb.identity AS same FROM s JOIN n p ON p.idx = l JOIN n q ON q.idx = r JOIN f fa ON fa.idx = l JOIN f fb ON fb.idx = r)
 SELECT l AS "left", r AS "right", score FROM j WHERE score >= 0.5 OR same ORDER BY score DESC, l, r LIMIT 2000""",

@@ -111,7 +111,7 @@ def recall_context(places: DataFrame, files: DataFrame, query: str, active: Data
         seeds = active.join(places.select("id", "path"), "id").select(F.col("path").alias("node")).distinct()
         near = graph.neighbourhood(edges, seeds, 1).select(F.col("node").alias("path"), F.lit(True).alias("neighbour"))
         known = known.join(near, "path", "left").fillna(False, ["neighbour"])
-    hits = recall.grep(recall.lines_of(files), pattern or "(?i)" + "|".join(map(re.escape, query.split()[:8])))
+    hits = recall.matches(recall.lines_of(files), pattern or "(?i)" + "|".join(map(re.escape, query.split()[:8])))
     rows = recall.pruned(recall.with_hits(recall.scored(known, query), hits)).orderBy(F.desc("score"), "path", "symbol").limit(4 * top)
     text = files.select("path", F.split("content", "\n").alias("__lines"))
     body = F.when(F.col("kind") == "symbol", F.array_join(F.slice("__lines", F.greatest(F.lit(1), F.col("start_line")), F.greatest(F.lit(1), F.col("end_line") - F.col("start_line") + 1)), "\n"))
@@ -217,3 +217,48 @@ def append(rows: DataFrame, path: str, now: Column) -> None:
     """Append events or artifacts to a table, with when and a fingerprint of their text columns."""
     texts = [F.col(c) for c, t in rows.dtypes if t == "string"]
     rows.withColumns({"ts": now, "fingerprint": fingerprint(*texts) if texts else F.lit(None).cast("string")}).write.mode("append").parquet(path)
+
+
+@dataclass
+class ContextRun:
+    """What a context request gives: each a DataFrame, computed when asked for."""
+
+    plan: DataFrame
+    lanes: DataFrame
+    files: DataFrame
+    symbols: DataFrame
+    blocks: DataFrame
+    coverage: DataFrame
+    stale: DataFrame
+    locators: DataFrame
+    status: DataFrame
+
+
+def execute_context(task: str, files: DataFrame, external: DataFrame | None = None, active: DataFrame | None = None, budget_tokens: int = 6000, forced: str | None = None, run_id: str = "run") -> ContextRun:
+    """A whole context request over files(path, bytes, content): the plan of the task with its lanes; an index of the
+    files, ranked by the import graph and the task's terms; the pack that fits; external blocks, each once; what of the
+    active(id, path, revision) evidence of before is stale; every place as a locator, active where the pack holds it,
+    else recallable; and whether the pack is enough. Revisions are the blobs' ids. Nothing is run or delegated here.
+    """
+    from ..operators import blocks, planning, state
+    from ..sources import repository, version_control
+
+    spark, budget_tokens = files.sparkSession, max(800, budget_tokens)
+    planned = planning.plans(spark.createDataFrame([(run_id, task)], "run_id string, task string"), forced=forced)
+    index = repository.build_index(files)
+    links = graph.resolve_imports(index.select(F.col("path").alias("src"), F.explode("imports").alias("spec")), index.select("path"))
+    edges = links.where("kind = 'edge'").select("src", "dst")
+    named = index.withColumns({"symbols": F.array_join("symbols", " "), "imports": F.array_join("imports", " ")})
+    distance = graph.distances(edges, index.where("entry_point").select(F.col("path").alias("node")))
+    ranked = graph.rank_files(named, graph.degrees(index.select(F.col("path").alias("node")), edges), distance, task)
+    details = index.select("path", F.explode("symbol_details").alias("s")).select("path", "s.name", "s.start_line", "s.end_line", "s.estimated_tokens")
+    chosen, picked, seen = context_pack(ranked, details, task, budget_tokens)
+    revisions = files.select("path", version_control.blob_id(F.col("content")).alias("revision"))
+    old = active if active is not None else spark.createDataFrame([], "id string, path string, revision string")
+    held = chosen.select(locator_id(F.col("path"), F.lit(None).cast("string"), F.lit(None).cast("int"), F.lit(None).cast("int")).alias("id")).union(picked.select(locator_id(F.col("path"), F.col("name"), F.col("start_line"), F.col("end_line"))))
+    places = repository.locators(index).withColumn("id", locator_id(F.col("path"), F.col("symbol"), F.col("start_line"), F.col("end_line")))
+    tiered = places.join(held.distinct().withColumn("__held", F.lit(True)), "id", "left").withColumn("tier", F.when(F.col("__held"), "active").otherwise("recallable")).drop("__held").join(revisions, "path", "left")
+    outside = blocks.deduplicate(external) if external is not None else blocks.deduplicate(spark.createDataFrame([], "ordinal long, provider string, path string, symbol string, fingerprint string, provider_score double"))
+    counts = chosen.agg(F.count("*").alias("files"), F.coalesce(F.max("used"), F.lit(0)).alias("file_tokens")).crossJoin(picked.agg(F.count("*").alias("symbols"))).crossJoin(seen)  # one row each
+    reasons = packets.sufficiency(F.col("files") + F.col("symbols"), F.coalesce("coverage.score", F.lit(0.0)), F.lit(0))
+    return ContextRun(planned, planning.lanes(planned, "run_id", context=budget_tokens), chosen, picked, outside, seen, state.stale(old, revisions), tiered, counts.withColumn("reasons", reasons))

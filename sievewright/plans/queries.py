@@ -113,7 +113,7 @@ def part_findings(spark, sf_dir):
 
 
 def candidate_pairs_jaccard(spark, sf_dir):
-    return candidates.lexical_pairs(part_findings(spark, sf_dir), threshold=0.5, most=2000, sequence=False, common=candidates.COMMON)
+    return candidates.lexical_pairs(part_findings(spark, sf_dir), threshold=0.5, most=2000, sequence=False)
 
 
 def candidate_pairs_full(spark, sf_dir):
@@ -122,9 +122,7 @@ def candidate_pairs_full(spark, sf_dir):
 
 def _same_key(spark, sf_dir):
     f = part_findings(spark, sf_dir)
-    other = f.select(F.col("idx").alias("right"), F.col("claim_text").alias("c"), F.col("identity").alias("i"))
-    left = f.select(F.col("idx").alias("left"), "claim_text", "identity")
-    return f, left.join(other, (F.col("claim_text") == F.col("c")) & (F.col("left") < F.col("right"))).select("left", "right").union(left.join(other, (F.col("identity") == F.col("i")) & (F.col("left") < F.col("right"))).select("left", "right")).distinct()
+    return f, candidates.class_pairs(f)
 
 
 def verify_pairs(spark, sf_dir):

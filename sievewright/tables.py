@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -12,10 +14,13 @@ _paths: list[str] = []
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder that all executors see: spark.checkpoint.dir of the session; one of our own where that is unset."""
+    """The folder that all executors see: spark.checkpoint.dir of the session; in local mode a temporary one of our own
+    where that is unset, while a cluster without it raises an error."""
     base = spark.conf.get("spark.checkpoint.dir", None)
     if base:
         return base.rstrip("/")
+    if not spark.sparkContext.master.startswith("local"):
+        raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
     if not _own_folder:
         _own_folder.append("file://" + tempfile.mkdtemp(prefix="sievewright-"))
         spark.sparkContext.setCheckpointDir(_own_folder[0])
@@ -41,6 +46,15 @@ def clear(spark: SparkSession) -> None:
         drop_path(spark, _paths.pop())
 
 
+@contextmanager
+def passing(spark: SparkSession) -> Iterator[None]:
+    """Delete at the end what tables are written in between: for a result that has been written itself by then."""
+    before = len(_paths)
+    yield
+    while len(_paths) > before:
+        drop_path(spark, _paths.pop())
+
+
 def drop_path(spark: SparkSession, path: str) -> None:
     at = spark._jvm.org.apache.hadoop.fs.Path(path)
     at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)

@@ -117,3 +117,27 @@ def test_telemetry_and_contracts(spark):
     assert contracts.registry(spark).count() == len(contracts.CONTRACTS)
     with pytest.raises(ValueError, match="no such contract"):
         contracts.errors(rows, "none")
+
+
+def test_a_long_chain_has_no_cap(spark):
+    n = 70
+    chain = spark.createDataFrame([(i, i + 1) for i in range(n)], "src long, dst long")
+    got = {r.node: r.distance for r in graph.distances(chain, spark.createDataFrame([(0,)], "node long")).collect()}
+    assert got == {i: i for i in range(n + 1)}
+    assert graph.distances(chain, spark.createDataFrame([(0,)], "node long"), 2).count() == 3
+
+
+def test_deep_levels_and_foreign_needs(spark):
+    n = 68
+    nodes = spark.createDataFrame([(i,) for i in range(n)], "node long")
+    needs = spark.createDataFrame([(i + 1, i) for i in range(n - 1)] + [(n + 5, 0)], "node long, on long")
+    assert {r.node: r.wave for r in graph.levels(nodes, needs).collect()} == {i: i for i in range(n)}
+    assert graph.levels(nodes.where("false"), needs).count() == 0
+
+
+def test_skip_streams_groups(spark):
+    rows = [("a", 1, 50), ("a", 2, 20), ("a", 3, 10), ("b", 1, 70), (None, 1, 5), ("a", 4, None), (None, 2, 56)]
+    got = {r.g: (list(r.taken), r.used) for r in budget.skip(spark.createDataFrame(rows, "g string, o int, c int"), "g", "o", "c", 60).collect()}
+    assert got == {"a": ([1, 3, 4], 60), "b": ([], 0), None: ([1], 5)}
+    one = budget.skip(spark.createDataFrame(rows, "g string, o int, c int").where("g = 'a'"), "g", "o", "c", 60, most=1).first()
+    assert list(one.taken) == [1]

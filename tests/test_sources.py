@@ -79,3 +79,44 @@ def test_stream_equals_batch(spark, tmp_path):
     got = sorted(map(tuple, fanin.run(stream, "test").select(*cols).collect()))
     assert got == sorted(map(tuple, findings.groups(batch).select(*cols).collect())) and len(got) == 5
     assert batch.select(F.sum("confidence")).first()[0] > 0
+
+
+def test_declarations_of_other_languages():
+    assert repository.summarize("a.rs", "pub fn new(a: u8) {\n}\nuse std::io;\nstruct A;")["functions"] == ["new(a: u8)"]
+    assert repository.summarize("a.swift", "import X\nfunc go(a: Int) {\n}") == {"imports": [], "classes": [], "types": [], "functions": ["go(a: Int)"], "exports": [], "routes": [], "symbols": ["go"], "lines": 3, "parser": "heuristic"}
+    j = repository.summarize("A.java", "import a.b;\nclass A {\n  if (x) {}\n  return new B(x);\n  y = new (3)\n}\n@Get('/x') @post('/y')\n[HttpDelete]")
+    assert j["imports"] == ["a.b"] and j["functions"] == ["B(x)", "Get('/x')"] and j["routes"] == ["GET /x", "DELETE"]
+    assert repository.summarize("a.go", 'import f "fmt"\nfunc (s *T) Run(a int) error {')["imports"] == ["fmt"]
+    assert repository.summarize("a.ps1", ". .\\lib\\x.ps1\nImport-Module 'Mod'")["imports"] == ["./lib/x.ps1", "Mod"]
+    assert repository.summarize("a.sh", ". $HOME/x\nsource 'y.sh'")["imports"] == ["y.sh"]
+    joined = repository.summarize("a.js", "function wide(\n  a,\n  b\n) {}\n# note\n// function no() {}\n")
+    assert joined["functions"] == ["wide( a, b )"]
+
+
+def test_version_control(spark, tmp_path):
+    import subprocess
+
+    from sievewright.sources import version_control as vc
+
+    assert vc.listing(spark, str(tmp_path)) is None and vc.repository_identity(spark, str(tmp_path)).first().git_available is False
+    git = lambda *a: subprocess.run(["git", "-C", str(tmp_path), "-c", "user.name=a", "-c", "user.email=a@b", *a], check=True, capture_output=True)
+    git("init", "-q", "-b", "main")
+    (tmp_path / "sub").mkdir()
+    for name, text in (("a.txt", "one\n"), ("sub/b.txt", "é"), (".gitignore", "skip.txt\n"), ("skip.txt", "x")):
+        (tmp_path / name).write_text(text)
+    git("add", ".")
+    git("commit", "-q", "-m", "first")
+    (tmp_path / "a.txt").write_text("two\n")
+    (tmp_path / "sub" / "new.txt").write_text("n")
+    assert {r.path: r.bytes for r in vc.listing(spark, str(tmp_path)).collect()} == {"a.txt": 4, "sub/b.txt": 2, ".gitignore": 9, "sub/new.txt": 1}
+    assert [r.path for r in vc.changed(spark, str(tmp_path)).orderBy("path").collect()] == ["a.txt", "sub/new.txt"]
+    assert {r.path for r in vc.listing(spark, str(tmp_path / "sub")).collect()} == {"b.txt", "new.txt"}
+    who = vc.repository_identity(spark, str(tmp_path / "sub")).first()
+    assert (who.git_available, who.subpath, who.branch, who.dirty) == (True, "sub", "main", True) and len(who.commit) == 40
+    files = spark.createDataFrame([("a.txt", "two\n"), ("sub/b.txt", "é"), ("sub/new.txt", "n")], "path string, content string")
+    got = {r.path: r for r in vc.file_provenance(files, *vc.blobs(spark, str(tmp_path)), who.commit).collect()}
+    assert [(got[p].source, got[p].tracked, got[p].dirty) for p in ("a.txt", "sub/b.txt", "sub/new.txt")] == [("working-tree", True, True), ("HEAD", True, False), ("working-tree", False, True)]
+    blob = subprocess.run(["git", "-C", str(tmp_path), "hash-object", "a.txt"], capture_output=True, text=True).stdout.strip()
+    assert got["a.txt"].blob == blob
+    symbols = spark.createDataFrame([("a.txt", "x", 1, 1, "f")], "path string, name string, start_line int, end_line int, fingerprint string")
+    assert vc.symbol_provenance(symbols, spark.createDataFrame([tuple(got["a.txt"])], "path string, content string, working_blob string, head_blob string, index_blob string, tracked boolean, dirty boolean, commit string, blob string, source string")).first().blob == blob
