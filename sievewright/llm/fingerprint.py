@@ -14,13 +14,13 @@ from pyspark.sql import functions as F
 from .common import small_batches, tidy
 
 #: Bytes of a window, windows of a neighbourhood, neighbourhoods that must agree on a window to make it a feature.
-WINDOW, AROUND, VOTES = 32, 32, 8
-#: A text of fewer than SMALL bytes has too few windows to rank: all its windows of TINY bytes are features.
-SMALL, TINY = 256, 8
+WINDOW, AROUND, VOTES = 8, 8, 2
 #: Bits of a filter, bits that a feature sets, features of a filter.
-BITS, HASHES, FULL = 2048, 5, 160
+BITS, HASHES, FULL = 2048, 5, 256
 #: Bytes of text that are worked on at once.
 BLOCK = 1 << 18
+#: Documents that are drawn for each range to find where ranges begin, and the seed of the draw.
+SAMPLED, SEED = 64, 17
 _F = np.round(np.arange(WINDOW + 1) * np.log2(np.maximum(1, np.arange(WINDOW + 1))) * 256).astype(np.int64)
 _G = np.diff(_F, append=0)
 
@@ -50,13 +50,13 @@ def features(texts: list[bytes]) -> list[np.ndarray]:
 
     Windows rank by entropy: the higher it is, the less probable the window. In each neighbourhood the rarest window,
     the first of equals, gets a vote; those with VOTES or more are features. A text where no window gets so many has its
-    rarest window alone.
+    rarest window alone, and one shorter than a window is a feature itself. The same holds for texts of any length.
     """
     sizes = np.array([len(t) for t in texts], np.int64)
     starts = np.cumsum(sizes) - sizes
     data = np.frombuffer(b"".join(texts), np.uint8)
-    if len(data) < SMALL:
-        return [np.arange(max(0, n - TINY + 1)) for n in sizes.tolist()]
+    if len(data) < WINDOW:
+        return [np.arange(min(n, 1)) for n in sizes.tolist()]
     rank = _disorder(data)
     low = (rank << 32) + np.arange(len(rank))
     least, width = low, 1
@@ -76,19 +76,18 @@ def features(texts: list[bytes]) -> list[np.ndarray]:
     cut = np.searchsorted(picked, np.concatenate([starts, [len(data)]]))
     out = []
     for i, (s, n) in enumerate(zip(starts.tolist(), sizes.tolist())):
-        own = np.arange(max(0, n - TINY + 1)) if n < SMALL else picked[cut[i] : cut[i + 1]] - s
-        if not len(own) and n >= SMALL:
+        own = np.arange(min(n, 1)) if n < WINDOW else picked[cut[i] : cut[i + 1]] - s
+        if not len(own) and n:
             own = np.array([int(np.argmin(rank[s : s + n - WINDOW + 1]))], np.int64)
         out.append(own)
     return out
 
 
 def hashes(data: bytes, at: np.ndarray) -> np.ndarray:
-    """64-bit hashes of the windows at those places; of the whole of a text that is shorter than any window."""
-    if 0 < len(data) < TINY:
+    """64-bit hashes of the windows at those places; of the whole of a text that is shorter than a window."""
+    if 0 < len(data) < WINDOW:
         return np.frombuffer(hashlib.sha1(data).digest()[:8], np.uint64)
-    width = WINDOW if len(data) >= SMALL else TINY
-    words = np.ascontiguousarray(np.lib.stride_tricks.sliding_window_view(np.frombuffer(data, np.uint8), width)[at]).view("<u8") if len(at) else np.zeros((0, 8), np.uint64)
+    words = np.ascontiguousarray(np.lib.stride_tricks.sliding_window_view(np.frombuffer(data, np.uint8), WINDOW)[at]).view("<u8") if len(at) else np.zeros((0, WINDOW // 8), np.uint64)
     out = np.full(len(words), len(words[0]) if len(words) else 0, np.uint64)
     for k in range(words.shape[1]):
         out = (out ^ words[:, k]) * np.uint64(0x9E3779B97F4A7C15)
@@ -166,7 +165,7 @@ def _digests(pairs: list[tuple[str, str | None]]) -> list[tuple[bytes, np.ndarra
         new = edited.encode("utf-8", "replace")
         same = len(text[: len(text) - len(text) // 4].encode("utf-8", "replace"))
         reach = WINDOW + AROUND - 1
-        tail = max(0, same - reach - AROUND + 1) if same >= _LONG and len(new) - same >= SMALL else 0
+        tail = max(0, same - reach - AROUND + 1) if same >= _LONG else 0
         buffers.append(new[tail:])
         plans.append((own, new, (same - reach, tail) if tail else 0))
     found = iter(features(buffers))
@@ -204,35 +203,36 @@ def fingerprints(docs: DataFrame) -> DataFrame:
     return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, fingerprint string")
 
 
-def _followed(docs: DataFrame, cells: int = 1 << 14) -> DataFrame:
-    """Documents with a range of ids each (column range), sorted in them, each range followed by copies (column extra)
-    of the first document of the next, the last by that of the first: so each document's successor is the next row.
+def _followed(docs: DataFrame) -> DataFrame:
+    """Documents in ranges of their order (column range), each range a partition sorted in that order and followed by
+    copies (column extra) of the first document of the next, the last by that of the first: so each document's successor
+    is the next row.
 
-    Ids are counted in equal cells of their span, which are joined to ranges of about equal rows, four for
-    each shuffle partition; the driver sees one row for each of at most `cells` cells. The text is shuffled once.
+    The order is by doc_id, nulls last, and by a hash of the text among equal ids, whatever the ids' type. Ranges begin
+    at places of a sample of SAMPLED documents a range, so they hold about equal numbers of rows however ids are spread;
+    the driver sees that sample alone. The text is shuffled once.
     """
     spark = docs.sparkSession
     small_batches(spark)
-    low, high = docs.agg(F.min("doc_id"), F.max("doc_id")).first()
-    width = max(1.0, (float(high or 0) - float(low or 0)) / cells)
-    cell = F.coalesce(F.least(F.floor((F.col("doc_id").cast("double") - F.lit(float(low or 0))) / width), F.lit(cells - 1)).cast("int"), F.lit(cells))
-    counts = docs.groupBy(cell.alias("cell")).agg(F.count("*").alias("n"), F.min("doc_id").alias("first")).orderBy("cell").collect()
-    aim = max(1, sum(r.n for r in counts) // (4 * int(spark.conf.get("spark.sql.shuffle.partitions"))))
-    of_cell, firsts, filled = [0] * (cells + 1), [], aim
-    for r in counts:
-        if filled >= aim:
-            firsts.append(r.first)
-            filled = 0
-        of_cell[r.cell] = len(firsts) - 1
-        filled += r.n
-    ranges = F.get(F.split(F.lit(",".join(map(str, of_cell))), ",").cast("array<int>"), cell)
-    if not firsts:
-        return docs.select("doc_id", "text", F.lit(0).alias("range"), F.lit(False).alias("extra"))
-    heads = F.get(F.array(*[F.lit(x).cast(docs.schema["doc_id"].dataType) for x in firsts]), F.col("range"))
-    own = docs.select("doc_id", "text", ranges.alias("range"))
-    copies = own.where(F.col("doc_id").eqNullSafe(heads)).withColumn("range", F.pmod(F.col("range") - 1, F.lit(len(firsts))))
+    kind = docs.schema["doc_id"].dataType
+    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    least, rows = docs.agg(F.min("doc_id"), F.count("*")).first()
+    key = F.struct(F.col("doc_id").isNull().alias("none"), F.col("doc_id"), F.xxhash64("text").alias("hash"))
+    docs = docs.select("doc_id", "text", key.alias("key"))
+    if not rows:
+        return docs.select("doc_id", "text", "key", F.lit(0).alias("range"), F.lit(False).alias("extra"))
+    first = docs.where(F.col("doc_id").eqNullSafe(F.lit(least).cast(kind))).agg(F.min("key").alias("key"))
+    drawn = docs.select("key").sample(min(1.0, SAMPLED * parts / rows), SEED)
+    every = [r.key for r in drawn.union(first).distinct().orderBy("key").collect()]
+    starts = [every[i] for i in sorted({0, *(len(every) * k // parts for k in range(1, parts))})]
+    bounds = F.array(*[F.struct(F.lit(x.none).alias("none"), F.lit(x.doc_id).cast(kind).alias("doc_id"), F.lit(x.hash).alias("hash")) for x in starts])
+    # a binary search: the last start that isn't above
+    steps = F.array(*[F.lit(1 << k) for k in reversed(range(len(starts).bit_length()))])
+    place = F.aggregate(steps, F.lit(0), lambda at, step: F.when((at + step <= len(starts)) & (F.get(bounds, at + step - 1) <= F.col("key")), at + step).otherwise(at)) - 1
+    own = docs.withColumn("range", place)
+    copies = own.where(F.col("key") == F.get(bounds, F.col("range"))).withColumn("range", F.pmod(F.col("range") - 1, F.lit(len(starts))))
     out = own.withColumn("extra", F.lit(False)).union(copies.withColumn("extra", F.lit(True)))
-    return out.repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), "range").sortWithinPartitions("range", "extra", F.col("doc_id").asc_nulls_last(), "text")
+    return out.repartitionById(len(starts), "range").sortWithinPartitions("range", "extra", "key")
 
 
 _OUT = "doc_id {}, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double"
@@ -242,17 +242,19 @@ def compare_edits(docs: DataFrame) -> DataFrame:
     """Every document's fingerprint, that of its edited text, and its likeness to that and to the next document.
 
     The edited text has the last quarter of the code points replaced by the first as many of the next document in
-    ascending doc_id (nulls last, ties by text), the first after the last; a lone document follows itself. Null text:
-    empty. Repeated rows follow each other. No rows: no rows. Other columns are ignored. A worker holds one block of
-    texts at a time, whatever the length of a partition.
+    ascending doc_id (of any type; nulls last, ties by a hash of the text), the first after the last; a lone document
+    follows itself. Null text: empty. Repeated rows follow each other, in one task if id and text are equal. No rows: no
+    rows. Other columns are ignored. A worker holds one block of texts at a time, whatever the length of a partition.
     """
     kind = docs.schema["doc_id"].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[tuple] = []  # rows of one range, the last of which waits for its successor
+        types = [None, pa.int64(), pa.string(), pa.string(), pa.string(), pa.float64(), pa.float64()]
 
         def rows() -> Iterator[tuple]:
             for batch in batches:
+                types[0] = batch.schema.field("doc_id").type
                 yield from zip(batch.column("doc_id").to_pylist(), batch.column("text").to_pylist(), batch.column("range").to_pylist(), batch.column("extra").to_pylist())
 
         def done(block: list[tuple]) -> pa.RecordBatch:
@@ -266,7 +268,6 @@ def compare_edits(docs: DataFrame) -> DataFrame:
                 out.append((i, len(t), hashlib.sha256(pairs[k][1].encode("utf-8", "replace")).hexdigest(), written_as(mine), written_as(edited), likeness(mine, edited), likeness(mine, digests[k + 1][0])))
             return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out), types)], names=names)
 
-        types = [schema.field(0).type, pa.int64(), pa.string(), pa.string(), pa.string(), pa.float64(), pa.float64()]
         size, ended = 0, False
         for row in rows():
             if held and row[2] != held[-1][2]:
@@ -285,9 +286,8 @@ def compare_edits(docs: DataFrame) -> DataFrame:
             yield done(held)
         tidy()
 
-    schema = pa.schema([("doc_id", {"bigint": pa.int64(), "int": pa.int32(), "string": pa.string()}[kind])])
     names = [c.split()[0] for c in _OUT.format(kind).split(", ")]
-    return _followed(docs.select("doc_id", "text")).mapInArrow(run, _OUT.format(kind))
+    return _followed(docs.select("doc_id", "text")).drop("key").mapInArrow(run, _OUT.format(kind))
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

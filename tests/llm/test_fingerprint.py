@@ -8,8 +8,8 @@ from sievewright.llm import fingerprint as fp
 
 def brute(data: bytes):
     """Feature places by the definition, window by window."""
-    if len(data) < fp.SMALL:
-        return list(range(max(0, len(data) - fp.TINY + 1)))
+    if len(data) < fp.WINDOW:
+        return [0] if data else []
     n = len(data) - fp.WINDOW + 1
     rank = [sum(fp._F[c] for c in np.bincount(np.frombuffer(data[i : i + fp.WINDOW], np.uint8))) for i in range(n)]
     votes = [0] * n
@@ -64,3 +64,33 @@ def test_few_rows(spark):
     twice = fp.compare_edits(documents(spark, [(5, "abcd", None, None)] * 2 + [(6, None, None, None)])).collect()
     assert sorted(r.edited_sha256 for r in twice) == sorted(hashlib.sha256(x).hexdigest() for x in (b"abca", b"abc", b""))
     assert fp.fingerprints(documents(spark, [(5, "abcd", None, None), (6, None, None, None)])).count() == 2
+
+
+def test_likeness_falls_smoothly_with_length():
+    """No length of the text or its edited form decides by itself."""
+    import random
+
+    means = []
+    for n in range(200, 420, 20):
+        got = []
+        for seed in range(30):
+            rng = random.Random(1000 * n + seed)
+            text, after = prose(rng, 200)[:n], prose(rng, 200)
+            got += [fp.likeness(*(fp.read_from(fp.fingerprint(x)) for x in (text, fp._edit(text, after)))), fp.likeness(*(fp.read_from(fp.fingerprint(x)) for x in (text, text[: n * 4 // 5])))]
+        means.append(np.mean(got))
+    assert min(means) > 0.6 and max(abs(a - b) for a, b in zip(means, means[1:])) < 0.08
+
+
+def test_ranges_are_level_and_ids_of_any_type(spark):
+    from collections import Counter
+
+    from pyspark.sql import functions as F
+
+    rows = [(10**15 if i == 0 else None if i > 3900 else i, f"text {i}", "en", "s") for i in range(4000)]
+    sizes = Counter(r.range for r in fp._followed(documents(spark, rows)).where("NOT extra").select("range").collect())
+    assert len(sizes) == 4 and max(sizes.values()) < 2 * min(sizes.values())
+    docs = documents(spark, [(i, f"the text of number {i} " * 3, "en", "s") for i in range(100, 140)])
+    want = {str(r.doc_id): tuple(r)[1:] for r in fp.compare_edits(docs).collect()}
+    for kind in ("string", "smallint", "decimal(20,0)", "int"):
+        got = fp.compare_edits(docs.withColumn("doc_id", F.col("doc_id").cast(kind)))
+        assert got.schema["doc_id"].dataType.simpleString() == kind and {str(r.doc_id): tuple(r)[1:] for r in got.collect()} == want
