@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import math
-import re
 from collections.abc import Iterator
 
 import numpy as np
@@ -15,17 +14,24 @@ from .common import held_out, small_batches, tidy
 
 #: Labelled rows of a language that a fit takes at most (about: rows are drawn by a hash of their id).
 MAX_TRAINING_ROWS = 5_000
+#: Languages that a model may have: it goes to every worker, with half a MB for each.
+MAX_LANGUAGES = 256
 #: Bytes of an n-gram, hash buckets, count added to each bucket, the price of one more language in n-grams' logarithms.
 NGRAM, BUCKETS, SMOOTHING, PRICE = 4, 1 << 16, 0.05, 4.0
 ROUNDS, CLOSE = 25, 1e-3
 UNKNOWN = "und"
-_LETTER = re.compile(r"[^\W\d_]")
 _TO_SPACE = bytes(c if chr(c).isalpha() or c >= 128 else 32 for c in range(256))
 
 
+def has_letter(text: str) -> bool:
+    """Whether any character is of a letter category; numerals such as fractions and superscripts aren't."""
+    return next(filter(str.isalpha, text), None) is not None
+
+
 def ngrams(text: str) -> tuple[np.ndarray, np.ndarray]:
-    """Buckets of a lower-case text's n-grams of bytes, with their counts; whatever is no letter counts as a
-    space, of which two stand before and after it, so that a letter alone has n-grams too."""
+    """Buckets of a lower-case text's n-grams of bytes, with their counts; whatever of ASCII is no letter counts as a
+    space, of which two stand before and after it, so that a letter alone has n-grams too. Other characters stand for
+    themselves, marks included."""
     raw = np.frombuffer(b"  " + text.lower().encode("utf-8", "replace").translate(_TO_SPACE) + b"  ", np.uint8)
     if len(raw) < NGRAM:
         return np.zeros(0, np.int64), np.zeros(0)
@@ -69,7 +75,7 @@ class Mixture:
         The set starts from the language with the largest share in the mixture of all; others follow in the order of
         their shares while one raises the log likelihood by more than PRICE times the logarithm of the n-grams.
         """
-        if not self.languages or not _LETTER.search(text):
+        if not self.languages or not has_letter(text):
             return UNKNOWN, 0.0, []
         buckets, counts = ngrams(text)
         if not len(buckets):
@@ -93,15 +99,17 @@ class Mixture:
         return self.languages[chosen[top]], min(1.0, max(0.0, score)), found
 
 
-def learn(docs: DataFrame, most: int = MAX_TRAINING_ROWS) -> Mixture:
+def learn(docs: DataFrame, most: int = MAX_TRAINING_ROWS, most_languages: int = MAX_LANGUAGES) -> Mixture:
     """A mixture's n-gram table from the whole texts of labelled rows (text, lang), about `most` a language at most.
 
     Partitions count into the fixed buckets and only those sums are shuffled; the driver gets as many numbers as
-    languages times buckets, whatever the corpus.
+    languages times buckets, whatever the corpus. More than `most_languages` languages raise an error.
     """
     small_batches(docs.sparkSession)
     known = docs.where(F.col("text").isNotNull() & F.col("lang").isNotNull())
-    sizes = {r["lang"]: r["n"] for r in known.groupBy("lang").agg(F.count("*").alias("n")).collect()}
+    sizes = {r["lang"]: r["n"] for r in known.groupBy("lang").agg(F.count("*").alias("n")).limit(most_languages + 1).collect()}
+    if len(sizes) > most_languages:
+        raise ValueError(f"labels name more than {most_languages} languages")
     languages = sorted(sizes)
     if not languages:
         return Mixture([], np.zeros((BUCKETS, 0)))
