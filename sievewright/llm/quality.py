@@ -119,7 +119,7 @@ def classify(docs: DataFrame, labels: DataFrame, label: str = "quality", thresho
     pass over the texts, and no text is shuffled.
 
     Null and empty texts are scored like others. Labels other than 0 and 1 don't count; of several labels of one id the
-    largest does. Repeated documents are rows each. No rows: no rows. Other columns of either table are ignored.
+    largest does, and of several texts that of the least statistics. Repeated documents are scored as rows each. No rows: no rows. Other columns of either table are ignored.
     Returns doc_id, held_out, score, predicted.
     """
     small_batches(docs.sparkSession)
@@ -129,7 +129,8 @@ def classify(docs: DataFrame, labels: DataFrame, label: str = "quality", thresho
     total = known.count()
     if total > most:
         known = known.where(F.pmod(F.xxhash64("doc_id"), F.lit(1_000_000)) < F.lit(int(1_000_000 * most / total)))
-    rows = stats.join(known, "doc_id").select("statistics", "label").toPandas()
+    # one row an id, so that repeated ids don't exceed the bound
+    rows = stats.join(known, "doc_id").groupBy("doc_id").agg(F.min("statistics").alias("statistics"), F.first("label").alias("label")).select("statistics", "label").toPandas()
     x = np.array(rows["statistics"].tolist(), np.float64).reshape(len(rows), len(STATISTICS))
     order = np.lexsort(np.column_stack([rows["label"].to_numpy(), x]).T) if len(rows) else []
     model = Discriminant(x[order], rows["label"].to_numpy().astype(np.int64)[order])
