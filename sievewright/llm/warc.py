@@ -21,7 +21,7 @@ from pyspark.sql.datasource import (
 )
 from pyspark.sql.types import StructType
 
-from .common import new_path
+from .common import new_path, written
 
 #: Columns of a record. payload_digest is bare lower-case hex SHA-1 of the full payload, refers_to a record id; payload
 #: is null for revisits, whose payload_bytes still are those of the full payload.
@@ -361,16 +361,19 @@ def archive(pages: DataFrame, path: str, least: int = 1000) -> None:
     """Write a record for each row of pages (page_id, url, html): payload the html in UTF-8, null as empty.
 
     Of equal payloads of at least `least` bytes, that of the largest page_id is the response and the others revisit it.
-    Only digests, sizes and ids are grouped; payloads move only if the table of repeated digests is too large for Spark
-    to broadcast. Null urls have no target URI, a null page_id an empty one in its record id. Rows that repeat the
+    Who revisits whom is decided over digests, sizes and ids, and handed back by page_id: payloads are shuffled only if
+    the table of revisits is too large for Spark to broadcast, and then by a key that no page shares. Null urls have no target URI, a null page_id an empty one in its record id. Rows that repeat the
     largest page_id are responses each. No rows: an empty archive.
     """
     payload = F.encode(F.coalesce("html", F.lit("")), "UTF-8")
     rows = pages.select("page_id", "url", payload.alias("payload")).withColumns({"payload_digest": F.sha1("payload"), "payload_bytes": F.length("payload").cast("long")})
-    again = rows.where(F.col("payload_bytes") >= least).groupBy("payload_digest", "payload_bytes").agg(F.max("page_id").alias("top"), F.count("*").alias("n")).where("n > 1").drop("n")
-    rows = rows.join(again, ["payload_digest", "payload_bytes"], "left")
+    told = written(rows.where(F.col("payload_bytes") >= least).select("page_id", "payload_digest", "payload_bytes"), "digests")
+    again = told.groupBy("payload_digest", "payload_bytes").agg(F.max("page_id").alias("top"), F.count("*").alias("n")).where("n > 1").drop("n")
+    told = told.join(again, ["payload_digest", "payload_bytes"]).where(~F.col("page_id").eqNullSafe(F.col("top")))
+    told = written(told.select(F.col("page_id").alias("__page"), F.col("payload_digest").alias("__digest"), "top").distinct(), "revisits")
+    rows = rows.join(told, F.col("page_id").eqNullSafe(F.col("__page")) & (F.col("payload_digest") == F.col("__digest")), "left")
     own = lambda c: F.concat(F.lit("urn:page:"), F.coalesce(F.col(c).cast("string"), F.lit("")))
-    revisit = F.col("top").isNotNull() & ~F.col("page_id").eqNullSafe(F.col("top"))
+    revisit = F.col("__digest").isNotNull()
     out = rows.select(
         own("page_id").alias("record_id"), F.when(revisit, "revisit").otherwise("response").alias("record_type"), F.col("url").alias("target_uri"), F.lit(DATE).alias("date"),
         "payload_digest", "payload_bytes", F.when(revisit, own("top")).alias("refers_to"), F.when(~revisit, F.col("payload")).alias("payload"),
