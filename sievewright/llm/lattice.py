@@ -16,8 +16,10 @@ from .common import components, small_batches, tidy, written
 #: Cosine of a link, tables, cells beside its own that a vector stands in, stretch of the unit sphere before decoding.
 #: A pair at the threshold shares a cell of one table with probability 0.98, so all three miss it once in 200,000.
 THRESHOLD, TABLES, PROBES, STRETCH = 0.98, 3, 4, 8.0
-#: Rows of a cell from which it is dealt into blocks that meet in pairs.
-BLOCK = 1024
+#: A cell of n rows is dealt into the root of n / SPREAD blocks, or more if they would exceed BLOCK rows; every two meet.
+SPREAD, BLOCK = 256, 1 << 15
+#: Rows and columns of a product of vectors that is held at once.
+TILE = (512, 4096)
 SEED = 20_240_229
 
 
@@ -102,46 +104,63 @@ def _seeds(label, n: int) -> np.uint64:
 
 
 def _digests(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """vec_id, and a digest of label and vector; null where the vector can't link."""
+    """vec_id, key, and a digest of label and vector; null where the vector can't link."""
     for batch in batches:
         out: list[bytes | None] = [None] * batch.num_rows
         labels = batch.column("label").to_pylist()
         for rows, x in _valid(batch):
             for i, v in zip(rows.tolist(), x + 0.0):  # -0.0 counts as 0.0
-                out[i] = hashlib.sha1(f"{labels[i]!r}/".encode() + v.tobytes()).digest()
-        yield pa.RecordBatch.from_arrays([batch.column("vec_id"), pa.array(out, pa.binary())], names=["vec_id", "digest"])
+                out[i] = hashlib.sha1(f"{labels[i]!r}/".encode() + v.tobytes()).digest()[:16]
+        yield pa.RecordBatch.from_arrays([batch.column("vec_id"), batch.column("key"), pa.array(out, pa.binary())], names=["vec_id", "key", "digest"])
 
 
-def _pairs(rows: list[np.ndarray], threshold: float) -> tuple[np.ndarray, np.ndarray]:
-    """Linked pairs (row numbers) within the groups of sorted rows, each in the one group that counts it."""
-    group, block, blocks, unit, own = rows
+def _pairs(group: np.ndarray, block: np.ndarray, unit: np.ndarray, own: np.ndarray, threshold: float) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Linked pairs (row numbers) within runs of equal rows of group (cell, low, high), a bounded number at once; each
+    in the one group that counts it."""
     starts = np.flatnonzero(np.concatenate([[True], (group[1:] != group[:-1]).any(1)]))
     sizes = np.diff(np.append(starts, len(group)))
-    left, right = [], []
     slack = threshold - 1e-9
+
+    def linked(i: np.ndarray, j: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        met = (group[i, 1] == group[i, 2]) | (block[i] != block[j])
+        i, j = i[met], j[met]
+        first = np.zeros(len(i), bool)
+        for at in range(0, len(i), 50_000):
+            a, b = own[i[at : at + 50_000]], own[j[at : at + 50_000]]
+            common = np.where((a[:, :, None] == b[:, None, :]).any(2), a, np.iinfo(np.int64).max).min(1)
+            first[at : at + 50_000] = common == group[i[at : at + 50_000], 0]
+        i, j = i[first], j[first]
+        exact = np.zeros(len(i), bool)
+        for at in range(0, len(i), 50_000):
+            exact[at : at + 50_000] = np.einsum("ij,ij->i", unit[i[at : at + 50_000]], unit[j[at : at + 50_000]]) >= threshold
+        return i[exact], j[exact]
+
     small = np.repeat(sizes <= 48, sizes)
     nth = np.arange(len(group)) - np.repeat(starts, sizes)
     room = np.repeat(sizes, sizes) - nth
     for d in range(1, int(sizes[sizes <= 48].max(initial=0))):
         i = np.flatnonzero(small & (room > d))
         hit = i[np.einsum("ij,ij->i", unit[i], unit[i + d]) >= slack]
-        left.append(hit), right.append(hit + d)
+        yield linked(hit, hit + d)
     for s, n in zip(starts[sizes > 48].tolist(), sizes[sizes > 48].tolist()):
-        for at in range(0, n, 512):
-            a, b = np.nonzero(unit[s + at : s + min(n, at + 512)] @ unit[s : s + n].T >= slack)
-            keep = a + at < b
-            left.append(a[keep] + at + s), right.append(b[keep] + s)
-    i, j = (np.concatenate(x) if x else np.zeros(0, np.int64) for x in (left, right))
-    met = (blocks[i, 0] == blocks[i, 1]) | (block[i] != block[j])
-    i, j = i[met], j[met]
-    first = np.zeros(len(i), bool)
-    for at in range(0, len(i), 50_000):
-        a, b = own[i[at : at + 50_000]], own[j[at : at + 50_000]]
-        common = np.where((a[:, :, None] == b[:, None, :]).any(2), a, np.iinfo(np.int64).max).min(1)
-        first[at : at + 50_000] = common == group[i[at : at + 50_000], 0]
-    i, j = i[first], j[first]
-    exact = np.array(np.einsum("ij,ij->i", unit[i], unit[j]) >= threshold)
-    return i[exact], j[exact]
+        for at in range(0, n, TILE[0]):
+            rows = unit[s + at : s + min(n, at + TILE[0])]
+            for to in range(at, n, TILE[1]):
+                a, b = np.nonzero(rows @ unit[s + to : s + min(n, to + TILE[1])].T >= slack)
+                keep = a + at < b + to
+                yield linked(a[keep] + at + s, b[keep] + to + s)
+
+
+def _joined(parent: np.ndarray, i: np.ndarray, j: np.ndarray) -> None:
+    """Put the ends of links into one tree of `parent`, whose roots are smallest."""
+    while True:
+        while not np.array_equal(up := parent[parent], parent):
+            parent[:] = up
+        a, b = parent[i], parent[j]
+        apart = a != b
+        if not apart.any():
+            return
+        np.minimum.at(parent, np.maximum(a, b)[apart], np.minimum(a, b)[apart])
 
 
 def near_duplicates(vectors: DataFrame, threshold: float = THRESHOLD, tables: int = TABLES, probes: int = PROBES, stretch: float = STRETCH) -> DataFrame:
@@ -149,20 +168,24 @@ def near_duplicates(vectors: DataFrame, threshold: float = THRESHOLD, tables: in
 
     Equal vectors of a label are one, with their number as its weight. Each distinct vector stands in its own cell and
     `probes` next ones in each table; pairs that share a cell are verified by cosine in double precision, and counted
-    in the first of the cells that they share. A cell alone to a vector is dropped before vectors move. Cells of more
-    than 2 * BLOCK rows are dealt into blocks, every two of which meet in a group of their own, so that no task holds a
-    large cell. Groups give back their members' numbers of links and a tree of them, never the pairs.
+    in the first of the cells that they share. A cell alone to a vector is dropped before vectors move. Larger cells are
+    dealt into blocks, every two of which meet in a group of their own, so that no task holds a large cell: a cell of n
+    vectors sends each to about the root of n / SPREAD groups, and beyond SPREAD * (BLOCK / SPREAD)**2 vectors to n /
+    BLOCK. Groups give back their members' numbers of links and a tree of them, never the pairs.
 
     Vectors that are null, empty, zero, or hold null or non-finite components, and those without a label: no links, a
-    component of their own. Vectors of other lengths don't link. Rows that repeat a vec_id share its links; no rows give
-    no rows. Other columns are ignored. Returns vec_id, n_links, component_id, kept.
+    component of their own. Vectors of other lengths don't link. Rows that repeat a vec_id with other vectors are each
+    searched for themselves, and one doesn't carry the other's links on; n_links counts rows. component_id is the
+    smallest vec_id of the component's rows, null if none has one; a null vec_id is kept only there. No rows give no
+    rows. Other columns are ignored. Returns vec_id, n_links, component_id, kept.
     """
     spark = vectors.sparkSession
     small_batches(spark)
-    kind = vectors.schema["label"].dataType.simpleString()
-    vectors = vectors.select(F.col("vec_id").cast("long").alias("vec_id"), "embedding", "label")
-    digests = written(vectors.mapInArrow(_digests, "vec_id long, digest binary"), "digests")
-    classes = written(digests.where("digest IS NOT NULL").groupBy("digest").agg(F.min("vec_id").alias("rep"), F.count("*").alias("weight")), "classes")
+    vectors = vectors.select(F.col("vec_id").cast("long").alias("vec_id"), F.xxhash64("embedding", "label").alias("key"), "embedding", "label")
+    digests = written(vectors.mapInArrow(_digests, "vec_id long, key long, digest binary"), "digests")
+    first = F.min(F.struct(F.col("vec_id").isNull().alias("none"), "vec_id", "key"))
+    classes = digests.where("digest IS NOT NULL").groupBy("digest").agg(F.min("vec_id").alias("least"), first.alias("row"), F.count("*").alias("weight"))
+    classes = written(classes.select("digest", "least", F.col("row.vec_id").alias("of"), F.col("row.key").alias("its"), "weight"), "classes")
     per = tables * (1 + probes)
 
     def stand(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -174,43 +197,41 @@ def near_duplicates(vectors: DataFrame, threshold: float = THRESHOLD, tables: in
                 keys = cells(unit, seed, tables, probes, stretch)
                 flat = pa.FixedSizeListArray.from_arrays(pa.array(unit.ravel()), x.shape[1]).cast(pa.list_(pa.float64()))
                 own = pa.FixedSizeListArray.from_arrays(pa.array(keys.ravel()), per).cast(pa.list_(pa.int64()))
-                yield pa.RecordBatch.from_arrays([batch.column("vec_id").take(pa.array(rows)), batch.column("weight").take(pa.array(rows)), flat, own], names=["vec_id", "weight", "unit", "cells"])
+                yield pa.RecordBatch.from_arrays([batch.column("node").take(pa.array(rows)), batch.column("weight").take(pa.array(rows)), flat, own], names=["node", "weight", "unit", "cells"])
 
-    one = classes.select(F.col("rep").alias("vec_id"), "weight", F.col("digest").alias("__digest"))
-    distinct = vectors.join(digests.withColumnRenamed("digest", "__of"), "vec_id").join(one, "vec_id").where("__of = __digest").dropDuplicates(["vec_id"])
-    standing = written(distinct.select("vec_id", "weight", "embedding", F.col("label").cast(kind).alias("label")).mapInArrow(stand, "vec_id long, weight long, unit array<double>, cells array<long>"), "cells")
+    same = F.col("vec_id").eqNullSafe(F.col("of")) & (F.col("key") == F.col("its"))
+    distinct = vectors.join(classes.select("of", "its", F.col("digest").alias("node"), "weight"), same).dropDuplicates(["node"])
+    standing = written(distinct.select("node", "weight", "embedding", "label").mapInArrow(stand, "node binary, weight long, unit array<double>, cells array<long>"), "cells")
     sizes = standing.select(F.explode("cells").alias("cell")).groupBy("cell").agg(F.count("*").alias("n")).where("n > 1")
-    many = F.when(F.col("n") > 2 * BLOCK, F.ceil(F.col("n") / BLOCK).cast("int")).otherwise(1)
-    block = F.pmod(F.xxhash64("vec_id"), F.col("parts")).cast("int")
-    placed = standing.select("vec_id", F.explode("cells").alias("cell")).join(sizes.select("cell", many.alias("parts")), "cell")
-    placed = placed.select("vec_id", "cell", block.alias("block"), F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("other"))
-    placed = placed.select("vec_id", "cell", "block", F.least("block", "other").alias("low"), F.greatest("block", "other").alias("high"))
-    met = placed.join(standing, "vec_id").repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), "cell", "low", "high").sortWithinPartitions("cell", "low", "high", "vec_id")
+    many = F.ceil(F.greatest(F.sqrt(F.col("n") / SPREAD), F.col("n") / BLOCK)).cast("int")
+    block = F.pmod(F.xxhash64("node"), F.col("parts")).cast("int")
+    placed = standing.select("node", F.explode("cells").alias("cell")).join(sizes.select("cell", many.alias("parts")), "cell")
+    placed = placed.select("node", "cell", block.alias("block"), F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("other"))
+    placed = placed.select("node", "cell", "block", F.least("block", "other").alias("low"), F.greatest("block", "other").alias("high"))
+    met = placed.join(standing, "node").repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), "cell", "low", "high").sortWithinPartitions("cell", "low", "high", "node")
 
     def link(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def done(table: pa.Table) -> Iterator[pa.RecordBatch]:
-            ids, weight = (table.column(c).to_numpy() for c in ("vec_id", "weight"))
+            table = table.combine_chunks()
+            n, weight = table.num_rows, table.column("weight").to_numpy()
             group = np.column_stack([table.column(c).to_numpy().astype(np.int64) for c in ("cell", "low", "high")])
-            lengths = np.array([len(x) for x in table.column("unit").to_pylist()]) if table.column("unit").combine_chunks().flatten().__len__() % len(ids) else None
-            flat = table.column("unit").combine_chunks().flatten().to_numpy()
-            own = table.column("cells").combine_chunks().flatten().to_numpy().reshape(len(ids), per)
-            for d in (np.unique(lengths) if lengths is not None else [len(flat) // len(ids)]):
-                at = np.arange(len(ids)) if lengths is None else np.flatnonzero(lengths == d)
-                unit = flat.reshape(len(ids), d) if lengths is None else flat[(np.cumsum(lengths) - lengths)[at][:, None] + np.arange(d)]
-                i, j = _pairs([group[at], table.column("block").to_numpy()[at], group[at][:, 1:], unit, own[at]], threshold)
-                if not len(i):
-                    continue
-                i, j = at[i], at[j]
-                links = np.bincount(i, weight[j], len(ids)) + np.bincount(j, weight[i], len(ids))
-                tree = ids.copy()
-                while True:
-                    before = tree.copy()
-                    np.minimum.at(tree, i, tree[j])
-                    np.minimum.at(tree, j, tree[i])
-                    if np.array_equal(before, tree):
-                        break
-                some = np.flatnonzero(links)
-                yield pa.RecordBatch.from_arrays([pa.array(ids[some]), pa.array(links[some].astype(np.int64)), pa.array(tree[some])], names=["vec_id", "links", "tree"])
+            block, units = table.column("block").to_numpy(), table.column("unit").chunk(0)
+            own = table.column("cells").chunk(0).flatten().to_numpy().reshape(n, per)
+            lengths, flat = units.value_lengths().to_numpy(), units.flatten().to_numpy()
+            ends = np.cumsum(lengths)
+            links, parent = np.zeros(n), np.arange(n)
+            for d in np.unique(lengths).tolist():
+                at = np.flatnonzero(lengths == d)
+                unit = flat.reshape(n, d) if len(at) == n else flat[(ends - d)[at][:, None] + np.arange(d)]
+                for i, j in _pairs(group[at], block[at], unit, own[at], threshold):
+                    if len(i):
+                        i, j = at[i], at[j]
+                        links += np.bincount(i, weight[j], n) + np.bincount(j, weight[i], n)
+                        _joined(parent, i, j)
+            some = np.flatnonzero(links)
+            if len(some):
+                node = table.column("node").chunk(0)
+                yield pa.RecordBatch.from_arrays([node.take(pa.array(some)), pa.array(links[some].astype(np.int64)), node.take(pa.array(parent[some]))], names=["node", "links", "root"])
 
         held: list[pa.Table] = []
         for batch in batches:
@@ -232,12 +253,15 @@ def near_duplicates(vectors: DataFrame, threshold: float = THRESHOLD, tables: in
             yield from done(pa.concat_tables(held))
         tidy()
 
-    linked = written(met.select("cell", "low", "high", "block", "vec_id", "weight", "unit", "cells").mapInArrow(link, "vec_id long, links long, tree long"), "links")
-    counts = linked.groupBy("vec_id").agg(F.sum("links").alias("links")).withColumnRenamed("vec_id", "rep")
-    parts = components(linked.select(F.col("vec_id").alias("a"), F.col("tree").alias("b"))).withColumnRenamed("node", "rep")
-    found = classes.join(counts, "rep", "left").join(parts, "rep", "left").select("digest", (F.coalesce("links", F.lit(0)) + F.col("weight") - 1).cast("long").alias("n_links"), F.coalesce("component", "rep").alias("component_id"))
-    out = digests.join(found, "digest", "left").select("vec_id", F.coalesce("n_links", F.lit(0).cast("long")).alias("n_links"), F.coalesce("component_id", "vec_id").alias("component_id"))
-    return out.withColumn("kept", F.col("vec_id") == F.col("component_id"))
+    linked = written(met.select("cell", "low", "high", "block", "node", "weight", "unit", "cells").mapInArrow(link, "node binary, links long, root binary"), "links")
+    counts = linked.groupBy("node").agg(F.sum("links").alias("links"))
+    parts = components(linked.select(F.col("node").alias("a"), F.col("root").alias("b")))
+    rows = classes.withColumnRenamed("digest", "node").join(counts, "node", "left").join(parts, "node", "left").withColumn("part", F.coalesce("component", "node"))
+    least = rows.groupBy("part").agg(F.min("least").alias("component_id"))
+    n_links = (F.coalesce("links", F.lit(0)) + F.col("weight") - 1).cast("long")
+    found = rows.join(least, "part").select(F.col("node").alias("digest"), n_links.alias("n_links"), "component_id", F.lit(True).alias("__has"))
+    out = digests.join(found, "digest", "left").select("vec_id", F.coalesce("n_links", F.lit(0).cast("long")).alias("n_links"), F.when(F.col("__has"), F.col("component_id")).otherwise(F.col("vec_id")).alias("component_id"))
+    return out.withColumn("kept", F.col("vec_id").eqNullSafe(F.col("component_id")))
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
