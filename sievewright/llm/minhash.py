@@ -173,8 +173,8 @@ def _linked(size: Column, other: Column, apart: Column, percent: int) -> Column:
 
 def _measured(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """pairs(a, b, s, shares) with the sizes of both sets, in how many shingles they differ, and whether they link."""
-    of_b = sets.select(F.col("digest").alias("b"), F.col("shingles").alias("of_b"))
-    centres = pairs.groupBy("a").agg(F.max("shares").alias("shares")).join(sets.select(F.col("digest").alias("a"), F.col("shingles").alias("of_a")), "a")
+    of_b = sets.select(F.col("node").alias("b"), F.col("shingles").alias("of_b"))
+    centres = pairs.groupBy("a").agg(F.max("shares").alias("shares")).join(sets.select(F.col("node").alias("a"), F.col("shingles").alias("of_a")), "a")
     both = pairs.join(of_b, "b").join(_copies(centres), ["a", "s"])
     apart = (F.size("of_a") + F.size("of_b") - 2 * F.size(F.array_intersect("of_a", "of_b"))).cast("long")
     out = both.select("a", "b", "s", "shares", F.size("of_a").cast("long").alias("n_a"), F.size("of_b").cast("long").alias("n_b"), apart.alias("apart"))
@@ -215,8 +215,8 @@ def _odd(rows: DataFrame, sets: DataFrame) -> DataFrame:
     """Members of stars with what their sets and the star's usual set differ in (odd, and its size: apart). The usual
     set is the centre's with what most members have otherwise put right, so that the centre's own oddities aren't in
     every difference."""
-    centres = rows.groupBy("a").agg(F.max("shares").alias("shares")).join(sets.select(F.col("digest").alias("a"), F.col("shingles").alias("of_a")), "a")
-    both = rows.join(sets.select(F.col("digest").alias("b"), F.col("shingles").alias("of_b")), "b").join(_copies(centres), ["a", "s"])
+    centres = rows.groupBy("a").agg(F.max("shares").alias("shares")).join(sets.select(F.col("node").alias("a"), F.col("shingles").alias("of_a")), "a")
+    both = rows.join(sets.select(F.col("node").alias("b"), F.col("shingles").alias("of_b")), "b").join(_copies(centres), ["a", "s"])
     unlike = F.concat(F.array_except("of_a", "of_b"), F.array_except("of_b", "of_a"))
     rows = written(both.select("a", "b", "s", "shares", "n_b", "most", unlike.alias("unlike")), "unlike")
     often = rows.select("a", F.explode("unlike").alias("e")).groupBy("a", "e").agg(F.count("*").alias("times"))
@@ -245,7 +245,7 @@ def _relabelled(rows: DataFrame, links: DataFrame) -> DataFrame:
     return _labelled(rows, components(links.select(F.col("x").alias("a"), F.col("y").alias("b")), "merge"), "part", "part")
 
 
-def _within(odd: DataFrame, percent: int, rounds: int = 8) -> DataFrame | None:
+def _within(odd: DataFrame, percent: int, rounds: int = 3) -> DataFrame | None:
     """Links (a, b) between members of one star that `part` puts in different components: all that there are, or others
     that join the same components; None without any. odd(a, b, n_b, most, odd, apart, part) as of _odd, with the component known so far.
 
@@ -256,8 +256,9 @@ def _within(odd: DataFrame, percent: int, rounds: int = 8) -> DataFrame | None:
 
     Members that meet in a difference aren't paired each with each. In each of some rounds one member of those that
     meet, another one every time, is the centre of a star: links found put members in one component, and a family that
-    is one component needs no more pairs. What is left are pairs across components, which differ for good or nearly so;
-    they are compared last, members of a difference's largest component among themselves never.
+    is one component needs no more pairs. Rounds end once they don't halve what is left, which are pairs across
+    components that differ for good or nearly so; those are compared last, members of a difference's largest component
+    among themselves never. The result doesn't depend on the number of rounds.
     """
     alpha, beta = 100 - percent, 100 + percent
     found = None
@@ -290,6 +291,7 @@ def _within(odd: DataFrame, percent: int, rounds: int = 8) -> DataFrame | None:
         apart = F.col("sum") - 2 * F.size(F.array_intersect("odd", "odd_"))
         return written(both.where(alpha * F.col("sizes") >= beta * apart).select(F.col("b").alias("a"), F.col("b_").alias("b"), "x", "y"), "within")
 
+    before = None
     for k in range(rounds + 1):
         sizes = prefix.groupBy("a", "e", "part").agg(F.count("*").alias("n"))
         sizes = sizes.groupBy("a", "e").agg(F.sum("n").alias("n"), F.max(F.struct("n", "part")).alias("main")).where("n > main.n")
@@ -298,7 +300,8 @@ def _within(odd: DataFrame, percent: int, rounds: int = 8) -> DataFrame | None:
         if not rest:
             break
         prefix = written(prefix.join(sizes.select("a", "e", F.col("main.part").alias("main")), ["a", "e"]), "prefixes")
-        last = rest <= 4 * rows_left or k == rounds
+        last = rest <= 4 * rows_left or k == rounds or before is not None and 2 * rest > before
+        before = rest
         if last:
             links = met(prefix.where("part <> main"), prefix)
         else:
@@ -315,20 +318,29 @@ def _within(odd: DataFrame, percent: int, rounds: int = 8) -> DataFrame | None:
 
 
 def _classes(docs: DataFrame, words: int, percent: int) -> tuple[DataFrame, DataFrame]:
-    """Rows (doc_id, key, n_shingles, digest) of docs(doc_id, key, text), and the component of each distinct set that
-    is in one with another: (node, component), digests both."""
+    """Rows (doc_id, key, n_shingles, digest) of docs(doc_id, key, text), and digest and component of each distinct set.
+
+    A class is numbered by its smallest doc_id, so that the first text of a family is the centre of its stars: copies
+    are nearer to what they were made from than to each other. Where several classes would have one number, and where
+    no row has an id, the others' numbers are hashes beyond all ids.
+    """
     signed = written(signatures(docs, words, rows_for(percent)), "signatures")
     first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "key"))
     one = signed.where("n_shingles > 0").groupBy("digest").agg(first.alias("row"), F.first("bands").alias("bands"))
     classes = written(one.select("digest", "row.doc_id", "row.key", "bands"), "classes")
-    placed = classes.select(F.col("digest").alias("b"), F.explode("bands").alias("bucket"))
+    several = written(classes.where("doc_id IS NOT NULL").groupBy("doc_id").agg(F.min("digest").alias("lowest"), F.count("*").alias("n")).where("n > 1").select("doc_id", "lowest"), "several")
+    beyond = F.xxhash64("digest").bitwiseAND(F.lit((1 << 62) - 1)) + F.lit(1 << 62)
+    node = F.when(F.col("doc_id").isNotNull() & F.coalesce(F.col("lowest") == F.col("digest"), F.lit(True)), F.col("doc_id")).otherwise(beyond)
+    classes = classes.join(several, "doc_id", "left").select(node.alias("node"), "digest", "doc_id", "key", "bands")
+    placed = classes.select(F.col("node").alias("b"), F.explode("bands").alias("bucket"))
     centres = placed.groupBy("bucket").agg(F.min("b").alias("a"), F.count("*").alias("n")).where("n > 1")
     pairs = placed.join(centres, "bucket").where("a < b").groupBy("a", "b").agg(F.max("n").alias("n"))
     shares = F.expr(f"int(1 + n div {SHARE})")
     pairs = written(pairs.select("a", "b", F.pmod(F.xxhash64("b"), shares).cast("int").alias("s"), shares.alias("shares")), "stars")
-    ends = written(pairs.select(F.col("a").alias("digest")).union(pairs.select("b")).distinct(), "ends")
-    wanted = written(classes.join(ends, "digest", "left_semi").select("doc_id", "key"), "wanted")
-    sets = written(_whole_sets(docs, wanted, words).join(ends, "digest", "left_semi").groupBy("digest").agg(F.first("shingles").alias("shingles")), "sets")
+    ends = pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct()
+    wanted = written(classes.select("node", "digest", "doc_id", "key").join(ends, "node", "left_semi"), "wanted")
+    found = _whole_sets(docs, wanted.select("doc_id", "key"), words).join(wanted.select("node", "digest"), "digest")
+    sets = written(found.groupBy("node").agg(F.first("shingles").alias("shingles")), "sets")
     measured = written(_measured(pairs, sets, percent), "measured")
     links = measured.where("linked").select("a", "b")
     parts = written(components(links), "parts")
@@ -342,7 +354,7 @@ def _classes(docs: DataFrame, words: int, percent: int) -> tuple[DataFrame, Data
         more = _within(_labelled(odd, parts, "b", "part"), percent)
         if more is not None and more.head(1):
             parts = written(components(links.union(more)), "parts")
-    return signed.drop("bands"), parts
+    return signed.drop("bands"), written(_labelled(classes.select("node", "digest"), parts, "node", "part").select("digest", "part"), "components")
 
 
 def _keyed(docs: DataFrame) -> DataFrame:
@@ -353,7 +365,7 @@ def near_duplicates(docs: DataFrame, words: int = WORDS, percent: int = PERCENT)
     """Documents (doc_id, text) with the component that links of at least `percent` similarity put them in.
 
     Texts with equal sets are one class, and classes are what links join. In every bucket the class of the smallest
-    digest is the centre of a star: its pairs with the rest are the candidates, so a bucket of n gives n - 1. Whole
+    doc_id is the centre of a star: its pairs with the rest are the candidates, so a bucket of n gives n - 1. Whole
     sets say in how much each differs from its centre, and whether they link. Members of a star that aren't both linked
     with its centre may still link with each other; those that can are found by what they differ in (see _within), so
     no pair that shares a bucket is passed over. What a large star's centre contributes is copied for every SHARE of its
@@ -368,9 +380,9 @@ def near_duplicates(docs: DataFrame, words: int = WORDS, percent: int = PERCENT)
     """
     small_batches(docs.sparkSession)
     signed, parts = _classes(_keyed(docs), words, percent)
-    rows = _labelled(signed.where("digest IS NOT NULL").groupBy("digest").agg(F.min("doc_id").alias("doc_id")), parts, "digest", "part")
+    rows = parts.join(signed.where("digest IS NOT NULL").groupBy("digest").agg(F.min("doc_id").alias("doc_id")), "digest")
     least = rows.groupBy("part").agg(F.min("doc_id").alias("component_id"))
-    found = rows.join(least, "part").select("digest", "component_id", F.lit(True).alias("__has"))
+    found = parts.join(least, "part").select("digest", "component_id", F.lit(True).alias("__has"))
     out = signed.join(found, "digest", "left").select("doc_id", "n_shingles", F.when(F.col("__has"), F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id"))
     return out.withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))
 
@@ -383,7 +395,7 @@ def dedup(docs: DataFrame, words: int = WORDS, percent: int = PERCENT) -> DataFr
     keyed = docs.withColumns({"__id": F.col("doc_id").cast("long"), "__key": F.xxhash64("text")})
     signed, parts = _classes(_keyed(docs), words, percent)
     rows = signed.groupBy("doc_id", "key", "digest").agg(F.count("*").alias("n"))
-    rows = written(_labelled(rows, parts, "digest", "part"), "rows")
+    rows = written(rows.join(parts, "digest", "left"), "rows")
     place = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "key")
     best = rows.where("part IS NOT NULL").groupBy("part").agg(F.min(place).alias("best"))
     gone = rows.join(best, "part").where(place != F.col("best"))
