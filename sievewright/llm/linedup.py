@@ -15,6 +15,9 @@ from .common import small_batches, tidy, unrepeated, written
 MIN_WORDS = 50
 #: What is no document's key: stands for a null doc_id.
 NO_ID = -(1 << 63)
+#: Parts into which the successors of one rank are dealt while they are ranked, and the copies of one run while its
+#: first is looked for.
+PARTS, SALTS = 1024, 32
 
 
 def windows(words: np.ndarray, least: int) -> tuple[np.ndarray, np.ndarray]:
@@ -52,28 +55,55 @@ def _lines(docs: DataFrame, least: int) -> DataFrame:
     return docs.mapInArrow(run, "doc long, version long, place long, h1 long, h2 long, ahead long, back long")
 
 
-def _ranked(pairs: DataFrame, group: str, by: list[str]) -> DataFrame:
-    """Rows of pairs that aren't alone in (group, by), with their rank: the group's, plus the rows of it before theirs.
+def _ranked(pairs: DataFrame, top: int) -> DataFrame:
+    """Rows of pairs (rank, next) that aren't alone with theirs, with a finer rank: the old one, plus the rows of the
+    same rank that come before by `next`. Ranks are at most `top`.
 
-    Counts are pre-aggregated, so what is ranked within a group are its distinct values of `by`, and the join back is
-    by a key that adaptive execution can split.
+    Counts are pre-aggregated, so what is ranked are distinct pairs, and in two levels: a rank's successors in PARTS
+    ranges of theirs, then within a range. So the successors of a very common line don't meet in one task.
     """
-    counts = pairs.groupBy(group, *by).agg(F.count("*").alias("n")).where("n > 1")
-    before = F.sum("n").over(Window.partitionBy(group).orderBy(*by).rowsBetween(Window.unboundedPreceding, 0)) - F.col("n")
-    return pairs.join(counts.select(group, *by, (F.col(group) + before).alias("refined")), [group, *by]).select("doc", "version", "place", F.col("refined").alias("rank"))
+    counts = pairs.groupBy("rank", "next").agg(F.count("*").alias("n")).withColumn("part", F.expr(f"next * {PARTS} div {top + 1}"))
+    counts = written(counts, "counts")
+    parts = counts.groupBy("rank", "part").agg(F.sum("n").alias("total"))
+    upto = Window.partitionBy("rank").orderBy("part").rowsBetween(Window.unboundedPreceding, 0)
+    parts = parts.select("rank", "part", (F.sum("total").over(upto) - F.col("total")).alias("prior"))
+    here = F.sum("n").over(Window.partitionBy("rank", "part").orderBy("next").rowsBetween(Window.unboundedPreceding, 0)) - F.col("n")
+    finer = counts.withColumn("here", here).where("n > 1").join(parts, ["rank", "part"]).select("rank", "next", (F.col("rank") + F.col("prior") + F.col("here")).alias("refined"))
+    return pairs.join(finer, ["rank", "next"]).select("doc", "version", "place", F.col("refined").alias("rank"))
+
+
+def _later(named: DataFrame) -> DataFrame:
+    """Of windows (doc, version, start, size) with the name of their interval (head, tail, size) those that aren't the
+    interval's first, as lines start to stop that aren't in the first copy.
+
+    The first of an interval is found over SALTS parts of it, and handed back to those: a run with any number of copies
+    is no key of a join.
+    """
+    at = F.struct("doc", "version", "start")
+    keys = ["head", "tail", "size"]
+    named = named.withColumn("salt", F.pmod(F.xxhash64("doc", "version", "start"), F.lit(SALTS)).cast("int"))
+    parts = written(named.groupBy(*keys, "salt").agg(F.min(at).alias("first"), F.count("*").alias("n")), "intervals")
+    first = parts.groupBy(*keys).agg(F.min("first").alias("first"), F.sum("n").alias("n")).where("n > 1").drop("n")
+    again = named.join(parts.select(*keys, "salt").join(first, keys), [*keys, "salt"]).where(at != F.col("first"))
+    # copies may overlap in one document: what is in the first stays
+    own = (F.col("doc") == F.col("first.doc")) & (F.col("version") == F.col("first.version"))
+    begin = F.when(own, F.greatest("start", F.col("first.start") + F.col("size"))).otherwise(F.col("start"))
+    return again.select("doc", "version", begin.alias("start"), (F.col("start") + F.col("size")).alias("stop"))
 
 
 def repeated_runs(docs: DataFrame, least: int = MIN_WORDS) -> DataFrame:
-    """Windows of lines (doc, version, start, size) that occurred before, in order of (doc, version, place).
+    """Runs of lines (doc, version, start, stop: exclusive) that occurred before, in order of (doc, version, place).
 
     Ranks of single lines are their places in the order of hashes; a step of prefix doubling joins each suffix's rank
     with that of the suffix 2**k lines on, and ranks the pairs within the first: the suffix array, as far as 2**(k+1)
     lines. Suffixes whose prefix occurs once leave, so what is carried shrinks to true repeats.
 
-    A run of lines repeats if its window's suffixes lie in one interval of the array with that many common lines: the
-    interval is named by the ranks of the two stretches of 2**k lines that cover the window. Windows are, for each
-    line, the least one of `least` words that begins and that ends there; together those inside a repeated run of
-    `least` words or more cover it wholly, so they give the same lines as all maximal runs.
+    Suffixes whose longest common prefix has m lines or more are an interval of the array. Two suffixes are in one if
+    the two stretches of 2**k lines that cover m lines have equal ranks in both, so those ranks name the interval, and
+    its members needn't be gathered in order to compare neighbours. Intervals are asked for at each line's least window
+    of `least` words that begins there, and that ends there: those inside a maximal repeated run of `least` words or
+    more cover it wholly, so their union is that of all maximal runs. Where copies overlap each other in a document,
+    the first stays whole.
     """
     lines = written(_lines(docs, least), "lines")
     counts = lines.groupBy("h1", "h2").agg(F.count("*").alias("n")).where("n > 1").withColumn("bucket", F.shiftrightunsigned("h1", 52))
@@ -87,24 +117,22 @@ def repeated_runs(docs: DataFrame, least: int = MIN_WORDS) -> DataFrame:
     rear = known.where("back > 0").select("doc", "version", (F.col("place") - F.col("back") + 1).alias("start"), F.col("back").alias("size"))
     asked = written(front.union(rear).distinct(), "windows")
     longest = asked.agg(F.max("size")).first()[0] or 0
+    top = known.agg(F.max("rank")).first()[0] or 0
     ranks, found, width = known.select("doc", "version", "place", "rank"), None, 1
     while width <= longest:
         part = asked.where((F.col("size") >= width) & (F.col("size") < 2 * width))
         head = ranks.select("doc", "version", F.col("place").alias("start"), F.col("rank").alias("head"))
         tail = ranks.select("doc", "version", F.col("place").alias("last"), F.col("rank").alias("tail"))
         named = part.join(head, ["doc", "version", "start"]).withColumn("last", F.col("start") + F.col("size") - width).join(tail, ["doc", "version", "last"]).drop("last")
-        at = F.struct("doc", "version", "start")
-        origin = named.groupBy("head", "tail", "size").agg(F.min(at).alias("first"), F.count("*").alias("n")).where("n > 1").drop("n")
-        again = named.join(origin, ["head", "tail", "size"]).where(at != F.col("first")).select("doc", "version", "start", "size")
-        again = written(again, "again")
+        again = written(_later(written(named, "named")), "again")
         found = again if found is None else found.union(again)
         if 2 * width <= longest:
             after = ranks.select("doc", "version", (F.col("place") - width).alias("place"), F.col("rank").alias("next"))
-            ranks = written(_ranked(ranks.join(after, ["doc", "version", "place"]), "rank", ["next"]), "ranks")
+            ranks = written(_ranked(written(ranks.join(after, ["doc", "version", "place"]), "pairs"), top), "ranks")
             if not ranks.head(1):
                 break
         width *= 2
-    return docs.sparkSession.createDataFrame([], "doc long, version long, start long, size long") if found is None else found
+    return docs.sparkSession.createDataFrame([], "doc long, version long, start long, stop long") if found is None else found
 
 
 def _keyed(docs: DataFrame) -> DataFrame:
@@ -112,10 +140,11 @@ def _keyed(docs: DataFrame) -> DataFrame:
 
 
 def dedup(docs: DataFrame, least: int = MIN_WORDS) -> DataFrame:
-    """docs without the lines of repeated runs of `least` words or more that stand in a first copy, with n_lines and
+    """docs without the later copies of maximal repeated runs of lines of `least` words or more, with n_lines and
     n_deleted; n_chars, where there is one, follows the text.
 
-    Copies are ordered by doc_id (nulls first), then place; the first stays. Lines are compared byte by byte (by 128-bit
+    Copies are ordered by doc_id (nulls first), then place; the first stays, whole also where it overlaps a later one:
+    30 equal lines of 5 words leave 10. Lines are compared byte by byte (by 128-bit
     hashes), blank ones as well; words are runs of anything but ASCII white space. Null text: 0 lines, and null again.
     Empty text: one empty line, kept. Rows that repeat doc_id and text are one document: both keep or lose the same.
     No rows: no rows. Other columns are kept, but ones named n_lines or n_deleted. Text is shuffled once, to meet its
@@ -126,7 +155,7 @@ def dedup(docs: DataFrame, least: int = MIN_WORDS) -> DataFrame:
     lines = keyed.select(F.col("__doc").alias("doc"), F.col("__version").alias("version"), "text").where("text IS NOT NULL")
     # rows that repeat a document would be copies of themselves
     runs = repeated_runs(lines if unrepeated(docs) else lines.dropDuplicates(["doc", "version"]), least)
-    spans = runs.groupBy(F.col("doc").alias("__doc"), F.col("version").alias("__version")).agg(F.collect_set(F.struct("start", "size")).alias("__spans"))
+    spans = runs.groupBy(F.col("doc").alias("__doc"), F.col("version").alias("__version")).agg(F.collect_set(F.struct("start", "stop")).alias("__spans"))
     keep = [c for c in docs.columns if c not in ("n_lines", "n_deleted")]
     joined = keyed.select(*keep, "__doc", "__version").join(spans, ["__doc", "__version"], "left").select(*keep, "__spans")
     at = keep.index("text")
@@ -142,7 +171,7 @@ def dedup(docs: DataFrame, least: int = MIN_WORDS) -> DataFrame:
                 edge = np.zeros(len(lines) + 1, np.int64)
                 for s in spans:
                     edge[s["start"]] += 1
-                    edge[s["start"] + s["size"]] -= 1
+                    edge[s["stop"]] -= 1
                 out = np.cumsum(edge)[:-1] > 0
                 texts.append("\n".join(x for x, o in zip(lines, out.tolist()) if not o)), total.append(len(lines)), gone.append(int(out.sum()))
             columns = [batch.column(c) for c in keep]

@@ -87,15 +87,11 @@ def test_near_duplicates_equal_brute_force(spark, rows, n, percent):
     assert all(r.kept == (r.component_id == i) for i, r in got.items())
 
 
-def key(i):
-    return i.to_bytes(16, "big")
-
-
 def within(spark, sets, percent, monkeypatch):
     """Links within one star around set 0, and the number of pairs compared besides those with the centre."""
-    table = spark.createDataFrame([(key(i), sorted(s)) for i, s in sets.items()], "digest binary, shingles array<long>")
+    table = spark.createDataFrame([(i, sorted(s)) for i, s in sets.items()], "node long, shingles array<long>")
     shares = 1 + len(sets) // minhash.SHARE
-    pairs = spark.createDataFrame([(key(0), key(i), i % shares, shares) for i in sets if i], "a binary, b binary, s int, shares int")
+    pairs = spark.createDataFrame([(0, i, i % shares, shares) for i in sets if i], "a long, b long, s int, shares int")
     measured = minhash._measured(pairs, table, percent)
     links = measured.where("linked").select("a", "b")
     odd = minhash._odd(minhash._members(measured, components(links), percent), table)
@@ -110,7 +106,7 @@ def within(spark, sets, percent, monkeypatch):
     monkeypatch.setattr(minhash, "written", count)
     more = minhash._within(minhash._labelled(odd, components(links.union(sure)), "b", "part"), percent)
     links = links.union(sure) if more is None else links.union(sure).union(more)
-    found = {(int.from_bytes(r.a, "big"), int.from_bytes(r.b, "big")) for r in links.collect()}
+    found = {(r.a, r.b) for r in links.collect()}
     return found, sum(compared)
 
 
@@ -193,7 +189,7 @@ def test_near_duplicates_odd_rows(spark):
 
 
 def removed(rows, least):
-    """Remaining texts: every window of lines with enough words that stood before goes."""
+    """Remaining texts: every window of lines with enough words that stood before goes, but for lines of its first copy."""
     seen, out = {}, {}
     docs = sorted((i, t.split("\n")) for i, t, *_ in rows if t is not None)
     spans = []
@@ -201,8 +197,8 @@ def removed(rows, least):
         for s in range(len(lines)):
             for e in range(s + 1, len(lines) + 1):
                 if sum(len(x.encode().split()) for x in lines[s:e]) >= least:
-                    spans.append((i, s, e, seen.setdefault(tuple(lines[s:e]), (i, s)) != (i, s)))
-    gone = {(i, p) for i, s, e, again in spans if again for p in range(s, e)}
+                    spans.append((i, s, e, seen.setdefault(tuple(lines[s:e]), (i, s))))
+    gone = {(i, p) for i, s, e, (j, first) in spans if (j, first) != (i, s) for p in range(s, e) if j != i or p >= first + e - s}
     for i, lines in docs:
         out[i] = "\n".join(x for p, x in enumerate(lines) if (i, p) not in gone)
     return out
@@ -237,6 +233,14 @@ def test_line_dedup_passages(spark):
     assert passage in got[1].text and all(passage not in got[i].text for i in (3, 5, 7)) and all(short in got[i].text for i in (0, 2, 4, 6))
 
 
+def test_overlapping_copies_leave_the_first_whole(spark):
+    line = "one two three four five"
+    rows = [(1, "\n".join([line] * 30), "en", "s"), (2, "\n".join([line, "x y z"] * 40), "en", "s"), (3, "\n".join([line] * 12), "en", "s")]
+    got = {r.doc_id: r.text.split("\n") for r in linedup.dedup(documents(spark, rows)).collect()}
+    assert got[1] == [line] * 10 and got[2] == ([line, "x y z"] * 7)[:13] and got[3] == [line, line][:0] + [""]
+    assert {i: "\n".join(t) for i, t in got.items()} == removed(rows, linedup.MIN_WORDS)
+
+
 def test_line_dedup_odd_rows(spark):
     assert linedup.dedup(documents(spark, [])).count() == 0
     text = "a b c\nd e f"
@@ -257,9 +261,10 @@ def links(vectors, labels, threshold):
     return out
 
 
-@pytest.mark.parametrize("block", [1024, 8])
-def test_lattice_equals_brute_force(spark, monkeypatch, block):
-    monkeypatch.setattr(lattice, "BLOCK", block)
+@pytest.mark.parametrize("spread", [256, 4])
+def test_lattice_equals_brute_force(spark, monkeypatch, spread):
+    monkeypatch.setattr(lattice, "SPREAD", spread)
+    monkeypatch.setattr(lattice, "TILE", (16, 32))
     rng = np.random.default_rng(7)
     vectors, labels = [], []
     for g in range(30):
@@ -283,6 +288,15 @@ def test_lattice_equals_brute_force(spark, monkeypatch, block):
     assert lattice.near_duplicates(table.where("false")).count() == 0
 
 
+def test_lattice_repeated_ids(spark):
+    """Each vector of an id is searched, and one doesn't carry the other's links on."""
+    v, w = [1.0] * 64, [1.0, -1.0] * 32
+    near = lambda x: [x[0] + 0.1, *x[1:]]
+    rows = [(5, v, 1), (5, w, 1), (7, near(v), 1), (9, near(w), 1), (None, near(v), 1), (None, [1.0] + [0.0] * 63, 1), (9, near(w), 1)]
+    got = sorted((str(r.vec_id), r.n_links, str(r.component_id), r.kept) for r in lattice.near_duplicates(spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int")).collect())
+    assert got == [("5", 2, "5", True), ("5", 2, "5", True), ("7", 2, "5", False), ("9", 2, "5", False), ("9", 2, "5", False), ("None", 0, "None", True), ("None", 2, "5", False)]
+
+
 def test_decoding_is_nearest():
     rng = np.random.default_rng(2)
     x = rng.uniform(-3, 3, (300, 8))
