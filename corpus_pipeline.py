@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from sievewright.llm import langid, linedup, minhash, mixing, packing
 from sievewright.llm.common import new_path
+from sievewright.tables import passing
 
 #: Share of the main language from which a document is taken for one of it.
 LEAST_SHARE = 0.5
@@ -68,10 +69,12 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over the table documents of a folder, each written in the shared folder and read again."""
+    """All stages over the table documents of a folder, each written in the shared folder and read again. What tables a
+    stage needs on the way are deleted once it is written."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     for name, stage in STAGES:
         path = new_path(spark, f"stage-{name}")
-        stage(spark, docs, sf_dir).write.parquet(path)
+        with passing(spark):
+            stage(spark, docs, sf_dir).write.parquet(path)
         docs = spark.read.parquet(path)
     return docs
