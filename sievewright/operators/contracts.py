@@ -154,25 +154,34 @@ def _kind(value: Column) -> Column:
 def _breaks(payload: Column, rule: Rule, contract: str) -> Column:
     value = _value(payload, rule.path)
     kind, text = _kind(value), F.try_variant_get(payload, f"$.{rule.path}", "string")
-    absent = kind.isin("missing", "null")
-    blank = ~F.coalesce((kind == "text") & text.rlike(r"\S"), F.lit(False))
-    number = F.when(kind.isin("text", "boolean", "integer", "number"), F.when(kind == "boolean", F.when(text == "true", 1.0).otherwise(0.0)).otherwise(F.trim(text).try_cast("double")))
-    plain = lambda x: F.lit(json.dumps(x) if isinstance(x, bool | int) else x)
-    outside = ~F.coalesce(text.isin(*[plain(x) for x in rule.allowed]) & ((kind == "text") if any(isinstance(x, str) for x in rule.allowed) else (kind != "text")), F.lit(False)) if rule.kind in ("one", "container-one") else None
-    container = F.try_variant_get(payload, "$.adapter", "string") == "container"
+
+    def blank() -> Column:
+        return ~F.coalesce((kind == "text") & text.rlike(r"\S"), F.lit(False))
+
+    def number() -> Column:
+        return F.when(kind.isin("text", "boolean", "integer", "number"), F.when(kind == "boolean", F.when(text == "true", 1.0).otherwise(0.0)).otherwise(F.trim(text).try_cast("double")))
+
+    def below(least: int) -> Column:
+        return ~(kind.isin("integer", "boolean") & F.coalesce(number() >= least, F.lit(False)))
+
+    def outside() -> Column:
+        words = any(isinstance(x, str) for x in rule.allowed)
+        spelled = [x if isinstance(x, str) else json.dumps(x) for x in rule.allowed]
+        return ~F.coalesce(text.isin(*spelled) & ((kind == "text") if words else (kind != "text")), F.lit(False))
+
+    def contained() -> Column:
+        return F.try_variant_get(payload, "$.adapter", "string") == "container"
+
     out = {
-        "text": lambda: blank, "container-text": lambda: container & blank, "array": lambda: kind != "array", "object": lambda: kind != "object", "boolean": lambda: kind != "boolean", "present": lambda: kind == "missing",
-        "count": lambda: ~(kind.isin("integer", "boolean") & F.coalesce(number >= 0, F.lit(False))), "positive": lambda: ~(kind.isin("integer", "boolean") & F.coalesce(number >= 1, F.lit(False))),
-        "one": lambda: outside, "container-one": lambda: container & outside, "schema": lambda: ~F.coalesce((kind == "text") & (text == schema_id(contract)), F.lit(False)),
-        "share": lambda: number.isNotNull() & ~number.between(0, 1), "number": lambda: number.isNull(),
+        "text": blank, "container-text": lambda: contained() & blank(), "array": lambda: kind != "array", "object": lambda: kind != "object", "boolean": lambda: kind != "boolean", "present": lambda: kind == "missing",
+        "count": lambda: below(0), "positive": lambda: below(1), "one": outside, "container-one": lambda: contained() & outside(),
+        "schema": lambda: ~F.coalesce((kind == "text") & (text == schema_id(contract)), F.lit(False)), "share": lambda: number().isNotNull() & ~number().between(0, 1), "number": lambda: number().isNull(),
         "items": lambda: ~F.coalesce((kind == "array") & (F.size(F.try_variant_get(payload, f"$.{rule.path}", "array<variant>")) >= rule.allowed[0]), F.lit(False)),
     }[rule.kind]()
-    keep_absent = rule.missing and (rule.kind != "object")
-    if rule.kind == "object" and rule.missing:
-        return out & (kind != "missing")
-    if rule.kind == "number":
+    # what may be left out may mostly be null as well
+    if rule.kind == "number" or rule.missing and rule.kind == "object":
         return out & (kind != "missing")
-    return out & ~absent if keep_absent else out
+    return out & ~kind.isin("missing", "null") if rule.missing else out
 
 
 def _messages(payload: Column, contract: str) -> Column:

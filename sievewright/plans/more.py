@@ -10,10 +10,10 @@ from pyspark.sql import functions as F
 from ..functions import text as T
 from ..operators import budget, candidates, contracts, evidence, findings, graph, harness, packets, planning, recall, state, telemetry, views
 from ..sources import events, repository, version_control, worker_input
-from ..tables import new_path
+from ..tables import new_path, written
 from . import pipelines, queries
 from .fixtures import MAX_BYTES, REPOSITORY, folder, literal, table, values
-from .oracles import DOC_FINDINGS, DOC_GROUPS, LOCATORS, PARTS, PATH, any_of, quoted, tokens
+from .oracles import DOC_GROUPS, LOCATORS, PARTS, PATH, QUERY_TERMS, any_of, quoted, tokens
 from .queries import read
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -553,7 +553,7 @@ def trace_log(spark, sf_dir):
 
 
 def _files(spark):
-    return repository.read_files(spark, folder(spark, REPOSITORY, "repository"), max_bytes=MAX_BYTES)
+    return written(repository.read_files(spark, folder(spark, REPOSITORY, "repository"), max_bytes=MAX_BYTES), "files")
 
 
 _SKIPPED = {"notes.txt": "irrelevant", "node_modules/x/index.js": "ignored", ".env": "ignored", "src/gen/made.js": "generated", "src/auto.js": "generated-content", "big.py": "large"}
@@ -662,7 +662,7 @@ def module_map(spark, sf_dir):
 
 def _edges(spark):
     files = _files(spark).where("skipped IS NULL")
-    index = repository.build_index(files)
+    index = written(repository.build_index(files), "index")
     links = graph.resolve_imports(index.select(F.col("path").alias("src"), F.explode("imports").alias("spec")), files)
     return files, index, links
 
@@ -850,3 +850,30 @@ def context_request(spark, sf_dir):
     run = pipelines.execute_context("charge pay", files, active=old)
     one = run.plan.select("task_type").crossJoin(run.lanes.agg(F.count("*").alias("lanes"))).crossJoin(run.status.select("files", F.array_join("reasons", ",").alias("reasons")))  # one row each
     return one.crossJoin(run.locators.where("kind = 'file' AND tier = 'active'").agg(F.count("*").alias("active_files"))).crossJoin(run.stale.where("validity = 'stale'").agg(F.count("*").alias("stale")))
+
+
+# --- SQL for queries of plans.queries that need what is above
+
+_ITEM = r"^(?:[-*+•]|\d+[.)、]|[（(]\d+[)）]|[一二三四五六七八九十]+[、.])\s*(.+)$"
+ORACLES["problem_list"] = rf"""WITH t AS (SELECT conv_id || ':' || turn AS task_id, list_filter(list_transform(string_split_regex(text, '\r?\n'), lambda x: trim(x)), lambda x: x <> '') AS lines, list_filter(list_transform(string_split_regex(text, '[;；\n]+'), lambda x: trim(x)), lambda x: x <> '') AS parts FROM conversations),
+i AS (SELECT *, list_filter(lines, lambda x: regexp_matches(x, {quoted(_ITEM)})) AS items FROM t),
+c AS (SELECT task_id, list_transform(CASE WHEN len(items) > 0 THEN list_transform(items, lambda x: regexp_extract(x, {quoted(_ITEM)}, 1)) ELSE parts END, lambda x: regexp_replace(regexp_replace(x, '\s+', ' ', 'g'), '^[ ;；]+|[ ;；]+$', '', 'g')) AS ps FROM i),
+u AS (SELECT task_id, unnest(ps) AS text, generate_subscripts(ps, 1) AS place FROM c), f AS (SELECT task_id, min(place) AS place, arg_min(text, place) AS text FROM u WHERE text <> '' GROUP BY task_id, lower(text)),
+n AS (SELECT *, row_number() OVER (PARTITION BY task_id ORDER BY place) AS ordinal FROM f)
+SELECT task_id, ordinal, 'problem-' || lpad(ordinal::VARCHAR, 3, '0') AS problem_id, text AS problem, len({QUERY_TERMS}) AS n_terms FROM n"""
+ORACLES["synthesis_packet"] = f"""WITH RECURSIVE g AS (SELECT best_doc_id AS doc_id, best_confidence AS c, greatest(1, workers) AS a, refs AS e, sources AS s FROM ({DOC_GROUPS})),
+o AS (SELECT row_number() OVER (ORDER BY c DESC, a DESC, e DESC, s DESC, trim(text, E' \\n\\t\\r')) AS r, trim(text, E' \\n\\t\\r') AS t, octet_length(encode(trim(text, E' \\n\\t\\r'))) + 1 AS size FROM g JOIN documents USING (doc_id)),
+w(r, used, took) AS (SELECT 0::BIGINT, 0::BIGINT, false UNION ALL SELECT o.r, used + CASE WHEN used + size <= 24000 THEN size ELSE 0 END, used + size <= 24000 FROM w JOIN o ON o.r = w.r + 1)
+SELECT o.r AS packet_rank, t AS text FROM w JOIN o USING (r) WHERE took"""
+
+_TARGET = "array_to_string(list_filter(string_split(spec, '/'), lambda x: x NOT IN ('', '.')), '/')"
+
+
+@query(f"""WITH f AS (SELECT DISTINCT {PATH} AS path FROM pages), i AS (SELECT DISTINCT {PATH} AS src, unnest(regexp_extract_all(html, 'href="([^"]+)"', 1)) AS spec FROM pages)
+SELECT src, spec, f.path AS dst, CASE WHEN f.path IS NOT NULL THEN 'edge' WHEN spec[1] IN ('.', '/') THEN 'unresolved' ELSE 'external' END AS kind FROM i LEFT JOIN f ON spec[1] = '/' AND f.path = {_TARGET}""")
+def page_links(spark, sf_dir):
+    """The links of pages as imports of one page by another."""
+    pages = read(spark, sf_dir, "pages")
+    path = F.regexp_replace(F.regexp_replace("url", r"^https?://[^/]*/?", ""), r"/*([?#].*)?$", "")
+    links = pages.select(path.alias("src"), F.explode(F.regexp_extract_all("html", F.lit(r'href="([^"]+)"'), F.lit(1))).alias("spec"))
+    return graph.resolve_imports(links, _page_paths(spark, sf_dir))

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from ..functions.text import QUERY_STOP_WORDS, coverage, estimated_tokens, fingerprint, identity_text, locator_id, query_terms, trust
 from ..operators import budget, candidates, findings, graph, packets, recall
+from ..tables import written
 
 # Names under which a handoff may carry a field, the fields whose items are a set, and what claims of
 # certain kinds are tested by: (requirement, mode, terms of the claim, pattern to look for).
@@ -245,14 +246,15 @@ def execute_context(task: str, files: DataFrame, external: DataFrame | None = No
 
     spark, budget_tokens = files.sparkSession, max(800, budget_tokens)
     planned = planning.plans(spark.createDataFrame([(run_id, task)], "run_id string, task string"), forced=forced)
-    index = repository.build_index(files)
+    index = written(repository.build_index(files), "index")
     links = graph.resolve_imports(index.select(F.col("path").alias("src"), F.explode("imports").alias("spec")), index.select("path"))
-    edges = links.where("kind = 'edge'").select("src", "dst")
+    edges = written(links.where("kind = 'edge'").select("src", "dst"), "edges")
     named = index.withColumns({"symbols": F.array_join("symbols", " "), "imports": F.array_join("imports", " ")})
     distance = graph.distances(edges, index.where("entry_point").select(F.col("path").alias("node")))
-    ranked = graph.rank_files(named, graph.degrees(index.select(F.col("path").alias("node")), edges), distance, task)
+    ranked = written(graph.rank_files(named, graph.degrees(index.select(F.col("path").alias("node")), edges), distance, task), "ranked")
     details = index.select("path", F.explode("symbol_details").alias("s")).select("path", "s.name", "s.start_line", "s.end_line", "s.estimated_tokens")
     chosen, picked, seen = context_pack(ranked, details, task, budget_tokens)
+    chosen, picked = written(chosen, "files"), written(picked, "symbols")
     revisions = files.select("path", version_control.blob_id(F.col("content")).alias("revision"))
     old = active if active is not None else spark.createDataFrame([], "id string, path string, revision string")
     held = chosen.select(locator_id(F.col("path"), F.lit(None).cast("string"), F.lit(None).cast("int"), F.lit(None).cast("int")).alias("id")).union(picked.select(locator_id(F.col("path"), F.col("name"), F.col("start_line"), F.col("end_line"))))

@@ -1,4 +1,4 @@
-"""Fan-in of a stream of findings: the batch groups, kept up to date in state."""
+"""Fan-in of a stream of findings: each micro-batch is reduced to its distinct supporters, groups are read from those."""
 
 from __future__ import annotations
 
@@ -9,33 +9,39 @@ from ..functions.text import fingerprint
 from ..operators.findings import assertion_key, normalize
 from ..tables import new_path
 
+PARTIAL = "group_key string, assertion_key string, worker string, source string, ref string, n long, best struct<confidence: double, worker: string, source: string, ordinal: long>"
 
-def groups(stream: DataFrame, policy: str = "exact-claim") -> DataFrame:
-    """Normalised findings (a stream) by group and assertion: occurrences, distinct supporters, and the best finding.
 
-    A streaming aggregation: its state is one row for each surviving group, with sets of its distinct workers, sources
-    and evidence, whatever the number of findings.
-    """
-    rank = F.struct(-F.col("confidence"), F.col("worker"), F.col("source"), F.col("ordinal"))
-    rows = stream.withColumns({"assertion_key": assertion_key(policy), "__ref": fingerprint(F.col("source"), F.sha2("evidence", 256), F.col("provenance"))})
-    out = rows.groupBy("group_key", "assertion_key").agg(F.count("*").alias("occurrence_count"), F.collect_set("worker").alias("w"), F.collect_set("source").alias("s"), F.collect_set("__ref").alias("e"), F.min_by("ordinal", rank).alias("best"))
-    sizes = {n: F.size(c).cast("long") for n, c in (("workers", "w"), ("independent_source_count", "s"), ("independent_evidence_count", "e"))}
-    return out.select("group_key", "assertion_key", "occurrence_count", *[c.alias(n) for n, c in sizes.items()], "best")
+def partial(findings: DataFrame, policy: str = "exact-claim") -> DataFrame:
+    """Normalised findings by group, assertion and supporter: how many, and the best of them. Partials of parts of the
+    findings add up to those of all."""
+    rows = findings.withColumns({"assertion_key": assertion_key(policy), "ref": fingerprint(F.col("source"), F.sha2("evidence", 256), F.col("provenance"))})
+    best = F.struct((-F.col("confidence")).alias("confidence"), "worker", "source", F.col("ordinal").cast("long").alias("ordinal"))
+    return rows.groupBy("group_key", "assertion_key", "worker", "source", "ref").agg(F.count("*").alias("n"), F.min(best).alias("best"))
+
+
+def groups(partials: DataFrame) -> DataFrame:
+    """Groups from partials: occurrences, distinct supporters, and the ordinal of the best finding."""
+    return partials.groupBy("group_key", "assertion_key").agg(
+        F.sum("n").alias("occurrence_count"), F.count_distinct("worker").alias("workers"), F.count_distinct("source").alias("independent_source_count"), F.count_distinct("ref").alias("independent_evidence_count"), F.min("best")["ordinal"].alias("best")
+    )
 
 
-def run(stream: DataFrame, name: str) -> DataFrame:
-    """Run the fan-in of a stream over all that is there, and read the groups back from the shared folder.
+def run(stream: DataFrame, name: str, policy: str = "exact-claim") -> DataFrame:
+    """Run the fan-in of a stream over all that is there, and read the groups from the shared folder.
 
-    Each micro-batch rewrites the table of groups whole: the last one stands for all input so far.
+    A micro-batch writes its partials into a folder of its own number, so one that is run again after a failure puts them
+    in place of its former ones. Nothing is kept in state, whatever the size of a group.
     """
     spark = stream.sparkSession
-    out, checkpoint = new_path(spark, f"{name}-groups"), new_path(spark, f"{name}-checkpoint")
+    out, checkpoint = new_path(spark, f"{name}-partials"), new_path(spark, f"{name}-checkpoint")
+    spark.createDataFrame([], PARTIAL).write.parquet(f"{out}/batch=-1")
     query = (
-        groups(stream).writeStream.outputMode("complete").option("checkpointLocation", checkpoint).trigger(availableNow=True)
-        .foreachBatch(lambda df, _: df.write.mode("overwrite").parquet(out)).start()
+        stream.writeStream.option("checkpointLocation", checkpoint).trigger(availableNow=True)
+        .foreachBatch(lambda df, batch: partial(df, policy).write.mode("overwrite").parquet(f"{out}/batch={batch}")).start()
     )
     query.awaitTermination()
-    return spark.read.parquet(out)
+    return groups(spark.read.schema(PARTIAL).parquet(out))
 
 
 def over_table(spark: SparkSession, path: str) -> DataFrame:

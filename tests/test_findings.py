@@ -194,6 +194,12 @@ def test_blocks(spark):
     b = blocks.canonical(raw, "p").withColumn("ordinal", F.monotonically_increasing_id())
     got = sorted((r.occurrence_count, r.location_count, r.provider_score or 0) for r in blocks.deduplicate(b).collect())
     assert got == [(1, 1, 0), (1, 1, 0), (2, 0, 0), (2, 1, 0.9)]
+    two = blocks.deduplicate(b).where("occurrence_count = 2 AND location_count = 1").first()
+    assert (two.block.path, two.block.symbol, two.block.content, two.providers) == ("a.py", "f", "x", ["p"])
+    assert blocks.support(b).count() == 4
+    payloads = spark.createDataFrame([("p", '{"results": [{"file": "a.py", "name": "f", "text": "x", "score": 2}, 3]}'), ("q", '[{"path": "b"}]'), ("r", '{"symbol": "s", "summary": "y"}')], "provider string, payload string")
+    items = sorted((r.provider, r.ordinal, r.path or r.file, r.symbol or r.name, r.score) for r in blocks.unwrapped(payloads).collect())
+    assert items == [("p", 0, "a.py", "f", 2.0), ("q", 0, "b", None, None), ("r", 0, None, "s", None)]
 
 
 def test_problem_lists(spark):
