@@ -63,7 +63,7 @@ def plan(docs: DataFrame, weights: Sequence[int] = (1, 2, 3), max_epochs: int =
     third of all rows is spread over 16**BUCKET_DIGITS windows. Only the table of distinct sources meets in one task.
 
     Null text: size 0. Null source: a source of its own. Repeated rows: each counts. No rows: no rows. Sources with no
-    words have target 0. Other columns of docs are ignored. Returns doc_id, source, size, source_size, target, quota,
+    words have target 0. What isn't taken has no position. Other columns of docs are ignored. Returns doc_id, source, size, source_size, target, quota,
     pattern, before, taken, position.
     """
     key = F.md5(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).cast("binary"))
@@ -98,7 +98,8 @@ def plan(docs: DataFrame, weights: Sequence[int] = (1, 2, 3), max_epochs: int =
     times = F.when(F.col("source_size") > 0, F.floor(F.col("quota") / F.col("source_size"))).otherwise(0).cast("long")
     rest = F.col("quota") - times * F.col("source_size") - F.col("before")
     out = out.withColumn("taken", times * F.col("size") + F.greatest(F.lit(0).cast("long"), F.least(rest, F.col("size"))))
-    return out.withColumn("position", position(F.col("before"), schedules)).select("doc_id", "source", "size", "source_size", "target", "quota", "quotas", "pattern", "before", "taken", "position")
+    at = F.when((F.col("taken") > 0) | (F.col("size") == 0), position(F.col("before"), schedules))
+    return out.withColumn("position", at).select("doc_id", "source", "size", "source_size", "target", "quota", "quotas", "pattern", "before", "taken", "position")
 
 
 def position(before: Column, schedules=SCHEDULES) -> Column:
@@ -176,6 +177,6 @@ p AS (SELECT *, CASE rank % 3 WHEN 0 THEN (sqrt(2.25::DOUBLE + -2.0::DOUBLE * sh
                 ELSE (sqrt(0.25::DOUBLE + 2.0::DOUBLE * share) - 0.5::DOUBLE) / 1.0::DOUBLE END AS time FROM k)
 SELECT doc_id, size, source_size, target,
        (times * size + greatest(0, least(quota - times * source_size - bef, size)))::BIGINT AS taken,
-       floor(q0 * (1.5::DOUBLE * time + -0.5::DOUBLE * time * time) + q1 * time + q2 * (0.5::DOUBLE * time + 0.5::DOUBLE * time * time) + 1e-6::DOUBLE)::BIGINT AS position
+       CASE WHEN size = 0 OR times * size + greatest(0, least(quota - times * source_size - bef, size)) > 0 THEN floor(q0 * (1.5::DOUBLE * time + -0.5::DOUBLE * time * time) + q1 * time + q2 * (0.5::DOUBLE * time + 0.5::DOUBLE * time * time) + 1e-6::DOUBLE)::BIGINT END AS position
 FROM p, g
 """
