@@ -386,10 +386,13 @@ def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = new_path(spark, "warc")
     archive(spark.read.parquet(f"{sf_dir}/pages.parquet"), path)
     page = lambda c: F.try_element_at(F.split(c, ":"), F.lit(-1)).try_cast("long")
-    whole = spark.read.format("warc").load(path)
+    # revisits carry no payload: their scan passes over the blocks of all other records, as the predicate is pushed down
+    heads = "record_id string, record_type string, payload_digest string, payload_bytes long, refers_to string"
+    read = lambda columns, kind: spark.read.format("warc").schema(columns).load(path).where(F.col("record_type") == kind)
     wrong = F.raise_error(F.concat(F.lit("payload differs from its digest: "), F.col("record_id"))).cast("string")
-    digest = F.when(F.col("payload").isNull(), F.col("payload_digest")).when(F.sha1("payload") == F.col("payload_digest"), F.col("payload_digest")).otherwise(wrong)
-    return whole.select(page("record_id").alias("page_id"), F.coalesce(F.length("payload").cast("long"), F.col("payload_bytes")).alias("payload_bytes"), digest.alias("payload_digest"), "record_type", page("refers_to").alias("refers_to"))
+    whole = read(f"{heads}, payload binary", "response").withColumns({"payload_digest": F.when(F.sha1("payload") == F.col("payload_digest"), F.col("payload_digest")).otherwise(wrong), "payload_bytes": F.length("payload").cast("long")})
+    rows = whole.drop("payload").unionByName(read(heads, "revisit"))
+    return rows.select(page("record_id").alias("page_id"), "payload_bytes", "payload_digest", "record_type", page("refers_to").alias("refers_to"))
 
 
 SQL = r"""
