@@ -245,7 +245,7 @@ def _relabelled(rows: DataFrame, links: DataFrame) -> DataFrame:
     return _labelled(rows, components(links.select(F.col("x").alias("a"), F.col("y").alias("b")), "merge"), "part", "part")
 
 
-def _within(odd: DataFrame, percent: int, rounds: int = 3) -> DataFrame | None:
+def _within(odd: DataFrame, percent: int, rounds: int = 1) -> DataFrame | None:
     """Links (a, b) between members of one star that `part` puts in different components: all that there are, or others
     that join the same components; None without any. odd(a, b, n_b, most, odd, apart, part) as of _odd, with the component known so far.
 
@@ -254,7 +254,7 @@ def _within(odd: DataFrame, percent: int, rounds: int = 3) -> DataFrame | None:
     help, and members that have too few others to offer drop out: nearly all, in a family of copies edited at random.
     The rest meet by prefix filtering, rarest differences first, with what can still be common from there on.
 
-    Members that meet in a difference aren't paired each with each. In each of some rounds one member of those that
+    Members that meet in a difference aren't paired each with each. In each of the rounds one member of those that
     meet, another one every time, is the centre of a star: links found put members in one component, and a family that
     is one component needs no more pairs. Rounds end once they don't halve what is left, which are pairs across
     components that differ for good or nearly so; those are compared last, members of a difference's largest component
