@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import fingerprint, langid, lattice, linedup, minhash, mixing, packing, quality, secrets, warc
+from . import fim, fingerprint, langid, lattice, linedup, minhash, mixing, packing, quality, secrets, warc
 
 QUERIES = {
     "op1_quality": quality.query,
@@ -15,10 +15,12 @@ QUERIES = {
     "op8_mixing": mixing.query,
     "op9_fingerprint": fingerprint.query,
     "op10_secrets": secrets.query,
+    "op13_fim": fim.query,
 }
 
 ORACLES = {
     "op4_warc": warc.SQL,
     "op8_mixing": mixing.SQL,
     "op10_secrets": secrets.SQL,
+    "op13_fim": fim.SQL,
 }
