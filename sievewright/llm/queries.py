@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import fim, fingerprint, langid, lattice, linedup, minhash, mixing, packing, quality, secrets, warc
+from . import fim, fingerprint, langid, lattice, linedup, minhash, mixing, packing, quality, secrets, vafile, warc
 
 QUERIES = {
     "op1_quality": quality.query,
@@ -15,6 +15,7 @@ QUERIES = {
     "op8_mixing": mixing.query,
     "op9_fingerprint": fingerprint.query,
     "op10_secrets": secrets.query,
+    "op11_vafile": vafile.query,
     "op13_fim": fim.query,
 }
 
@@ -22,5 +23,6 @@ ORACLES = {
     "op4_warc": warc.SQL,
     "op8_mixing": mixing.SQL,
     "op10_secrets": secrets.SQL,
+    "op11_vafile": vafile.SQL,
     "op13_fim": fim.SQL,
 }
