@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import fim, fingerprint, langid, lattice, linedup, minhash, mixing, packing, quality, secrets, vafile, warc
+from . import bpe, fim, fingerprint, langid, lattice, linedup, minhash, mixing, packing, quality, secrets, vafile, warc
 
 QUERIES = {
     "op1_quality": quality.query,
@@ -16,6 +16,7 @@ QUERIES = {
     "op9_fingerprint": fingerprint.query,
     "op10_secrets": secrets.query,
     "op11_vafile": vafile.query,
+    "op12_bpe": bpe.query,
     "op13_fim": fim.query,
 }
 
