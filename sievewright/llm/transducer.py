@@ -33,6 +33,17 @@ def _states(words: list[bytes]) -> tuple[list[dict[int, int]], list[bool], int]:
     return edges, final, 0
 
 
+def _place(used: np.ndarray, steps: np.ndarray, window: int = 4096) -> int:
+    """The first base, from 0 on, whose cells for all steps are free; beyond what is in use all are."""
+    for at in range(0, len(used) - 256, window):
+        free = np.ones(min(window, len(used) - 256 - at), bool)
+        for b in steps.tolist():
+            free &= ~used[at + b : at + b + len(free)]
+        if free.any():
+            return at + int(free.argmax())
+    return len(used) - 256
+
+
 def compiled(entries: dict[bytes, list[int]]) -> np.ndarray:
     """Words and their ids as one array of 32-bit numbers, to be mapped into memory; words are not empty.
 
@@ -57,28 +68,20 @@ def compiled(entries: dict[bytes, list[int]]) -> np.ndarray:
         else:
             accepted[stack.pop()] = final[state] + sum(accepted[to] for to in edges[state].values())
     name = {state: i for i, state in enumerate(order)}
-    base, used = np.full(len(order), 256, np.int32), bytearray(1024)
+    base, used = np.zeros(len(order), np.int32), np.zeros(1 << 12, bool)
     cells: dict[int, tuple[int, int, int]] = {}
-    free = 256
     for state in sorted(order, key=lambda s: -len(edges[s])):
         steps = list(edges[state])
         if not steps:
             continue
-        free = used.find(0, free)
-        at = free
-        while any(used[at - steps[0] + b] for b in steps[1:]):
-            at = used.find(0, at + 1)
-            if at + 512 > len(used):
-                used += bytes(len(used))
-        base[name[state]] = at - steps[0]
+        base[name[state]] = at = _place(used, np.array(steps))
+        if at + 768 > len(used):
+            used = np.concatenate([used, np.zeros_like(used)])
+        used[at + np.array(steps)] = True
         number = int(final[state])
         for b in steps:
-            cell = at - steps[0] + b
-            used[cell] = 1
-            cells[cell] = (name[state], name[edges[state][b]], number)
+            cells[at + b] = (name[state], name[edges[state][b]], number)
             number += accepted[edges[state][b]]
-        if free + 1024 > len(used):
-            used += bytes(len(used))
     owner = np.full(max(cells, default=0) + 257, -1, np.int32)
     target, number = np.zeros_like(owner), np.zeros_like(owner)
     for cell, (s, to, n) in cells.items():
