@@ -48,11 +48,13 @@ def clear(spark: SparkSession) -> None:
 
 @contextmanager
 def passing(spark: SparkSession) -> Iterator[None]:
-    """Delete at the end what tables are written in between: for a result that has been written itself by then."""
+    """Delete at the end, also after an error, what tables are written in between: for a result that has been written by then."""
     before = len(_paths)
-    yield
-    while len(_paths) > before:
-        drop_path(spark, _paths.pop())
+    try:
+        yield
+    finally:
+        while len(_paths) > before:
+            drop_path(spark, _paths.pop())
 
 
 def drop_path(spark: SparkSession, path: str) -> None:
