@@ -17,8 +17,8 @@ from pyspark import SparkFiles
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..tables import new_path
-from .common import small_batches, tidy
+from ..tables import new_path, passing
+from .common import small_batches, tidy, written
 from .packing import _batches, _joined, _parted, vocabulary
 from .transducer import Transducer, compiled
 
@@ -201,10 +201,19 @@ def word_counts(docs: DataFrame) -> DataFrame:
 
 
 def lexicon(docs: DataFrame, path: str, size: int = LEXICON) -> str:
-    """Compile the `size` most frequent words of all texts with their ids into a transducer; the name under which every
-    worker finds its file. It lies in the shared folder, from which Spark hands it to executors, new ones as well."""
+    """Compile the most frequent words of all texts, `size` at most (none of those that tie for the last places), with
+    their ids into a transducer; the name under which every worker finds its file. It lies in the shared folder, from
+    which Spark hands it to executors, new ones as well. The driver sees how many words occur how often, then the words."""
     spark = docs.sparkSession
-    words = [r.word for r in word_counts(docs).orderBy(F.desc("n"), "word").limit(size).collect()]
+    with passing(spark):
+        every = written(word_counts(docs), "words")
+        taken, least = 0, None
+        for r in every.groupBy("n").agg(F.count("*").alias("words")).orderBy(F.desc("n")).limit(size + 1).collect():
+            taken += r.words
+            if taken > size:
+                break
+            least = r.n
+        words = [] if least is None else sorted(r.word for r in every.where(F.col("n") >= least).select("word").collect())
     symbols, counts = _merging(path).ids(words)
     cut = np.split(symbols, np.cumsum(counts)[:-1]) if words else []
     memory = compiled({w.encode(): own.tolist() for w, own in zip(words, cut)})
