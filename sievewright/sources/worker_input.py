@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from . import worker_source
+
 #: Fields of a finding that are read from JSON as text; `value` keeps its JSON type's name beside it.
 FIELDS = ("claim", "summary", "fact", "evidence", "detail", "support", "source", "path", "file", "url", "confidence", "subject", "predicate", "period", "unit", "polarity")
 WORKER = ("worker_id", "worker", "producer", "agent", "from", "role")
@@ -17,11 +19,17 @@ def input_format(path: str, given: str = "auto") -> str:
     return "ndjson" if path == "-" or path.lower().endswith((".ndjson", ".jsonl")) else "json"
 
 
+def _parsed(lines: DataFrame) -> DataFrame:
+    """Lines as (input, ordinal, raw variant); a bad one is an error that names its number."""
+    at = F.concat(F.lit("invalid NDJSON at line "), F.col("line").cast("string"), F.coalesce(F.concat(F.lit(" of "), "input"), F.lit("")), F.lit(", not JSON: "), F.left("value", F.lit(200)))
+    return lines.select("input", "ordinal", F.coalesce(F.try_parse_json("value"), F.raise_error(at).cast("variant")).alias("raw"))
+
+
 def read_ndjson(spark: SparkSession, path: str) -> DataFrame:
-    """One worker output a line as (ordinal, raw variant); blank and # lines are passed over, a bad line is an error."""
-    rows = spark.read.text(path).where(~F.col("value").rlike(r"^\s*(#.*)?$"))
-    bad = F.raise_error(F.concat(F.lit("not JSON: "), F.left("value", F.lit(200)))).cast("variant")
-    return rows.select(F.monotonically_increasing_id().alias("ordinal"), F.coalesce(F.try_parse_json("value"), bad).alias("raw"))
+    """One worker output a line of a file, or of the files of a folder; blank and # lines are passed over. Outputs are
+    numbered within their file."""
+    worker_source.register(spark)
+    return _parsed(spark.read.format("worker_ndjson").load(path))
 
 
 def read_json(spark: SparkSession, path: str) -> DataFrame:
@@ -37,10 +45,10 @@ def read(spark: SparkSession, path: str, given: str = "auto") -> DataFrame:
     return read_ndjson(spark, path) if input_format(path, given) == "ndjson" else read_json(spark, path)
 
 
-def stream_ndjson(spark: SparkSession, folder: str, files_per_batch: int = 1) -> DataFrame:
-    """Worker outputs as a stream of NDJSON files; bad lines are left to the caller as null."""
-    lines = spark.readStream.option("maxFilesPerTrigger", files_per_batch).text(folder).where(~F.col("value").rlike(r"^\s*(#.*)?$"))
-    return lines.select(F.xxhash64("value").alias("ordinal"), F.try_parse_json("value").alias("raw"))
+def stream_ndjson(spark: SparkSession, folder: str) -> DataFrame:
+    """Worker outputs as a stream of the files that come into a folder: the same rows, numbers and errors as a batch."""
+    worker_source.register(spark)
+    return _parsed(spark.readStream.format("worker_ndjson").load(folder))
 
 
 def _text(of: str, field: str) -> Column:
@@ -51,14 +59,17 @@ def raw_findings(outputs: DataFrame) -> DataFrame:
     """The findings of worker outputs (ordinal, raw), one a row, with their worker and place.
 
     They stand under findings, evidence or facts of the handoff, else of the output; an output that is a finding itself
-    is one; text is a claim that is its own evidence. An output without any gives a row with no claim.
+    is one; text is a claim that is its own evidence. An output without any gives a row with no claim. Workers without a
+    name are worker-<number of the output>, behind the file's name where several files are read.
     """
     lists = [F.expr(f"try_variant_get(raw, '$.{p}{k}', 'array<variant>')") for p in ("handoff.", "") for k in ("findings", "evidence", "facts")]
     alone = F.when(F.coalesce(*[_text("raw", k) for k in ("claim", "evidence", "source")]).isNotNull() | F.expr("try_variant_get(raw, '$', 'string')").isNotNull(), F.array("raw"))
-    name = F.coalesce(*[F.nullif(F.trim(_text("raw", k)), F.lit("")) for k in WORKER], F.nullif(F.trim(_text("raw", "provenance.worker")), F.lit("")), F.nullif(F.trim(_text("raw", "provenance.producer")), F.lit("")), F.concat(F.lit("worker-"), (F.col("ordinal") + 1).cast("string")))
-    rows = outputs.select("ordinal", name.alias("worker"), F.posexplode_outer(F.coalesce(*lists, alone)).alias("item", "f"))
+    outputs = outputs if "input" in outputs.columns else outputs.withColumn("input", F.lit(None).cast("string"))
+    number = F.concat(F.coalesce(F.concat("input", F.lit(":")), F.lit("")), F.lit("worker-"), (F.col("ordinal") + 1).cast("string"))
+    name = F.coalesce(*[F.nullif(F.trim(_text("raw", k)), F.lit("")) for k in WORKER], F.nullif(F.trim(_text("raw", "provenance.worker")), F.lit("")), F.nullif(F.trim(_text("raw", "provenance.producer")), F.lit("")), number)
+    rows = outputs.select("input", "ordinal", name.alias("worker"), F.posexplode_outer(F.coalesce(*lists, alone)).alias("item", "f"))
     plain = F.expr("CASE WHEN schema_of_variant(f) = 'STRING' THEN try_variant_get(f, '$', 'string') END")
-    out = rows.select(F.col("ordinal").alias("worker_index"), "worker", F.col("item").alias("item_index"), plain.alias("__text"), *[_text("f", k).alias(k) for k in FIELDS], F.coalesce(_text("f", "canonicalKey"), _text("f", "canonical_key")).alias("canonical_key"), F.expr("to_json(try_variant_get(f, '$.provenance', 'variant'))").alias("provenance"), _text("f", "value").alias("value"), F.expr("schema_of_variant(try_variant_get(f, '$.value', 'variant'))").alias("value_kind"))
+    out = rows.select("input", F.col("ordinal").alias("worker_index"), "worker", F.col("item").alias("item_index"), plain.alias("__text"), *[_text("f", k).alias(k) for k in FIELDS], F.coalesce(_text("f", "canonicalKey"), _text("f", "canonical_key")).alias("canonical_key"), F.expr("to_json(try_variant_get(f, '$.provenance', 'variant'))").alias("provenance"), _text("f", "value").alias("value"), F.expr("schema_of_variant(try_variant_get(f, '$.value', 'variant'))").alias("value_kind"))
     filled = {k: F.coalesce(k, "__text") for k in ("claim", "evidence")}
     out = out.withColumns(filled).withColumn("source", F.coalesce("source", F.when(F.col("__text").isNotNull(), F.concat(F.lit("worker:"), F.col("worker")))))
-    return out.withColumn("ordinal", F.struct("worker_index", F.coalesce("item_index", F.lit(0)).alias("item_index"))).drop("__text")
+    return out.withColumn("ordinal", F.struct("input", "worker_index", F.coalesce("item_index", F.lit(0)).alias("item_index"))).drop("__text", "input")

@@ -1,47 +1,127 @@
-"""Fan-in of a stream of findings: each micro-batch is reduced to its distinct supporters, groups are read from those."""
+"""Fan-in of a stream of findings: supporters in keyed state, totals of groups in a versioned store."""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from collections.abc import Iterator
+
+import pandas as pd
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
+from pyspark.sql.types import DataType, LongType, StringType, StructType
 
 from ..functions.text import fingerprint
 from ..operators.findings import assertion_key, normalize
-from ..tables import new_path
+from ..store import Store
+from ..tables import drop_path, new_path
+
+#: Parts of a group's supporters; each is a key of the state, so a group that holds a third of a stream is many tasks'.
+PARTS = 8
+#: What a part of a group has seen: findings, distinct workers, sources and evidence references, and its best finding.
+TOTALS = "occurrences long, workers long, sources long, refs long, less double, worker string, source string, place string, ordinal string"
+KEY = "group_key string, assertion_key string, part int"
+RocksDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+_PROVIDER = "spark.sql.streaming.stateStore.providerClass"
+COUNTED = {"w": 1, "s": 2, "r": 3}
+
 
-PARTIAL = "group_key string, assertion_key string, worker string, source string, ref string, n long, best struct<confidence: double, worker: string, source: string, ordinal: long>"
+def _place(ordinal: Column, kind: DataType) -> Column:
+    """Text that sorts as the ordinal does: a whole number from 0, a text, or a structure of those."""
+    if isinstance(kind, StructType):
+        return F.concat_ws("\x01", *[_place(F.coalesce(ordinal[f.name], F.lit("")) if isinstance(f.dataType, StringType) else ordinal[f.name], f.dataType) for f in kind])
+    return ordinal if isinstance(kind, StringType) else F.lpad(ordinal.cast("string"), 20, "0")
 
 
-def partial(findings: DataFrame, policy: str = "exact-claim") -> DataFrame:
-    """Normalised findings by group, assertion and supporter: how many, and the best of them. Partials of parts of the
-    findings add up to those of all."""
+def supporters(findings: DataFrame, policy: str = "exact-claim", parts: int = PARTS) -> DataFrame:
+    """Normalised findings as three rows each: the worker, the source and the evidence reference that support a group,
+    each in the part that its hash falls to; the worker's row carries the finding's rank."""
+    kind = findings.schema["ordinal"].dataType
     rows = findings.withColumns({"assertion_key": assertion_key(policy), "ref": fingerprint(F.col("source"), F.sha2("evidence", 256), F.col("provenance"))})
-    best = F.struct((-F.col("confidence")).alias("confidence"), "worker", "source", F.col("ordinal").cast("long").alias("ordinal"))
-    return rows.groupBy("group_key", "assertion_key", "worker", "source", "ref").agg(F.count("*").alias("n"), F.min(best).alias("best"))
+    rows = rows.where("group_key IS NOT NULL").withColumns({"place": _place(F.col("ordinal"), kind), "ordinal": F.to_json(F.struct("ordinal")), "less": -F.col("confidence")})
+    who = F.explode(F.array(*[F.struct(F.lit(k).alias("kind"), F.coalesce(F.sha2(c, 256), F.lit("")).alias("who")) for k, c in (("w", "worker"), ("s", "source"), ("r", "ref"))])).alias("by")
+    rows = rows.select("group_key", "assertion_key", "less", "worker", "source", "place", "ordinal", who)
+    return rows.select("group_key", "assertion_key", F.pmod(F.xxhash64("by.who"), F.lit(parts)).cast("int").alias("part"), "by.kind", "by.who", "less", "worker", "source", "place", "ordinal")
+
+
+class Supporters(StatefulProcessor):
+    """What one part of a group has seen so far. Distinct supporters are keys of a map in the state store, so memory
+    doesn't grow with a group; totals come out whenever they change."""
 
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.seen = handle.getMapState("seen", "who string", "kind string")
+        self.totals = handle.getValueState("totals", TOTALS)
 
-def groups(partials: DataFrame) -> DataFrame:
-    """Groups from partials: occurrences, distinct supporters, and the ordinal of the best finding."""
-    return partials.groupBy("group_key", "assertion_key").agg(
-        F.sum("n").alias("occurrence_count"), F.count_distinct("worker").alias("workers"), F.count_distinct("source").alias("independent_source_count"), F.count_distinct("ref").alias("independent_evidence_count"), F.min("best")["ordinal"].alias("best")
-    )
+    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
+        totals = list(self.totals.get()) if self.totals.exists() else [0, 0, 0, 0, None, None, None, None, None]
+        for frame in rows:
+            for kind, who in frame[["kind", "who"]].drop_duplicates().itertuples(index=False):
+                if who and not self.seen.containsKey((kind + who,)):
+                    self.seen.updateValue((kind + who,), (kind,))
+                    totals[COUNTED[kind]] += 1
+            own = frame[frame["kind"] == "w"]
+            totals[0] += len(own)
+            for best in own[["less", "worker", "source", "place", "ordinal"]].itertuples(index=False):
+                if totals[4] is None or (best.less, best.worker or "", best.source or "", best.place) < (totals[4], totals[5] or "", totals[6] or "", totals[7]):
+                    totals[4:] = best
+        self.totals.update(tuple(totals))
+        names = [x.split(" ")[0] for x in f"{KEY}, {TOTALS}".split(", ")]
+        yield pd.DataFrame([[*key, *totals]], columns=names).astype({c: "Int64" for c in ("occurrences", "workers", "sources", "refs")})
 
+    def close(self) -> None:
+        pass
 
-def run(stream: DataFrame, name: str, policy: str = "exact-claim") -> DataFrame:
-    """Run the fan-in of a stream over all that is there, and read the groups from the shared folder.
 
-    A micro-batch writes its partials into a folder of its own number, so one that is run again after a failure puts them
-    in place of its former ones. Nothing is kept in state, whatever the size of a group.
+def totals(spark: SparkSession, path: str) -> Store:
+    """The store of a stream's totals, a row for each part of a group."""
+    return Store(spark, path, ["group_key", "assertion_key", "part"], f"{KEY}, {TOTALS}")
+
+
+def groups(parts: DataFrame, ordinal: DataType = LongType()) -> DataFrame:
+    """Groups from the totals of their parts: occurrences, distinct supporters, the ordinal of the best finding."""
+    rank = F.struct("less", F.coalesce("worker", F.lit("")), F.coalesce("source", F.lit("")), "place")
+    out = parts.groupBy("group_key", "assertion_key").agg(
+        F.sum("occurrences").alias("occurrence_count"), F.sum("workers").alias("workers"), F.sum("sources").alias("independent_source_count"), F.sum("refs").alias("independent_evidence_count"),
+        F.min_by("ordinal", F.when(F.col("less").isNotNull(), rank)).alias("best"),
+    )
+    return out.withColumn("best", F.from_json("best", StructType().add("ordinal", ordinal))["ordinal"])
+
+
+def start(stream: DataFrame, path: str, policy: str = "exact-claim", parts: int = PARTS, **trigger):
+    """Start the fan-in of a stream of normalised findings into the store under `path`, whose checkpoint lies beside it.
+
+    A micro-batch reads no more than its own rows and the state of the groups that they touch, and puts the totals of those
+    in place of the former ones, as one version of the store. Started again under the same path it goes on where it
+    stopped; a batch that is run again after a failure changes nothing twice.
     """
     spark = stream.sparkSession
-    out, checkpoint = new_path(spark, f"{name}-partials"), new_path(spark, f"{name}-checkpoint")
-    spark.createDataFrame([], PARTIAL).write.parquet(f"{out}/batch=-1")
-    query = (
-        stream.writeStream.option("checkpointLocation", checkpoint).trigger(availableNow=True)
-        .foreachBatch(lambda df, batch: partial(df, policy).write.mode("overwrite").parquet(f"{out}/batch={batch}")).start()
-    )
-    query.awaitTermination()
-    return groups(spark.read.schema(PARTIAL).parquet(out))
+    store = totals(spark, f"{path}/totals")
+    kept = supporters(stream, policy, parts).groupBy("group_key", "assertion_key", "part")
+    kept = kept.transformWithStateInPandas(Supporters(), f"{KEY}, {TOTALS}", "Update", "None")
+
+    def put(df: DataFrame, batch: int) -> None:
+        at = new_path(spark, "batch")
+        try:
+            df.write.parquet(at)  # the state is updated once, what is put may be read again
+            rows = spark.read.schema(df.schema).parquet(at)
+            if not rows.isEmpty():
+                store.upsert(rows, batch=("fan-in", batch))
+        finally:
+            drop_path(spark, at)
+
+    before = spark.conf.get(_PROVIDER)
+    spark.conf.set(_PROVIDER, RocksDB)
+    try:
+        return kept.writeStream.outputMode("update").option("checkpointLocation", f"{path}/checkpoint").trigger(**(trigger or {"availableNow": True})).foreachBatch(put).start()
+    finally:
+        spark.conf.set(_PROVIDER, before)
+
+
+def run(stream: DataFrame, name: str, policy: str = "exact-claim", path: str | None = None) -> DataFrame:
+    """Run the fan-in of a stream over all that is there, and read the groups from the shared folder."""
+    spark = stream.sparkSession
+    path = path or new_path(spark, name)
+    start(stream, path, policy).awaitTermination()
+    return groups(totals(spark, f"{path}/totals").read(), stream.schema["ordinal"].dataType)
 
 
 def over_table(spark: SparkSession, path: str) -> DataFrame:

@@ -81,6 +81,40 @@ def test_stream_equals_batch(spark, tmp_path):
     assert batch.select(F.sum("confidence")).first()[0] > 0
 
 
+def test_stream_equals_batch_after_each_file_and_a_restart(spark, tmp_path):
+    from sievewright.streaming import fanin
+
+    folder, state = tmp_path / "in", f"file://{tmp_path}/state"
+    folder.mkdir()
+    cols = ["group_key", "assertion_key", "occurrence_count", "workers", "independent_source_count", "independent_evidence_count"]
+    for k in range(4):
+        lines = [{"findings": [{"claim": f"c{i % 3}", "evidence": f"e{i % 4}", "source": f"s{i % 5}", "confidence": (i % 7) / 10, "value": i % 2}]} | ({} if i % 4 == 0 else {"worker": f"w{i % 6}"}) for i in range(k * 20, k * 20 + 20)]
+        (tmp_path / "new").write_text("# note\n\n" + "\n".join(map(json.dumps, lines)))
+        (tmp_path / "new").rename(folder / f"{9 - k}.ndjson")
+        batch = findings.normalize(worker_input.raw_findings(worker_input.read_ndjson(spark, str(folder))))
+        want = findings.groups(batch)
+        for again in range(2 if k == 1 else 1):  # started again with nothing new
+            stream = findings.normalize(worker_input.raw_findings(worker_input.stream_ndjson(spark, str(folder))))
+            got = fanin.run(stream, "test", path=state)
+            assert sorted(map(tuple, got.select(*cols).collect())) == sorted(map(tuple, want.select(*cols).collect()))
+            best = lambda df, c: {(r.group_key, r.assertion_key): tuple(r[c]) for r in df.withColumn("o", F.col(c)).collect()}
+            assert best(got, "best") == {k: tuple(v) for k, v in (((r.group_key, r.assertion_key), r.best.ordinal) for r in want.collect())}
+    names = {r.worker for r in batch.collect()}
+    assert {"9.ndjson:worker-1", "6.ndjson:worker-17", "w1"} <= names and len(names) == 6 + 20
+    one = worker_input.raw_findings(worker_input.read_ndjson(spark, str(folder / "9.ndjson")))
+    assert {r.worker for r in one.collect()} == {*(f"w{i}" for i in range(6)), *(f"worker-{i}" for i in (1, 5, 9, 13, 17))}
+
+
+def test_bad_lines_of_a_stream_are_errors(spark, tmp_path):
+    from sievewright.streaming import fanin
+
+    (tmp_path / "in").mkdir()
+    (tmp_path / "in" / "a.ndjson").write_text('{"claim": "x"}\n\n{oops\n')
+    stream = findings.normalize(worker_input.raw_findings(worker_input.stream_ndjson(spark, str(tmp_path / "in"))))
+    with pytest.raises(Exception, match="invalid NDJSON at line 3 of a.ndjson"):
+        fanin.run(stream, "test", path=f"file://{tmp_path}/state")
+
+
 def test_declarations_of_other_languages():
     assert repository.summarize("a.rs", "pub fn new(a: u8) {\n}\nuse std::io;\nstruct A;")["functions"] == ["new(a: u8)"]
     assert repository.summarize("a.swift", "import X\nfunc go(a: Int) {\n}") == {"imports": [], "classes": [], "types": [], "functions": ["go(a: Int)"], "exports": [], "routes": [], "symbols": ["go"], "lines": 3, "parser": "heuristic"}
