@@ -1,13 +1,14 @@
-"""Selection under budgets: prefix, skip, next-fit batches, tail trimming, largest remainder, eviction."""
+"""Selection under budgets: prefix, skip and next-fit batches (folds), tail trimming, largest remainder, eviction."""
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .folds import fitting, next_fit
+
+__all__ = ["evict", "fitting", "largest_remainder", "next_fit", "prefix", "round_robin", "skip", "trim_tail"]
+
 
 def prefix(rows: DataFrame, by: list[str], order: list, cost: str, limit: Column) -> DataFrame:
     """Of each group, in order, the rows before the first that doesn't fit: all whose running cost stays within."""
@@ -16,55 +17,10 @@ def prefix(rows: DataFrame, by: list[str], order: list, cost: str, limit: Column
 
 
 def skip(rows: DataFrame, by: str, order: str, cost: str, limit: int, most: int | None = None) -> DataFrame:
-    """Of each group, in order, every row that still fits, passing over those that don't, `most` rows at most.
-
-    What fits depends on what was taken before: groups are folded in streams of Arrow batches, sorted within partitions,
-    so a group of any length costs two counters, and what was taken of it. Null costs don't count. Returns the group,
-    taken (array<long>) and used.
-    """
-
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        started, group, used, taken = False, None, 0, []
-        for frame in frames:
-            out = []
-            for g, o, c in zip(frame[by], frame["__order"], frame["__cost"]):
-                if not started or g != group and not (pd.isna(g) and pd.isna(group)):
-                    if started:
-                        out.append((group, taken, used))
-                    started, group, used, taken = True, g, 0, []
-                if used + c <= limit and (most is None or len(taken) < most):
-                    used += c
-                    taken.append(o)
-            yield pd.DataFrame(out, columns=[by, "taken", "used"])
-        if started:
-            yield pd.DataFrame([(group, taken, used)], columns=[by, "taken", "used"])
-
-    sorted_ = rows.select(by, F.col(order).cast("long").alias("__order"), F.coalesce(F.col(cost), F.lit(0)).cast("long").alias("__cost")).repartition(by).sortWithinPartitions(by, "__order")
-    return sorted_.mapInPandas(run, f"{by} {rows.schema[by].dataType.simpleString()}, taken array<long>, used long")
-
-
-def next_fit(rows: DataFrame, by: str, order: str, cost: str, limit: int) -> DataFrame:
-    """Rows of each group in order, in batches: a row that would exceed the limit begins the next one.
-
-    A batch depends on all before it; groups are folded in streams of Arrow batches, sorted within partitions, so that
-    a group of any length costs one counter.
-    """
-
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        group, batch, used = object(), 0, 0
-        for frame in frames:
-            numbers = []
-            for g, c in zip(frame[by], frame[cost]):
-                if g != group:
-                    group, batch, used = g, 1, 0
-                elif used + c > limit:
-                    batch, used = batch + 1, 0
-                used += c
-                numbers.append(batch)
-            yield frame.assign(batch=numbers)
-
-    sorted_ = rows.select(by, order, cost).repartition(by).sortWithinPartitions(by, order)
-    return sorted_.mapInPandas(run, f"{by} {rows.schema[by].dataType.simpleString()}, {order} {rows.schema[order].dataType.simpleString()}, {cost} {rows.schema[cost].dataType.simpleString()}, batch long")
+    """Of each group, in order, every row that still fits, passing over those that don't, `most` rows at most: the group,
+    taken (array<long>, in order) and used. For packs; `folds.fitting` gives rows, for groups of any size."""
+    chosen = fitting(rows, by, order, cost, limit, most).withColumn("__taken", F.when(F.col("selected"), F.col(order).cast("long")))
+    return chosen.groupBy(by).agg(F.array_sort(F.collect_list("__taken")).alias("taken"), F.coalesce(F.sum(F.when(F.col("selected"), F.col(cost))), F.lit(0)).cast("long").alias("used"))
 
 
 def trim_tail(rows: DataFrame, by: list[str], order: list, cost: str, limit: int, least: int = 1) -> DataFrame:

@@ -1,10 +1,10 @@
-"""Streams and versioned stores as queries on the test tables, each with its SQL."""
+"""Streams, versioned stores and folds as queries on the test tables, each with its SQL."""
 
 from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..operators import overlay
+from ..operators import folds, overlay
 from ..operators.findings import normalize
 from ..sources import worker_input
 from ..store import Store
@@ -72,3 +72,29 @@ def runs_resumed(spark, sf_dir):
     overlay.resume(kept, orders, F.lit(15))
     todo = overlay.resume(kept, orders, F.lit(20))
     return todo.select("run_id", "resume_count", F.size("unfinished").cast("long").alias("unfinished")).join(kept.read().select("run_id", "updated_at", "created_at"), "run_id")
+
+
+_LINES = "SELECT l_orderkey * 10 + l_linenumber AS o, l_quantity::BIGINT AS c FROM lineitem"
+
+
+def _lines(spark, sf_dir):
+    """All lines as one group."""
+    return read(spark, sf_dir, "lineitem").select(F.lit(1).alias("g"), (F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("o"), F.col("l_quantity").cast("long").alias("c"))
+
+
+@query(f"""WITH s AS (SELECT list_reduce(list_prepend(struct_pack(o := 0::BIGINT, c := 0::BIGINT, b := 0::BIGINT, u := 1000000::BIGINT, d := 0::HUGEINT), list(struct_pack(o := o, c := c, b := 0::BIGINT, u := 0::BIGINT, d := 0::HUGEINT) ORDER BY o, c)),
+lambda a, x: CASE WHEN a.u + x.c > 1000 THEN struct_pack(o := x.o, c := x.c, b := a.b + 1, u := x.c, d := a.d + (a.b + 1) * (x.o % 9973)) ELSE struct_pack(o := x.o, c := x.c, b := a.b, u := a.u + x.c, d := a.d + a.b * (x.o % 9973)) END) AS s FROM ({_LINES}))
+SELECT s.b AS batches, s.d::BIGINT AS digest FROM s""")
+def lineitem_batches(spark, sf_dir):
+    """Lines of all orders as one group in batches of 1,000 pieces: how many, and a sum over each line's batch."""
+    out = folds.next_fit(_lines(spark, sf_dir), "g", "o", "c", 1000)
+    return out.agg(F.max("batch").alias("batches"), F.sum(F.col("batch") * (F.col("o") % 9973)).alias("digest"))
+
+
+@query(f"""WITH t AS (SELECT list(struct_pack(o := o, c := c) ORDER BY o, c) AS x FROM ({_LINES})), s AS (SELECT list_reduce(list_prepend(struct_pack(o := 0::BIGINT, c := 0::BIGINT, u := 0::BIGINT, n := 0::BIGINT, d := 0::HUGEINT), list_transform(x, lambda y: struct_pack(o := y.o, c := y.c, u := 0::BIGINT, n := 0::BIGINT, d := 0::HUGEINT))),
+lambda a, y: CASE WHEN a.u + y.c <= 70001 THEN struct_pack(o := y.o, c := y.c, u := a.u + y.c, n := a.n + 1, d := a.d + y.o) ELSE a END) AS s FROM t)
+SELECT s.n AS taken, s.u AS used, s.d::BIGINT AS digest FROM s""")
+def lineitem_fitting(spark, sf_dir):
+    """Of all lines in order, those that still fit into 70,001 pieces."""
+    out = folds.fitting(_lines(spark, sf_dir), "g", "o", "c", 70_001).where("selected")
+    return out.agg(F.count("*").alias("taken"), F.sum("c").alias("used"), F.sum("o").alias("digest"))
