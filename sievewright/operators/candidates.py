@@ -10,8 +10,9 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType
 
-from ..functions.text import claim_terms
+from ..functions.text import claim_terms, fingerprint
 from ..tables import written
+from .findings import assertion_key, code
 from .graph import components
 
 #: Parts of a class over which its first is handed back.
@@ -253,10 +254,78 @@ def guarded_components(pairs: DataFrame, findings: DataFrame) -> DataFrame:
     return findings.join(final, F.col("idx") == F.col("node"), "left").withColumn("component", F.coalesce("component", "idx")).drop("node")
 
 
-def merge(findings: DataFrame, grouped_by: str = "component") -> DataFrame:
-    """One row for each component: its best finding, summed occurrences, united supporters."""
-    best = F.struct(-F.col("confidence"), F.col("claim_text"), F.col("source"), F.col("idx"))
-    return findings.groupBy(grouped_by).agg(
-        F.min_by("idx", best).alias("idx"), F.count("*").alias("merged_findings"), F.sum("occurrence_count").alias("occurrence_count"),
-        F.min_by("identity", F.when(F.col("identity").isNotNull(), F.col("idx"))).alias("identity"), F.min_by("side", F.when(F.col("side").isNotNull(), F.col("idx"))).alias("side"),
+#: Fields that a merged finding takes from members that have them, where its best finding lacks them.
+IDENTITY_FIELDS, SIDE_FIELDS = ("subject", "predicate", "period", "unit"), ("polarity", "value", "unit")
+
+
+def _filled(c: Column) -> Column:
+    return F.coalesce(c.cast("string"), F.lit("")) != ""
+
+
+def merge(members: DataFrame, findings: DataFrame, policy: str = "exact-claim") -> DataFrame:
+    """One row for each component of `members` (findings.groups with idx, identity, side and component), with the columns
+    of a group: its best finding, its occurrences, and who and what supports the component as a whole.
+
+    Workers, sources and evidence that support several members count once: they are counted anew over the findings that
+    the groups came from. `best` is the member of the highest confidence, then first by claim and source. It keeps its own
+    fields; a canonical key, else subject, predicate, period and unit, comes from the first member with an identity, and
+    polarity, value and unit from the first with an asserted side, where it has none; `promoted` lists those. Groups alone
+    in their component are as they were. First means in the order of findings: confidence, agreement, claim.
+    """
+    place = F.struct(-F.col("best.confidence"), -F.col("agreement_count"), F.col("best.claim"), F.col("idx"))
+    lead = F.struct(-F.col("best.confidence"), F.col("best.claim"), F.col("best.source"), F.col("idx"))
+    fields = F.struct("best.canonical_key", *[F.col(f"best.{c}").alias(c) for c in (*IDENTITY_FIELDS, "polarity", "value")])
+    sums = members.groupBy("component").agg(
+        F.min_by(F.struct("idx", "group_key", "assertion_key", "best"), lead).alias("lead"), F.count("*").alias("merged_findings"), F.sum("occurrence_count").alias("occurrence_count"),
+        *[F.sum(c).alias(c) for c in ("workers", "independent_source_count", "independent_evidence_count")],
+        F.min_by(fields, F.when(F.col("identity").isNotNull(), place)).alias("__identity"), F.min_by(fields, F.when(F.col("side").isNotNull(), place)).alias("__side"),
+        F.min_by("identity", F.when(F.col("identity").isNotNull(), place)).alias("identity"), F.min_by("side", F.when(F.col("side").isNotNull(), place)).alias("side"),
+        F.bool_or(F.col("group_key").startswith("canonical:") & (F.col("assertion_key") == "") & (F.col("claim_variants") > 1)).alias("ambiguous"), F.min("first_seen").alias("first_seen"),
     )
+    several = sums.where("merged_findings > 1").select("component")
+    of = members.join(several, "component").select("idx", "component")
+    # distinct supporters of merged components alone, pairs of hashes, each member's counted once before they meet
+    ref = fingerprint(F.col("source"), F.sha2("evidence", 256), F.col("provenance"))
+    supporters = findings.select(F.xxhash64("group_key", assertion_key(policy)).alias("idx"), *[code(c).alias(n) for n, c in (("w", F.nullif(F.trim("worker"), F.lit(""))), ("s", F.nullif(F.trim("source"), F.lit(""))), ("r", ref))])
+    supporters = supporters.join(of, "idx").groupBy("component", "w", "s", "r").agg(F.lit(1))
+    anew = supporters.groupBy("component").agg(F.count_distinct("w").alias("__w"), F.count_distinct("s").alias("__s"), F.count_distinct("r").alias("__r"))
+    out = sums.join(anew, "component", "left")
+    best = {c: F.col(f"lead.best.{c}") for c in members.schema["best"].dataType.fieldNames()}
+    keyed = _filled(F.col("__identity.canonical_key"))
+    takes = {"canonical_key": keyed & ~_filled(best["canonical_key"])}
+    takes |= {c: F.col("__identity").isNotNull() & ~keyed & ~_filled(best[c]) & _filled(F.col(f"__identity.{c}")) for c in IDENTITY_FIELDS}
+    value = {c: F.when(t, F.col(f"__identity.{c}")).otherwise(best[c]) for c, t in takes.items()}
+    for c in SIDE_FIELDS:
+        has = value.get(c, best[c])
+        lacks = ~_filled(has) & _filled(F.col(f"__side.{c}"))
+        value[c] = F.when(lacks, F.col(f"__side.{c}")).otherwise(has)
+        takes[c] = takes.get(c, F.lit(False)) | lacks
+    promoted = F.array_compact(F.array(*[F.when(F.coalesce(t, F.lit(False)) & (F.col("merged_findings") > 1), c) for c, t in takes.items()]))
+    merged_best = F.struct(*[F.when(F.col("merged_findings") > 1, value.get(c, best[c])).otherwise(best[c]).alias(c) for c in best if c not in ("identity", "side")], F.col("identity").alias("identity"), F.col("side").alias("side"))
+    workers = F.coalesce("__w", "workers")
+    return out.select(
+        "component", F.col("lead.idx").alias("idx"), F.col("lead.group_key").alias("group_key"), F.col("lead.assertion_key").alias("assertion_key"), "merged_findings", "occurrence_count", workers.alias("workers"),
+        F.greatest(F.lit(1), workers).cast("long").alias("agreement_count"), F.coalesce("__s", "independent_source_count").alias("independent_source_count"), F.coalesce("__r", "independent_evidence_count").alias("independent_evidence_count"),
+        promoted.alias("promoted"), "ambiguous", "identity", "side", merged_best.alias("best"), "first_seen",
+    )
+
+
+def supporters(members: DataFrame, findings: DataFrame, policy: str = "exact-claim") -> DataFrame:
+    """Who and what supports each component, a row each: kind (worker, source, group, provenance) and value."""
+    own = findings.select(F.xxhash64("group_key", assertion_key(policy)).alias("idx"), "worker", "source", "group_key", "provenance").join(members.select("idx", "component"), "idx")
+    kinds = F.array(*[F.struct(F.lit(k).alias("kind"), F.col(c).cast("string").alias("value")) for k, c in (("worker", "worker"), ("source", "source"), ("group", "group_key"), ("provenance", "provenance"))])
+    return own.select("component", F.explode(kinds).alias("by")).where("by.value <> ''").select("component", "by.kind", "by.value").distinct()
+
+
+def blocked(pairs: DataFrame, members: DataFrame) -> DataFrame:
+    """Authorised pairs (left, right) whose findings stayed apart, by reason and number: components that would hold two
+    identities or sides, and findings without one that would bridge such."""
+    kinds = members.groupBy("component").agg(F.min("identity").alias("identity"), F.min("side").alias("side"))
+    own = members.select("idx", "component").join(kinds, "component")
+    for s in ("left", "right"):
+        pairs = pairs.join(own.select(F.col("idx").alias(s), *[F.col(c).alias(f"{s}_{c}") for c in ("component", "identity", "side")]), s)
+    apart = pairs.where("left_component <> right_component")
+    differ = lambda c: F.col(f"left_{c}") != F.col(f"right_{c}")
+    one = F.col("left_identity").isNull() != F.col("right_identity").isNull()
+    reason = F.when(differ("identity"), "component-conflicting-identity").when(differ("side"), "component-conflicting-assertion").when(one, "ambiguous-identity-bridge").otherwise("ambiguous-assertion-bridge")
+    return apart.groupBy(reason.alias("reason")).agg(F.count("*").alias("pairs"))

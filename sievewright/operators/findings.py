@@ -76,7 +76,7 @@ def decide(findings: DataFrame, min_confidence: float = 0.0, trust_policy: str =
     return findings.withColumn("decision", out.otherwise(F.struct(F.lit("keep").alias("decision"), F.lit(None).cast("string").alias("reason"))))
 
 
-def _code(*parts: str | Column) -> Column:
+def code(*parts: str | Column) -> Column:
     """128 bits that stand for a value, or a tuple of them, in keys and distinct counts; null if any part is."""
     cols = [F.col(p) if isinstance(p, str) else p for p in parts]
     known = cols[0].isNotNull()
@@ -95,10 +95,10 @@ def groups(findings: DataFrame, policy: str = "exact-claim") -> DataFrame:
     ref = fingerprint(F.col("source"), F.sha2(F.col("evidence"), 256), F.col("provenance"))
     rank = F.struct(-F.col("confidence"), F.col("worker"), F.col("source"), F.col("ordinal"))
     coded = {
-        "__key": F.struct(_code("group_key").alias("g"), _code(assertion_key(policy)).alias("a")), "__worker": _code("worker"), "__source": _code("source"), "__both": _code("worker", "source"),
-        "__ref": _code(ref), "__claim": _code("claim_text"), "__rank": rank,
+        "__key": F.struct(code("group_key").alias("g"), code(assertion_key(policy)).alias("a")), "__worker": code("worker"), "__source": code("source"), "__both": code("worker", "source"),
+        "__ref": code(ref), "__claim": code("claim_text"), "__rank": rank,
     }
-    best = ("ordinal", "claim", "evidence", "source", "worker", "confidence", "canonical_key", "identity", "side", "polarity_text", "value_text", "unit_text")
+    best = ("ordinal", "claim", "evidence", "source", "worker", "confidence", "canonical_key", "identity", "side", "polarity_text", "value_text", "unit_text", "subject", "predicate", "period", "unit", "polarity", "value")
     out = findings.withColumns(coded).groupBy("__key").agg(
         F.count("*").alias("occurrence_count"), F.count_distinct("__worker").alias("workers"), F.count_distinct("__source").alias("independent_source_count"),
         F.count_distinct("__both").alias("worker_sources"), F.count_distinct("__ref").alias("independent_evidence_count"), F.count_distinct("__claim").alias("claim_variants"),
@@ -126,7 +126,7 @@ def contradictions(findings: DataFrame) -> DataFrame:
     All findings stay where they are; nothing is averaged or dropped. Findings of one identity and side are counted
     first, so the distinct counts are over few rows, and over hashes of 128 bits.
     """
-    rows = findings.where("identity IS NOT NULL").withColumns({"__polarity": _code(F.nullif(F.col("polarity_text"), F.lit(""))), "__value": _code("value_text"), "__side": _code("side")})
+    rows = findings.where("identity IS NOT NULL").withColumns({"__polarity": code(F.nullif(F.col("polarity_text"), F.lit(""))), "__value": code("value_text"), "__side": code("side")})
     rows = rows.groupBy("identity", "__polarity", "__value", "__side").agg(F.count("*").alias("n"))
     out = rows.groupBy("identity").agg(F.sum("n").alias("findings"), F.count_distinct("__polarity").alias("polarities"), F.count_distinct("__value").alias("values"), F.count_distinct("__side").alias("sides"))
     reasons = F.array_compact(F.array(F.when(F.col("polarities") > 1, "polarity disagreement"), F.when(F.col("values") > 1, "value disagreement")))

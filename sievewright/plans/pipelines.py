@@ -39,13 +39,16 @@ DEPENDENCY_TERMS = ("caller", "callee", "depends", "dependency", "imports", "imp
 
 @dataclass
 class Reduction:
-    """What a fan-in gives: each a DataFrame, computed when asked for."""
+    """What a fan-in gives: each a DataFrame, computed when asked for. Without a provider of candidates `merged` is the
+    groups, each alone."""
 
     decided: DataFrame
     groups: DataFrame
     contradictions: DataFrame
     pairs: DataFrame
+    members: DataFrame
     merged: DataFrame
+    blocked: DataFrame
     stats: DataFrame
 
 
@@ -61,14 +64,26 @@ def reduce_findings(raw: DataFrame, min_confidence: float = 0.0, trust_policy: s
     numbered = grouped.select("*", F.xxhash64("group_key", "assertion_key").alias("idx"), identity_text(F.col("best.claim")).alias("claim_text"), F.col("best.identity").alias("identity"), F.col("best.side").alias("side"), F.col("best.confidence").alias("confidence"), F.col("best.source").alias("source"))
     none = kept.sparkSession.createDataFrame([], "left long, right long, score double")
     pairs = candidates.verify(candidates.detect(numbered, provider, threshold, most) if provider else none, numbered)
-    merged = candidates.merge(candidates.guarded_components(pairs.where("merge_authorized").select("left", "right"), numbered)) if provider else numbered.select(F.col("idx").alias("component"), "idx", F.lit(1).cast("long").alias("merged_findings"), "occurrence_count", "identity", "side")
-    return Reduction(decided, grouped, findings.contradictions(kept), pairs, merged, findings.reduction_stats(decided, grouped))
+    authorized = pairs.where("merge_authorized").select("left", "right")
+    members = candidates.guarded_components(authorized, numbered) if provider else numbered.withColumn("component", F.col("idx"))
+    merged = candidates.merge(members, kept, policy)
+    stats = findings.reduction_stats(decided, grouped).crossJoin(merge_stats(authorized, merged))  # one row each
+    return Reduction(decided, grouped, findings.contradictions(kept), pairs, members, merged, candidates.blocked(authorized, members), stats)
+
+
+def merge_stats(authorized: DataFrame, merged: DataFrame) -> DataFrame:
+    """One row of counts over authorised pairs and what they merged; agreement is that of the findings that came out."""
+    out = merged.agg(
+        F.coalesce(F.sum(F.col("merged_findings") - 1), F.lit(0)).alias("verified_merges"), F.count_if(F.col("merged_findings") > 1).alias("components_merged"), F.count("*").alias("output_findings"),
+        F.count_if(F.col("agreement_count") > 1).alias("agreement_groups"), F.coalesce(F.max("agreement_count"), F.lit(0)).alias("max_merged_agreement"), F.count_if("ambiguous").alias("ambiguous_groups"),
+    )
+    return authorized.agg(F.count("*").alias("authorized_pairs")).crossJoin(out)  # one row each
 
 
 def synthesis_packet(reduction: Reduction, limit: int = 6000) -> DataFrame:
-    """The findings of a packet: those no contradiction carries, in order, as far as they fit; each with its source's
-    short name. Contradictions go with it whole."""
-    free = packets.without_contradicted(reduction.groups.withColumn("identity", F.coalesce("best.identity", F.lit(""))), reduction.contradictions)
+    """The findings of a packet: merged ones that no contradiction carries, in order, as far as they fit; each with its
+    source's short name. Contradictions go with it whole."""
+    free = packets.without_contradicted(reduction.merged.withColumn("identity", F.coalesce("identity", F.lit(""))), reduction.contradictions)
     rows = packets.ordered(free.select(F.col("best.claim").alias("claim"), F.col("best.source").alias("source"), F.col("best.confidence").alias("confidence"), "agreement_count", "independent_evidence_count", "independent_source_count"))
     fit = packets.pack(rows.select("packet_rank", F.concat_ws(" ", "claim", "source").alias("text")), limit).select("packet_rank")
     rows = rows.join(fit, "packet_rank")

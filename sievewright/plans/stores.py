@@ -4,12 +4,13 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..operators import folds, overlay
+from ..operators import candidates, folds, overlay
 from ..operators.findings import normalize
 from ..sources import worker_input
 from ..store import Store
 from ..streaming import fanin
 from ..tables import new_path
+from . import pipelines
 from .more import query
 from .oracles import norm
 from .queries import read
@@ -98,3 +99,45 @@ def lineitem_fitting(spark, sf_dir):
     """Of all lines in order, those that still fit into 70,001 pieces."""
     out = folds.fitting(_lines(spark, sf_dir), "g", "o", "c", 70_001).where("selected")
     return out.agg(F.count("*").alias("taken"), F.sum("c").alias("used"), F.sum("o").alias("digest"))
+
+
+def _type_findings(spark, sf_dir):
+    """Parts as findings on their type and name: some name a key, of types that begin with S one of many."""
+    part = read(spark, sf_dir, "part")
+    key = F.when(F.col("p_partkey") % 3 == 0, None).when(F.col("p_type").startswith("S"), F.col("p_brand")).otherwise(F.concat(F.lit("k"), "p_type", "p_name"))
+    return part.select(F.col("p_partkey").alias("ordinal"), F.concat(F.lit("w"), F.col("p_size") % 10).alias("worker"), F.concat_ws(" ", "p_type", "p_name").alias("claim"), F.col("p_brand").alias("evidence"), F.concat(F.lit("m"), F.col("p_size") % 7).alias("source"), ((F.col("p_size") % 10) / 10).alias("confidence"), key.alias("canonical_key"))
+
+
+def _reduced(spark, sf_dir):
+    def equal_claims(found, threshold, most):
+        own = found.select("idx", "claim_text")
+        return own.select(F.col("idx").alias("left"), "claim_text").join(own.select(F.col("idx").alias("right"), "claim_text"), "claim_text").where("left < right").select("left", "right", F.lit(1.0).alias("score"))
+
+    candidates.register_provider("equal-claims", equal_claims)
+    return pipelines.reduce_findings(_type_findings(spark, sf_dir), provider="equal-claims")
+
+
+_TYPES = f"""f AS (SELECT p_partkey, {norm("p_type || ' ' || p_name")} AS claim, 'w' || p_size % 10 AS worker, 'm' || p_size % 7 AS source, p_brand AS evidence, (p_size % 10) / 10 AS confidence,
+CASE WHEN p_partkey % 3 = 0 THEN NULL WHEN p_type LIKE 'S%' THEN p_brand ELSE 'k' || p_type || p_name END AS k FROM part), n AS (SELECT claim, count(DISTINCT k) AS ni, count(*) FILTER (k IS NULL) AS bare FROM f GROUP BY claim)"""
+
+
+@query(f"""WITH {_TYPES}, g AS (SELECT *, CASE WHEN ni <= 1 THEN 'all' ELSE coalesce('key ' || k, 'none') END AS component FROM f JOIN n USING (claim))
+SELECT claim, max(k) AS canonical_key, count(DISTINCT coalesce(k, '')) AS merged_findings, count(*) AS occurrence_count, count(DISTINCT worker) AS agreement_count,
+count(DISTINCT source) AS independent_source_count, count(DISTINCT row(source, evidence)) AS independent_evidence_count, max(confidence) AS confidence FROM g GROUP BY claim, component""")
+def merged_findings(spark, sf_dir):
+    """Findings after verified merges: supporters counted over whole components, keys promoted."""
+    out = _reduced(spark, sf_dir).merged
+    key = F.nullif(F.col("best.canonical_key"), F.lit(""))
+    return out.select(F.lower("best.claim").alias("claim"), key.alias("canonical_key"), "merged_findings", "occurrence_count", "agreement_count", "independent_source_count", "independent_evidence_count", F.col("best.confidence").alias("confidence"))
+
+
+@query(f"WITH {_TYPES} SELECT 'ambiguous-identity-bridge' AS reason, sum(ni)::BIGINT AS pairs FROM n WHERE ni > 1 AND bare > 0 HAVING count(*) > 0")
+def blocked_merges(spark, sf_dir):
+    return _reduced(spark, sf_dir).blocked
+
+
+@query(f"""WITH {_TYPES}, g AS (SELECT claim, ni, bare, ni + CASE WHEN bare > 0 THEN 1 ELSE 0 END AS groups FROM n)
+SELECT (sum(CASE WHEN bare > 0 THEN ni ELSE 0 END))::BIGINT AS authorized_pairs, (sum(CASE WHEN ni = 1 AND bare > 0 THEN 1 ELSE 0 END))::BIGINT AS verified_merges, (sum(CASE WHEN ni = 1 AND bare > 0 THEN 1 ELSE 0 END))::BIGINT AS components_merged,
+(sum(groups) - sum(CASE WHEN ni = 1 AND bare > 0 THEN 1 ELSE 0 END))::BIGINT AS output_findings FROM g""")
+def merge_counts(spark, sf_dir):
+    return _reduced(spark, sf_dir).stats.select("authorized_pairs", "verified_merges", "components_merged", "output_findings")
