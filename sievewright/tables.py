@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import tempfile
 import uuid
 from collections.abc import Iterator
@@ -37,7 +38,35 @@ def written(df: DataFrame, name: str) -> DataFrame:
     """df, written once as a table in the shared folder and read back: it cuts lineage and outlives lost executors."""
     path = new_path(df.sparkSession, name)
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    out = df.sparkSession.read.schema(df.schema).parquet(path)
+    out.written_at = path
+    return out
+
+
+def forget(*tables: DataFrame) -> None:
+    """Delete tables that `written` gave, once everything that was worked out from them has been written itself."""
+    for table in tables:
+        if table.written_at in _paths:
+            _paths.remove(table.written_at)
+            drop_path(table.sparkSession, table.written_at)
+
+
+def release(spark: SparkSession) -> None:
+    """Let Spark delete the shuffle files of plans that nothing refers to any more: it does so when the driver collects its
+    garbage, which a driver with little to do may not for hours."""
+    gc.collect()
+    spark._jvm.System.gc()
+
+
+@contextmanager
+def collected() -> Iterator[list[str]]:
+    """The paths of the tables that are written in between: whoever asks deletes them, with `drop_path`."""
+    before, out = len(_paths), []
+    try:
+        yield out
+    finally:
+        out += _paths[before:]
+        del _paths[before:]
 
 
 def clear(spark: SparkSession) -> None:
