@@ -1,15 +1,15 @@
-"""Streams, versioned stores and folds as queries on the test tables, each with its SQL."""
+"""Streams, versioned stores, folds, merges, search and differences as queries on the test tables, each with its SQL."""
 
 from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..operators import candidates, folds, overlay
+from ..operators import candidates, diff, folds, overlay, packets, trigrams
 from ..operators.findings import normalize
 from ..sources import worker_input
 from ..store import Store
 from ..streaming import fanin
-from ..tables import new_path
+from ..tables import new_path, written
 from . import pipelines
 from .more import query
 from .oracles import norm
@@ -141,3 +141,40 @@ SELECT (sum(CASE WHEN bare > 0 THEN ni ELSE 0 END))::BIGINT AS authorized_pairs,
 (sum(groups) - sum(CASE WHEN ni = 1 AND bare > 0 THEN 1 ELSE 0 END))::BIGINT AS output_findings FROM g""")
 def merge_counts(spark, sf_dir):
     return _reduced(spark, sf_dir).stats.select("authorized_pairs", "verified_merges", "components_merged", "output_findings")
+
+
+# --- search and differences
+
+_PATTERN = r"licen[sc]e|public +domain|copyright.*20\d\d"
+
+
+@query(rf"""SELECT path, line, sha256(content) AS line_sha256 FROM (SELECT doc_id::VARCHAR AS path, unnest(string_split(text, chr(10))) AS content, generate_subscripts(string_split(text, chr(10)), 1) AS line FROM documents)
+WHERE regexp_matches(content, '(?i){_PATTERN}')""")
+def trigram_search(spark, sf_dir):
+    """Lines of documents that match a pattern, found through an index of their trigrams."""
+    files = read(spark, sf_dir, "documents").select(F.col("doc_id").cast("string").alias("path"), F.col("text").alias("content"))
+    found = trigrams.search(files, written(trigrams.index(files), "postings"), _PATTERN)
+    return found.select("path", F.col("line").cast("long").alias("line"), F.sha2("content", 256).alias("line_sha256"))
+
+
+@query("""SELECT count(*) FILTER (contains(t, 'lic') AND contains(t, 'ice') AND contains(t, 'cen') OR contains(t, 'cop') AND contains(t, 'opy') AND contains(t, 'pyr') AND contains(t, 'yri') AND contains(t, 'rig') AND contains(t, 'igh') AND contains(t, 'ght')) AS candidates,
+count(*) AS documents FROM (SELECT lower(text) AS t FROM documents)""")
+def trigram_candidates(spark, sf_dir):
+    """How many documents a search reads, of how many."""
+    files = read(spark, sf_dir, "documents").select("doc_id", "text")
+    some = trigrams.candidates(written(trigrams.index(files, "doc_id", "text"), "postings"), "licen[sc]e|copyright")
+    return some.agg(F.count("*").alias("candidates")).crossJoin(files.agg(F.count("*").alias("documents")))  # one row each
+
+
+_NEXT = "SELECT doc_id, text AS old, lead(text) OVER (ORDER BY doc_id) AS new FROM documents"
+
+
+@query(f"SELECT doc_id, sha256(coalesce(new, '')) AS new_sha256 FROM ({_NEXT})")
+def hunks_applied(spark, sf_dir):
+    """Each document's hunks against the next, applied to it: the next one."""
+    docs = read(spark, sf_dir, "documents").select("doc_id", F.col("text").alias("old"))
+    # the next document by a join on places, not in one task
+    placed = packets.numbered(docs, [F.asc("doc_id")], "place")
+    pairs = placed.join(placed.select((F.col("place") - 1).alias("place"), F.col("old").alias("new")), "place", "left")
+    found = diff.hunks(pairs, "doc_id")
+    return diff.applied(docs, found, "doc_id").select("doc_id", F.sha2("new", 256).alias("new_sha256"))
