@@ -3,10 +3,13 @@
 from __future__ import annotations
 
 import json
+import os
 from collections.abc import Callable
+from functools import partial
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import LongType, StringType
 
@@ -22,7 +25,10 @@ FRAMEWORKS = {
 #: Layers of a context pack in the order in which a slice takes them.
 LAYERS = ("external", "symbol", "file")
 
-_counters: dict[str, Callable[[str], int]] = {}
+_counters: dict[str, Callable[[list[str]], list[int]]] = {}
+_tokenizers: dict = {}
+#: Characters that a tokenizer is given at once.
+BATCH_CHARS = 1 << 20
 
 
 def relevance(score: Column) -> Column:
@@ -103,24 +109,61 @@ def distinct_json(texts: pd.Series) -> pd.Series:
 
 def register_counter(name: str, count: Callable[[str], int]) -> None:
     """Make a token counter available by name; what it counts is held to 0 at least."""
+    register_batch_counter(name, lambda texts: [max(0, int(count(t))) for t in texts])
+
+
+def register_batch_counter(name: str, count: Callable[[list[str]], list[int]]) -> None:
+    """Make a counter of many texts at once available by name."""
     if not name.strip() or name == "native":
         raise ValueError("a counter needs a name other than 'native'")
     _counters[name] = count
 
 
-def counted(text: Column, counter: str = "native") -> Column:
-    """Tokens of a text by a counter's name; the native one needs no Python."""
-    if counter == "native":
-        return estimated_tokens(text)
+def _token_counts(path: str, special_tokens: bool, texts: list[str]) -> list[int]:
+    if path not in _tokenizers:
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"
+        from tokenizers import Tokenizer
+
+        _tokenizers[path] = Tokenizer.from_file(path)
+        _tokenizers[path].no_truncation()
+        _tokenizers[path].no_padding()
+    out, held, size = [], [], 0
+    for i, text in enumerate(texts):
+        held.append(text)
+        size += len(text)
+        if size >= BATCH_CHARS or i + 1 == len(texts):
+            out += [len(e.ids) for e in _tokenizers[path].encode_batch(held, add_special_tokens=special_tokens)]
+            held, size = [], 0
+    return out
+
+
+def register_tokenizer(name: str, path: str, special_tokens: bool = False) -> None:
+    """Make the exact counter of a tokenizer's file available by name. Each worker reads the file once, from a path that
+    all of them have; texts are encoded BATCH_CHARS characters at a time, a longer one by itself."""
+    register_batch_counter(name, partial(_token_counts, path, special_tokens))
+
+
+def _counting(counter: str):
+    """The function of a registered counter over Arrow arrays of texts."""
     if counter not in _counters:
         raise ValueError(f"no such token counter: {counter}")
     count = _counters[counter]
 
-    @F.pandas_udf(LongType())
-    def run(texts: pd.Series) -> pd.Series:
-        return texts.map(lambda t: max(0, int(count(t or ""))))
+    def run(texts: pa.Array) -> pa.Array:
+        return pa.array(count(texts.fill_null("").to_pylist()), pa.int64())
+
+    run.__annotations__ = {"texts": pa.Array, "return": pa.Array}
+    return F.arrow_udf(run, LongType())
+
+
+def counted(text: Column, counter: str = "native") -> Column:
+    """Tokens of a text by a counter's name, 0 for null; the native one needs no Python, others take Arrow batches."""
+    return estimated_tokens(text) if counter == "native" else _counting(counter)(text)
+
 
-    return run(text)
+def register_sql(spark: SparkSession, function: str, counter: str) -> None:
+    """Make a registered counter a function of SQL: SELECT <function>(text) FROM ..."""
+    spark.udf.register(function, _counting(counter))
 
 
 def envelope(payloads: DataFrame, most_chars: int = 4000) -> DataFrame:

@@ -4,14 +4,14 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..operators import candidates, diff, folds, overlay, packets, trigrams
+from ..operators import candidates, diff, evidence, folds, overlay, packets, trigrams
 from ..operators.findings import normalize
 from ..sources import worker_input
 from ..store import Store
 from ..streaming import fanin
 from ..tables import new_path, written
 from . import pipelines
-from .more import query
+from .more import QUERIES, query
 from .oracles import norm
 from .queries import read
 
@@ -178,3 +178,16 @@ def hunks_applied(spark, sf_dir):
     pairs = placed.join(placed.select((F.col("place") - 1).alias("place"), F.col("old").alias("new")), "place", "left")
     found = diff.hunks(pairs, "doc_id")
     return diff.applied(docs, found, "doc_id").select("doc_id", F.sha2("new", 256).alias("new_sha256"))
+
+
+def exact_token_counts(spark, sf_dir, tokenizer: str = "word_bpe_49k.json"):
+    """Exact tokens of documents by a function of SQL. The tokenizer is beyond DuckDB; a test holds it to the library."""
+    import public_tokenizers
+
+    evidence.register_tokenizer("word-bpe", public_tokenizers.path(tokenizer))
+    evidence.register_sql(spark, "exact_tokens", "word-bpe")
+    read(spark, sf_dir, "documents").createOrReplaceTempView("documents_to_count")
+    return spark.sql("SELECT doc_id, exact_tokens(text) AS tokens FROM documents_to_count")
+
+
+QUERIES["exact_token_counts"] = exact_token_counts

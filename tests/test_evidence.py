@@ -39,3 +39,15 @@ def test_counters(spark):
         evidence.counted(F.col("t"), "none")
     answers = spark.createDataFrame([("w", "task", "x" * 9)], "worker string, task string, payload string")
     assert evidence.envelope(answers, 3).first().evidence == "xxx…"
+
+
+def test_exact_counts_from_sql(spark):
+    tokenizers = pytest.importorskip("tokenizers")
+    path = pytest.importorskip("public_tokenizers").path("word_bpe_49k.json")
+    texts = ["The cat sat.", "", None, "naïve " * 400_000, "<|endoftext|> x"]
+    evidence.register_tokenizer("word-bpe", path)
+    evidence.register_sql(spark, "exact_tokens", "word-bpe")
+    spark.createDataFrame(list(enumerate(texts)), "k int, t string").createOrReplaceTempView("counted_texts")
+    got = {r.k: r.n for r in spark.sql("SELECT k, exact_tokens(t) AS n FROM counted_texts").collect()}
+    t = tokenizers.Tokenizer.from_file(path)
+    assert got == {k: len(t.encode(x or "", add_special_tokens=False).ids) for k, x in enumerate(texts)}
