@@ -33,13 +33,18 @@ def scored(locators: DataFrame, query: str) -> DataFrame:
 
 
 def with_hits(rows: DataFrame, hits: DataFrame) -> DataFrame:
-    """Scored locators with what text hits(path, line) add: some for the file, more if a line lies in the span."""
-    lines = hits.groupBy("path").agg(F.array_sort(F.collect_set("line")).alias("lines"))
-    out = rows.join(lines, "path", "left")
-    in_span = F.coalesce(F.exists("lines", lambda x: x.between(F.col("start_line"), F.col("end_line"))), F.lit(False)) & (F.col("kind") == "symbol")
-    out = out.withColumns({"text_hit": F.col("lines").isNotNull(), "span_hit": in_span})
+    """Scored locators with what text hits(path, line) add: some for the file, more if a line lies in the span. Of a file's
+    hits, the first three are kept with it (`lines`); spans meet hits in a join by path and line, whatever their number."""
+    hits = hits.select("path", "line").distinct()
+    nth = F.row_number().over(Window.partitionBy("path").orderBy("line"))
+    lines = hits.withColumn("__n", nth).where("__n <= 3").groupBy("path").agg(F.array_sort(F.collect_list("line")).alias("lines"))
+    place = ["path", "start_line", "end_line"]
+    spans = rows.where(F.col("kind") == "symbol").select(*place).distinct().alias("s")
+    spans = spans.join(hits.alias("h"), (F.col("s.path") == F.col("h.path")) & F.col("h.line").between(F.col("s.start_line"), F.col("s.end_line")), "left_semi")
+    out = rows.join(lines, "path", "left").join(spans.withColumn("__span", F.lit(True)), place, "left")
+    out = out.withColumns({"text_hit": F.col("lines").isNotNull(), "span_hit": F.coalesce("__span", F.lit(False)) & (F.col("kind") == "symbol")}).drop("__span")
     bonus = F.when(F.col("text_hit"), float(FILE_HIT)).otherwise(0.0) + F.when(F.col("span_hit"), float(SPAN_HIT)).otherwise(0.0)
-    return out.withColumn("score", F.col("score") + bonus).withColumn("lines", F.slice("lines", 1, 3))
+    return out.withColumn("score", F.col("score") + bonus)
 
 
 def pruned(rows: DataFrame) -> DataFrame:
