@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from .plans import more, oracles, queries, stores  # noqa: F401  (stores registers with more)
+from .plans import given, more, oracles, queries, stores  # noqa: F401  (given and stores register with more)
 
 _PLAIN = (
     "fanin_groups fanin_stats finding_normalize malformed_reasons contradictions assertion_sides trust_scan trust_summary command_risks token_estimate_by_lang query_terms dedup_blocks "
