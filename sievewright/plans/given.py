@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from ..functions import nearest
 from ..operators import evidence, graph, harness, planning, state, views
 from .more import joined, query
 from .queries import read
@@ -104,3 +105,13 @@ def customer_lanes(spark, sf_dir):
     uses = orders.select("lane", F.lit("context_tokens").alias("resource"), F.col("price").alias("amount")).union(orders.select("lane", F.lit("model_calls"), F.lit(1).cast("long")))
     out = planning.lane_status(lanes, uses)
     return out.select("lane", F.col("context_tokens_used").alias("context_used"), F.col("context_tokens_left").alias("context_left"), joined("exceeded", ","), "allow_more_work")
+
+
+@query("""SELECT l AS "left", r AS "right", score FROM (SELECT *, row_number() OVER (PARTITION BY l ORDER BY score DESC, r) AS n FROM (SELECT a.vec_id AS l, b.vec_id AS r, round(list_cosine_similarity(a.embedding::DOUBLE[], b.embedding::DOUBLE[]), 6) AS score
+FROM embeddings a JOIN embeddings b ON a.label = b.label AND a.vec_id <> b.vec_id WHERE a.vec_id % 100 = 0)) WHERE n <= 3""")
+def nearest_candidates(spark, sf_dir):
+    """The three nearest vectors of its label to each that asks, by a table function from SQL."""
+    nearest.register(spark)
+    nearest.dealt(read(spark, sf_dir, "embeddings"), "vec_id % 100 = 0").createOrReplaceTempView("vectors_dealt")
+    return spark.sql("""WITH found AS (SELECT * FROM nearest(TABLE(SELECT * FROM vectors_dealt) PARTITION BY (label, part) ORDER BY (asks DESC), 3))
+SELECT left, right, score FROM (SELECT *, row_number() OVER (PARTITION BY left ORDER BY score DESC, right) AS n FROM found) WHERE n <= 3""")
