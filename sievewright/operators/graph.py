@@ -18,10 +18,11 @@ SOURCE_SUFFIXES = (
 def components(links: DataFrame, name: str = "components") -> DataFrame:
     """Connected components of links(a, b): rows (node, component), the component being its smallest node.
 
-    Alternates the large-star and small-star steps, each a shuffle over the edges, until an iteration changes
-    nothing; the edges of each iteration are written in the shared folder, those before them deleted. A star's centre may have any number of
-    leaves: no step gathers a node's neighbours, each only needs their minimum. Nodes without links have no row;
-    null ends and self-links are ignored. Nodes are whole numbers (cast to long) or of any type with an order.
+    Alternates the large-star and small-star steps, shuffles over the edges, until an iteration changes nothing; the
+    edges of each iteration, both steps in one job, are written in the shared folder, those before them deleted. A
+    star's centre may have any number of leaves: no step gathers a node's neighbours, each only needs their minimum.
+    Nodes without links have no row; null ends and self-links are ignored. Nodes are whole numbers (cast to long) or of
+    any type with an order.
     """
     whole = links.schema["a"].dataType.simpleString() in ("tinyint", "smallint", "int")
     edges = links.select(*[F.col(c).cast("long") if whole else F.col(c) for c in "ab"]).where("a <> b")
@@ -33,14 +34,12 @@ def components(links: DataFrame, name: str = "components") -> DataFrame:
         least = both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m"))
         # each larger neighbour is linked to the smallest of the neighbourhood
         large = both.where("b > a").join(least, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).where("a <> b").distinct()
-        large, before = written(large, name), edges
-        forget(before)
         least = large.groupBy("a").agg(F.min("b").alias("m"))
         small = large.join(least, "a").select("a", "b", "m")
         # the smaller neighbours and the node itself are linked to the smallest
         small = small.select(F.col("b").alias("a"), F.col("m").alias("b")).where("a <> b").union(least.select("a", F.col("m").alias("b"))).distinct()
-        edges = written(small, name)
-        forget(large)
+        edges, before = written(small, name), edges
+        forget(before)
         release(edges.sparkSession)
     stars = edges.groupBy("a").agg(F.min("b").alias("component"))
     return stars.select(F.col("a").alias("node"), "component").union(stars.select(F.col("component").alias("node"), "component").distinct())
