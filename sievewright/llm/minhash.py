@@ -10,6 +10,7 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from ..tables import forget, release
 from .common import components, small_batches, tidy, written
 
 #: Words of a shingle and least similarity in percent of a link, where nothing else is asked for.
@@ -207,8 +208,11 @@ def _members(measured: DataFrame, parts: DataFrame, percent: int) -> DataFrame:
     others differ in from their centre; `most` is how many elements a set can differ in and still link."""
     most = F.floor((100 - percent) * (F.col("n_b") + F.floor(F.col("n_b") * 100 / percent)) / (100 + percent))
     rows = measured.select("a", "b", "s", "shares", "n_b", "apart", most.alias("most"))
-    rows = _others(written(_labelled(rows, parts, "b", "part"), "labelled"))
-    return written(rows.where("near <= apart + most AND far >= apart - most").select("a", "b", "s", "shares", "n_b", "most"), "members")
+    labelled = written(_labelled(rows, parts, "b", "part"), "labelled")
+    rows = _others(labelled)
+    out = written(rows.where("near <= apart + most AND far >= apart - most").select("a", "b", "s", "shares", "n_b", "most"), "members")
+    forget(labelled)
+    return out
 
 
 def _odd(rows: DataFrame, sets: DataFrame) -> DataFrame:
@@ -218,14 +222,16 @@ def _odd(rows: DataFrame, sets: DataFrame) -> DataFrame:
     centres = rows.groupBy("a").agg(F.max("shares").alias("shares")).join(sets.select(F.col("node").alias("a"), F.col("shingles").alias("of_a")), "a")
     both = rows.join(sets.select(F.col("node").alias("b"), F.col("shingles").alias("of_b")), "b").join(_copies(centres), ["a", "s"])
     unlike = F.concat(F.array_except("of_a", "of_b"), F.array_except("of_b", "of_a"))
-    rows = written(both.select("a", "b", "s", "shares", "n_b", "most", unlike.alias("unlike")), "unlike")
+    rows = unlike_rows = written(both.select("a", "b", "s", "shares", "n_b", "most", unlike.alias("unlike")), "unlike")
     often = rows.select("a", F.explode("unlike").alias("e")).groupBy("a", "e").agg(F.count("*").alias("times"))
     sizes = rows.groupBy("a").agg(F.count("*").alias("n"), F.max("shares").alias("shares"))
     usual = often.join(sizes, "a").where("2 * times > n").groupBy("a").agg(F.collect_list("e").alias("usual"), F.max("shares").alias("shares"))
     none = F.array().cast("array<bigint>")
     odd = F.concat(F.array_except("unlike", F.coalesce("usual", none)), F.array_except(F.coalesce("usual", none), "unlike"))
     rows = rows.join(_copies(usual), ["a", "s"], "left").select("a", "b", "s", "shares", "n_b", "most", odd.alias("odd"))
-    return written(rows.withColumn("apart", F.size("odd").cast("long")), "odd")
+    out = written(rows.withColumn("apart", F.size("odd").cast("long")), "odd")
+    forget(unlike_rows)
+    return out
 
 
 def _certain(odd: DataFrame, percent: int) -> DataFrame:
@@ -265,8 +271,12 @@ def _within(odd: DataFrame, percent: int, rounds: int = 1) -> DataFrame | None:
     rows = _others(odd)
     need = F.greatest(F.lit(1), F.ceil((F.col("apart") + F.col("near") - F.col("most")) / 2)).cast("int")
     held = rows.where((F.size("odd") >= need) & (F.col("near") <= F.col("apart") + F.col("most"))).select("a", "b", "part", "n_b", "apart", need.alias("need"), F.explode("odd").alias("e"))
+    kept = None
     for k in range(3):  # each time some drop out, and leave what they shared to fewer
         held = written(held, f"held{k}")
+        if kept is not None:
+            forget(kept)
+        kept = held
         if not held.head(1):
             return None
         shared = held.groupBy("a", "e").agg(F.count("*").alias("times"), F.min("part").alias("one"), F.max("part").alias("two")).where("one <> two").drop("one", "two")
@@ -276,6 +286,8 @@ def _within(odd: DataFrame, percent: int, rounds: int = 1) -> DataFrame | None:
     nth = F.row_number().over(Window.partitionBy("a", "b").orderBy("times", "e"))
     prefix = held.withColumn("nth", nth).where("nth <= has - need + 1").select("a", "b", "e", "part", "apart", "n_b", (F.col("has") - F.col("nth")).alias("left"))
     prefix = written(prefix, "prefixes")
+    forget(kept)
+    release(odd.sparkSession)
     sets = odd.select("a", "b", "odd")
     mine = ("b", "part", "apart", "n_b", "left")
 
@@ -289,7 +301,10 @@ def _within(odd: DataFrame, percent: int, rounds: int = 1) -> DataFrame | None:
         pairs = written(pairs.select("a", F.col("u.b").alias("b"), F.col("v.b").alias("b_"), F.col("u.part").alias("x"), F.col("v.part").alias("y"), (F.col("u.apart") + F.col("v.apart")).alias("sum"), (F.col("u.n_b") + F.col("v.n_b")).alias("sizes")), "met")
         both = pairs.join(sets, ["a", "b"]).join(sets.select("a", F.col("b").alias("b_"), F.col("odd").alias("odd_")), ["a", "b_"])
         apart = F.col("sum") - 2 * F.size(F.array_intersect("odd", "odd_"))
-        return written(both.where(alpha * F.col("sizes") >= beta * apart).select(F.col("b").alias("a"), F.col("b_").alias("b"), "x", "y"), "within")
+        out = written(both.where(alpha * F.col("sizes") >= beta * apart).select(F.col("b").alias("a"), F.col("b_").alias("b"), "x", "y"), "within")
+        forget(pairs)
+        release(out.sparkSession)
+        return out
 
     before = None
     for k in range(rounds + 1):
@@ -328,6 +343,7 @@ def _classes(docs: DataFrame, words: int, percent: int) -> tuple[DataFrame, Data
     first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "key"))
     one = signed.where("n_shingles > 0").groupBy("digest").agg(first.alias("row"), F.first("bands").alias("bands"))
     classes = written(one.select("digest", "row.doc_id", "row.key", "bands"), "classes")
+    release(docs.sparkSession)
     several = written(classes.where("doc_id IS NOT NULL").groupBy("doc_id").agg(F.min("digest").alias("lowest"), F.count("*").alias("n")).where("n > 1").select("doc_id", "lowest"), "several")
     beyond = F.xxhash64("digest").bitwiseAND(F.lit((1 << 62) - 1)) + F.lit(1 << 62)
     node = F.when(F.col("doc_id").isNotNull() & F.coalesce(F.col("lowest") == F.col("digest"), F.lit(True)), F.col("doc_id")).otherwise(beyond)
@@ -338,15 +354,21 @@ def _classes(docs: DataFrame, words: int, percent: int) -> tuple[DataFrame, Data
     shares = F.expr(f"int(1 + n div {SHARE})")
     pairs = written(pairs.select("a", "b", F.pmod(F.xxhash64("b"), shares).cast("int").alias("s"), shares.alias("shares")), "stars")
     ends = pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct()
+    release(docs.sparkSession)
     wanted = written(classes.select("node", "digest", "doc_id", "key").join(ends, "node", "left_semi"), "wanted")
     found = _whole_sets(docs, wanted.select("doc_id", "key"), words).join(wanted.select("node", "digest"), "digest")
     sets = written(found.groupBy("node").agg(F.first("shingles").alias("shingles")), "sets")
+    release(docs.sparkSession)
     measured = written(_measured(pairs, sets, percent), "measured")
+    forget(wanted, pairs)
+    release(docs.sparkSession)
     links = measured.where("linked").select("a", "b")
     parts = written(components(links), "parts")
     members = _members(measured, parts, percent)
     if members.head(1):
         odd = _odd(members, sets)
+        forget(members, sets)
+        release(docs.sparkSession)
         sure = written(_labelled(_labelled(_certain(odd, percent), parts, "a", "x"), parts, "b", "y").where("x <> y"), "certain")
         if sure.head(1):
             links = links.union(sure.select("a", "b"))
