@@ -8,12 +8,15 @@ further columns are handled as the operators' docstrings say.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+from functools import wraps
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sievewright.llm import langid, linedup, minhash, mixing, packing
 from sievewright.llm.common import new_path
-from sievewright.tables import passing
+from sievewright.tables import collected, drop_path, release
 
 #: Share of the main language from which a document is taken for one of it.
 LEAST_SHARE = 0.5
@@ -56,13 +59,38 @@ def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
     return packing.pack(docs)
 
 
+#: Tables that stages needed on the way to their results.
+_left: list[str] = []
+
+
+def _swept(stage: Callable[[SparkSession, DataFrame, str], DataFrame]) -> Callable[[SparkSession, DataFrame, str], DataFrame]:
+    """A stage that begins by deleting what those before it left, but for what docs still read if they weren't written."""
+
+    @wraps(stage)
+    def run(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+        _sweep(spark, docs)
+        with collected() as paths:
+            out = stage(spark, docs, sf_dir)
+        _left.extend(paths)
+        return out
+
+    return run
+
+
+def _sweep(spark: SparkSession, docs: DataFrame) -> None:
+    read = {part for file in docs.inputFiles() for part in file.split("/")}
+    for path in [p for p in _left if p.rsplit("/", 1)[-1] not in read]:
+        _left.remove(path)
+        drop_path(spark, path)
+    release(spark)
+
+
 STAGES = [
-    ("language_id", identify_language),
-    ("line_dedup", drop_repeated_lines),
-    ("near_dedup", drop_near_duplicates),
-    ("mixing", mix_sources),
-    ("packing", pack_sequences),
-]
+    (name, _swept(stage))
+    for name, stage in (
+        ("language_id", identify_language), ("line_dedup", drop_repeated_lines), ("near_dedup", drop_near_duplicates), ("mixing", mix_sources), ("packing", pack_sequences),
+    )
+]
 
 #: The language model, the tokenizer and the partition of pieces are beyond SQL: tests hold each stage against brute force.
 ORACLE_SQL = None
@@ -70,11 +98,11 @@ ORACLE_SQL = None
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages over the table documents of a folder, each written in the shared folder and read again. What tables a
-    stage needs on the way are deleted once it is written."""
+    stage needs on the way are deleted once it is written, the last one's as well."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     for name, stage in STAGES:
         path = new_path(spark, f"stage-{name}")
-        with passing(spark):
-            stage(spark, docs, sf_dir).write.parquet(path)
+        stage(spark, docs, sf_dir).write.parquet(path)
         docs = spark.read.parquet(path)
+    _sweep(spark, docs)
     return docs
