@@ -77,9 +77,12 @@ def save(checkpoints: Store, rows: DataFrame, now: Column) -> int:
 def resume(checkpoints: Store, run_ids: DataFrame, now: Column) -> DataFrame:
     """Runs taken up again: saved with one resumption more, and given back with the nodes that are still to do. A run
     that isn't there is an error."""
-    found = run_ids.select("run_id").distinct().join(checkpoints.read(), "run_id", "left")
-    lost = F.raise_error(F.concat(F.lit("no checkpoint of run "), "run_id")).cast("long")
-    found = found.withColumn("resume_count", F.when(F.col("created_at").isNull(), lost).otherwise(F.coalesce("resume_count", F.lit(0)) + 1))
-    save(checkpoints, found.withColumn("status", F.lit("running")), now)
+    names = checkpoints.schema.fieldNames()
+    rows = run_ids.select("run_id", *[F.lit(None).alias(n) for n in names if n not in ("run_id", "updated_at")], now.cast("long").alias("updated_at"))
+    lost = F.raise_error(F.concat(F.lit("no checkpoint of run "), F.col("new.run_id"))).cast("long")
+    count = F.when(F.col("old.created_at").isNull(), lost).otherwise(F.coalesce("old.resume_count", F.lit(0)) + 1)
+    # what is there stays, but for these
+    carry = {n: F.col(f"old.{n}") for n in names if n not in ("run_id", "updated_at")} | {"resume_count": count, "status": F.lit("running")}
+    checkpoints.upsert(rows, carry)
     to_do = F.array_sort(F.map_keys(F.map_filter("results", lambda _, status: F.coalesce(status, F.lit("")) != "success")))
     return run_ids.select("run_id").distinct().join(checkpoints.read(), "run_id").select("run_id", "resume_count", to_do.alias("unfinished"))

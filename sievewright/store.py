@@ -7,11 +7,13 @@ import os
 import uuid
 from urllib.parse import unquote, urlparse
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.types import StructType, _parse_datatype_string
+from pyspark.sql.types import ArrayType, MapType, StructType, _parse_datatype_string
 
 BUCKETS = 32
+#: Tasks that write a bucket, at most.
+SHARES = 8
 
 
 class Store:
@@ -111,6 +113,12 @@ class Store:
             out = out & F.col(f"{a}.{k}").eqNullSafe(F.col(f"{b}.{k}"))
         return out
 
+    def _dealt(self, rows: DataFrame) -> DataFrame:
+        """Rows in the tasks that write their bucket: a bucket is SHARES tasks' work, so that few buckets don't hold up a
+        large table."""
+        rows = rows.withColumns({"bucket": self._bucket(), "__share": F.pmod(F.xxhash64(F.lit(1), *self.keys), F.lit(SHARES)).cast("int")})
+        return rows.repartition("bucket", "__share")
+
     def _change(self, rows: DataFrame, merged, batch: tuple[str, int] | None) -> int:
         touched = sorted(r[0] for r in rows.select(self._bucket()).distinct().collect())
         head = self.manifest()
@@ -118,7 +126,7 @@ class Store:
             if batch and head["batches"].get(batch[0], -1) >= batch[1]:
                 return head["version"]
             base, folder = head, f"data/{uuid.uuid4().hex}"
-            merged(self._read(base, touched), rows).withColumn("bucket", self._bucket()).repartition("bucket").write.partitionBy("bucket").parquet(f"{self.path}/{folder}")
+            merged(self._read(base, touched), rows).drop("__share").write.partitionBy("bucket").parquet(f"{self.path}/{folder}")
             there = {s.getPath().getName() for s in self._fs.listStatus(self._at(f"{self.path}/{folder}"))}
             own = {str(b): folder for b in touched if f"bucket={b}" in there}  # a bucket without rows has no folder
             while True:
@@ -138,17 +146,21 @@ class Store:
         `carry` gives columns that depend on both, as expressions over `old` (null where there was none) and `new`. Of rows
         that share a key the one with the largest `newest` is put, ties by a hash of the row. `batch` (name, number) makes
         a change of a stream count once: a number that isn't above the last one of that name changes nothing.
+
+        Old and new rows of a key meet in one grouping, dealt as the buckets are written: one shuffle.
         """
         names = self.schema.fieldNames()
-        rows = rows.select(*names, (F.lit(0) if newest is None else newest).alias("__newest"))
-        first = Window.partitionBy(*self.keys).orderBy(F.desc("__newest"), F.xxhash64(*[F.to_json(F.struct(*names))]))
-        rows = rows.withColumn("__n", F.row_number().over(first)).where("__n = 1").select(*names)
+        rows = rows.select(*[F.col(n).cast(self.schema[n].dataType).alias(n) for n in names], (F.lit(0) if newest is None else newest).alias("__newest"))
 
         def merged(old: DataFrame, new: DataFrame) -> DataFrame:
-            both = old.withColumn("__old", F.lit(True)).alias("old").join(new.withColumn("__new", F.lit(True)).alias("new"), self._same("old", "new"), "full")
-            put = F.col("new.__new").isNotNull()
+            whole, none, put = F.struct(*names), F.lit(None).cast(self.schema), F.col("new").isNotNull()
+            # maps have no hash
+            row = F.xxhash64(*[F.to_json(n) if isinstance(self.schema[n].dataType, ArrayType | MapType | StructType) else F.col(n) for n in names])
+            new = new.select(*self.keys, none.alias("old"), whole.alias("new"), F.struct("__newest", F.bitwise_not(row).alias("__row")).alias("__place"))
+            old = old.select(*self.keys, whole.alias("old"), none.alias("new"), F.lit(None).cast(new.schema["__place"].dataType).alias("__place"))
+            both = self._dealt(old.unionByName(new)).groupBy("bucket", "__share", *self.keys).agg(F.first("old", ignorenulls=True).alias("old"), F.max_by("new", "__place").alias("new"))
             own = {n: (carry or {}).get(n, F.col(f"new.{n}")) for n in names}
-            return both.select(*[F.when(put, own[n]).otherwise(F.col(f"old.{n}")).cast(self.schema[n].dataType).alias(n) for n in names])
+            return both.select("bucket", *[F.when(put, own[n]).otherwise(F.col(f"old.{n}")).cast(self.schema[n].dataType).alias(n) for n in names])
 
         return self._change(rows, merged, batch)
 
@@ -158,7 +170,7 @@ class Store:
 
         def merged(old: DataFrame, gone: DataFrame) -> DataFrame:
             old = old.withColumn("__doomed", F.lit(True) if where is None else F.coalesce(where, F.lit(False)))
-            return old.alias("old").join(gone.alias("gone"), self._same("old", "gone") & F.col("old.__doomed"), "left_anti").drop("__doomed")
+            return old.alias("old").join(gone.alias("gone"), self._same("old", "gone") & F.col("old.__doomed"), "left_anti").drop("__doomed").transform(self._dealt)
 
         return self._change(doomed, merged, None)
 

@@ -1,7 +1,9 @@
 """Steps whose work or memory once grew faster than their input, or held what a task needn't."""
 
 
-from sievewright.operators import findings
+from pyspark.sql import functions as F
+
+from sievewright.operators import findings, overlay
 
 
 def test_supporters_of_a_stream_are_keys_of_the_state_and_groups_one_row(spark, tmp_path):
@@ -17,3 +19,23 @@ def test_supporters_of_a_stream_are_keys_of_the_state_and_groups_one_row(spark,
     assert state[0]["numRowsTotal"] == 3 * (7 + 20 + 20)
     kept = fanin.totals(spark, f"file://{tmp_path}/out/totals").read()
     assert sorted((r.group_key, r.occurrences, r.workers, r.sources, r.refs) for r in kept.collect()) == [(f"claim:{c}", 20, 7, 20, 20) for c in range(3)]
+
+
+def test_resuming_reads_the_store_once_without_a_join(spark, tmp_path, monkeypatch):
+    kept = overlay.runs(spark, f"file://{tmp_path}/runs")
+    overlay.save(kept, spark.sql("SELECT 'r' || id AS run_id, map('a', if(id = 1, 'success', 'failed')) AS results FROM range(4)"), F.lit(1))
+    seen, change = [], type(kept)._change
+
+    def spied(self, rows, merged, batch):
+        def looked(old, new):
+            out = merged(old, new)
+            seen.append(out._jdf.queryExecution().optimizedPlan().toString())
+            return out
+
+        return change(self, rows, looked, batch)
+
+    monkeypatch.setattr(type(kept), "_change", spied)
+    todo = overlay.resume(kept, spark.sql("SELECT 'r' || id % 2 AS run_id FROM range(4)"), F.lit(7))
+    assert sorted(map(tuple, todo.collect())) == [("r0", 1, ["a"]), ("r1", 1, [])]
+    assert sorted((r.run_id, r.status, r.updated_at, r.created_at) for r in kept.read().collect()) == [("r0", "running", 7, 1), ("r1", "running", 7, 1), ("r2", None, 1, 1), ("r3", None, 1, 1)]
+    assert len(seen) == 1 and "Join" not in seen[0] and "Window" not in seen[0]
