@@ -1,8 +1,10 @@
 """Steps whose work or memory once grew faster than their input, or held what a task needn't."""
 
 
+import numpy as np
 from pyspark.sql import functions as F
 
+from sievewright.functions import nearest
 from sievewright.operators import findings, overlay
 
 
@@ -39,3 +41,26 @@ def test_resuming_reads_the_store_once_without_a_join(spark, tmp_path, monkeypat
     assert sorted(map(tuple, todo.collect())) == [("r0", 1, ["a"]), ("r1", 1, [])]
     assert sorted((r.run_id, r.status, r.updated_at, r.created_at) for r in kept.read().collect()) == [("r0", "running", 7, 1), ("r1", "running", 7, 1), ("r2", None, 1, 1), ("r3", None, 1, 1)]
     assert len(seen) == 1 and "Join" not in seen[0] and "Window" not in seen[0]
+
+
+def test_nearest_of_blocks_by_brute_force(spark):
+    rng = np.random.default_rng(5)
+    at = rng.integers(-3, 4, (150, 4)).astype(float)
+    at[7], at[20] = at[10], 0
+    rows = [(i, None if i == 30 else v.tolist(), None if i == 40 else i % 2) for i, v in enumerate(at)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<float>, label int")
+    got = nearest.best_of_blocks(df, "vec_id % 10 = 0", 3, rows=20, block=3)
+    assert "FlatMapCoGroupsInArrow" in got._jdf.queryExecution().executedPlan().toString()
+    best = {}
+    for r in got.collect():
+        best.setdefault(r.left, []).append((r.score is None, -(r.score or 0), r.right))
+    for a, v, label in rows:
+        if a % 10 or label is None:
+            continue
+        want = []
+        for b, w, other in rows:
+            if b != a and other == label:
+                norm = 0 if v is None or w is None else np.linalg.norm(v) * np.linalg.norm(w)
+                score = round(float(np.dot(v, w)) / norm, 6) if norm else None
+                want.append((score is None, -(score or 0), b))
+        assert [x[2] for x in sorted(best[a])[:3]] == [x[2] for x in sorted(want)[:3]], a
