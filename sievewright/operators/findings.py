@@ -85,12 +85,29 @@ def code(*parts: str | Column) -> Column:
     return F.when(known, F.struct(F.xxhash64(*cols).alias("x"), F.xxhash64(F.lit(1), *cols).alias("y")))
 
 
-def groups(findings: DataFrame, policy: str = "exact-claim") -> DataFrame:
+#: Tasks over which findings of one identity and side are dealt before they are counted.
+SPREAD = 8
+#: What a group takes from its best finding.
+BEST = ("ordinal", "claim", "evidence", "source", "worker", "confidence", "canonical_key", "identity", "side", "polarity_text", "value_text", "unit_text", "subject", "predicate", "period", "unit", "polarity", "value")
+
+
+def combined(findings: DataFrame) -> DataFrame:
+    """Findings that differ in their ordinal alone as one row, with the smallest and how many they are (times).
+
+    Counted by a hash of their columns, they needn't be sorted; what `groups` then expands and sorts doesn't grow with
+    repeats.
+    """
+    same = [c for c in BEST if c != "ordinal"]
+    return findings.groupBy(*same, "claim_text", "group_key", "provenance").agg(F.count("*").alias("times"), F.min("ordinal").alias("ordinal"))
+
+
+def groups(findings: DataFrame, policy: str = "exact-claim", times: Column | None = None) -> DataFrame:
     """Findings with equal group key and assertion as one row: who and what supports it, and its best finding.
 
     The best has the highest confidence, then the first worker and source. Keys and what is counted as distinct are
     hashes of 128 bits, so rows that are expanded for the counts hold no text; the best finding alone carries it, and the
-    key is worked out from that. Counts are combined before they are shuffled.
+    key is worked out from that. Counts are combined before they are shuffled. `times` is how many findings a row stands
+    for, as in `combined`.
     """
     ref = fingerprint(F.col("source"), F.sha2(F.col("evidence"), 256), F.col("provenance"))
     rank = F.struct(-F.col("confidence"), F.col("worker"), F.col("source"), F.col("ordinal"))
@@ -98,11 +115,10 @@ def groups(findings: DataFrame, policy: str = "exact-claim") -> DataFrame:
         "__key": F.struct(code("group_key").alias("g"), code(assertion_key(policy)).alias("a")), "__worker": code("worker"), "__source": code("source"), "__both": code("worker", "source"),
         "__ref": code(ref), "__claim": code("claim_text"), "__rank": rank,
     }
-    best = ("ordinal", "claim", "evidence", "source", "worker", "confidence", "canonical_key", "identity", "side", "polarity_text", "value_text", "unit_text", "subject", "predicate", "period", "unit", "polarity", "value")
     out = findings.withColumns(coded).groupBy("__key").agg(
-        F.count("*").alias("occurrence_count"), F.count_distinct("__worker").alias("workers"), F.count_distinct("__source").alias("independent_source_count"),
+        (F.count("*") if times is None else F.sum(times)).alias("occurrence_count"), F.count_distinct("__worker").alias("workers"), F.count_distinct("__source").alias("independent_source_count"),
         F.count_distinct("__both").alias("worker_sources"), F.count_distinct("__ref").alias("independent_evidence_count"), F.count_distinct("__claim").alias("claim_variants"),
-        F.min_by(F.struct(*best), "__rank").alias("best"), F.min("ordinal").alias("first_seen"),
+        F.min_by(F.struct(*BEST), "__rank").alias("best"), F.min("ordinal").alias("first_seen"),
     )
     agreement = F.greatest(F.lit(1), F.col("workers")).cast("long")
     claim = identity_text(F.col("best.claim"))

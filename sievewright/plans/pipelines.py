@@ -60,13 +60,14 @@ def reduce_findings(raw: DataFrame, min_confidence: float = 0.0, trust_policy: s
     """
     decided = findings.decide(findings.normalize(raw), min_confidence, trust_policy)
     kept = decided.where("decision.decision = 'keep'")
-    grouped = findings.groups(kept, policy)
+    same = findings.combined(kept)
+    grouped = findings.groups(same, policy, F.col("times"))
     numbered = grouped.select("*", F.xxhash64("group_key", "assertion_key").alias("idx"), identity_text(F.col("best.claim")).alias("claim_text"), F.col("best.identity").alias("identity"), F.col("best.side").alias("side"), F.col("best.confidence").alias("confidence"), F.col("best.source").alias("source"))
     none = kept.sparkSession.createDataFrame([], "left long, right long, score double")
     pairs = candidates.verify(candidates.detect(numbered, provider, threshold, most) if provider else none, numbered)
     authorized = pairs.where("merge_authorized").select("left", "right")
     members = candidates.guarded_components(authorized, numbered) if provider else numbered.withColumn("component", F.col("idx"))
-    merged = candidates.merge(members, kept, policy)
+    merged = candidates.merge(members, same, policy)
     stats = findings.reduction_stats(decided, grouped).crossJoin(merge_stats(authorized, merged))  # one row each
     return Reduction(decided, grouped, findings.contradictions(kept), pairs, members, merged, candidates.blocked(authorized, members), stats)
 

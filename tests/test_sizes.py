@@ -64,3 +64,12 @@ def test_nearest_of_blocks_by_brute_force(spark):
                 score = round(float(np.dot(v, w)) / norm, 6) if norm else None
                 want.append((score is None, -(score or 0), b))
         assert [x[2] for x in sorted(best[a])[:3]] == [x[2] for x in sorted(want)[:3]], a
+
+
+def test_repeated_findings_are_one_row_before_they_are_expanded(spark):
+    raw = spark.range(600).selectExpr("id AS ordinal", "'w' || id % 2 AS worker", "'c' || id % 3 AS claim", "'e' AS evidence", "'s' || id % 5 AS source", "0.5 AS confidence")
+    found = findings.normalize(raw)
+    few = findings.combined(found)
+    assert few.count() == 30
+    whole = lambda df: sorted(map(repr, df.collect()))
+    assert whole(findings.groups(few, times=F.col("times"))) == whole(findings.groups(found))
