@@ -73,3 +73,11 @@ def test_repeated_findings_are_one_row_before_they_are_expanded(spark):
     assert few.count() == 30
     whole = lambda df: sorted(map(repr, df.collect()))
     assert whole(findings.groups(few, times=F.col("times"))) == whole(findings.groups(found))
+
+
+def test_disagreements_are_counted_without_multiplied_rows(spark):
+    raw = spark.createDataFrame([("a", "p", "x", 1.0), ("a", "p", "x", 1.0), ("a", "p", "y", 2.0), ("a", "p", "", None), ("b", "p", "x", 1.0), ("b", "p", None, 1.0), ("c", "p", None, None), ("c", "p", None, None)], "subject string, predicate string, polarity string, value double")
+    out = findings.contradictions(findings.normalize(raw.withColumns({c: F.lit(c) for c in ("claim", "evidence", "source")})))
+    assert "RepartitionByExpression" in out._jdf.queryExecution().optimizedPlan().toString()  # before any grouping
+    assert "Expand" not in out._jdf.queryExecution().optimizedPlan().toString()
+    assert [(r.identity, r.findings, r.polarities, r["values"], r.sides, r.reasons) for r in out.collect()] == [("tuple:a|p||", 4, 2, 2, 2, ["polarity disagreement", "value disagreement"])]
