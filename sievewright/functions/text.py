@@ -12,6 +12,10 @@ from pyspark.sql.types import StringType
 #: White space as Python has it within ASCII; Java's own class lacks the separators 1C to 1F.
 SPACE = r"[\s\x1c-\x1f]+"
 
+#: Texts of characters that are compatibility-composed as they are, whatever stands beside them, and whose lower case is
+#: the same everywhere: ASCII, letters of Latin-1 and Cyrillic, ideographs.
+PLAIN = r"^[\p{ASCII}À-ÖØ-öø-ÿА-яЁё一-鿿]*$"
+
 # The words that queries and claims leave out, the concepts that widen a query, and the patterns of text
 # that tries to steer its reader.
 QUERY_STOP_WORDS = (
@@ -59,10 +63,10 @@ def clean(text: Column) -> Column:
 def identity_text(text: Column) -> Column:
     """Compatibility-composed, lower case, one space between words, none at the ends; null becomes empty.
 
-    ASCII stays in the JVM: only other texts cross to Arrow, the rest go as nulls.
+    What is ASCII and common letters stays in the JVM: only other texts cross to Arrow, the rest go as nulls.
     """
     plain = F.lower(F.regexp_replace(clean(text), SPACE, " "))
-    return F.coalesce(_compatible(F.when(~text.rlike(r"^\p{ASCII}*$"), text)), plain)
+    return F.coalesce(_compatible(F.when((F.octet_length(text) != F.length(text)) & ~text.rlike(PLAIN), text)), plain)
 
 
 def estimated_tokens(text: Column) -> Column:
