@@ -23,6 +23,10 @@ MISSED = 5e-5
 TEXT_BYTES = 4 << 20
 #: Members of a star that one copy of what its centre contributes serves.
 SHARE = 256
+#: Bits in a filter of documents for each that it has to let through, and at most: 32 MB.
+FILTER_BITS, MOST_BITS = 64, 1 << 28
+#: Bits in a bitmap of Spark's.
+BITMAP = 8 * 4096
 
 
 def _mix(h: np.ndarray) -> np.ndarray:
@@ -145,6 +149,21 @@ def signatures(docs: DataFrame, words: int, rows: int = ROWS) -> DataFrame:
     return docs.select("doc_id", "key", "text").mapInArrow(run, "doc_id long, key long, n_shingles long, digest binary, bands array<long>")
 
 
+def _perhaps(docs: DataFrame, wanted: DataFrame) -> DataFrame:
+    """The documents among wanted(doc_id, key) with about one in FILTER_BITS of the others, while texts stay where they are.
+
+    What the wanted ones hash to is broadcast as bitmaps, of 512 of them each. Beyond MOST_BITS bitmaps fill up, which lets
+    more of the others through and loses none.
+    """
+    bits = min(MOST_BITS, FILTER_BITS * max(1, wanted.count()))
+    place = F.pmod(F.xxhash64("doc_id", "key"), F.lit(bits))
+    part, bit = F.floor(F.col("place") / BITMAP), F.col("place") % BITMAP
+    maps = wanted.select(place.alias("place")).select(part.alias("part"), bit.alias("bit")).repartition("part").groupBy("part").agg(F.bitmap_construct_agg("bit").alias("bitmap"))
+    byte = F.substring("bitmap", F.floor(bit / 8).cast("int") + 1, F.lit(1))
+    hit = F.getbit(F.conv(F.hex(byte), 16, 10).cast("int"), bit % 8) == 1
+    return docs.withColumn("place", place).withColumn("of", part).join(F.broadcast(maps), (F.col("of") == F.col("part")) & hit, "left_semi").select(*docs.columns)
+
+
 def _whole_sets(docs: DataFrame, wanted: DataFrame, words: int) -> DataFrame:
     """digest and whole set of shingles of the documents among wanted(doc_id, key); some more may come along."""
     import xxhash
@@ -158,8 +177,7 @@ def _whole_sets(docs: DataFrame, wanted: DataFrame, words: int) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([pa.array(digest, pa.binary()), pa.ListArray.from_arrays(pa.array(begins, pa.int32()), pa.array(sets.view(np.int64)))], names=["digest", "shingles"])
         tidy()
 
-    texts = docs.alias("d").join(wanted.alias("w"), F.col("d.doc_id").eqNullSafe(F.col("w.doc_id")) & (F.col("d.key") == F.col("w.key")), "left_semi")
-    return texts.select("text").mapInArrow(run, "digest binary, shingles array<long>")
+    return _perhaps(docs, wanted).select("text").mapInArrow(run, "digest binary, shingles array<long>")
 
 
 def _copies(stars: DataFrame) -> DataFrame:
@@ -172,11 +190,23 @@ def _linked(size: Column, other: Column, apart: Column, percent: int) -> Column:
     return (100 - percent) * (size + other) >= (100 + percent) * apart
 
 
+def _places(pairs: DataFrame) -> DataFrame:
+    """The stars (a, s, shares) that each node of pairs(a, b, s, shares) is a member of, one a band at most, and the shares
+    of the star that it is the centre of; null without one."""
+    star = F.struct("a", "s", "shares")
+    member = pairs.select(F.col("b").alias("node"), star.alias("star"), F.lit(None).cast("int").alias("own"))
+    centre = pairs.select(F.col("a").alias("node"), F.when(F.lit(False), star).alias("star"), F.col("shares").alias("own"))
+    return member.union(centre).groupBy("node").agg(F.collect_list("star").alias("stars"), F.max("own").alias("own"))
+
+
 def _measured(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """pairs(a, b, s, shares) with the sizes of both sets, in how many shingles they differ, and whether they link."""
-    of_b = sets.select(F.col("node").alias("b"), F.col("shingles").alias("of_b"))
-    centres = pairs.groupBy("a").agg(F.max("shares").alias("shares")).join(sets.select(F.col("node").alias("a"), F.col("shingles").alias("of_a")), "a")
-    both = pairs.join(of_b, "b").join(_copies(centres), ["a", "s"])
+    """pairs(a, b, s, shares) with the sizes of both sets, in how many shingles they differ, and whether they link. Sets
+    that come with their _places are shuffled once, to the stars that they are in."""
+    if "stars" not in sets.columns:
+        sets = sets.join(_places(pairs), "node")
+    of_b = sets.select(F.col("node").alias("b"), F.col("shingles").alias("of_b"), F.explode("stars").alias("star")).select("b", "of_b", "star.*")
+    centres = sets.where("own IS NOT NULL").select(F.col("node").alias("a"), F.col("shingles").alias("of_a"), F.col("own").alias("shares"))
+    both = of_b.join(_copies(centres), ["a", "s"])
     apart = (F.size("of_a") + F.size("of_b") - 2 * F.size(F.array_intersect("of_a", "of_b"))).cast("long")
     out = both.select("a", "b", "s", "shares", F.size("of_a").cast("long").alias("n_a"), F.size("of_b").cast("long").alias("n_b"), apart.alias("apart"))
     return out.withColumn("linked", _linked(F.col("n_a"), F.col("n_b"), F.col("apart"), percent))
@@ -271,7 +301,7 @@ def _within(odd: DataFrame, percent: int, rounds: int = 1) -> DataFrame | None:
     rows = _others(odd)
     need = F.greatest(F.lit(1), F.ceil((F.col("apart") + F.col("near") - F.col("most")) / 2)).cast("int")
     held = rows.where((F.size("odd") >= need) & (F.col("near") <= F.col("apart") + F.col("most"))).select("a", "b", "part", "n_b", "apart", need.alias("need"), F.explode("odd").alias("e"))
-    kept = None
+    kept, of_one = None, Window.partitionBy("a", "b")  # what one member differs in
     for k in range(3):  # each time some drop out, and leave what they shared to fewer
         held = written(held, f"held{k}")
         if kept is not None:
@@ -281,9 +311,8 @@ def _within(odd: DataFrame, percent: int, rounds: int = 1) -> DataFrame | None:
             return None
         shared = held.groupBy("a", "e").agg(F.count("*").alias("times"), F.min("part").alias("one"), F.max("part").alias("two")).where("one <> two").drop("one", "two")
         held = held.drop("times").join(shared, ["a", "e"])
-        able = held.groupBy("a", "b").agg(F.count("*").alias("has"), F.first("need").alias("least")).where("has >= least").select("a", "b", "has")
-        held = held.drop("has").join(able, ["a", "b"])
-    nth = F.row_number().over(Window.partitionBy("a", "b").orderBy("times", "e"))
+        held = held.withColumn("has", F.count("*").over(of_one)).where("has >= need")
+    nth = F.row_number().over(of_one.orderBy("times", "e"))
     prefix = held.withColumn("nth", nth).where("nth <= has - need + 1").select("a", "b", "e", "part", "apart", "n_b", (F.col("has") - F.col("nth")).alias("left"))
     prefix = written(prefix, "prefixes")
     forget(kept)
@@ -339,25 +368,28 @@ def _classes(docs: DataFrame, words: int, percent: int) -> tuple[DataFrame, Data
     are nearer to what they were made from than to each other. Where several classes would have one number, and where
     no row has an id, the others' numbers are hashes beyond all ids.
     """
-    signed = written(signatures(docs, words, rows_for(percent)), "signatures")
+    whole = written(signatures(docs, words, rows_for(percent)), "signatures")
     first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "key"))
-    one = signed.where("n_shingles > 0").groupBy("digest").agg(first.alias("row"), F.first("bands").alias("bands"))
-    classes = written(one.select("digest", "row.doc_id", "row.key", "bands"), "classes")
+    one = whole.where("n_shingles > 0").groupBy("digest").agg(first.alias("row"), F.first("bands").alias("bands"))
+    banded = written(one.select("digest", "row.doc_id", "row.key", "bands"), "classes")
+    signed = written(whole.drop("bands"), "signed")
+    forget(whole)
     release(docs.sparkSession)
-    several = written(classes.where("doc_id IS NOT NULL").groupBy("doc_id").agg(F.min("digest").alias("lowest"), F.count("*").alias("n")).where("n > 1").select("doc_id", "lowest"), "several")
+    several = written(banded.where("doc_id IS NOT NULL").groupBy("doc_id").agg(F.min("digest").alias("lowest"), F.count("*").alias("n")).where("n > 1").select("doc_id", "lowest"), "several")
     beyond = F.xxhash64("digest").bitwiseAND(F.lit((1 << 62) - 1)) + F.lit(1 << 62)
     node = F.when(F.col("doc_id").isNotNull() & F.coalesce(F.col("lowest") == F.col("digest"), F.lit(True)), F.col("doc_id")).otherwise(beyond)
-    classes = classes.join(several, "doc_id", "left").select(node.alias("node"), "digest", "doc_id", "key", "bands")
+    classes = banded.join(several, "doc_id", "left").select(node.alias("node"), "digest", "doc_id", "key", "bands")
     placed = classes.select(F.col("node").alias("b"), F.explode("bands").alias("bucket"))
     centres = placed.groupBy("bucket").agg(F.min("b").alias("a"), F.count("*").alias("n")).where("n > 1")
     pairs = placed.join(centres, "bucket").where("a < b").groupBy("a", "b").agg(F.max("n").alias("n"))
     shares = F.expr(f"int(1 + n div {SHARE})")
     pairs = written(pairs.select("a", "b", F.pmod(F.xxhash64("b"), shares).cast("int").alias("s"), shares.alias("shares")), "stars")
-    ends = pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct()
+    classes = written(classes.drop("bands"), "nodes")
+    forget(banded, several)
     release(docs.sparkSession)
-    wanted = written(classes.select("node", "digest", "doc_id", "key").join(ends, "node", "left_semi"), "wanted")
-    found = _whole_sets(docs, wanted.select("doc_id", "key"), words).join(wanted.select("node", "digest"), "digest")
-    sets = written(found.groupBy("node").agg(F.first("shingles").alias("shingles")), "sets")
+    wanted = written(classes.join(_places(pairs), "node"), "wanted")
+    found = _whole_sets(docs, wanted.select("doc_id", "key"), words).groupBy("digest").agg(F.first("shingles").alias("shingles"))
+    sets = written(found.join(wanted.drop("doc_id", "key"), "digest").drop("digest"), "sets")
     release(docs.sparkSession)
     measured = written(_measured(pairs, sets, percent), "measured")
     forget(wanted, pairs)

@@ -9,6 +9,7 @@ from tables import corpus, documents, edited, prose
 
 from sievewright.llm import lattice, linedup, minhash
 from sievewright.llm.common import components
+from sievewright.tables import collected, drop_path
 
 
 def smallest(ids, links):
@@ -161,6 +162,57 @@ def test_repeated_ids_lose_no_link(spark):
     assert minhash.dedup(documents(spark, versions)).count() == 1
 
 
+def shuffled(spark, run):
+    """What run() gives, and how many bytes it writes into shuffles, with no table small enough for a broadcast of Spark's."""
+
+    def written():
+        sc = spark.sparkContext._jsc.sc()
+        sc.listenerBus().waitUntilEmpty()
+        every = sc.statusStore().executorList(False).iterator()
+        total = 0
+        while every.hasNext():
+            total += every.next().totalShuffleWrite()
+        return total
+
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        before = written()
+        return run(), written() - before
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+
+
+def test_whole_sets_leave_texts_where_they_are(spark):
+    rng = random.Random(12)
+    rows = [(None if i % 100 == 50 else i, prose(rng, 400), "en", "s") for i in range(300)]
+    docs = minhash._keyed(documents(spark, rows)).cache()
+    wanted = docs.where("doc_id IS NULL OR doc_id % 20 = 0").select("doc_id", "key")
+    got, moved = shuffled(spark, lambda: minhash._whole_sets(docs, wanted, 3).collect())
+    sets = {frozenset(r.shingles) for r in got}
+    want, ends = minhash.shingle_sets(pa.array([t for i, t, *_ in rows if i is None or i % 20 == 0]), 3)
+    assert {frozenset(x.tolist()) for x in np.split(want.view(np.int64), ends[:-1])} <= sets
+    assert len(got) <= 40
+    assert moved < sum(len(t) for _, t, *_ in rows) / 10
+    docs.unpersist()
+
+
+def test_near_duplicates_move_sets_twice_and_keep_no_bands(spark):
+    """Whole sets go to their class and to their stars; buckets are deleted once stars are known."""
+    rng = random.Random(13)
+    rows = []
+    for i in range(40):
+        text = prose(rng, 1500)
+        rows += [(2 * i, text, "en", "s"), (2 * i + 1, edited(rng, text, 0.01), "en", "s")]
+    with collected() as paths:
+        out, moved = shuffled(spark, lambda: minhash.near_duplicates(documents(spark, rows), 3, 85).collect())
+    left = [c for p in paths for c in spark.read.parquet(p).columns]
+    for p in paths:
+        drop_path(spark, p)
+    assert sorted((r.doc_id, r.component_id) for r in out) == [(i, i - i % 2) for i in range(80)]
+    assert "digest" in left and "bands" not in left
+    assert moved < 3 * sum(8 * r.n_shingles for r in out)
+
+
 def test_shingle_sets_and_densification():
     texts = ["", None, " \t", "a", "A b", "a b c a b c", "x\x0by É É", "x y É é"]
     sets, ends = minhash.shingle_sets(pa.array(texts), 3)
