@@ -10,7 +10,7 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ..tables import forget, release
+from ..tables import fewer, forget, release
 from .common import components, small_batches, tidy, written
 
 #: Words of a shingle and least similarity in percent of a link, where nothing else is asked for.
@@ -23,6 +23,8 @@ MISSED = 5e-5
 TEXT_BYTES = 4 << 20
 #: Members of a star that one copy of what its centre contributes serves.
 SHARE = 256
+#: Times fewer tasks than shuffles have partitions that write rows with whole sets.
+WIDE = 4
 #: Bits in a filter of documents for each that it has to let through, and at most: 32 MB.
 FILTER_BITS, MOST_BITS = 64, 1 << 28
 #: Bits in a bitmap of Spark's.
@@ -218,6 +220,19 @@ def _labelled(rows: DataFrame, parts: DataFrame, node: str, label: str) -> DataF
     return rows.join(named, node, "left").withColumn(label, F.coalesce("__component", node)).drop("__component")
 
 
+def _across(links: DataFrame, parts: DataFrame) -> DataFrame:
+    """links(a, b) between different components, with those: x and y."""
+    return _labelled(_labelled(links.select("a", "b"), parts, "a", "x"), parts, "b", "y").where("x <> y")
+
+
+def _merged(parts: DataFrame, links: DataFrame) -> DataFrame:
+    """parts(node, component) once links(x, y) between components are counted in: only those meet again, not all nodes. A
+    node that had no row is a component by itself."""
+    merged = written(fewer(components(links.select(F.col("x").alias("a"), F.col("y").alias("b")), "merge")), "merged")
+    known = _labelled(parts, merged, "component", "component").select("node", "component")
+    return written(fewer(known.union(merged.join(parts, "node", "left_anti").select("node", "component"))), "parts")
+
+
 def _others(rows: DataFrame) -> DataFrame:
     """Rows (a, s, shares, part, apart, ...) of stars that hold several components, with the least (near) and the most
     (far) that a member of another component differs in from what the star is seen from."""
@@ -238,9 +253,9 @@ def _members(measured: DataFrame, parts: DataFrame, percent: int) -> DataFrame:
     others differ in from their centre; `most` is how many elements a set can differ in and still link."""
     most = F.floor((100 - percent) * (F.col("n_b") + F.floor(F.col("n_b") * 100 / percent)) / (100 + percent))
     rows = measured.select("a", "b", "s", "shares", "n_b", "apart", most.alias("most"))
-    labelled = written(_labelled(rows, parts, "b", "part"), "labelled")
+    labelled = written(fewer(_labelled(rows, parts, "b", "part")), "labelled")
     rows = _others(labelled)
-    out = written(rows.where("near <= apart + most AND far >= apart - most").select("a", "b", "s", "shares", "n_b", "most"), "members")
+    out = written(fewer(rows.where("near <= apart + most AND far >= apart - most").select("a", "b", "s", "shares", "n_b", "most")), "members")
     forget(labelled)
     return out
 
@@ -252,14 +267,14 @@ def _odd(rows: DataFrame, sets: DataFrame) -> DataFrame:
     centres = rows.groupBy("a").agg(F.max("shares").alias("shares")).join(sets.select(F.col("node").alias("a"), F.col("shingles").alias("of_a")), "a")
     both = rows.join(sets.select(F.col("node").alias("b"), F.col("shingles").alias("of_b")), "b").join(_copies(centres), ["a", "s"])
     unlike = F.concat(F.array_except("of_a", "of_b"), F.array_except("of_b", "of_a"))
-    rows = unlike_rows = written(both.select("a", "b", "s", "shares", "n_b", "most", unlike.alias("unlike")), "unlike")
+    rows = unlike_rows = written(fewer(both.select("a", "b", "s", "shares", "n_b", "most", unlike.alias("unlike")), WIDE), "unlike")
     often = rows.select("a", F.explode("unlike").alias("e")).groupBy("a", "e").agg(F.count("*").alias("times"))
     sizes = rows.groupBy("a").agg(F.count("*").alias("n"), F.max("shares").alias("shares"))
     usual = often.join(sizes, "a").where("2 * times > n").groupBy("a").agg(F.collect_list("e").alias("usual"), F.max("shares").alias("shares"))
     none = F.array().cast("array<bigint>")
     odd = F.concat(F.array_except("unlike", F.coalesce("usual", none)), F.array_except(F.coalesce("usual", none), "unlike"))
     rows = rows.join(_copies(usual), ["a", "s"], "left").select("a", "b", "s", "shares", "n_b", "most", odd.alias("odd"))
-    out = written(rows.withColumn("apart", F.size("odd").cast("long")), "odd")
+    out = written(fewer(rows.withColumn("apart", F.size("odd").cast("long")), WIDE), "odd")
     forget(unlike_rows)
     return out
 
@@ -303,7 +318,7 @@ def _within(odd: DataFrame, percent: int, rounds: int = 1) -> DataFrame | None:
     held = rows.where((F.size("odd") >= need) & (F.col("near") <= F.col("apart") + F.col("most"))).select("a", "b", "part", "n_b", "apart", need.alias("need"), F.explode("odd").alias("e"))
     kept, of_one = None, Window.partitionBy("a", "b")  # what one member differs in
     for k in range(3):  # each time some drop out, and leave what they shared to fewer
-        held = written(held, f"held{k}")
+        held = written(fewer(held), f"held{k}")
         if kept is not None:
             forget(kept)
         kept = held
@@ -314,7 +329,7 @@ def _within(odd: DataFrame, percent: int, rounds: int = 1) -> DataFrame | None:
         held = held.withColumn("has", F.count("*").over(of_one)).where("has >= need")
     nth = F.row_number().over(of_one.orderBy("times", "e"))
     prefix = held.withColumn("nth", nth).where("nth <= has - need + 1").select("a", "b", "e", "part", "apart", "n_b", (F.col("has") - F.col("nth")).alias("left"))
-    prefix = written(prefix, "prefixes")
+    prefix = written(fewer(prefix), "prefixes")
     forget(kept)
     release(odd.sparkSession)
     sets = odd.select("a", "b", "odd")
@@ -327,10 +342,10 @@ def _within(odd: DataFrame, percent: int, rounds: int = 1) -> DataFrame | None:
         pairs = left.select("a", "e", *mine).join(other, ["a", "e"]).where((F.col("part") != F.col("part_")) & enough)
         first, second = F.struct("b", "part", "apart", "n_b"), F.struct(F.col("b_").alias("b"), F.col("part_").alias("part"), F.col("apart_").alias("apart"), F.col("n_b_").alias("n_b"))
         pairs = pairs.select("a", F.least(first, second).alias("u"), F.greatest(first, second).alias("v")).distinct()
-        pairs = written(pairs.select("a", F.col("u.b").alias("b"), F.col("v.b").alias("b_"), F.col("u.part").alias("x"), F.col("v.part").alias("y"), (F.col("u.apart") + F.col("v.apart")).alias("sum"), (F.col("u.n_b") + F.col("v.n_b")).alias("sizes")), "met")
+        pairs = written(fewer(pairs.select("a", F.col("u.b").alias("b"), F.col("v.b").alias("b_"), F.col("u.part").alias("x"), F.col("v.part").alias("y"), (F.col("u.apart") + F.col("v.apart")).alias("sum"), (F.col("u.n_b") + F.col("v.n_b")).alias("sizes"))), "met")
         both = pairs.join(sets, ["a", "b"]).join(sets.select("a", F.col("b").alias("b_"), F.col("odd").alias("odd_")), ["a", "b_"])
         apart = F.col("sum") - 2 * F.size(F.array_intersect("odd", "odd_"))
-        out = written(both.where(alpha * F.col("sizes") >= beta * apart).select(F.col("b").alias("a"), F.col("b_").alias("b"), "x", "y"), "within")
+        out = written(fewer(both.where(alpha * F.col("sizes") >= beta * apart).select(F.col("b").alias("a"), F.col("b_").alias("b"), "x", "y"), WIDE), "within")
         forget(pairs)
         release(out.sparkSession)
         return out
@@ -339,11 +354,11 @@ def _within(odd: DataFrame, percent: int, rounds: int = 1) -> DataFrame | None:
     for k in range(rounds + 1):
         sizes = prefix.groupBy("a", "e", "part").agg(F.count("*").alias("n"))
         sizes = sizes.groupBy("a", "e").agg(F.sum("n").alias("n"), F.max(F.struct("n", "part")).alias("main")).where("n > main.n")
-        sizes = written(sizes, "meetings")
+        sizes = written(fewer(sizes), "meetings")
         rest, rows_left = sizes.agg(F.sum(F.expr("n * (n - main.n)")), F.sum("n")).first()
         if not rest:
             break
-        prefix = written(prefix.join(sizes.select("a", "e", F.col("main.part").alias("main")), ["a", "e"]), "prefixes")
+        prefix = written(fewer(prefix.join(sizes.select("a", "e", F.col("main.part").alias("main")), ["a", "e"])), "prefixes")
         last = rest <= 4 * rows_left or k == rounds or before is not None and 2 * rest > before
         before = rest
         if last:
@@ -371,11 +386,11 @@ def _classes(docs: DataFrame, words: int, percent: int) -> tuple[DataFrame, Data
     whole = written(signatures(docs, words, rows_for(percent)), "signatures")
     first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "key"))
     one = whole.where("n_shingles > 0").groupBy("digest").agg(first.alias("row"), F.first("bands").alias("bands"))
-    banded = written(one.select("digest", "row.doc_id", "row.key", "bands"), "classes")
+    banded = written(fewer(one.select("digest", "row.doc_id", "row.key", "bands"), WIDE), "classes")
     signed = written(whole.drop("bands"), "signed")
     forget(whole)
     release(docs.sparkSession)
-    several = written(banded.where("doc_id IS NOT NULL").groupBy("doc_id").agg(F.min("digest").alias("lowest"), F.count("*").alias("n")).where("n > 1").select("doc_id", "lowest"), "several")
+    several = written(fewer(banded.where("doc_id IS NOT NULL").groupBy("doc_id").agg(F.min("digest").alias("lowest"), F.count("*").alias("n")).where("n > 1").select("doc_id", "lowest")), "several")
     beyond = F.xxhash64("digest").bitwiseAND(F.lit((1 << 62) - 1)) + F.lit(1 << 62)
     node = F.when(F.col("doc_id").isNotNull() & F.coalesce(F.col("lowest") == F.col("digest"), F.lit(True)), F.col("doc_id")).otherwise(beyond)
     classes = banded.join(several, "doc_id", "left").select(node.alias("node"), "digest", "doc_id", "key", "bands")
@@ -383,32 +398,30 @@ def _classes(docs: DataFrame, words: int, percent: int) -> tuple[DataFrame, Data
     centres = placed.groupBy("bucket").agg(F.min("b").alias("a"), F.count("*").alias("n")).where("n > 1")
     pairs = placed.join(centres, "bucket").where("a < b").groupBy("a", "b").agg(F.max("n").alias("n"))
     shares = F.expr(f"int(1 + n div {SHARE})")
-    pairs = written(pairs.select("a", "b", F.pmod(F.xxhash64("b"), shares).cast("int").alias("s"), shares.alias("shares")), "stars")
+    pairs = written(fewer(pairs.select("a", "b", F.pmod(F.xxhash64("b"), shares).cast("int").alias("s"), shares.alias("shares"))), "stars")
     classes = written(classes.drop("bands"), "nodes")
     forget(banded, several)
     release(docs.sparkSession)
-    wanted = written(classes.join(_places(pairs), "node"), "wanted")
+    wanted = written(fewer(classes.join(_places(pairs), "node")), "wanted")
     found = _whole_sets(docs, wanted.select("doc_id", "key"), words).groupBy("digest").agg(F.first("shingles").alias("shingles"))
-    sets = written(found.join(wanted.drop("doc_id", "key"), "digest").drop("digest"), "sets")
+    sets = written(fewer(found.join(wanted.drop("doc_id", "key"), "digest").drop("digest"), WIDE), "sets")
     release(docs.sparkSession)
-    measured = written(_measured(pairs, sets, percent), "measured")
+    measured = written(fewer(_measured(pairs, sets, percent), WIDE), "measured")
     forget(wanted, pairs)
     release(docs.sparkSession)
-    links = measured.where("linked").select("a", "b")
-    parts = written(components(links), "parts")
+    parts = written(fewer(components(measured.where("linked").select("a", "b"))), "parts")
     members = _members(measured, parts, percent)
     if members.head(1):
         odd = _odd(members, sets)
         forget(members, sets)
         release(docs.sparkSession)
-        sure = written(_labelled(_labelled(_certain(odd, percent), parts, "a", "x"), parts, "b", "y").where("x <> y"), "certain")
+        sure = written(fewer(_across(_certain(odd, percent), parts)), "certain")
         if sure.head(1):
-            links = links.union(sure.select("a", "b"))
-            parts = written(components(links), "parts")
+            parts = _merged(parts, sure)
         more = _within(_labelled(odd, parts, "b", "part"), percent)
         if more is not None and more.head(1):
-            parts = written(components(links.union(more)), "parts")
-    return signed.drop("bands"), written(_labelled(classes.select("node", "digest"), parts, "node", "part").select("digest", "part"), "components")
+            parts = _merged(parts, _across(more, parts))
+    return signed.drop("bands"), written(fewer(_labelled(classes.select("node", "digest"), parts, "node", "part").select("digest", "part")), "components")
 
 
 def _keyed(docs: DataFrame) -> DataFrame:
@@ -449,14 +462,14 @@ def dedup(docs: DataFrame, words: int = WORDS, percent: int = PERCENT) -> DataFr
     keyed = docs.withColumns({"__id": F.col("doc_id").cast("long"), "__key": F.xxhash64("text")})
     signed, parts = _classes(_keyed(docs), words, percent)
     rows = signed.groupBy("doc_id", "key", "digest").agg(F.count("*").alias("n"))
-    rows = written(rows.join(parts, "digest", "left"), "rows")
+    rows = written(fewer(rows.join(parts, "digest", "left")), "rows")
     place = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "key")
     best = rows.where("part IS NOT NULL").groupBy("part").agg(F.min(place).alias("best"))
     gone = rows.join(best, "part").where(place != F.col("best"))
     same = F.col("__id").eqNullSafe(F.col("__d")) & (F.col("__key") == F.col("__k"))
     listed = lambda x: x.select(F.col("doc_id").alias("__d"), F.col("key").alias("__k"))
     left = keyed.join(listed(gone), same, "left_anti")
-    again = written(listed(rows.where("n > 1")), "again")
+    again = written(fewer(listed(rows.where("n > 1"))), "again")
     once = left.join(again, same, "left_anti")
     return once.union(left.join(again, same, "left_semi").dropDuplicates(["__id", "__key"])).select(*docs.columns)
 

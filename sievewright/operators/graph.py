@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import expand_terms, query_terms
-from ..tables import forget, release, written
+from ..tables import fewer, forget, release, written
 
 # Suffixes that an import may leave out, in the order in which they are tried.
 SOURCE_SUFFIXES = (
@@ -26,19 +26,19 @@ def components(links: DataFrame, name: str = "components") -> DataFrame:
     """
     whole = links.schema["a"].dataType.simpleString() in ("tinyint", "smallint", "int")
     edges = links.select(*[F.col(c).cast("long") if whole else F.col(c) for c in "ab"]).where("a <> b")
-    edges = written(edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), name)
+    edges = written(fewer(edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()), name)
     # done when each node has one edge down at most, and none has edges both ways
     ends = lambda: edges.select(F.col("a").alias("node"), F.lit(1).alias("down"), F.lit(0).alias("up")).union(edges.select("b", F.lit(0), F.lit(1)))
     while ends().groupBy("node").agg(F.sum("down").alias("down"), F.max("up").alias("up")).where("down + up > 1").head(1):
         both = edges.union(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
         least = both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m"))
-        # each larger neighbour is linked to the smallest of the neighbourhood
-        large = both.where("b > a").join(least, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).where("a <> b").distinct()
+        # each larger neighbour is linked to the smallest of the neighbourhood; repeated edges go at the end
+        large = both.where("b > a").join(least, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).where("a <> b")
         least = large.groupBy("a").agg(F.min("b").alias("m"))
         small = large.join(least, "a").select("a", "b", "m")
         # the smaller neighbours and the node itself are linked to the smallest
         small = small.select(F.col("b").alias("a"), F.col("m").alias("b")).where("a <> b").union(least.select("a", F.col("m").alias("b"))).distinct()
-        edges, before = written(small, name), edges
+        edges, before = written(fewer(small), name), edges
         forget(before)
         release(edges.sparkSession)
     stars = edges.groupBy("a").agg(F.min("b").alias("component"))

@@ -43,6 +43,16 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return out
 
 
+def fewer(df: DataFrame, share: int = 20) -> DataFrame:
+    """df in fewer tasks, for `written`: as many as `share` times fewer than shuffles have partitions, but two a core at least.
+
+    To open and commit a file costs a task more than thousands of narrow rows do, and every reader pays for it again. What
+    is left still grows with the shuffles' partitions; nothing is shuffled for it.
+    """
+    spark = df.sparkSession
+    return df.coalesce(max(2 * spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")) // share))
+
+
 def forget(*tables: DataFrame) -> None:
     """Delete tables that `written` gave, once everything that was worked out from them has been written itself."""
     for table in tables:

@@ -6,7 +6,7 @@ import numpy as np
 from pyspark.sql import functions as F
 
 from sievewright.functions import nearest, text
-from sievewright.operators import findings, overlay
+from sievewright.operators import findings, graph, overlay
 
 
 def test_supporters_of_a_stream_are_keys_of_the_state_and_groups_one_row(spark, tmp_path):
@@ -90,3 +90,40 @@ def test_common_letters_need_no_python(spark):
     got = spark.createDataFrame([(t,) for t in texts], "t string").select("t", text.identity_text(F.col("t")).alias("i"), (~F.col("t").rlike(text.PLAIN)).alias("crosses")).collect()
     assert [r.i for r in got] == [" ".join(unicodedata.normalize("NFKC", t.strip()).lower().split()) for t in texts]
     assert [r.t for r in got if r.crosses] == texts[-4:]
+
+
+def test_narrow_tables_are_written_by_few_tasks(spark, monkeypatch):
+    from sievewright.llm import minhash
+
+    files, written = {}, graph.written
+
+    def counted(df, name):
+        out = written(df, name)
+        files[name] = max(files.get(name, 0), len(out.inputFiles()))
+        return out
+
+    monkeypatch.setattr(graph, "written", counted)
+    monkeypatch.setattr(minhash, "written", counted)
+    kept = {k: spark.conf.get(k) for k in ("spark.sql.shuffle.partitions", "spark.sql.adaptive.coalescePartitions.enabled")}
+    try:
+        spark.conf.set("spark.sql.shuffle.partitions", "40")
+        spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+        docs = spark.range(300).selectExpr("id AS doc_id", "concat_ws(' ', transform(sequence(0, 40), i -> concat('w', if(id % 2 = 1 and i = id % 40, id, i + 100 * (id div 4))))) AS text")
+        got = {r.doc_id: r.component_id for r in minhash.near_duplicates(docs, 3, 85).collect()}
+    finally:
+        for k, v in kept.items():
+            spark.conf.set(k, v)
+    assert set(got) == set(range(300)) and all(got[i] == i // 4 * 4 for i in range(0, 300, 2))
+    narrow = {k: n for k, n in files.items() if k not in ("signatures", "signed", "nodes")}
+    assert {"components", "stars", "parts"} <= set(narrow) and max(narrow.values()) <= max(2 * spark.sparkContext.defaultParallelism, 40 // minhash.WIDE), narrow
+
+
+def test_components_merge_by_links_between_them(spark):
+    from sievewright.llm import minhash
+
+    parts = spark.createDataFrame([(1, 1), (2, 1), (3, 3), (4, 3), (9, 3), (6, 6), (7, 6)], "node long, component long")
+    links = spark.createDataFrame([(2, 9), (4, 10), (10, 12), (6, 7), (2, 1)], "a long, b long")
+    across = minhash._across(links, parts)
+    assert sorted((r.a, r.b, r.x, r.y) for r in across.collect()) == [(2, 9, 1, 3), (4, 10, 3, 10), (10, 12, 10, 12)]
+    got = minhash._merged(parts, across)
+    assert sorted((r.node, r.component) for r in got.collect()) == [(1, 1), (2, 1), (3, 1), (4, 1), (6, 6), (7, 6), (9, 1), (10, 1), (12, 1)]
