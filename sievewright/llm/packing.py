@@ -21,6 +21,8 @@ from .common import small_batches, tidy, written
 #: words kept by a worker.
 CAPACITY, SHARE, END, GROUP, KEPT_WORDS = 4096, 1024, 2, 2048, 200_000
 TEXT_BYTES = 4 << 20
+#: Bytes of text that are parted at once, words whose ids are gathered at once.
+PARTED_BYTES, GATHERED = 1 << 19, 1 << 15
 
 
 def vocabulary(name: str = "word_bpe_49k.json") -> str:
@@ -72,24 +74,31 @@ class Words:
                 self._add(part, ids, np.diff(ends, prepend=-1))
             else:
                 single += part
-        for at in range(0, len(single), 10_000):
-            part = single[at : at + 10_000]
+        for at in range(0, len(single), 1000):
+            part = single[at : at + 1000]
             ids = [e.ids for e in self.tokenizer.encode_batch(part, add_special_tokens=False)]
             lengths = np.fromiter(map(len, ids), np.int64, len(ids))
             self._add(part, np.fromiter((i for x in ids for i in x), np.uint32, int(lengths.sum())), lengths)
 
     def ids(self, texts: pa.Array | list[str]) -> list[np.ndarray]:
         texts = pa.array(texts, pa.large_string()) if isinstance(texts, list) else texts.cast(pa.large_string())
-        parts = pc.split_pattern(_parted(texts), " ")
-        ends = parts.offsets.to_numpy()[1:]
-        words = parts.flatten().dictionary_encode()
-        every = words.dictionary.to_pylist()
+        parts, counts = [], []
+        for a, b in _batches(pc.binary_length(texts).to_pylist(), PARTED_BYTES):
+            split = pc.split_pattern(_parted(texts.slice(a, b - a)), " ")
+            parts.append(split.flatten().cast(pa.string()))
+            counts.append(np.diff(split.offsets.to_numpy()))
+        ends = np.cumsum(np.concatenate([np.zeros(0, np.int64), *counts]))
+        words = pa.chunked_array(parts, pa.string()).dictionary_encode().combine_chunks()
+        words = words.chunk(0) if isinstance(words, pa.ChunkedArray) else words
+        del parts
+        every, at = words.dictionary.to_pylist(), words.indices.to_numpy()
+        del words
         known = self.known
-        codes = np.fromiter(map(known.get, every, repeat(-1)), np.int64, len(every))
+        codes = np.fromiter(map(known.get, every, repeat(-1)), np.int32, len(every))
         rare, unknown = (), np.flatnonzero(codes < 0)
         if len(unknown):
             # as many stay as there is room for, frequent ones first; the others go again after this batch
-            often = np.bincount(words.indices.to_numpy(), minlength=len(every))[unknown]
+            often = np.bincount(at, minlength=len(every))[unknown]
             new = [every[i] for i in unknown[np.argsort(-often, kind="stable")].tolist()]
             room = max(0, KEPT_WORDS - len(known))
             rare = new[room:]
@@ -98,10 +107,15 @@ class Words:
         if len(unknown):
             self._learn(rare)
             codes[unknown] = [known[every[i]] for i in unknown.tolist()]
-        codes = codes[words.indices.to_numpy()]
-        lengths = self.length[codes]
-        upto = np.concatenate([[0], np.cumsum(lengths)])
-        flat = self.flat[np.repeat(self.start[codes] - upto[:-1], lengths) + np.arange(upto[-1])]
+        del every[:]
+        codes = codes[at]
+        upto = np.zeros(len(codes) + 1, np.int64)
+        np.cumsum(self.length[codes], out=upto[1:])
+        flat = np.empty(upto[-1], np.uint32)
+        for a in range(0, len(codes), GATHERED):  # by parts: indices take several times the room of ids
+            own = codes[a : a + GATHERED]
+            x, y = upto[a], upto[a + len(own)]
+            flat[x:y] = self.flat[np.repeat(self.start[own] - upto[a : a + len(own)], self.length[own]) + np.arange(x, y)]
         cut = upto[np.concatenate([[0], ends])]
         for w in rare:
             del known[w]
@@ -142,11 +156,11 @@ def _parted(texts: pa.LargeStringArray) -> pa.LargeStringArray:
 _words: dict[str, Words] = {}
 
 
-def _batches(sizes: list[int]) -> Iterator[tuple[int, int]]:
+def _batches(sizes: list[int], most: int = TEXT_BYTES) -> Iterator[tuple[int, int]]:
     begin = total = 0
     for i, n in enumerate(sizes):
         total += n
-        if total >= TEXT_BYTES:
+        if total >= most:
             yield begin, i + 1
             begin, total = i + 1, 0
     if begin < len(sizes):
@@ -160,8 +174,8 @@ def _joined(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Table]:
         held.append(batch)
         size += batch.nbytes
         if size >= TEXT_BYTES:
-            yield pa.Table.from_batches(held).combine_chunks()
-            held, size = [], 0
+            whole, held, size = pa.Table.from_batches(held).combine_chunks(), [], 0
+            yield whole
     if held:
         yield pa.Table.from_batches(held).combine_chunks()
 

@@ -3,6 +3,7 @@ import zlib
 from collections import defaultdict
 
 import numpy as np
+import pyarrow as pa
 from hypothesis import given, settings
 from hypothesis import strategies as st
 from tables import corpus, documents
@@ -32,6 +33,23 @@ def test_full_cache(monkeypatch):
         assert len(words.known) <= 3
 
 
+def test_encoding_a_batch_takes_few_times_its_room():
+    import tracemalloc
+
+    words = packing.Words(packing.vocabulary())
+    rng = random.Random(3)
+    texts = pa.array([" ".join(f"{rng.choice('abcdefgh')}{rng.randint(0, 9)}" for _ in range(1000)) for _ in range(1000)], pa.large_string())
+    first = words.ids(texts)
+    tracemalloc.start()
+    again = words.ids(texts)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert all(np.array_equal(x, y) for x, y in zip(first, again)) and len(again) == 1000
+    total = sum(map(len, again))
+    assert peak < 2 * (4 * total + 8 * 1_000_000), (peak, total)  # ids, and a place for each word, not several for each id
+    assert [[*x.tolist(), packing.END] for x in first[:3]] == reference(texts.to_pylist()[:3])
+
+
 def test_differencing_is_near_equal():
     sizes = np.random.default_rng(3).integers(1, 1025, 3000)
     at = packing.partition(sizes)
